@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFAULT_SCRUB_RULES
+from ..functions.fixed import FILE_LINE_BREAK, PY_WS_CLASS, SPLITLINES_BREAK
 from ..operators import protect as P
+from ..operators import search as Q
+from ..functions.strings import first_sentence
 from ..session import read_table
 from . import sql as S
 
@@ -76,6 +79,35 @@ def pii_scan(spark, sf_dir):
     return out
 
 
+# ─── document corpus ────────────────────────────────────────────────────────
+
+SEARCH_KEYWORD = "thou"
+BATCH_KEYWORDS = ["thou", "Eau", "ungs", "schön", "@", "http", "license", "the end"]
+
+
+def _docs(spark, sf_dir):
+    return Q.as_corpus(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def list_documents(spark, sf_dir):
+    return Q.list_documents(_docs(spark, sf_dir))
+
+
+def first_sentences(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", first_sentence(F.col("text")).alias("sentence"))
+
+
+def search_documents(spark, sf_dir):
+    r = Q.search(_docs(spark, sf_dir), SEARCH_KEYWORD)
+    return r.withColumn("snippets", F.concat_ws("\n", "snippets"))
+
+
+def search_batch(spark, sf_dir):
+    r = Q.search_batch(_docs(spark, sf_dir), BATCH_KEYWORDS)
+    return r.withColumn("snippets", F.concat_ws("\n", "snippets"))
+
+
 # ─── oracle SQL helpers ─────────────────────────────────────────────────────
 
 def _sql_str(s: str) -> str:
@@ -100,6 +132,37 @@ def _ddb_scan(table: str, column: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _ddb_strip(x: str) -> str:
+    return f"regexp_replace({x}, {_sql_str('^' + PY_WS_CLASS + '+|' + PY_WS_CLASS + '+\\z')}, '', 'g')"
+
+
+def _ddb_cut(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN left({x}, {n}) || '…' ELSE {x} END"
+
+
+def _ddb_summary(text: str) -> str:
+    lines = f"string_split_regex({text}, {_sql_str(FILE_LINE_BREAK)})"
+    stripped = f"list_transform({lines}, lambda l: {_ddb_strip('l')})"
+    first = f"list_filter({stripped}, lambda l: l <> '' AND NOT starts_with(l, '#'))[1]"
+    return f"coalesce(left({first}, 200), '')"
+
+
+def _ddb_matching(text: str, needle: str) -> str:
+    return (f"list_filter(string_split_regex({text}, {_sql_str(SPLITLINES_BREAK)}), "
+            f"lambda l: contains(lower(l), {needle}))")
+
+
+def _ddb_snippets(m: str) -> str:
+    return (f"array_to_string(list_transform({m}[1:5], lambda s: "
+            f"{_ddb_cut(_ddb_strip('s'), 200)}), chr(10))")
+
+
+def _ddb_first_sentence(text: str) -> str:
+    t = f"trim(regexp_replace({text}, {_sql_str(PY_WS_CLASS + '+')}, ' ', 'g'))"
+    return (f"CASE WHEN strpos({t}, '. ') > 0 THEN left({t}, strpos({t}, '. ')) "
+            f"WHEN strpos({t}, '.') > 0 THEN left({t}, strpos({t}, '.')) ELSE {t} END")
+
+
 def jobs() -> dict[str, Job]:
     return {
         "monthly_revenue": monthly_revenue,
@@ -109,6 +172,10 @@ def jobs() -> dict[str, Job]:
         "scrub_conversations": scrub_conversations,
         "mask_customer": mask_customer,
         "pii_scan": pii_scan,
+        "list_documents": list_documents,
+        "first_sentence": first_sentences,
+        "search_documents": search_documents,
+        "search_batch": search_batch,
     }
 
 
@@ -127,4 +194,24 @@ def oracles() -> dict[str, str]:
             _ddb_scan("documents", "text"), _ddb_scan("pages", "url"),
             _ddb_scan("pages", "html"), _ddb_scan("conversations", "role"),
             _ddb_scan("conversations", "text")]),
+        "list_documents":
+            f"SELECT doc_id AS name, {_ddb_summary('text')} AS description FROM documents "
+            "ORDER BY name",
+        "first_sentence": f"SELECT doc_id, {_ddb_first_sentence('text')} AS sentence FROM documents",
+        "search_documents":
+            f"WITH d AS (SELECT doc_id AS name, text, "
+            f"{_ddb_matching('text', _sql_str(SEARCH_KEYWORD))} AS m FROM documents) "
+            f"SELECT name, {_ddb_summary('text')} AS description, "
+            f"CAST(len(m) AS INTEGER) AS match_count, {_ddb_snippets('m')} AS snippets "
+            f"FROM d WHERE len(m) > 0 ORDER BY name LIMIT 20",
+        "search_batch":
+            "WITH k AS (SELECT unnest(["
+            + ", ".join(_sql_str(x) for x in sorted({k.strip().lower() for k in BATCH_KEYWORDS}))
+            + "]) AS keyword), "
+            f"d AS (SELECT keyword, doc_id AS name, text, "
+            f"{_ddb_matching('text', 'keyword')} AS m FROM documents, k) "
+            f"SELECT keyword, name, {_ddb_summary('text')} AS description, "
+            f"CAST(len(m) AS INTEGER) AS match_count, {_ddb_snippets('m')} AS snippets "
+            f"FROM d WHERE len(m) > 0 "
+            f"QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY name) <= 20",
     }

@@ -16,6 +16,7 @@ from ..functions.fixed import DEFAULT_SCRUB_RULES
 from ..functions.fixed import FILE_LINE_BREAK, PY_WS_CLASS, SPLITLINES_BREAK
 from ..operators import protect as P
 from ..operators import search as Q
+from ..operators import checks as C
 from ..functions.strings import first_sentence
 from ..session import read_table
 from . import sql as S
@@ -108,6 +109,79 @@ def search_batch(spark, sf_dir):
     return r.withColumn("snippets", F.concat_ws("\n", "snippets"))
 
 
+# ─── declared tests on data ─────────────────────────────────────────────────
+
+def _tables(spark, sf_dir, names):
+    return {n: _t(spark, sf_dir, n) for n in names}
+
+
+def test_unique(spark, sf_dir):
+    return C.failing_unique(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def test_accepted_values(spark, sf_dir):
+    return C.failing_accepted_values(_t(spark, sf_dir, "orders"), "o_orderstatus", ["O", "F"])
+
+
+def test_relationships(spark, sf_dir):
+    # Declared rule: every line must belong to an order placed before 1997.
+    parent = _t(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp"))
+    return C.failing_relationships(_t(spark, sf_dir, "lineitem"), "l_orderkey", parent, "o_orderkey")
+
+
+def test_not_null(spark, sf_dir):
+    return C.failing_not_null(_t(spark, sf_dir, "events"), "props")
+
+
+DECLARED_TESTS = [
+    C.DeclaredTest("orders", "o_orderkey", "unique"),
+    C.DeclaredTest("lineitem", ["l_orderkey", "l_linenumber"], "unique"),
+    C.DeclaredTest("documents", "text", "unique"),
+    C.DeclaredTest("orders", "o_custkey", "not_null"),
+    C.DeclaredTest("events", "props", "not_null"),
+    C.DeclaredTest("orders", "o_orderstatus", "accepted_values", {"values": ["O", "F"]}),
+    C.DeclaredTest("lineitem", "l_returnflag", "accepted_values", {"values": ["A", "N", "R"]}),
+    C.DeclaredTest("events", "event_type", "accepted_values",
+                   {"values": ["signup", "click", "view", "purchase"]}),
+    C.DeclaredTest("lineitem", "l_orderkey", "relationships", {"to": "orders", "field": "o_orderkey"}),
+    C.DeclaredTest("labels", "doc_id", "relationships", {"to": "documents", "field": "doc_id"}),
+    C.DeclaredTest("events", "user_id", "relationships", {"to": "customer", "field": "c_custkey"}),
+]
+
+
+def declared_tests(spark, sf_dir):
+    names = {t.table for t in DECLARED_TESTS} | {t.kwargs["to"] for t in DECLARED_TESTS if "to" in t.kwargs}
+    return C.run_tests(DECLARED_TESTS, _tables(spark, sf_dir, names))
+
+
+def _ddb_declared_tests() -> str:
+    parent_key = {"orders": "o_orderkey", "documents": "doc_id", "customer": "c_custkey"}
+    parts = []
+    for i, t in enumerate(DECLARED_TESTS):
+        cols = t.column if isinstance(t.column, list) else [t.column]
+        if t.test == "unique":
+            nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+            q = (f"SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM {t.table} WHERE {nn} "
+                 f"GROUP BY {', '.join(cols)} HAVING count(*) > 1)")
+        elif t.test == "not_null":
+            q = f"SELECT count(*) FROM {t.table} WHERE {cols[0]} IS NULL"
+        elif t.test == "accepted_values":
+            vals = ", ".join(_sql_str(v) for v in t.kwargs["values"])
+            q = (f"SELECT count(*) FROM {t.table} WHERE {cols[0]} IS NOT NULL "
+                 f"AND CAST({cols[0]} AS VARCHAR) NOT IN ({vals})")
+        else:
+            to, fld = t.kwargs["to"], t.kwargs["field"]
+            q = (f"SELECT count(*) FROM {t.table} c WHERE c.{cols[0]} IS NOT NULL AND NOT EXISTS "
+                 f"(SELECT 1 FROM {to} p WHERE p.{fld} = c.{cols[0]})")
+        col = ",".join(cols)
+        text = t.text.replace("'", "''")
+        parts.append(
+            f"SELECT {i} AS test_pos, '{t.table}' AS table_name, '{col}' AS column_name, "
+            f"'{t.test}' AS test_name, '{text}' AS test_text, CAST(({q}) AS BIGINT) AS failures, "
+            f"CASE WHEN ({q}) = 0 THEN 'pass' ELSE 'fail' END AS status")
+    return " UNION ALL ".join(parts)
+
+
 # ─── oracle SQL helpers ─────────────────────────────────────────────────────
 
 def _sql_str(s: str) -> str:
@@ -176,6 +250,11 @@ def jobs() -> dict[str, Job]:
         "first_sentence": first_sentences,
         "search_documents": search_documents,
         "search_batch": search_batch,
+        "test_unique": test_unique,
+        "test_accepted_values": test_accepted_values,
+        "test_relationships": test_relationships,
+        "test_not_null": test_not_null,
+        "declared_tests": declared_tests,
     }
 
 
@@ -214,4 +293,17 @@ def oracles() -> dict[str, str]:
             f"CAST(len(m) AS INTEGER) AS match_count, {_ddb_snippets('m')} AS snippets "
             f"FROM d WHERE len(m) > 0 "
             f"QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY name) <= 20",
+        "test_unique":
+            "SELECT l_orderkey, l_linenumber, count(*) AS n_records FROM lineitem "
+            "WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL "
+            "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+        "test_accepted_values":
+            "SELECT o_orderstatus, count(*) AS n_records FROM orders WHERE o_orderstatus IS NOT NULL "
+            "AND o_orderstatus NOT IN ('O', 'F') GROUP BY o_orderstatus",
+        "test_relationships":
+            "SELECT l_orderkey, count(*) AS n_records FROM lineitem l WHERE l_orderkey IS NOT NULL "
+            "AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey "
+            "AND o.o_orderdate < TIMESTAMP '1997-01-01') GROUP BY l_orderkey",
+        "test_not_null": "SELECT * FROM events WHERE props IS NULL",
+        "declared_tests": _ddb_declared_tests(),
     }

@@ -17,6 +17,8 @@ from ..functions.fixed import FILE_LINE_BREAK, PY_WS_CLASS, SPLITLINES_BREAK
 from ..operators import protect as P
 from ..operators import search as Q
 from ..operators import checks as C
+from ..operators import entries as N
+from ..sources.catalogs import CatalogDecl, catalog_entries, catalogs_from_decls
 from ..functions.strings import first_sentence
 from ..session import read_table
 from . import sql as S
@@ -182,6 +184,47 @@ def _ddb_declared_tests() -> str:
     return " UNION ALL ".join(parts)
 
 
+# ─── event catalog ──────────────────────────────────────────────────────────
+
+EVENTS_CATALOG_YAML = """\
+click:
+  description: A user clicks a tracked element.
+  attributes:
+    k: Key of the clicked element.
+purchase:
+  description: A user completes a purchase.
+  attributes:
+    k: Key of the purchased item.
+    amount: Amount charged.
+signup:
+  description: A new user signs up.
+view:
+  description: A user views a page.
+  attributes:
+    k: Key of the viewed page.
+"""
+EVENT_CORE = ["event_id", "ts", "event_type"]
+
+
+def _event_entries(spark):
+    cats = catalogs_from_decls(spark, [CatalogDecl("events", EVENTS_CATALOG_YAML, "events")], inline=True)
+    return catalog_entries(cats)
+
+
+def event_attributes(spark, sf_dir):
+    return N.event_attributes(_t(spark, sf_dir, "events"), _event_entries(spark), "event_type",
+                              "props", EVENT_CORE)
+
+
+def event_examples(spark, sf_dir):
+    return N.event_attributes(_t(spark, sf_dir, "events"), _event_entries(spark), "event_type",
+                              "props", EVENT_CORE, head_limit=5)
+
+
+_DDB_EVENT_CAT = ("(VALUES ('click', 'k'), ('purchase', 'amount'), ('purchase', 'k'), "
+                  "('signup', NULL), ('view', 'k')) AS c(name, attribute)")
+
+
 # ─── oracle SQL helpers ─────────────────────────────────────────────────────
 
 def _sql_str(s: str) -> str:
@@ -255,6 +298,8 @@ def jobs() -> dict[str, Job]:
         "test_relationships": test_relationships,
         "test_not_null": test_not_null,
         "declared_tests": declared_tests,
+        "event_attributes": event_attributes,
+        "event_examples": event_examples,
     }
 
 
@@ -306,4 +351,14 @@ def oracles() -> dict[str, str]:
             "AND o.o_orderdate < TIMESTAMP '1997-01-01') GROUP BY l_orderkey",
         "test_not_null": "SELECT * FROM events WHERE props IS NULL",
         "declared_tests": _ddb_declared_tests(),
+        "event_attributes":
+            "SELECT e.event_id, e.ts, e.event_type, c.attribute, "
+            "json_extract_string(e.props, '$.' || c.attribute) AS value "
+            f"FROM events e JOIN {_DDB_EVENT_CAT} ON e.event_type = c.name",
+        "event_examples":
+            "WITH e AS (SELECT * FROM events WHERE event_type IN ('click', 'purchase', 'signup', 'view') "
+            "QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id, ts, event_type) <= 5) "
+            "SELECT e.event_id, e.ts, e.event_type, c.attribute, "
+            "json_extract_string(e.props, '$.' || c.attribute) AS value "
+            f"FROM e JOIN {_DDB_EVENT_CAT} ON e.event_type = c.name",
     }

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.fixed import PII_NAME_PATTERNS, PII_REDACTED, PII_SKIP_PREFIXES
 from ..functions.rules import DEFAULT_RULES, ScrubRule, match_count, scrub
+from ..session import spread
 
 _SKIP_RE = re.compile(PII_SKIP_PREFIXES)
 _NAME_RE = re.compile(PII_NAME_PATTERNS)
@@ -72,6 +73,7 @@ def protect(df: DataFrame, meta: dict | None = None, rules: tuple[ScrubRule, ...
     """Mask PII columns (every row, nulls included, becomes ``<pii>``) and
     scrub PII shapes inside every other string column. One projection."""
     masked = pii_columns(df, meta, documented)
+    df = spread(df)
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -86,7 +88,7 @@ def protect(df: DataFrame, meta: dict | None = None, rules: tuple[ScrubRule, ...
 
 def scrub_column(df: DataFrame, column: str, rules: tuple[ScrubRule, ...] = DEFAULT_RULES,
                  out: str | None = None, unicode: bool = True) -> DataFrame:
-    return df.withColumn(out or column, scrub(F.col(f"`{column}`"), rules, unicode))
+    return spread(df).withColumn(out or column, scrub(F.col(f"`{column}`"), rules, unicode))
 
 
 # ─── scan ───────────────────────────────────────────────────────────────────
@@ -103,7 +105,7 @@ def pii_scan(df: DataFrame, table_name: str, columns: list[str] | None = None,
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     pairs = [(c, r) for c in columns for r in rules]
-    counts = df.select(*[match_count(F.col(f"`{c}`"), r, unicode).alias(f"n{i}")
+    counts = spread(df).select(*[match_count(F.col(f"`{c}`"), r, unicode).alias(f"n{i}")
                          for i, (c, r) in enumerate(pairs)])
     aggs = [F.count(F.lit(1)).alias("rows_total")]
     for i in range(len(pairs)):

@@ -47,16 +47,33 @@ def render_cells(df: DataFrame, meta: dict | None = None, rules: tuple[ScrubRule
         for f in df.schema.fields])
 
 
-def to_long(cells: DataFrame, slug: str, order_by: list[str] | None = None) -> DataFrame:
-    """Rendered sample rows → ``(slug, rn, col_pos, column_name, value)``."""
-    from pyspark.sql import Window
-    cols = cells.columns
-    rn = (F.row_number().over(Window.orderBy(*order_by)) if order_by
-          else F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
-    numbered = cells.withColumn("_rn", rn.cast("int"))
+def to_long(df: DataFrame, slug: str, order_by: list[str] | None = None,
+            masked: set[str] | None = None) -> DataFrame:
+    """Sample rows → ``(slug, rn, col_pos, column_name, value, is_pii)`` with
+    raw values as text; :func:`render_long` turns them into display cells.
+
+    The (at most a handful of) head rows are gathered into one array and
+    numbered by position, so no exchange is needed after the top-n."""
+    masked = masked or set()
+    cols = df.columns
+    keys = [F.col(f"`{k}`") for k in (order_by or [])]
+    row = F.struct(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(order_by or [])],
+                   F.struct(*[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(cols)]).alias("_v"))
+    rows = df.agg(F.sort_array(F.collect_list(row)).alias("_rows")) if keys else \
+        df.agg(F.collect_list(row).alias("_rows"))
+    per_row = rows.select(F.posexplode("_rows").alias("_rn", "_r"))
     entries = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("column_name"),
-                                 F.col(f"`{c}`").alias("value")) for i, c in enumerate(cols)])
-    return numbered.select(F.lit(slug).alias("slug"), F.col("_rn").alias("rn"), F.inline(entries))
+                                 F.col("_r._v").getField(f"v{i}").alias("value"),
+                                 F.lit(c in masked).alias("is_pii")) for i, c in enumerate(cols)])
+    return per_row.select(F.lit(slug).alias("slug"), (F.col("_rn") + 1).cast("int").alias("rn"),
+                          F.inline(entries))
+
+
+def render_long(long: DataFrame, rules: tuple[ScrubRule, ...] = DEFAULT_RULES) -> DataFrame:
+    """Display cells for long sample rows: ``<pii>`` or the scrubbed, cut cell."""
+    return long.select("slug", "rn", "col_pos", "column_name",
+                       F.when(F.col("is_pii"), F.lit(PII_REDACTED))
+                       .otherwise(cell_text(F.col("value"), rules)).alias("value"))
 
 
 def sample_long(df: DataFrame, slug: str, n: int = SAMPLE_SIZE, order_by: list[str] | None = None,
@@ -64,7 +81,21 @@ def sample_long(df: DataFrame, slug: str, n: int = SAMPLE_SIZE, order_by: list[s
     h = head(df, n, order_by)
     if h is None:
         return None
-    return to_long(render_cells(h, meta, rules), slug, order_by)
+    return render_long(to_long(h, slug, order_by, pii_columns(df, meta)), rules)
+
+
+def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int = SAMPLE_SIZE,
+                 meta: dict | None = None, rules: tuple[ScrubRule, ...] = DEFAULT_RULES) -> DataFrame | None:
+    """Head samples of many tables ``{slug: (df, order_by)}`` in one long
+    table; masking and scrubbing are applied once, after the union."""
+    raw = None
+    for slug, (df, order_by) in tables.items():
+        h = head(df, n, order_by)
+        if h is None:
+            continue
+        lg = to_long(h, slug, order_by, pii_columns(df, (meta or {}).get(slug)))
+        raw = lg if raw is None else raw.unionByName(lg)
+    return None if raw is None else render_long(raw, rules)
 
 
 def transposed_lines(long: DataFrame) -> DataFrame:

@@ -14,27 +14,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fixed import (INDEX_FILE, SEARCH_MAX_RESULTS, SEARCH_MAX_SNIPPETS,
+from ..functions.fixed import (INDEX_FILE, PY_WS_CLASS, SEARCH_MAX_RESULTS, SEARCH_MAX_SNIPPETS,
                                SEARCH_SNIPPET_MAX_LEN, SUMMARY_MAX_LEN)
 from ..functions.strings import cut, file_lines, py_strip, split_lines
+from ..session import spread
 
 # Above this many keywords one automaton pass per text beats one filter per keyword.
 _PROJECTED_KEYWORDS_MAX = 64
 
 
 def as_corpus(df: DataFrame, name_col: str, text_col: str) -> DataFrame:
-    """Any ``(id, text)`` table as a corpus; the index document is skipped."""
-    return (df.select(F.col(name_col).alias("name"), F.col(text_col).alias("text"))
-            .where(F.col("name").cast("string") != F.lit(INDEX_FILE.removesuffix(".md"))))
+    """Any ``(id, text)`` table as a corpus; the index document is skipped.
+    Text work is spread over all cores when the scan has few partitions."""
+    return spread(df.select(F.col(name_col).alias("name"), F.col(text_col).alias("text"))
+                  .where(F.col("name").cast("string") != F.lit(INDEX_FILE.removesuffix(".md"))))
+
+
+# A line that, once stripped, is non-empty and does not start with ``#``.
+_SUMMARY_LINE = "^" + PY_WS_CLASS + "*[^#" + PY_WS_CLASS[1:-1] + "]"
+# The first line when it already qualifies (the common case: no split needed).
+_FIRST_LINE = "\\A" + PY_WS_CLASS.replace("\\n", "").replace("\\r", "") + "*([^#" + \
+    PY_WS_CLASS[1:-1] + "][^\\r\\n]*)"
 
 
 def summary_line(text) -> Column:
     """First stripped line that is non-empty and not a heading, cut to 200
-    characters (no ellipsis); empty string when there is none."""
+    characters (no ellipsis); empty string when there is none.
+
+    When the first line qualifies it is taken directly; otherwise the text is
+    split into lines and the first qualifying line is found with an anchored
+    test (only that one line is stripped)."""
     t = F.col(text) if isinstance(text, str) else text
-    lines = F.transform(file_lines(t), lambda l: py_strip(l))
-    first = F.get(F.filter(lines, lambda l: (l != "") & ~F.startswith(l, F.lit("#"))), 0)
-    return F.coalesce(F.substring(first, 1, SUMMARY_MAX_LEN), F.lit(""))
+    head = F.regexp_extract(t, _FIRST_LINE, 1)
+    later = F.get(F.filter(file_lines(t), lambda l: l.rlike(_SUMMARY_LINE)), 0)
+    first = F.when(head != "", head).otherwise(later)
+    return F.coalesce(F.substring(py_strip(first), 1, SUMMARY_MAX_LEN), F.lit(""))
 
 
 def list_documents(corpus: DataFrame) -> DataFrame:

@@ -19,8 +19,15 @@ from ..operators import search as Q
 from ..operators import checks as C
 from ..operators import entries as N
 from ..sources.catalogs import CatalogDecl, catalog_entries, catalogs_from_decls
+from ..sources.manifest import entities_from_tables
+from ..operators import samples as SM
+from ..operators import docs as D
+from ..functions.guard import guard_reason, sql_fingerprint, sql_log_hash
+from ..functions.fixed import (ALLOWED_FIRST_TOKENS, COMMENT_BLOCK, COMMENT_LINE, IDENTIFIER,
+                               MUTATION_KEYWORDS)
+from ..session import TABLES
 from ..functions.strings import first_sentence
-from ..session import read_table
+from ..session import read_table, spread
 from . import sql as S
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +104,7 @@ def list_documents(spark, sf_dir):
 
 
 def first_sentences(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
+    d = spread(_t(spark, sf_dir, "documents"))
     return d.select("doc_id", first_sentence(F.col("text")).alias("sentence"))
 
 
@@ -225,6 +232,101 @@ _DDB_EVENT_CAT = ("(VALUES ('click', 'k'), ('purchase', 'amount'), ('purchase',
                   "('signup', NULL), ('view', 'k')) AS c(name, attribute)")
 
 
+# ─── samples and documents ──────────────────────────────────────────────────
+
+SAMPLE_COLUMNS = ["c_custkey", "full_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def sample_transposed(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").withColumnRenamed("c_name", "full_name").select(*SAMPLE_COLUMNS)
+    return SM.transposed_lines(SM.sample_long(c, "main.customer", order_by=["c_custkey"]))
+
+
+def docs_tables(spark, sf_dir):
+    """One document per given table: columns from the schema, five masked and
+    scrubbed sample rows (first rows by the first column), notes block."""
+    tables = {n: _t(spark, sf_dir, n) for n in TABLES}
+    ents, cols = entities_from_tables(spark, tables)
+    longs = SM.samples_long({f"main.{n}": (df, [df.columns[0]]) for n, df in tables.items()})
+    lineage = spark.createDataFrame([], "project string, node_id string, pos long, parent_id string, "
+                                        "parent_name string, parent_description string")
+    docs, _ = D.build_docs(ents, cols, lineage, samples=SM.transposed_lines(longs))
+    return docs.select("slug", "body")
+
+
+# ─── SQL texts: guard and hashes ────────────────────────────────────────────
+
+def sql_guard(spark, sf_dir):
+    c = spread(_t(spark, sf_dir, "conversations"))
+    return c.select("conv_id", "turn", guard_reason(F.col("text")).alias("reason"))
+
+
+FINGERPRINT_DAY = "2024-01-01"
+
+
+def sql_hashes(spark, sf_dir):
+    c = spread(_t(spark, sf_dir, "conversations"))
+    return c.select("conv_id", "turn", sql_log_hash(F.col("text")).alias("sql_hash"),
+                    sql_fingerprint(F.col("text"), FINGERPRINT_DAY).alias("cache_key"))
+
+
+def json_rows(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return o.select("o_orderkey", S.json_row(o).alias("row_json"))
+
+
+def _ddb_cell(x: str) -> str:
+    v = f"replace(replace(CAST({x} AS VARCHAR), '|', '\\|'), chr(10), ' ')"
+    return f"CASE WHEN {x} IS NULL THEN 'NULL' ELSE {_ddb_cut(_ddb_scrub(v), 80)} END"
+
+
+def _ddb_sample_transposed() -> str:
+    src = ("(SELECT c_custkey, c_name AS full_name, c_nationkey, c_acctbal, c_mktsegment "
+           "FROM customer ORDER BY c_custkey LIMIT 5)")
+    parts = []
+    for i, c in enumerate(SAMPLE_COLUMNS):
+        val = "'<pii>'" if c == "full_name" else _ddb_cell(c)
+        parts.append(f"SELECT 'main.customer' AS slug, {i} AS col_pos, '{c}' AS column_name, "
+                     f"CAST(count(*) AS INTEGER) AS n_rows, "
+                     f"'- `{c}`: ' || string_agg({val}, ' | ' ORDER BY c_custkey) AS line FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+def _ddb_guard(col: str, table: str, keys: str) -> str:
+    kw = ", ".join(_sql_str(k) for k in MUTATION_KEYWORDS)
+    allowed = ", ".join(_sql_str(k) for k in ALLOWED_FIRST_TOKENS)
+    s0 = _ddb_strip(f"regexp_replace(regexp_replace({col}, {_sql_str(COMMENT_BLOCK)}, '', 'g'), "
+                    f"{_sql_str(COMMENT_LINE)}, '', 'g')")
+    rstrip = lambda x: f"regexp_replace({x}, {_sql_str(PY_WS_CLASS + '+' + chr(92) + 'z')}, '')"
+    return (
+        f"WITH a AS (SELECT {keys}, {col} AS s, {s0} AS s0 FROM {table}), "
+        f"b AS (SELECT *, CASE WHEN ends_with(s0, ';') THEN {rstrip('left(s0, length(s0) - 1)')} "
+        f"ELSE s0 END AS st FROM a), "
+        f"c AS (SELECT *, regexp_extract(st, {_sql_str(IDENTIFIER)}, 0) AS first, "
+        f"list_filter(regexp_extract_all(upper(st), {_sql_str(IDENTIFIER)}), "
+        f"lambda t: list_contains([{kw}], t))[1] AS bad FROM b) "
+        f"SELECT {keys}, CASE WHEN s IS NULL OR {_ddb_strip('s')} = '' THEN 'empty SQL' "
+        f"WHEN contains(st, ';') THEN 'multiple statements are not allowed' "
+        f"WHEN first = '' THEN 'no SQL keyword found' "
+        f"WHEN upper(first) NOT IN ({allowed}) THEN "
+        f"'only SELECT / WITH queries are allowed (got: ' || upper(first) || ')' "
+        f"WHEN bad IS NOT NULL THEN 'query contains disallowed keyword: ' || bad "
+        f"ELSE NULL END AS reason FROM c")
+
+
+def _ddb_hashes() -> str:
+    collapsed = f"trim(regexp_replace(text, {_sql_str(PY_WS_CLASS + '+')}, ' ', 'g'))"
+    return (f"SELECT conv_id, turn, left(sha256({collapsed}), 12) AS sql_hash, "
+            f"left(sha256({collapsed} || '::{FINGERPRINT_DAY}'), 24) AS cache_key FROM conversations")
+
+
+def _ddb_json_rows() -> str:
+    return ("SELECT o_orderkey, to_json(struct_pack(o_orderkey := o_orderkey, o_custkey := o_custkey, "
+            "o_orderstatus := o_orderstatus, o_totalprice := o_totalprice, "
+            "o_orderdate := CAST(o_orderdate AS VARCHAR), o_orderpriority := o_orderpriority)) AS row_json "
+            "FROM orders")
+
+
 # ─── oracle SQL helpers ─────────────────────────────────────────────────────
 
 def _sql_str(s: str) -> str:
@@ -300,6 +402,11 @@ def jobs() -> dict[str, Job]:
         "declared_tests": declared_tests,
         "event_attributes": event_attributes,
         "event_examples": event_examples,
+        "sample_transposed": sample_transposed,
+        "docs_tables": docs_tables,
+        "sql_guard": sql_guard,
+        "sql_hashes": sql_hashes,
+        "json_rows": json_rows,
     }
 
 
@@ -361,4 +468,8 @@ def oracles() -> dict[str, str]:
             "SELECT e.event_id, e.ts, e.event_type, c.attribute, "
             "json_extract_string(e.props, '$.' || c.attribute) AS value "
             f"FROM e JOIN {_DDB_EVENT_CAT} ON e.event_type = c.name",
+        "sample_transposed": _ddb_sample_transposed(),
+        "sql_guard": _ddb_guard("text", "conversations", "conv_id, turn"),
+        "sql_hashes": _ddb_hashes(),
+        "json_rows": _ddb_json_rows(),
     }

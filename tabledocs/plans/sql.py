@@ -117,10 +117,13 @@ def json_safe_columns(df: DataFrame) -> list:
     return out
 
 
+def json_row(df: DataFrame):
+    """Column: the row as one JSON object with JSON-safe values (nulls kept)."""
+    return F.to_json(F.struct(*json_safe_columns(df)), {"ignoreNullFields": "false"})
+
+
 def json_rows(df: DataFrame) -> DataFrame:
-    """One JSON object per row with JSON-safe values (nulls kept)."""
-    return df.select(F.to_json(F.struct(*json_safe_columns(df)),
-                               {"ignoreNullFields": "false"}).alias("row_json"))
+    return df.select(json_row(df).alias("row_json"))
 
 
 @dataclass

@@ -94,3 +94,25 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> list[str]
             spark.read.parquet(p).createOrReplaceTempView(n)
             done.append(n)
     return done
+
+
+def parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster when the scan gives
+    fewer partitions than there are cores (a few large unsplittable files).
+
+    A round-robin repartition is added only in that case; a large input
+    already scans as many partitions and is left as it is (no shuffle)."""
+    spark = df.sparkSession
+    target = min_partitions or parallelism(spark)
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    return df.repartition(target) if n < target else df

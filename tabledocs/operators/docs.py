@@ -174,3 +174,9 @@ def build_docs(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
     docs = merge_notes(docs, existing)
     index = join_lines(index_lines(entities))
     return docs, index
+
+
+def run_counts(report: DataFrame, status_col: str = "status") -> DataFrame:
+    """How many items ended in each status (entities written, columns tagged
+    or already tagged, sample actions)."""
+    return report.groupBy(status_col).count()

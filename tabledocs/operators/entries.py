@@ -281,3 +281,15 @@ def event_attributes(events: DataFrame, entries: DataFrame, name_col: str, data_
               .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= head_limit).drop("_rn"))
     j = ev.join(attrs, ev[name_col] == attrs["_event"], "inner")
     return j.select(*core_columns, "attribute", json_attr(F.col(data_col), F.col("attribute")).alias("value"))
+
+
+def event_extract(events: DataFrame, name: str, name_col: str, data_col: str, core_columns: list[str],
+                  attributes: list[str], head_limit: int | None = None) -> DataFrame:
+    """One documented event: core columns plus each attribute (sorted by
+    name) as text, like the catalog's example query. The filter reaches the
+    scan; ``head_limit`` keeps the first rows by the core columns."""
+    df = events.where(F.col(name_col) == F.lit(name)).select(
+        *core_columns, *[json_attr(F.col(data_col), F.lit(a)).alias(a) for a in sorted(attributes)])
+    if head_limit is not None:
+        df = df.orderBy(*core_columns).limit(head_limit)
+    return df

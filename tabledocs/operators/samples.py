@@ -194,3 +194,39 @@ def after_fetch(plan: DataFrame, fetched_slugs: DataFrame) -> DataFrame:
                         .when(F.coalesce(F.col("_got"), F.lit(False)), F.lit("use_new"))
                         .when(F.col("cache_valid"), F.lit("reuse_warn"))
                         .otherwise(F.lit("none"))).drop("_got")
+
+
+def cache_rows(rendered_long: DataFrame, entities: DataFrame, fingerprints: DataFrame, columns: DataFrame,
+               obfuscation_hash: str) -> DataFrame:
+    """Sample-cache records (``CACHE_SCHEMA``) for freshly rendered samples:
+    the rendered cells (what the documents show, so the cache adds no new
+    PII surface), plus what decides validity next time."""
+    import datetime as _dt
+    now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    per_row = rendered_long.groupBy("slug", "rn").agg(
+        F.sort_array(F.collect_list(F.struct("col_pos", "column_name", "value"))).alias("cells"))
+    rows = per_row.groupBy("slug").agg(
+        F.sort_array(F.collect_list(F.struct("rn", "cells"))).alias("rs"))
+    rows = rows.select("slug", F.transform("rs", lambda r: F.map_from_entries(F.transform(
+        r.getField("cells"), lambda c: F.struct(c.getField("column_name"), c.getField("value"))))).alias("rows"),
+        F.transform(F.get(F.col("rs"), 0).getField("cells"), lambda c: c.getField("column_name")).alias("row_order"))
+    c = columns.withColumn("is_pii", pii_expr(F.col("name"), F.col("meta")))
+    cols = c.groupBy("project", "node_id").agg(F.sort_array(F.collect_list(F.struct(
+        "pos", F.struct(F.col("name").alias("name"), F.col("data_type").alias("data_type"),
+                        F.col("is_pii").alias("pii")).alias("c")))).alias("cs"))
+    cols = cols.select("project", "node_id", F.transform("cs", lambda x: x.getField("c")).alias("columns"))
+    e = entities.join(fingerprints, ["project", "node_id"], "left").join(cols, ["project", "node_id"], "left")
+    return e.join(rows, "slug").select(
+        "slug", F.lit(SAMPLE_CACHE_VERSION).alias("version"), "schema_name", "table_name",
+        F.lit(now).alias("fetched_at"), "column_names_hash", F.lit(obfuscation_hash).alias("obfuscation_hash"),
+        F.coalesce("columns", F.array().cast("array<struct<name:string,data_type:string,pii:boolean>>")).alias("columns"),
+        "rows", "row_order")
+
+
+def long_from_cache(cache: DataFrame) -> DataFrame:
+    """Cached rendered rows back to the long format, in the cached column order."""
+    r = cache.select("slug", "row_order", F.posexplode("rows").alias("i", "row"))
+    return r.select("slug", (F.col("i") + 1).cast("int").alias("rn"),
+                    F.posexplode("row_order").alias("col_pos", "column_name"), "row") \
+        .select("slug", "rn", F.col("col_pos").cast("int"), "column_name",
+                F.element_at("row", F.col("column_name")).alias("value"))

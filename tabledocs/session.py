@@ -109,6 +109,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     A round-robin repartition is added only in that case; a large input
     already scans as many partitions and is left as it is (no shuffle)."""
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     target = min_partitions or parallelism(spark)
     try:

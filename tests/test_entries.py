@@ -111,3 +111,22 @@ def test_event_attributes_job(spark):
     e = catalog_entries(catalogs_from_decls(spark, [CatalogDecl("events", EVENTS, "t")], inline=True))
     rows = {(r.id, r.attribute, r.value) for r in N.event_attributes(events, e, "event", "data", ["id", "event"]).collect()}
     assert rows == {(1, "color", "red"), (1, "source", "menu"), (2, "reason", "x")}
+
+
+def test_event_extract_filter_pushed(spark, tmp_path):
+    p = str(tmp_path / "ev")
+    spark.createDataFrame([(i, "click" if i % 2 else "view", f'{{"k": {i}, "a.b": "x"}}') for i in range(10)],
+                          "id long, event string, data string").write.parquet(p)
+    ev = spark.read.parquet(p)
+    df = N.event_extract(ev, "click", "event", "data", ["id", "event"], ["k", "a.b"], head_limit=3)
+    assert [(r.id, r.k, r["a.b"]) for r in df.collect()] == [(1, "1", "x"), (3, "3", "x"), (5, "5", "x")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(event), EqualTo(event,click)]" in plan
+
+
+def test_markdown_folder(spark, tmp_path):
+    from tabledocs.sources.corpus import read_markdown_folder
+    (tmp_path / "_index.md").write_text("# idx")
+    (tmp_path / "a.b.md").write_text("# a\nhello")
+    (tmp_path / "notes.txt").write_text("skip")
+    assert [(r.name, r.text) for r in read_markdown_folder(spark, str(tmp_path)).collect()] == [("a.b", "# a\nhello")]

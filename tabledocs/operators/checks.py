@@ -7,7 +7,7 @@ test except ``not_null``.
 
 Scale: every test is an aggregate or a filter. Keys are counted before any
 shuffle (partial aggregation), so a key holding a third of the rows costs
-one row per task; the relationships check anti-joins *distinct* child keys
+one row per task; the relationships check joins *distinct* child keys
 with their counts, never raw child rows.
 """
 
@@ -53,14 +53,18 @@ def failing_relationships(child: DataFrame, column: str, parent: DataFrame, fiel
     """Child values with no parent row, with their row count.
 
     The child side is reduced to distinct keys with counts first (partial
-    aggregation before the exchange), then anti-joined with the parent's
-    distinct keys; Catalyst picks broadcast or sort-merge by size and AQE
-    splits skewed partitions.
+    aggregation before the exchange), then outer-joined with the parent's
+    distinct keys and kept where no parent matched. (An anti join would be
+    pushed below the aggregate by the optimizer and shuffle raw child rows
+    by a possibly hot key; the outer join keeps both sides at one row per
+    key.) Catalyst picks broadcast or sort-merge by size.
     """
     keys = (child.where(F.col(column).isNotNull()).groupBy(column)
             .agg(F.count(F.lit(1)).alias("n_records")))
-    parents = parent.select(F.col(field).alias(column)).where(F.col(column).isNotNull()).distinct()
-    return keys.join(parents, column, "left_anti")
+    parents = (parent.select(F.col(field).alias(column)).where(F.col(column).isNotNull()).distinct()
+               .withColumn("_parent", F.lit(True)))
+    return (keys.join(parents, column, "left").where(F.col("_parent").isNull())
+            .select(column, "n_records"))
 
 
 @dataclass

@@ -75,15 +75,22 @@ def _snippets(matching: Column) -> Column:
                        lambda s: cut(py_strip(s), SEARCH_SNIPPET_MAX_LEN))
 
 
+_LINE_BREAKS = set("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
+
+
 def search_hits(corpus: DataFrame, keyword: str) -> DataFrame:
-    """Every matching document: ``(name, description, match_count, snippets)``."""
+    """Every matching document: ``(name, description, match_count, snippets)``.
+
+    A needle without line breaks occurs in some line exactly when it occurs
+    in the lowered text, so that cheap test is the only filter (it may run
+    at the scan); lines are split once, in the projection. A needle holding
+    a line break can match no line."""
     needle = _needle(keyword)
-    lowered = F.lower(F.col("text"))
-    hits = (corpus.where(F.contains(lowered, F.lit(needle)))
-            .select("name", "text",
-                    F.filter(split_lines(F.col("text")),
-                             lambda l: F.contains(F.lower(l), F.lit(needle))).alias("m")))
-    return (hits.where(F.size("m") > 0)
+    if set(needle) & _LINE_BREAKS:
+        corpus = corpus.where(F.lit(False))
+    m = F.filter(split_lines(F.col("text")), lambda l: F.contains(F.lower(l), F.lit(needle)))
+    return (corpus.where(F.contains(F.lower(F.col("text")), F.lit(needle)))
+            .select("name", "text", m.alias("m"))
             .select("name", summary_line("text").alias("description"),
                     F.size("m").alias("match_count"), _snippets(F.col("m")).alias("snippets")))
 

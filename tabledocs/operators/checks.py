@@ -17,19 +17,47 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import shared_dir
 
 
 def _cols(column) -> list[str]:
     return [column] if isinstance(column, str) else list(column)
 
 
-def failing_unique(df: DataFrame, column) -> DataFrame:
-    """Key values that occur more than once, with their row count."""
+_WIDE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+
+# Candidate duplicate keys up to this many rows are broadcast for the exact check.
+CANDIDATES_BROADCAST_MAX = 1_000_000
+
+
+def failing_unique(df: DataFrame, column, candidates_broadcast_max: int = CANDIDATES_BROADCAST_MAX
+                   ) -> DataFrame:
+    """Key values that occur more than once, with their row count.
+
+    Fixed-width keys are counted directly (partial counts per task before
+    the shuffle). Wide keys (long texts) are first counted by a 128-bit hash
+    so only hashes are shuffled; the rows of candidate hashes are then
+    grouped by their real value, which keeps the answer exact. Candidates
+    are broadcast after a row count check, else joined by shuffle.
+    """
     cols = _cols(column)
     keyed = df.select(*cols)
     for c in cols:
         keyed = keyed.where(F.col(c).isNotNull())
-    return (keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_records"))
+    wide = any(isinstance(df.schema[c].dataType, _WIDE) for c in cols)
+    if not wide:
+        return (keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_records"))
+                .where(F.col("n_records") > 1))
+    hashed = keyed.withColumn("_h1", F.xxhash64(*cols)).withColumn("_h2", F.hash(*cols))
+    cand = (hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") > 1).select("_h1", "_h2"))
+    shared_dir(df.sparkSession)  # lineage cut goes to the shared checkpoint folder
+    cand = cand.checkpoint()  # small, reused by the count and the join
+    side = F.broadcast(cand) if cand.count() <= candidates_broadcast_max else cand
+    rows = hashed.join(side, ["_h1", "_h2"], "left_semi")
+    return (rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_records"))
             .where(F.col("n_records") > 1))
 
 

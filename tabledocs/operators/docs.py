@@ -25,33 +25,16 @@ def _lines(df: DataFrame, k1: int, k2: Column, arr: Column) -> DataFrame:
                      F.posexplode(arr).alias("k3", "line"))
 
 
-def entity_lines(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
-                 sections: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
-    """Line table of every entity document, in section order: header,
-    description, columns, catalog section, parents, sample rows, SQL."""
-    e = entities
-    if sections is not None:
-        e = e.join(sections.select(F.col("table_slug").alias("slug"), F.col("kind").alias("cat_kind"),
-                                   "section"), "slug", "left")
-    else:
-        e = e.withColumn("cat_kind", F.lit(None).cast("string")).withColumn("section", F.lit(None).cast("string"))
-    label = F.when(F.col("cat_kind").isNotNull(),
-                   F.concat(F.lit("source — "), F.col("cat_kind"), F.lit(" catalog"))
-                   ).when(F.col("kind") == "model", F.lit("model")).otherwise(F.lit("source"))
-    parts = [_lines(e, 0, F.lit(0), F.array(F.concat(F.lit("# `"), F.col("slug"), F.lit("` ("), label, F.lit(")")),
-                                           F.lit("")))]
-    desc = py_strip(F.coalesce(F.col("description"), F.lit("")))
-    parts.append(_lines(e, 1, F.lit(0), F.when(desc != "", F.array(desc, F.lit(""))).otherwise(_empty())))
-
-    # columns
-    has_cols = columns.select("project", "node_id").distinct().withColumn("_has", F.lit(True))
-    ec = e.join(has_cols, ["project", "node_id"], "left")
-    parts.append(_lines(ec, 2, F.lit(-1), F.when(F.col("_has").isNull(), F.array(F.lit(NO_COLUMNS)))
-                        .otherwise(F.array(F.lit("## Columns"), F.lit("")))))
-    c = columns.join(e.select("project", "node_id", "slug"), ["project", "node_id"])
+def _ordered(arr_of_pos_lines: Column) -> Column:
+    """``array<struct<pos, lines>>`` → the lines, flattened in ``pos`` order."""
+    return F.flatten(F.transform(F.sort_array(arr_of_pos_lines), lambda x: x.getField("lines")))
+
+
+def column_lines(columns: DataFrame) -> Column:
+    """Lines of one documented column (expression over a ``columns`` row)."""
     cdesc = F.coalesce(F.col("description"), F.lit(""))
     desc_lines = F.transform(split_lines(cdesc), lambda l: F.when(py_strip(l) == "", F.lit("")).otherwise(l))
-    col_arr = F.concat(
+    return F.concat(
         F.array(F.concat(F.lit("### "), F.col("name"))),
         F.when(F.coalesce(F.col("data_type"), F.lit("")) != "",
                F.array(F.concat(F.lit("- Type: `"), F.col("data_type"), F.lit("`")))).otherwise(_empty()),
@@ -59,39 +42,59 @@ def entity_lines(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
         F.when(F.coalesce(F.size("tests"), F.lit(0)) > 0,
                F.array(F.concat(F.lit("- Tests: "), F.array_join("tests", ", ")))).otherwise(_empty()),
         F.array(F.lit("")))
-    parts.append(_lines(c, 2, F.col("pos"), col_arr))
-
-    # catalog section
-    parts.append(_lines(e.where(F.col("section").isNotNull()), 3, F.lit(0), F.array(F.col("section"))))
 
-    # parents
-    lin = lineage.join(e.select("project", "node_id", "slug"), ["project", "node_id"])
-    has_par = lin.select("project", "slug").distinct()
-    parts.append(_lines(has_par, 4, F.lit(-1), F.array(F.lit("## Parents"), F.lit(""))))
-    parts.append(_lines(lin, 4, F.col("pos"), F.array(F.concat(
-        F.lit("- `"), F.col("parent_name"), F.lit("` — "),
-        first_sentence_or(F.col("parent_description"), NO_DESCRIPTION)))))
-    parts.append(_lines(has_par, 4, F.lit(1 << 40), F.array(F.lit(""))))
 
-    # sample rows
+def entity_bodies(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
+                  sections: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """``(project, slug, body)`` per entity, sections in order: header,
+    description, columns, catalog section, parents, sample rows, SQL.
+
+    Each part is one aggregate per entity (lines with their position), joined
+    once to the entities; the body is then a single projection. Every group
+    holds one entity's metadata only."""
+    cols = columns.groupBy("project", "node_id").agg(
+        _ordered(F.collect_list(F.struct(F.col("pos"), column_lines(columns).alias("lines")))).alias("_cols"))
+    par_line = F.concat(F.lit("- `"), F.col("parent_name"), F.lit("` — "),
+                        first_sentence_or(F.col("parent_description"), NO_DESCRIPTION))
+    pars = lineage.groupBy("project", "node_id").agg(
+        _ordered(F.collect_list(F.struct(F.col("pos"), F.array(par_line).alias("lines")))).alias("_pars"))
+    e = (entities.join(cols, ["project", "node_id"], "left")
+         .join(pars, ["project", "node_id"], "left"))
     if samples is not None:
-        s = samples.join(e.select("project", "slug"), "slug")
-        heads = s.groupBy("project", "slug").agg(F.max("n_rows").alias("n"))
-        parts.append(_lines(heads, 5, F.lit(-1), F.array(
-            F.concat(F.lit("## Sample rows ("), F.col("n").cast("string"), F.lit(" rows, one line per column)")),
-            F.lit(""))))
-        parts.append(_lines(s, 5, F.col("col_pos"), F.array(F.col("line"))))
-        parts.append(_lines(heads, 5, F.lit(1 << 40), F.array(F.lit(""))))
-
-    # compiled SQL
-    sql = F.col("compiled_sql")
-    parts.append(_lines(e, 6, F.lit(0), F.when(F.coalesce(sql, F.lit("")) != "", F.array(
-        F.lit("## Compiled SQL"), F.lit(""), F.lit("```sql"), sql, F.lit("```"), F.lit(""))).otherwise(_empty())))
+        smp = samples.groupBy("slug").agg(
+            F.max("n_rows").alias("_n"),
+            _ordered(F.collect_list(F.struct(F.col("col_pos"), F.array("line").alias("lines")))).alias("_smp"))
+        e = e.join(smp, "slug", "left")
+    else:
+        e = e.withColumn("_n", F.lit(None).cast("int")).withColumn("_smp", _empty())
+    if sections is not None:
+        e = e.join(sections.select(F.col("table_slug").alias("slug"), F.col("kind").alias("_cat_kind"),
+                                   F.col("section").alias("_section")), "slug", "left")
+    else:
+        e = e.withColumn("_cat_kind", F.lit(None).cast("string")).withColumn("_section", F.lit(None).cast("string"))
 
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    label = F.when(F.col("_cat_kind").isNotNull(),
+                   F.concat(F.lit("source — "), F.col("_cat_kind"), F.lit(" catalog"))
+                   ).when(F.col("kind") == "model", F.lit("model")).otherwise(F.lit("source"))
+    desc = py_strip(F.coalesce(F.col("description"), F.lit("")))
+    sql = F.col("compiled_sql")
+    has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    lines = F.concat(
+        F.array(F.concat(F.lit("# `"), F.col("slug"), F.lit("` ("), label, F.lit(")")), F.lit("")),
+        F.when(desc != "", F.array(desc, F.lit(""))).otherwise(_empty()),
+        F.when(has("_cols"), F.concat(F.array(F.lit("## Columns"), F.lit("")), F.col("_cols")))
+        .otherwise(F.array(F.lit(NO_COLUMNS))),
+        F.when(F.col("_section").isNotNull(), F.array(F.col("_section"))).otherwise(_empty()),
+        F.when(has("_pars"), F.concat(F.array(F.lit("## Parents"), F.lit("")), F.col("_pars"), F.array(F.lit(""))))
+        .otherwise(_empty()),
+        F.when(has("_smp"), F.concat(
+            F.array(F.concat(F.lit("## Sample rows ("), F.col("_n").cast("string"),
+                             F.lit(" rows, one line per column)")), F.lit("")),
+            F.col("_smp"), F.array(F.lit("")))).otherwise(_empty()),
+        F.when(F.coalesce(sql, F.lit("")) != "", F.array(
+            F.lit("## Compiled SQL"), F.lit(""), F.lit("```sql"), sql, F.lit("```"), F.lit(""))).otherwise(_empty()))
+    body = F.concat(py_rstrip(F.array_join(lines, "\n")), F.lit("\n"))
+    return e.select("project", "slug", body.alias("body"))
 
 
 def join_lines(lines: DataFrame, keys=("project", "slug")) -> DataFrame:
@@ -170,7 +173,7 @@ def build_docs(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
                existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All entity documents (notes merged) and the index per project:
     ``(project, slug, body)`` each. ``entities`` should be deduplicated."""
-    docs = join_lines(entity_lines(entities, columns, lineage, sections, samples))
+    docs = entity_bodies(entities, columns, lineage, sections, samples)
     docs = merge_notes(docs, existing)
     index = join_lines(index_lines(entities))
     return docs, index

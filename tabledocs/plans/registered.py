@@ -27,7 +27,7 @@ from ..functions.fixed import (ALLOWED_FIRST_TOKENS, COMMENT_BLOCK, COMMENT_LINE
                                MUTATION_KEYWORDS)
 from ..session import TABLES
 from ..functions.strings import first_sentence
-from ..session import read_table, spread
+from ..session import read_table, shared_dir, spread
 from . import sql as S
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -244,13 +244,19 @@ def sample_transposed(spark, sf_dir):
 
 def docs_tables(spark, sf_dir):
     """One document per given table: columns from the schema, five masked and
-    scrubbed sample rows (first rows by the first column), notes block."""
+    scrubbed sample rows, notes block. Samples are a plain head (``limit``,
+    as the documented sample query is), so each table is read only as far as
+    its first rows, not scanned whole."""
     tables = {n: _t(spark, sf_dir, n) for n in TABLES}
     ents, cols = entities_from_tables(spark, tables)
-    longs = SM.samples_long({f"main.{n}": (df, [df.columns[0]]) for n, df in tables.items()})
+    longs = SM.samples_long({f"main.{n}": (df, None) for n, df in tables.items()})
     lineage = spark.createDataFrame([], "project string, node_id string, pos long, parent_id string, "
                                         "parent_name string, parent_description string")
-    docs, _ = D.build_docs(ents, cols, lineage, samples=SM.transposed_lines(longs))
+    shared_dir(spark)
+    # The sample lines are tiny: cutting their lineage keeps the document plan
+    # small (it no longer carries one branch per table).
+    lines = SM.transposed_lines(longs).checkpoint()
+    docs, _ = D.build_docs(ents, cols, lineage, samples=lines)
     return docs.select("slug", "body")
 
 

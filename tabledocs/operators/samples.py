@@ -16,6 +16,7 @@ from ..functions.fixed import (CELL_MAX_LEN, NULL_TEXT, PII_REDACTED, SAMPLE_CAC
                                SAMPLE_SIZE)
 from ..functions.rules import DEFAULT_RULES, ScrubRule, scrub
 from ..functions.strings import cut
+from ..session import shared_dir
 from .protect import pii_columns, pii_expr
 
 LONG_SCHEMA = "slug string, rn int, col_pos int, column_name string, value string"
@@ -87,7 +88,11 @@ def sample_long(df: DataFrame, slug: str, n: int = SAMPLE_SIZE, order_by: list[s
 def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int = SAMPLE_SIZE,
                  meta: dict | None = None, rules: tuple[ScrubRule, ...] = DEFAULT_RULES) -> DataFrame | None:
     """Head samples of many tables ``{slug: (df, order_by)}`` in one long
-    table; masking and scrubbing are applied once, after the union."""
+    table; masking and scrubbing are applied once, after the union.
+
+    The raw union (at most ``n`` rows per table) is checkpointed to the
+    shared folder first: otherwise the optimizer pushes the scrub
+    projection back into every branch and compiles it once per table."""
     raw = None
     for slug, (df, order_by) in tables.items():
         h = head(df, n, order_by)
@@ -95,7 +100,12 @@ def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int =
             continue
         lg = to_long(h, slug, order_by, pii_columns(df, (meta or {}).get(slug)))
         raw = lg if raw is None else raw.unionByName(lg)
-    return None if raw is None else render_long(raw, rules)
+    if raw is None:
+        return None
+    if len(tables) > 1:
+        shared_dir(raw.sparkSession)
+        raw = raw.checkpoint()
+    return render_long(raw, rules)
 
 
 def transposed_lines(long: DataFrame) -> DataFrame:

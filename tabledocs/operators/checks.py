@@ -131,17 +131,49 @@ def failure_count(test: DeclaredTest, tables: dict[str, DataFrame]) -> DataFrame
     return f.agg(F.coalesce(n, F.lit(0)).cast("long").alias("failures"))
 
 
+def _test_row(i: int, t: DeclaredTest, failures) -> list:
+    col = t.column if isinstance(t.column, str) else ",".join(t.column)
+    return [F.lit(i).alias("test_pos"), F.lit(t.table).alias("table_name"),
+            F.lit(col).alias("column_name"), F.lit(t.test).alias("test_name"),
+            F.lit(t.text).alias("test_text"), failures.cast("long").alias("failures")]
+
+
+def _row_test_counts(df: DataFrame, tests: list[tuple[int, DeclaredTest]]):
+    """Failing-row counts of row-local tests (not_null, accepted_values) on
+    one table as aggregate expressions, evaluated together in one scan."""
+    out = []
+    for i, t in tests:
+        c = F.col(t.column)
+        if t.test == "not_null":
+            bad = c.isNull()
+        else:
+            quote = t.kwargs.get("quote", True)
+            vals = [str(v) for v in t.kwargs["values"]] if quote else list(t.kwargs["values"])
+            bad = c.isNotNull() & ~(c.cast("string") if quote else c).isin(*vals)
+        out.append((i, t, F.count_if(bad)))
+    return out
+
+
 def run_tests(tests: list[DeclaredTest], tables: dict[str, DataFrame]) -> DataFrame:
     """One row per declared test: table, column, test text, failing rows and
-    status. The test list is metadata (driver side); each test is its own
-    distributed aggregate, unioned."""
-    out = None
+    status.
+
+    Row-local tests (not_null, accepted_values) on the same table share one
+    scan and one aggregate; unique and relationships tests are each their own
+    aggregate or join. The test list is metadata (driver side)."""
+    parts = []
+    by_table: dict[str, list] = {}
     for i, t in enumerate(tests):
-        col = t.column if isinstance(t.column, str) else ",".join(t.column)
-        row = failure_count(t, tables).select(
-            F.lit(i).alias("test_pos"), F.lit(t.table).alias("table_name"),
-            F.lit(col).alias("column_name"), F.lit(t.test).alias("test_name"),
-            F.lit(t.text).alias("test_text"), "failures",
-            F.when(F.col("failures") == 0, F.lit("pass")).otherwise(F.lit("fail")).alias("status"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        if t.test in ("not_null", "accepted_values"):
+            by_table.setdefault(t.table, []).append((i, t))
+        else:
+            parts.append(failure_count(t, tables).select(*_test_row(i, t, F.col("failures"))))
+    for table, ts in by_table.items():
+        counts = _row_test_counts(tables[table], ts)
+        agg = tables[table].agg(*[e.alias(f"f{i}") for i, _, e in counts])
+        rows = F.array(*[F.struct(*_test_row(i, t, F.col(f"f{i}"))) for i, t, _ in counts])
+        parts.append(agg.select(F.inline(rows)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("status", F.when(F.col("failures") == 0, F.lit("pass")).otherwise(F.lit("fail")))

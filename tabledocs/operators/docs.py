@@ -152,9 +152,22 @@ def write_docs(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     docs.write.mode(mode).parquet(path)
 
 
+def export_text(docs: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """Docs as text through Spark's writer and output committer (any Hadoop
+    file system; a retried task never leaves partial output): one folder per
+    slug, ``slug=<slug>/part-*.txt``, each holding that document's body."""
+    # the writer ends each row with a newline; bodies already end with one
+    body = F.regexp_replace("body", "\n\\z", "")
+    (docs.select("slug", body.alias("body")).repartition("slug").write.mode(mode)
+     .partitionBy("slug").text(folder))
+
+
 def export_markdown(docs: DataFrame, folder: str) -> None:
-    """Write one ``<slug>.md`` per row from the executors (the folder must be
-    shared storage on a cluster). Slugs with path separators are refused."""
+    """Write one ``<slug>.md`` per row from the executors, for a POSIX folder
+    mounted on every executor (shared storage; never a machine-local folder
+    on a cluster — use :func:`export_text` or :func:`write_docs` for object
+    stores). Rewriting a file is idempotent, so retried tasks are safe.
+    Slugs with path separators are refused."""
     import os
 
     def write(rows):

@@ -254,12 +254,6 @@ def json_attr(data: Column, attr: Column) -> Column:
     return F.call_function("get_json_object", data, F.concat(F.lit("$['"), attr, F.lit("']")))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only behind a size check; larger inputs keep a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def event_attributes(events: DataFrame, entries: DataFrame, name_col: str, data_col: str,
                      core_columns: list[str], head_limit: int | None = None,
                      max_catalog_rows: int = 100_000) -> DataFrame:

@@ -104,3 +104,11 @@ def test_export_markdown(spark, tmp_path):
     docs = spark.createDataFrame([("a.b", "x\n")], "slug string, body string")
     D.export_markdown(docs, str(tmp_path / "out"))
     assert (tmp_path / "out" / "a.b.md").read_text() == "x\n"
+
+
+def test_export_text(spark, tmp_path):
+    docs = spark.createDataFrame([("a.b", "x\ny\n"), ("c.d", "z\n")], "slug string, body string")
+    D.export_text(docs, str(tmp_path / "txt"))
+    import glob
+    got = "".join(open(f).read() for f in glob.glob(str(tmp_path / "txt" / "slug=a.b" / "part-*")))
+    assert got == "x\ny\n"

@@ -13,16 +13,17 @@ TABLES = (
     "conversations",
 )
 
-# Settings every job here relies on. ``runSQLOnFiles`` is off so guarded SQL
-# cannot reach a file path directly (parquet.`/path`).
+# Settings every job here relies on (safe to apply to a caller's session).
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.runSQLOnFiles": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Only for sessions built here: SQL cannot reach a file path directly
+# (parquet.`/path`). Guarded SQL refuses file paths in its plan check anyway.
+OWN_CONF = {"spark.sql.runSQLOnFiles": "false"}
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -34,7 +35,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g"))
-    for k, v in {**BASE_CONF, **(extra or {})}.items():
+    for k, v in {**BASE_CONF, **OWN_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,15 +44,71 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings that are safe to change on a live session."""
+    """Apply the runtime settings that are safe to change on a live session,
+    and make this package importable on the executors."""
     for k, v in BASE_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # static or locked conf: keep the cluster's value
             pass
+    ship_code(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def _package_zip() -> tuple[str, bytes]:
+    """This package as a zip (content-addressed name)."""
+    import hashlib
+    import io
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in sorted(os.walk(pkg)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, base))
+    data = buf.getvalue()
+    return f"tabledocs-{hashlib.sha256(data).hexdigest()[:16]}.zip", data
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Ship this package to the executors once per application, so Python
+    steps that run there (Arrow batches) can import it. The zip is written to
+    the shared folder and added with ``addPyFile``."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: ship as an artifact instead
+        sc = None
+    key = sc.applicationId if sc is not None else id(spark)
+    if key in _SHIPPED:
+        return
+    name, data = _package_zip()
+    folder = shared_dir(spark, "tabledocs/code")
+    path = f"{folder}/{name}"
+    if sc is None:
+        local = os.path.join(tempfile.mkdtemp(prefix="tabledocs-code-"), name)
+        with open(local, "wb") as fh:
+            fh.write(data)
+        spark.addArtifacts(local, pyfile=True)
+    else:
+        jvm = sc._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(hpath):
+            out = fs.create(hpath, True)
+            try:
+                out.write(bytearray(data))
+            finally:
+                out.close()
+        sc.addPyFile(fs.makeQualified(hpath).toString())
+    _SHIPPED.add(key)
+
+
 def is_local(spark: SparkSession) -> bool:
     master = spark.conf.get("spark.master", "") or ""
     return master.startswith("local")

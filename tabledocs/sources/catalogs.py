@@ -53,13 +53,15 @@ def _to_json_text(df: DataFrame) -> DataFrame:
 
 def catalogs_from_decls(spark: SparkSession, decls: list[CatalogDecl], inline: bool = False
                         ) -> DataFrame:
-    """Catalog rows ``(kind, title, table_slug, source, text)``. With
-    ``inline=True`` the ``source`` of each declaration is the text itself."""
+    """Catalog rows ``(decl_pos, kind, title, table_slug, source, text)`` with
+    ``text`` as JSON. With ``inline=True`` the ``source`` of each declaration
+    is the text itself (converted on the driver, where it already is)."""
     rows = []
     paths = []
     for i, d in enumerate(decls):
         if inline:
-            rows.append((i, d.kind, d.title, d.table or "", "<inline>", d.source))
+            # inline text is already on the driver: convert it here
+            rows.append((i, d.kind, d.title, d.table or "", "<inline>", _yaml_to_json(d.source)))
         elif not (os.path.exists(d.source) or "://" in d.source):
             log.warning("catalog source not found: %s — skipping", d.source)
         else:
@@ -72,9 +74,11 @@ def catalogs_from_decls(spark: SparkSession, decls: list[CatalogDecl], inline: b
             [(i, d.kind, d.title, d.table or "", "file:" + os.path.abspath(d.source)
               if "://" not in d.source else d.source) for i, d in paths],
             "decl_pos int, kind string, title string, table_slug string, path string")
-        df = df.unionByName(meta.join(files, "path").withColumnRenamed("path", "source")
-                            .select(*df.columns))
-    return _to_json_text(df)
+        found = meta.join(files, "path").withColumnRenamed("path", "source").select(*df.columns)
+        # JSON files parse as they are; YAML goes through the Arrow-batch step
+        is_json = F.lower(F.col("source")).endswith(".json")
+        df = df.unionByName(found.where(is_json)).unionByName(_to_json_text(found.where(~is_json)))
+    return df
 
 
 def catalog_entries(catalogs: DataFrame) -> DataFrame:

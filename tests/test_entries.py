@@ -130,3 +130,14 @@ def test_markdown_folder(spark, tmp_path):
     (tmp_path / "a.b.md").write_text("# a\nhello")
     (tmp_path / "notes.txt").write_text("skip")
     assert [(r.name, r.text) for r in read_markdown_folder(spark, str(tmp_path)).collect()] == [("a.b", "# a\nhello")]
+
+
+def test_catalog_json_file(spark, tmp_path):
+    import json
+    p = tmp_path / "flags.json"
+    p.write_text(json.dumps({"b": {"description": "second", "z": 1, "a": 2}, "a": {"description": "first"}}))
+    e = catalog_entries(catalogs_from_decls(spark, [CatalogDecl("flags", str(p), "t")]))
+    from pyspark.sql import functions as F
+    rows = e.orderBy("file_pos").select("name", F.map_keys("spec").alias("keys")).collect()
+    assert [r.name for r in rows] == ["b", "a"]
+    assert rows[0]["keys"] == ["description", "z", "a"]  # declared order kept

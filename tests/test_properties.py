@@ -1,0 +1,91 @@
+"""Property tests: Spark expressions against plain-Python models of the same
+rules, on generated inputs (Unicode digits and whitespace included). Each
+example is a batch of strings evaluated in one Spark job."""
+import hashlib
+import json
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tabledocs.functions import fixed
+from tabledocs.functions.guard import guard_reason, sql_log_hash
+from tabledocs.functions.rules import DEFAULT_RULES, scrub
+from tabledocs.functions.strings import collapse_ws, py_strip, split_lines
+from tabledocs.operators.samples import names_hash
+
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+SCRUB_ALPHABET = "ab zé_.-+()@0123456789١٢٣\t\n "
+TEXTS = st.lists(st.text(alphabet=SCRUB_ALPHABET, max_size=40), min_size=1, max_size=60)
+
+
+def _eval(spark, values, expr):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r.r for r in df.select("i", expr(F.col("v")).alias("r")).orderBy("i").collect()]
+
+
+def _py_scrub(text):
+    for r in DEFAULT_RULES:
+        text = re.sub(r.pattern, r.replacement, text)
+    return text
+
+
+@SETTINGS
+@given(texts=TEXTS)
+def test_scrub_matches_python(spark, texts):
+    assert _eval(spark, texts, lambda c: scrub(c)) == [_py_scrub(t) for t in texts]
+
+
+WS_ALPHABET = "ab \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85   　"
+
+
+@SETTINGS
+@given(texts=st.lists(st.text(alphabet=WS_ALPHABET, max_size=20), min_size=1, max_size=60))
+def test_whitespace_helpers_match_python(spark, texts):
+    assert _eval(spark, texts, py_strip) == [t.strip() for t in texts]
+    assert _eval(spark, texts, collapse_ws) == [" ".join(t.split()) for t in texts]
+    assert _eval(spark, texts, split_lines) == [t.splitlines() for t in texts]
+    want = [hashlib.sha256(" ".join(t.split()).encode()).hexdigest()[:12] for t in texts]
+    assert _eval(spark, texts, sql_log_hash) == want
+
+
+def _py_guard(sql):
+    """Plain-Python model of the read-only rules."""
+    if sql is None or not sql.strip():
+        return fixed.REASON_EMPTY
+    s = re.sub(fixed.COMMENT_LINE, "", re.sub(fixed.COMMENT_BLOCK, "", sql)).strip()
+    if s.endswith(";"):
+        s = s[:-1].rstrip()
+    if ";" in s:
+        return fixed.REASON_MULTI
+    m = re.search(fixed.IDENTIFIER, s)
+    if m is None:
+        return fixed.REASON_NO_KEYWORD
+    first = m.group(0).upper()
+    if first not in fixed.ALLOWED_FIRST_TOKENS:
+        return fixed.REASON_FIRST_TOKEN.format(first)
+    for tok in re.findall(fixed.IDENTIFIER, s.upper()):
+        if tok in fixed.MUTATION_KEYWORDS:
+            return fixed.REASON_KEYWORD.format(tok)
+    return None
+
+
+SQL_PIECES = ["SELECT", "select", "WITH", "x", "1", "DROP", "delete", "updated_at", ";", "--", "/*",
+              "*/", "\n", " ", "'", "(", ")", "é", "\t", "set", "from t"]
+SQLS = st.lists(st.lists(st.sampled_from(SQL_PIECES), max_size=10).map(" ".join), min_size=1, max_size=60)
+
+
+@SETTINGS
+@given(sqls=SQLS)
+def test_guard_matches_python_model(spark, sqls):
+    assert _eval(spark, sqls, guard_reason) == [_py_guard(s) for s in sqls]
+
+
+@SETTINGS
+@given(names=st.lists(st.text(alphabet="abz_\"\\\n\té😀\x7f", max_size=6), max_size=8))
+def test_names_hash_matches_json(spark, names):
+    df = spark.createDataFrame([(names,)], "n array<string>")
+    got = df.select(names_hash(F.col("n")).alias("h")).first().h
+    assert got == "sha256:" + hashlib.sha256(json.dumps(sorted(set(names))).encode()).hexdigest()

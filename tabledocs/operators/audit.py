@@ -88,3 +88,12 @@ def rollup(audit: DataFrame, exact: bool = False) -> DataFrame:
         F.avg(F.when(ok, F.col("cache_hit").cast("double"))).alias("cache_hit_share"),
         F.sum(F.when(ok, F.col("row_count"))).alias("rows"),
         p50.alias("p50_ms"), p95.alias("p95_ms"))
+
+
+def classify_rollup(queries: DataFrame, sql_col: str = "sql") -> DataFrame:
+    """A table of SQL texts rolled up per log hash: how many calls, how many
+    the guard refuses. Partial counts per task before the shuffle, so a hash
+    repeated a million times costs one row per task."""
+    c = classify_queries(queries, sql_col)
+    return c.groupBy("sql_hash").agg(F.count(F.lit(1)).alias("calls"),
+                                     F.count_if(F.col("reason").isNotNull()).alias("rejected"))

@@ -22,6 +22,7 @@ from ..sources.catalogs import CatalogDecl, catalog_entries, catalogs_from_decls
 from ..sources.manifest import entities_from_tables
 from ..operators import samples as SM
 from ..operators import docs as D
+from ..operators import audit as A
 from ..functions.guard import guard_reason, sql_fingerprint, sql_log_hash
 from ..functions.fixed import (ALLOWED_FIRST_TOKENS, COMMENT_BLOCK, COMMENT_LINE, IDENTIFIER,
                                MUTATION_KEYWORDS)
@@ -242,6 +243,11 @@ def sample_transposed(spark, sf_dir):
     return SM.transposed_lines(SM.sample_long(c, "main.customer", order_by=["c_custkey"]))
 
 
+def sample_cells(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").withColumnRenamed("c_name", "full_name").select(*SAMPLE_COLUMNS)
+    return SM.render_cells(SM.head(c, 5, ["c_custkey"]))
+
+
 def docs_tables(spark, sf_dir):
     """One document per given table: columns from the schema, five masked and
     scrubbed sample rows, notes block. Samples are a plain head (``limit``,
@@ -263,6 +269,14 @@ def sql_guard(spark, sf_dir):
     return c.select("conv_id", "turn", guard_reason(F.col("text")).alias("reason"))
 
 
+def query_log_rollup(spark, sf_dir):
+    """Every document and conversation text treated as a submitted query:
+    guard outcome and log hash, rolled up per hash."""
+    texts = (_t(spark, sf_dir, "documents").select(F.col("text").alias("sql"))
+             .unionByName(_t(spark, sf_dir, "conversations").select(F.col("text").alias("sql"))))
+    return A.classify_rollup(spread(texts), "sql")
+
+
 FINGERPRINT_DAY = "2024-01-01"
 
 
@@ -316,6 +330,21 @@ def _ddb_guard(col: str, table: str, keys: str) -> str:
         f"ELSE NULL END AS reason FROM c")
 
 
+def _ddb_sample_cells() -> str:
+    cols = ", ".join("'<pii>' AS full_name" if c == "full_name" else f"{_ddb_cell(c)} AS {c}"
+                     for c in SAMPLE_COLUMNS)
+    return (f"SELECT {cols} FROM (SELECT c_custkey, c_name AS full_name, c_nationkey, c_acctbal, "
+            f"c_mktsegment FROM customer ORDER BY c_custkey LIMIT 5)")
+
+
+def _ddb_query_log_rollup() -> str:
+    src = ("(SELECT text FROM documents UNION ALL SELECT text FROM conversations) q")
+    collapsed = f"trim(regexp_replace(text, {_sql_str(PY_WS_CLASS + '+')}, ' ', 'g'))"
+    g = _ddb_guard("text", f"(SELECT text, left(sha256({collapsed}), 12) AS sql_hash FROM {src})", "sql_hash")
+    return (f"SELECT sql_hash, count(*) AS calls, CAST(count(reason) AS BIGINT) AS rejected "
+            f"FROM ({g}) GROUP BY sql_hash")
+
+
 def _ddb_hashes() -> str:
     collapsed = f"trim(regexp_replace(text, {_sql_str(PY_WS_CLASS + '+')}, ' ', 'g'))"
     return (f"SELECT conv_id, turn, left(sha256({collapsed}), 12) AS sql_hash, "
@@ -409,6 +438,8 @@ def jobs() -> dict[str, Job]:
         "sql_guard": sql_guard,
         "sql_hashes": sql_hashes,
         "json_rows": json_rows,
+        "sample_cells": sample_cells,
+        "query_log_rollup": query_log_rollup,
     }
 
 
@@ -474,4 +505,6 @@ def oracles() -> dict[str, str]:
         "sql_guard": _ddb_guard("text", "conversations", "conv_id, turn"),
         "sql_hashes": _ddb_hashes(),
         "json_rows": _ddb_json_rows(),
+        "sample_cells": _ddb_sample_cells(),
+        "query_log_rollup": _ddb_query_log_rollup(),
     }

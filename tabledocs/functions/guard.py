@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .fixed import (ALLOWED_FIRST_TOKENS, COMMENT_BLOCK, COMMENT_LINE, IDENTIFIER,
                     LOG_HASH_HEX, MUTATION_KEYWORDS, REASON_EMPTY, REASON_FIRST_TOKEN,
                     REASON_KEYWORD, REASON_MULTI, REASON_NO_KEYWORD, SQL_CACHE_HEX)
-from .strings import collapse_ws, py_rstrip, py_strip
+from .strings import collapse_ws, let, py_rstrip, py_strip
 
 
 def _c(c) -> Column:
@@ -30,27 +30,32 @@ def guard_reason(c) -> Column:
 
     Steps: empty check; strip comments and whitespace; drop one trailing
     ``;`` and refuse any other; the first identifier must be SELECT or WITH;
-    no identifier anywhere may be a mutation keyword.
+    no identifier anywhere may be a mutation keyword. The stripped text is
+    computed once; the keyword scan runs only when the first token passes.
     """
     sql = _c(c)
-    stripped0 = py_strip(strip_comments(sql))
-    stripped = F.when(F.endswith(stripped0, F.lit(";")),
-                      py_rstrip(F.substring(stripped0, F.lit(1), F.length(stripped0) - 1))
-                      ).otherwise(stripped0)
-    first = F.regexp_extract(stripped, IDENTIFIER, 0)
-    first_up = F.upper(first)
-    tokens = F.regexp_extract_all(F.upper(stripped), F.lit(IDENTIFIER), F.lit(0))
     kw = F.array(*[F.lit(k) for k in MUTATION_KEYWORDS])
-    bad = F.get(F.filter(tokens, lambda t: F.array_contains(kw, t)), 0)
-    return (F.when(sql.isNull() | (py_strip(sql) == ""), F.lit(REASON_EMPTY))
-            .when(F.contains(stripped, F.lit(";")), F.lit(REASON_MULTI))
-            .when(first == "", F.lit(REASON_NO_KEYWORD))
-            .when(~first_up.isin(*ALLOWED_FIRST_TOKENS),
-                  F.concat(F.lit(REASON_FIRST_TOKEN.split("{}")[0]), first_up,
-                           F.lit(REASON_FIRST_TOKEN.split("{}")[1])))
-            .when(bad.isNotNull(),
-                  F.concat(F.lit(REASON_KEYWORD.split("{}")[0]), bad))
-            .otherwise(F.lit(None).cast("string")))
+    head, tail = REASON_FIRST_TOKEN.split("{}")
+
+    def decide(stripped: Column) -> Column:
+        first = F.regexp_extract(stripped, IDENTIFIER, 0)
+        first_up = F.upper(first)
+        tokens = F.regexp_extract_all(F.upper(stripped), F.lit(IDENTIFIER), F.lit(0))
+        bad = F.get(F.filter(tokens, lambda t: F.array_contains(kw, t)), 0)
+        return (F.when(F.contains(stripped, F.lit(";")), F.lit(REASON_MULTI))
+                .when(first == "", F.lit(REASON_NO_KEYWORD))
+                .when(~first_up.isin(*ALLOWED_FIRST_TOKENS), F.concat(F.lit(head), first_up, F.lit(tail)))
+                .when(bad.isNotNull(), F.concat(F.lit(REASON_KEYWORD.split("{}")[0]), bad))
+                .otherwise(F.lit(None).cast("string")))
+
+    def drop_semicolon(s0: Column) -> Column:
+        return F.when(F.endswith(s0, F.lit(";")),
+                      py_rstrip(F.substring(s0, F.lit(1), F.length(s0) - 1))).otherwise(s0)
+
+    stripped = let(py_strip(strip_comments(sql)), drop_semicolon)
+    reason = let(stripped, decide)
+    # Only a blank raw text is "empty"; one made blank by comments has no keyword.
+    return F.when(sql.isNull() | (py_strip(sql) == ""), F.lit(REASON_EMPTY)).otherwise(reason)
 
 
 def sql_log_hash(c) -> Column:

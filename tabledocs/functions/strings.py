@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import (CELL_MAX_LEN, ELLIPSIS, FILE_LINE_BREAK, NULL_TEXT, PY_WS_CLASS,
+from .fixed import (CELL_MAX_LEN, ELLIPSIS, FILE_LINE_BREAK, NULL_TEXT, PY_WS_CHARS, PY_WS_CLASS,
                     SPLITLINES_BREAK, VALUE_MAX_LEN)
 
 
@@ -19,12 +19,20 @@ def _c(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+\\z", "")
+    """``str.strip()``: remove leading and trailing Unicode whitespace (a
+    character-set trim, no regex)."""
+    return F.btrim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def py_rstrip(c) -> Column:
-    return F.regexp_replace(_c(c), f"{PY_WS_CLASS}+\\z", "")
+    return F.rtrim(_c(c), F.lit(PY_WS_CHARS))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    ``transform``): expressions used in several CASE branches are otherwise
+    recomputed per branch."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def collapse_ws(c) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.fixed import (INDEX_FILE, PY_WS_CLASS, SEARCH_MAX_RESULTS, SEARCH_MAX_SNIPPETS,
                                SEARCH_SNIPPET_MAX_LEN, SUMMARY_MAX_LEN)
-from ..functions.strings import cut, file_lines, py_strip, split_lines
+from ..functions.strings import cut, file_lines, let, py_strip, split_lines
 from ..session import spread
 
 # Above this many keywords one automaton pass per text beats one filter per keyword.
@@ -114,16 +114,20 @@ def _batch_projected(corpus: DataFrame, needles: list[str]) -> DataFrame:
         for k in needles])
     lines = F.transform(split_lines(F.col("text")),
                         lambda l: F.struct(l.alias("raw"), F.lower(l).alias("low")))
-    low = F.lower(F.col("text"))
-    any_kw = F.lit(False)
-    for k in needles:
-        any_kw = any_kw | F.contains(low, F.lit(k))
-    return (corpus.where(any_kw)
-            .select("name", "text", lines.alias("lines"))
-            .select("name", "text", F.inline(per_kw))
+
+    def any_keyword(low: Column) -> Column:
+        out = F.lit(False)
+        for k in needles:
+            out = out | F.contains(low, F.lit(k))
+        return out
+
+    # The text is lowered once for the filter; lines and the summary are
+    # computed once per document, before one row per keyword is emitted.
+    return (corpus.where(let(F.lower(F.col("text")), any_keyword))
+            .select("name", lines.alias("lines"), summary_line("text").alias("description"))
+            .select("name", "description", F.inline(per_kw))
             .where(F.size("m") > 0)
-            .select("keyword", "name", summary_line("text").alias("description"),
-                    F.size("m").alias("match_count"),
+            .select("keyword", "name", "description", F.size("m").alias("match_count"),
                     _snippets(F.transform("m", lambda x: x.getField("raw"))).alias("snippets")))
 
 

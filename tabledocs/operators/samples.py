@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import (CELL_MAX_LEN, NULL_TEXT, PII_REDACTED, SAMPLE_CACHE_VERSION,
-                               SAMPLE_SIZE)
+from ..functions.fixed import PII_REDACTED, SAMPLE_CACHE_VERSION, SAMPLE_SIZE
 from ..functions.rules import DEFAULT_RULES, ScrubRule, scrub
-from ..functions.strings import cut
+from ..functions.strings import cell
 from ..session import shared_dir
 from .protect import pii_columns, pii_expr
 
@@ -35,8 +34,7 @@ def head(df: DataFrame, n: int = SAMPLE_SIZE, order_by: list[str] | None = None)
 def cell_text(c: Column, rules: tuple[ScrubRule, ...] = DEFAULT_RULES) -> Column:
     """Sample cell: null → ``NULL``; ``|`` escaped, newline → space; scrubbed
     on the whole value, then cut to 80 characters with an ellipsis."""
-    s = F.replace(F.replace(c.cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    return F.when(c.isNull(), F.lit(NULL_TEXT)).otherwise(cut(scrub(s, rules), CELL_MAX_LEN))
+    return cell(c, lambda s: scrub(s, rules))
 
 
 def render_cells(df: DataFrame, meta: dict | None = None, rules: tuple[ScrubRule, ...] = DEFAULT_RULES,

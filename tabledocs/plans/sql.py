@@ -142,7 +142,6 @@ def execute(spark: SparkSession, sql: str, max_rows: int = 10_000, cache=None,
             log=None) -> QueryResult:
     """Structured result of a guarded query. Rows brought to the driver are
     capped at ``max_rows`` (the result is a report; the cap is its feature)."""
-    from ..functions.guard import sql_log_hash  # noqa: F401 (used via log)
     started = time.perf_counter()
     try:
         df, hit = run_sql(spark, sql, use_cache=cache is not None, cache=cache)

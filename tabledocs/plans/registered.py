@@ -52,6 +52,17 @@ GUARDED_SQL = (
 )
 
 
+MARKDOWN_SQL = ("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders "
+                "GROUP BY o_orderpriority, o_orderstatus")
+
+
+def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guarded query's result as a left-justified markdown table (lines)."""
+    _t(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    df, _ = S.run_sql(spark, MARKDOWN_SQL)
+    return S.markdown_table_lines(df).select("line")
+
+
 def guarded_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     _t(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
     df, _ = S.run_sql(spark, GUARDED_SQL)
@@ -345,6 +356,21 @@ def _ddb_query_log_rollup() -> str:
             f"FROM ({g}) GROUP BY sql_hash")
 
 
+def _ddb_markdown_table() -> str:
+    names = ["o_orderpriority", "o_orderstatus", "n"]
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NULL') AS c{i}" for i, c in enumerate(names))
+    widths = ", ".join(f"greatest({len(c)}, max(length(c{i}))) AS w{i}" for i, c in enumerate(names))
+
+    def row(parts):
+        return "'| ' || " + " || ' | ' || ".join(parts) + " || ' |'"
+    head = row([f"rpad('{c}', CAST(w{i} AS INTEGER), ' ')" for i, c in enumerate(names)])
+    rule = row([f"repeat('-', CAST(w{i} AS INTEGER))" for i in range(len(names))])
+    body = row([f"rpad(c{i}, CAST(w{i} AS INTEGER), ' ')" for i in range(len(names))])
+    return (f"WITH r AS ({MARKDOWN_SQL}), c AS (SELECT {cells} FROM r), w AS (SELECT {widths} FROM c) "
+            f"SELECT {head} AS line FROM w UNION ALL SELECT {rule} FROM w "
+            f"UNION ALL SELECT {body} FROM c, w")
+
+
 def _ddb_hashes() -> str:
     collapsed = f"trim(regexp_replace(text, {_sql_str(PY_WS_CLASS + '+')}, ' ', 'g'))"
     return (f"SELECT conv_id, turn, left(sha256({collapsed}), 12) AS sql_hash, "
@@ -440,6 +466,7 @@ def jobs() -> dict[str, Job]:
         "json_rows": json_rows,
         "sample_cells": sample_cells,
         "query_log_rollup": query_log_rollup,
+        "markdown_table": markdown_table,
     }
 
 
@@ -507,4 +534,5 @@ def oracles() -> dict[str, str]:
         "json_rows": _ddb_json_rows(),
         "sample_cells": _ddb_sample_cells(),
         "query_log_rollup": _ddb_query_log_rollup(),
+        "markdown_table": _ddb_markdown_table(),
     }

@@ -97,3 +97,34 @@ def classify_rollup(queries: DataFrame, sql_col: str = "sql") -> DataFrame:
     c = classify_queries(queries, sql_col)
     return c.groupBy("sql_hash").agg(F.count(F.lit(1)).alias("calls"),
                                      F.count_if(F.col("reason").isNotNull()).alias("rejected"))
+
+
+class EventLog:
+    """Events of guarded SQL calls (``execute(..., log=EventLog(spark))``).
+
+    Events are kept on the driver only until ``flush``; one event per call,
+    so the buffer is bounded by the calls made. ``flush`` turns them into an
+    ``AUDIT_SCHEMA`` table (the SQL is hashed by the same expression as the
+    log hash) and appends it to ``path`` when given (a shared folder)."""
+
+    def __init__(self, spark, path: str | None = None):
+        self.spark = spark
+        self.path = path
+        self._events: list[dict] = []
+
+    def event(self, kind: str, **fields) -> None:
+        import time
+        self._events.append({"ts": time.time(), "event": kind, **fields})
+
+    def flush(self) -> DataFrame:
+        rows = [(e["ts"], e["event"], e.get("tool"), e.get("sql"), e.get("reason"), e.get("row_count"),
+                 e.get("cache_hit"), e.get("elapsed_ms")) for e in self._events]
+        self._events = []
+        df = self.spark.createDataFrame(
+            rows, "ts double, event string, tool string, sql string, reason string, row_count bigint, "
+                  "cache_hit boolean, elapsed_ms bigint")
+        out = df.select("ts", "event", "tool", sql_log_hash(F.col("sql")).alias("sql_hash"), "reason",
+                        "row_count", "cache_hit", "elapsed_ms")
+        if self.path:
+            out.write.mode("append").parquet(self.path)
+        return out

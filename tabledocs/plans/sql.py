@@ -30,6 +30,8 @@ _REFUSED_NODE_WORDS = ("Insert", "Command", "Statement", "ScriptTransformation",
                        "SetVariable", "Call")
 # Functions that reach outside SQL (run JVM methods) are refused by name.
 _REFUSED_FUNCTIONS = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(", re.IGNORECASE)
+# Without a parsed plan (Spark Connect): scripts and file paths, lexically.
+_REFUSED_LEXICAL = re.compile(r"\bTRANSFORM\s*\(.*\bUSING\b|`[^`]*[/:][^`]*`", re.IGNORECASE | re.DOTALL)
 
 
 def guard_text(spark: SparkSession, sql: str) -> str | None:
@@ -63,7 +65,9 @@ def check_plan(spark: SparkSession, sql: str) -> None:
     if _REFUSED_FUNCTIONS.search(sql):
         raise ReadOnlyViolation("functions that call JVM methods are not allowed")
     jss = getattr(spark, "_jsparkSession", None)
-    if jss is None:  # Spark Connect: guard + single-statement parse only
+    if jss is None:  # Spark Connect: guard, lexical refusals, single-statement parse
+        if _REFUSED_LEXICAL.search(sql):
+            raise ReadOnlyViolation("scripts and file paths are not allowed")
         return
     try:
         plan = jss.sessionState().sqlParser().parsePlan(sql)

@@ -112,3 +112,27 @@ def test_register_folder_missing(spark):
     import pytest
     with pytest.raises(FileNotFoundError):
         register_folder(spark, "/tmp/no-such-folder-xyz")
+
+
+def test_event_log_from_execute(spark, tmp_path):
+    import pytest
+    from tabledocs.plans.sql import ReadOnlyViolation, execute
+    log = A.EventLog(spark, str(tmp_path / "audit"))
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("t_one")
+    execute(spark, "SELECT a FROM t_one", log=log)
+    with pytest.raises(ReadOnlyViolation):
+        execute(spark, "DROP TABLE t_one", log=log)
+    out = log.flush()
+    rows = {r.event: r for r in out.collect()}
+    assert rows["tool_call_ok"].row_count == 1 and rows["tool_call_ok"].cache_hit is False
+    assert "DROP" in rows["tool_call_rejected"].reason and len(rows["tool_call_rejected"].sql_hash) == 12
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+    r = {x.sql_hash: x for x in A.rollup(out).collect()}
+    assert sum(x.calls for x in r.values()) == 2
+
+
+def test_connect_lexical_refusals():
+    from tabledocs.plans.sql import _REFUSED_LEXICAL
+    assert _REFUSED_LEXICAL.search("SELECT TRANSFORM(a) USING 'cat' FROM t")
+    assert _REFUSED_LEXICAL.search("SELECT * FROM parquet.`/data/x`")
+    assert not _REFUSED_LEXICAL.search("SELECT `my col` FROM t")

@@ -54,3 +54,16 @@ def test_generate_no_samples(spark, cat):
     assert {r.action for r in g.actions.collect()} == {"none"}
     assert all("## Sample rows" not in r.body for r in g.docs.collect())
     assert g.index.count() == 1
+
+
+def test_generate_inlines_catalog_section(spark, cat):
+    from tabledocs.operators import entries as N
+    from tabledocs.sources.catalogs import CatalogDecl, catalog_entries, catalogs_from_decls
+    ev = "gadget-made:\n  description: A gadget is made.\n  attributes:\n    shade: Shade chosen.\n"
+    e = catalog_entries(catalogs_from_decls(spark, [CatalogDecl("events", ev, "public.raw_event")], inline=True))
+    sections = N.section_text(N.section_lines(e, {"events": N.events_kind()}))
+    g = generate(spark, cat, None, sections=sections)
+    body = {r.slug: r.body for r in g.docs.collect()}["public.raw_event"]
+    assert body.startswith("# `public.raw_event` (source — events catalog)\n\nEvent stream.\n\n## Columns\n")
+    assert "### data\n- Type: `super`\n\nJSON.\n\n\n## Events\n\n" in body
+    assert "where event = 'gadget-made'\nlimit 5\n```\n\n" + MANUAL_MARKER in body

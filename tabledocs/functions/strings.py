@@ -79,15 +79,25 @@ def cell(c, scrub=None) -> Column:
     return F.when(c.isNull(), F.lit(NULL_TEXT)).otherwise(cut(s, CELL_MAX_LEN))
 
 
+# A dot followed by whitespace and then more text: it becomes ". " once the
+# whitespace is collapsed (a dot followed only by trailing whitespace does not).
+_DOT_SPACE = "\\.(?=" + PY_WS_CLASS + "+[^" + PY_WS_CLASS[1:-1] + "])"
+
+
 def first_sentence(c) -> Column:
     """First sentence of a description: collapse whitespace, cut after the
-    first ``". "``, else after the first ``"."``, else keep everything."""
-    t = collapse_ws(F.coalesce(_c(c), F.lit("")))
-    i_dot_space = F.instr(t, ". ")
+    first ``". "``, else after the first ``"."``, else keep everything.
+
+    The boundary is found in the raw text (the first dot that collapsing
+    turns into ``". "``, else the first dot), and whitespace is collapsed up
+    to it only. Collapsing commutes with taking that leading part, so the
+    result equals collapsing the whole text first, without rewriting it."""
+    t = F.coalesce(_c(c), F.lit(""))
+    i_dot_space = F.regexp_instr(t, F.lit(_DOT_SPACE))
     i_dot = F.instr(t, ".")
-    return (F.when(i_dot_space > 0, F.substring(t, F.lit(1), i_dot_space))
-            .when(i_dot > 0, F.substring(t, F.lit(1), i_dot))
-            .otherwise(t))
+    return (F.when(i_dot_space > 0, collapse_ws(F.substring(t, F.lit(1), i_dot_space)))
+            .when(i_dot > 0, collapse_ws(F.substring(t, F.lit(1), i_dot)))
+            .otherwise(collapse_ws(t)))
 
 
 def first_sentence_or(c, fallback: str) -> Column:

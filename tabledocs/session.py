@@ -51,7 +51,11 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(k, v)
         except Exception:  # static or locked conf: keep the cluster's value
             pass
-    ship_code(spark)
+    try:
+        ship_code(spark)
+    except Exception as e:  # workers may import the package another way (PYTHONPATH)
+        import logging
+        logging.getLogger(__name__).warning("could not ship tabledocs to executors: %r", e)
     return spark
 
 

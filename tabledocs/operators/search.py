@@ -21,6 +21,9 @@ from ..session import spread
 
 # Above this many keywords one automaton pass per text beats one filter per keyword.
 _PROJECTED_KEYWORDS_MAX = 64
+# Keyword bytes shipped with each task for one automaton; longer lists are
+# split into several automata, each its own pass over the corpus.
+AUTOMATON_BYTES_MAX = 32 * 1024 * 1024
 
 
 def as_corpus(df: DataFrame, name_col: str, text_col: str) -> DataFrame:
@@ -177,6 +180,20 @@ def _batch_automaton(corpus: DataFrame, needles: list[str]) -> DataFrame:
                           _snippets(F.transform("ls", lambda x: x.getField("line"))).alias("snippets"))
 
 
+def _chunks_by_bytes(words: list[str], limit: int) -> list[list[str]]:
+    out, cur, size = [], [], 0
+    for w in words:
+        n = len(w.encode("utf-8")) + 16
+        if cur and size + n > limit:
+            out.append(cur)
+            cur, size = [], 0
+        cur.append(w)
+        size += n
+    if cur:
+        out.append(cur)
+    return out
+
+
 def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None = SEARCH_MAX_RESULTS
                  ) -> DataFrame:
     """Many keywords over a corpus: ``(keyword, name, description, match_count,
@@ -186,7 +203,10 @@ def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None
     if len(needles) <= _PROJECTED_KEYWORDS_MAX:
         hits = _batch_projected(corpus, needles)
     else:
-        hits = _batch_automaton(corpus, needles)
+        hits = None
+        for chunk in _chunks_by_bytes(needles, AUTOMATON_BYTES_MAX):
+            part = _batch_automaton(corpus, chunk)
+            hits = part if hits is None else hits.unionByName(part)
     if max_results is None:
         return hits
     w = Window.partitionBy("keyword").orderBy("name")

@@ -98,3 +98,14 @@ def test_first_sentence(spark):
 def test_split_lines_like_python(spark):
     for text in ["a\nb", "a\n", "", "\n", "a\r\nb\rc\x0bd\x1ce f", "a\n\n"]:
         assert one(spark, split_lines, text) == text.splitlines()
+
+
+def test_automaton_chunks_equal_one_pass(spark, monkeypatch):
+    docs = Q.as_corpus(spark.read.parquet(f"{SF01}/documents.parquet"), "doc_id", "text")
+    kws = [f"zz{i}" for i in range(70)] + ["thou", "eau", "ungs"]
+    one = Q.search_batch(docs, kws, max_results=None)
+    monkeypatch.setattr(Q, "AUTOMATON_BYTES_MAX", 200)  # forces several automata
+    assert len(Q._chunks_by_bytes(sorted(kws), 200)) > 1
+    many = Q.search_batch(docs, kws, max_results=None)
+    key = lambda r: (r.keyword, r.name, r.match_count, tuple(r.snippets))
+    assert sorted(map(key, one.collect())) == sorted(map(key, many.collect()))

@@ -165,7 +165,10 @@ def _batch_automaton(corpus: DataFrame, needles: list[str]) -> DataFrame:
                         out["description"].append(desc)
                         out["line_no"].append(no)
                         out["line"].append(line)
-            yield pd.DataFrame(out)
+            if out["keyword"]:  # an empty frame has no column types for Arrow
+                frame = pd.DataFrame(out)
+                frame["line_no"] = frame["line_no"].astype("int32")
+                yield frame
 
     # The summary is computed JVM-side before the Python step and carried
     # through, so no join back to the corpus is needed.

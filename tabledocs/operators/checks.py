@@ -131,6 +131,10 @@ def failure_count(test: DeclaredTest, tables: dict[str, DataFrame]) -> DataFrame
     return f.agg(F.coalesce(n, F.lit(0)).cast("long").alias("failures"))
 
 
+RESULT_SCHEMA = ("test_pos int, table_name string, column_name string, test_name string, "
+                 "test_text string, failures bigint, status string")
+
+
 def _test_row(i: int, t: DeclaredTest, failures) -> list:
     col = t.column if isinstance(t.column, str) else ",".join(t.column)
     return [F.lit(i).alias("test_pos"), F.lit(t.table).alias("table_name"),
@@ -173,6 +177,11 @@ def run_tests(tests: list[DeclaredTest], tables: dict[str, DataFrame]) -> DataFr
         agg = tables[table].agg(*[e.alias(f"f{i}") for i, _, e in counts])
         rows = F.array(*[F.struct(*_test_row(i, t, F.col(f"f{i}"))) for i, t, _ in counts])
         parts.append(agg.select(F.inline(rows)))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession if tables else None
+        if spark is None:
+            raise ValueError("no declared tests and no tables")
+        return spark.createDataFrame([], RESULT_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

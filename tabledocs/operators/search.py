@@ -203,6 +203,8 @@ def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None
     snippets)``; per keyword the first ``max_results`` documents by name
     (``None`` keeps all hits)."""
     needles = sorted({_needle(k) for k in keywords})
+    if not needles:
+        raise ValueError("`keywords` must hold at least one non-empty keyword.")
     if len(needles) <= _PROJECTED_KEYWORDS_MAX:
         hits = _batch_projected(corpus, needles)
     else:

@@ -48,3 +48,18 @@ def test_run_tests_summary(spark):
     rows = C.run_tests(tests, tables).orderBy("test_pos").collect()
     assert [r.status for r in rows] == ["pass", "fail", "pass"]
     assert rows[1].test_text == "accepted_values(values=[O, F])"
+
+
+def test_no_tests_gives_empty_report(spark):
+    out = C.run_tests([], {"orders": t(spark, "orders")})
+    assert out.count() == 0 and "status" in out.columns
+
+
+def test_empty_inputs(spark):
+    from tabledocs.operators.protect import pii_scan
+    empty = spark.createDataFrame([], "id long, text string")
+    rows = pii_scan(empty, "e", ["text"]).collect()
+    assert {(r.rule, r.rows_total, r.rows_matched, r.match_count) for r in rows} == \
+        {(n, 0, 0, 0) for n in ("email", "ip", "phone_intl", "phone_na")}
+    assert C.failing_unique(empty, "text").count() == 0
+    assert C.failing_relationships(empty, "id", empty, "id").count() == 0

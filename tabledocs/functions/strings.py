@@ -103,3 +103,16 @@ def first_sentence(c) -> Column:
 def first_sentence_or(c, fallback: str) -> Column:
     s = first_sentence(c)
     return F.when(s == "", F.lit(fallback)).otherwise(s)
+
+
+def py_title(c) -> Column:
+    """``str.title()``: a letter after an uncased character is upper-cased,
+    any other letter lower-cased (so ``feature-flags`` → ``Feature-Flags``,
+    ``1st`` → ``1St``)."""
+    chars = F.regexp_extract_all(_c(c), F.lit("(?s)."), F.lit(0))
+    cased = "[\\p{Lu}\\p{Ll}\\p{Lt}]"
+
+    def one(ch, i):
+        prev = F.when(i > 0, F.element_at(chars, i)).otherwise(F.lit(""))
+        return F.when(prev.rlike(cased), F.lower(ch)).otherwise(F.upper(ch))
+    return F.array_join(F.transform(chars, one), "")

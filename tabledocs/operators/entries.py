@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import EM_DASH
-from ..functions.strings import py_strip
+from ..functions.strings import py_strip, py_title
 
 ENTRY_MAP = "map<string,variant>"
 
@@ -131,7 +131,7 @@ def section_lines(entries: DataFrame, kinds: dict[str, Kind] | None = None) -> D
     e = entries.join(chosen.select("table_slug", "decl_pos"), ["table_slug", "decl_pos"], "left_semi")
     e = entry_lines(e)
     title = F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("title")).otherwise(
-        F.initcap(F.replace(F.col("kind"), F.lit("_"), F.lit(" "))))
+        py_title(F.replace(F.col("kind"), F.lit("_"), F.lit(" "))))
     heads = chosen.select("table_slug", "kind", F.lit(0).alias("k1"), F.lit(0).alias("k2"),
                           F.posexplode(F.array(F.concat(F.lit("## "), title), F.lit(""))).alias("k3", "line"))
     body = e.select("table_slug", "kind", F.lit(2).alias("k1"), F.col("name"),

@@ -109,3 +109,9 @@ def test_automaton_chunks_equal_one_pass(spark, monkeypatch):
     many = Q.search_batch(docs, kws, max_results=None)
     key = lambda r: (r.keyword, r.name, r.match_count, tuple(r.snippets))
     assert sorted(map(key, one.collect())) == sorted(map(key, many.collect()))
+
+
+def test_py_title(spark):
+    from tabledocs.functions.strings import py_title
+    for text in ["feature flags", "feature-flags", "1st kind", "ÉVÉNEMENTS d'été", "abc", "", "x_y"]:
+        assert one(spark, py_title, text) == text.title(), text

@@ -83,26 +83,39 @@ def sample_long(df: DataFrame, slug: str, n: int = SAMPLE_SIZE, order_by: list[s
     return render_long(to_long(h, slug, order_by, pii_columns(df, meta)), rules)
 
 
+# Tables per sampling job: bounds the plan size when a warehouse has thousands.
+SAMPLE_GROUP = 64
+
+
 def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int = SAMPLE_SIZE,
-                 meta: dict | None = None, rules: tuple[ScrubRule, ...] = DEFAULT_RULES) -> DataFrame | None:
+                 meta: dict | None = None, rules: tuple[ScrubRule, ...] = DEFAULT_RULES,
+                 group: int = SAMPLE_GROUP) -> DataFrame | None:
     """Head samples of many tables ``{slug: (df, order_by)}`` in one long
     table; masking and scrubbing are applied once, after the union.
 
-    The raw union (at most ``n`` rows per table) is checkpointed to the
-    shared folder first: otherwise the optimizer pushes the scrub
-    projection back into every branch and compiles it once per table."""
-    raw = None
+    Tables are sampled in groups (one job and one checkpoint per group, so
+    no plan carries thousands of branches). Checkpointing the raw rows (at
+    most ``n`` per table) also stops the optimizer from pushing the scrub
+    projection back into every branch and compiling it once per table."""
+    heads = []
     for slug, (df, order_by) in tables.items():
         h = head(df, n, order_by)
-        if h is None:
-            continue
-        lg = to_long(h, slug, order_by, pii_columns(df, (meta or {}).get(slug)))
-        raw = lg if raw is None else raw.unionByName(lg)
-    if raw is None:
+        if h is not None:
+            heads.append(to_long(h, slug, order_by, pii_columns(df, (meta or {}).get(slug))))
+    if not heads:
         return None
-    if len(tables) > 1:
-        shared_dir(raw.sparkSession)
-        raw = raw.checkpoint()
+    if len(heads) == 1:
+        return render_long(heads[0], rules)
+    shared_dir(heads[0].sparkSession)
+    parts = []
+    for i in range(0, len(heads), group):
+        raw = heads[i]
+        for lg in heads[i + 1:i + group]:
+            raw = raw.unionByName(lg)
+        parts.append(raw.checkpoint())
+    raw = parts[0]
+    for p in parts[1:]:
+        raw = raw.unionByName(p)
     return render_long(raw, rules)
 
 

@@ -112,3 +112,12 @@ def test_export_text(spark, tmp_path):
     import glob
     got = "".join(open(f).read() for f in glob.glob(str(tmp_path / "txt" / "slug=a.b" / "part-*")))
     assert got == "x\ny\n"
+
+
+def test_samples_in_groups(spark):
+    tables = {f"s.t{i}": (spark.range(i, i + 10).withColumnRenamed("id", "k"), ["k"]) for i in range(5)}
+    one = SM.samples_long(tables, n=2)
+    grouped = SM.samples_long(tables, n=2, group=2)
+    key = lambda r: (r.slug, r.rn, r.col_pos, r.value)
+    assert sorted(map(key, one.collect())) == sorted(map(key, grouped.collect()))
+    assert {(r.slug, r.value) for r in grouped.where("rn = 1").collect()} == {(f"s.t{i}", str(i)) for i in range(5)}

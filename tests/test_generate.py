@@ -67,3 +67,17 @@ def test_generate_inlines_catalog_section(spark, cat):
     assert body.startswith("# `public.raw_event` (source — events catalog)\n\nEvent stream.\n\n## Columns\n")
     assert "### data\n- Type: `super`\n\nJSON.\n\n\n## Events\n\n" in body
     assert "where event = 'gadget-made'\nlimit 5\n```\n\n" + MANUAL_MARKER in body
+
+
+def test_search_and_list_generated_docs(spark, cat):
+    from tabledocs.operators import search as Q
+    g = generate(spark, cat, _tables(spark))
+    corpus = Q.as_corpus(g.docs.unionByName(g.index), "slug", "body")
+    listed = {r.name: r.description for r in Q.list_documents(corpus).collect()}
+    assert "_index" not in listed
+    assert listed["prod.fct_order"] == "Orders."
+    hits = Q.search(corpus, "gadget_id").collect()
+    assert [h.name for h in hits] == ["prod.dim_gadget", "prod.fct_order", "raw.raw_gadget"]
+    fo = [h for h in hits if h.name == "prod.fct_order"][0]
+    assert "relationships(to=ref('dim_gadget'), field=gadget_id)" in " ".join(fo.snippets)
+    assert Q.read_document(corpus, "prod.fct_order").first().text.startswith("# `prod.fct_order` (model)")

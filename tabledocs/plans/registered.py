@@ -12,23 +12,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DEFAULT_SCRUB_RULES
-from ..functions.fixed import FILE_LINE_BREAK, PY_WS_CLASS, SPLITLINES_BREAK
-from ..operators import protect as P
-from ..operators import search as Q
+from ..functions.fixed import (ALLOWED_FIRST_TOKENS, COMMENT_BLOCK, COMMENT_LINE, DEFAULT_SCRUB_RULES,
+                               FILE_LINE_BREAK, IDENTIFIER, MUTATION_KEYWORDS, PY_WS_CLASS,
+                               SPLITLINES_BREAK)
+from ..functions.guard import guard_reason, sql_fingerprint, sql_log_hash
+from ..functions.strings import first_sentence
+from ..operators import audit as A
 from ..operators import checks as C
+from ..operators import docs as D
 from ..operators import entries as N
+from ..operators import protect as P
+from ..operators import samples as SM
+from ..operators import search as Q
+from ..session import TABLES, read_table, spread
 from ..sources.catalogs import CatalogDecl, catalog_entries, catalogs_from_decls
 from ..sources.manifest import entities_from_tables
-from ..operators import samples as SM
-from ..operators import docs as D
-from ..operators import audit as A
-from ..functions.guard import guard_reason, sql_fingerprint, sql_log_hash
-from ..functions.fixed import (ALLOWED_FIRST_TOKENS, COMMENT_BLOCK, COMMENT_LINE, IDENTIFIER,
-                               MUTATION_KEYWORDS)
-from ..session import TABLES
-from ..functions.strings import first_sentence
-from ..session import read_table, shared_dir, spread
 from . import sql as S
 
 Job = Callable[[SparkSession, str], DataFrame]

@@ -106,8 +106,12 @@ def join_lines(lines: DataFrame, keys=("project", "slug")) -> DataFrame:
 
 
 def index_lines(entities: DataFrame) -> DataFrame:
-    """Index per project: models then sources, each sorted by schema and
-    table, one summary line each; an empty section is left out."""
+    """Index per project as a line table ``(project, slug='_index', k1, k2,
+    k3, line)``: models then sources, each sorted by schema and table, one
+    summary line each; an empty section is left out. The lines stay
+    distributed; joining them into one text (``join_lines``) makes one group
+    per project, whose size is the project's entity count (catalog metadata,
+    about 100 bytes per entity), never table data."""
     e = entities
     summary = first_sentence_or(F.col("description"), NO_DESCRIPTION)
     item = F.concat(F.lit("- [`"), F.col("slug"), F.lit("`](./"), F.col("slug"), F.lit(".md) — "), summary)

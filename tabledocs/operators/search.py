@@ -54,9 +54,18 @@ def summary_line(text) -> Column:
     return F.coalesce(F.substring(py_strip(first), 1, SUMMARY_MAX_LEN), F.lit(""))
 
 
+def name_order(corpus: DataFrame) -> Column:
+    """Sort key of documents: text names sort as their file names do
+    (``<name>.md``, so ``a.b`` comes before ``a``); numeric ids by value."""
+    if isinstance(corpus.schema["name"].dataType, T.StringType):
+        return F.concat(F.col("name"), F.lit(".md"))
+    return F.col("name")
+
+
 def list_documents(corpus: DataFrame) -> DataFrame:
     """``(name, description)`` for every document, sorted by name."""
-    return corpus.select("name", summary_line("text").alias("description")).orderBy("name")
+    return (corpus.select("name", summary_line("text").alias("description"))
+            .orderBy(name_order(corpus)))
 
 
 def read_document(corpus: DataFrame, name: str) -> DataFrame:
@@ -101,7 +110,7 @@ def search_hits(corpus: DataFrame, keyword: str) -> DataFrame:
 def search(corpus: DataFrame, keyword: str, max_results: int = SEARCH_MAX_RESULTS) -> DataFrame:
     """Matching documents ordered by name, at most ``max_results`` (a limit of
     zero or less still returns the first hit)."""
-    return search_hits(corpus, keyword).orderBy("name").limit(max(1, max_results))
+    return search_hits(corpus, keyword).orderBy(name_order(corpus)).limit(max(1, max_results))
 
 
 # ─── many keywords ──────────────────────────────────────────────────────────
@@ -214,6 +223,6 @@ def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None
             hits = part if hits is None else hits.unionByName(part)
     if max_results is None:
         return hits
-    w = Window.partitionBy("keyword").orderBy("name")
+    w = Window.partitionBy("keyword").orderBy(name_order(corpus))
     return (hits.withColumn("rn", F.row_number().over(w))
             .where(F.col("rn") <= max(1, max_results)).drop("rn"))

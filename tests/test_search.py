@@ -115,3 +115,11 @@ def test_py_title(spark):
     from tabledocs.functions.strings import py_title
     for text in ["feature flags", "feature-flags", "1st kind", "ÉVÉNEMENTS d'été", "abc", "", "x_y"]:
         assert one(spark, py_title, text) == text.title(), text
+
+
+def test_names_sort_like_file_names(spark):
+    c = Q.as_corpus(spark.createDataFrame([("a", "x y"), ("a.b", "x z"), ("b", "x")], "name string, text string"),
+                    "name", "text")
+    assert [r.name for r in Q.list_documents(c).collect()] == ["a.b", "a", "b"]
+    assert [r.name for r in Q.search(c, "x").collect()] == ["a.b", "a", "b"]
+    assert {r.name for r in Q.search_batch(c, ["x"], max_results=2).collect()} == {"a.b", "a"}

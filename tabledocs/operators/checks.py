@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import materialize
 
 
 def _cols(column) -> list[str]:
@@ -53,8 +53,7 @@ def failing_unique(df: DataFrame, column, candidates_broadcast_max: int = CANDID
     hashed = keyed.withColumn("_h1", F.xxhash64(*cols)).withColumn("_h2", F.hash(*cols))
     cand = (hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") > 1).select("_h1", "_h2"))
-    shared_dir(df.sparkSession)  # lineage cut goes to the shared checkpoint folder
-    cand = cand.checkpoint()  # small, reused by the count and the join
+    cand = materialize(cand, "unique-candidates")  # small, reused by the count and the join
     side = F.broadcast(cand) if cand.count() <= candidates_broadcast_max else cand
     rows = hashed.join(side, ["_h1", "_h2"], "left_semi")
     return (rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_records"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import PII_REDACTED, SAMPLE_CACHE_VERSION, SAMPLE_SIZE
 from ..functions.rules import DEFAULT_RULES, ScrubRule, scrub
 from ..functions.strings import cell
-from ..session import shared_dir
+from ..session import materialize
 from .protect import pii_columns, pii_expr
 
 LONG_SCHEMA = "slug string, rn int, col_pos int, column_name string, value string"
@@ -93,10 +93,11 @@ def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int =
     """Head samples of many tables ``{slug: (df, order_by)}`` in one long
     table; masking and scrubbing are applied once, after the union.
 
-    Tables are sampled in groups (one job and one checkpoint per group, so
-    no plan carries thousands of branches). Checkpointing the raw rows (at
-    most ``n`` per table) also stops the optimizer from pushing the scrub
-    projection back into every branch and compiling it once per table."""
+    Tables are sampled in groups (one job per group, written as a table in
+    the shared folder, so no plan carries thousands of branches). Cutting
+    the lineage of the raw rows (at most ``n`` per table) also stops the
+    optimizer from pushing the scrub projection back into every branch and
+    compiling it once per table."""
     heads = []
     for slug, (df, order_by) in tables.items():
         h = head(df, n, order_by)
@@ -106,13 +107,12 @@ def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int =
         return None
     if len(heads) == 1:
         return render_long(heads[0], rules)
-    shared_dir(heads[0].sparkSession)
     parts = []
     for i in range(0, len(heads), group):
         raw = heads[i]
         for lg in heads[i + 1:i + group]:
             raw = raw.unionByName(lg)
-        parts.append(raw.checkpoint())
+        parts.append(materialize(raw, "samples"))
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p)

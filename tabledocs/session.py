@@ -179,3 +179,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     except Exception:
         return df
     return df.repartition(target) if n < target else df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing a (small) result as a table in the shared
+    folder and reading it back: one job, unlike ``checkpoint()``, which
+    computes its input once to count and again to write."""
+    import uuid
+    path = shared_dir(df.sparkSession, f"tabledocs/tables/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

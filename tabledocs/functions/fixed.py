@@ -92,3 +92,48 @@ SAMPLE_CACHE_VERSION = 1
 RESULT_CACHE_TTL_SECONDS = 24 * 60 * 60
 SQL_CACHE_HEX = 24
 LOG_HASH_HEX = 12
+
+# --- FIXED VALUES: document formats ({name} marks a value) -------------------
+DOC_HEADER = "# `{slug}` ({label})"
+LABEL_MODEL = "model"
+LABEL_SOURCE = "source"
+LABEL_CATALOG = "source — {kind} catalog"
+COLUMNS_HEADING = "## Columns"
+COLUMN_HEADING = "### {name}"
+COLUMN_TYPE = "- Type: `{data_type}`"
+COLUMN_TESTS = "- Tests: {tests}"
+TESTS_SEPARATOR = ", "
+PARENTS_HEADING = "## Parents"
+PARENT_LINE = "- `{name}` — {summary}"
+SAMPLES_HEADING = "## Sample rows ({n} rows, one line per column)"
+SAMPLE_LINE = "- `{column}`: {values}"
+SAMPLE_SEPARATOR = " | "
+SQL_HEADING = "## Compiled SQL"
+SQL_FENCE_OPEN = "```sql"
+SQL_FENCE_CLOSE = "```"
+INDEX_MODELS = "## Models"
+INDEX_SOURCES = "## Sources"
+INDEX_LINE = "- [`{slug}`](./{slug}.md) — {summary}"
+CATALOG_TITLE = "## {title}"
+CATALOG_ENTRY = "### `{name}`"
+FIELD_INLINE = "**{label}:** {value}"
+FIELD_HEADING = "**{label}:**"
+FIELD_ITEM = "- {item}"
+FIELD_KEY_VALUE = "- `{key}` — {value}"
+FIELD_KEY = "- `{key}`"
+FIELD_YES = "yes"
+FIELD_NO = "no"
+
+# --- FIXED VALUES: the two worked catalog kinds (events, plans) --------------
+EVENTS_INTRO = ("The `{column}` column below is a filter on the event name. Attributes live in the "
+                "`{data_column}` column and are accessed as `{data_column}.\"attr\"::text`.")
+EVENTS_ATTRIBUTE = '{data_column}."{attr}"::text as "{attr}"'
+EVENTS_QUERY = "select\n    {columns}\nfrom {table}\nwhere {column} = '{name}'\nlimit {head_limit}"
+EVENTS_QUERY_COLUMN_SEPARATOR = ",\n    "
+EVENTS_QUERY_LABEL = "**Example query:**"
+PLANS_INTRO = "At a glance:"
+PLANS_TABLE_HEADER = "| Tier | Price | Seats |"
+PLANS_TABLE_RULE = "| --- | --- | --- |"
+PLANS_TABLE_ROW = "| `{name}` | {price} | {seats} |"
+PLANS_DEPRECATED = "> **Deprecated** — new signups are not allowed."
+PLANS_LINK = "[See `{name}` pricing]({url})"

@@ -116,3 +116,20 @@ def py_title(c) -> Column:
         prev = F.when(i > 0, F.element_at(chars, i)).otherwise(F.lit(""))
         return F.when(prev.rlike(cased), F.lower(ch)).otherwise(F.upper(ch))
     return F.array_join(F.transform(chars, one), "")
+
+
+def template(text: str, **values) -> Column:
+    """A fixed format with ``{name}`` slots filled by columns (or plain
+    strings): the literal pieces stay exactly as written in the format."""
+    import re as _re
+    parts = []
+    pos = 0
+    for m in _re.finditer(r"\{(\w+)\}", text):
+        if m.start() > pos:
+            parts.append(F.lit(text[pos:m.start()]))
+        v = values[m.group(1)]
+        parts.append(v if isinstance(v, Column) else F.lit(str(v)))
+        pos = m.end()
+    if pos < len(text):
+        parts.append(F.lit(text[pos:]))
+    return F.concat(*parts) if len(parts) > 1 else (parts[0] if parts else F.lit(""))

@@ -12,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import (INDEX_BLURB, INDEX_TITLE, MANUAL_MARKER, NO_COLUMNS,
-                               NO_DESCRIPTION)
-from ..functions.strings import first_sentence_or, py_rstrip, py_strip, split_lines
+from ..functions.fixed import (COLUMN_HEADING, COLUMN_TESTS, COLUMN_TYPE, COLUMNS_HEADING, DOC_HEADER,
+                               INDEX_BLURB, INDEX_LINE, INDEX_MODELS, INDEX_SOURCES, INDEX_TITLE,
+                               LABEL_CATALOG, LABEL_MODEL, LABEL_SOURCE, MANUAL_MARKER, NO_COLUMNS,
+                               NO_DESCRIPTION, PARENT_LINE, PARENTS_HEADING, SAMPLES_HEADING,
+                               SQL_FENCE_CLOSE, SQL_FENCE_OPEN, SQL_HEADING, TESTS_SEPARATOR)
+from ..functions.strings import first_sentence_or, py_rstrip, py_strip, split_lines, template
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
@@ -35,12 +38,12 @@ def column_lines(columns: DataFrame) -> Column:
     cdesc = F.coalesce(F.col("description"), F.lit(""))
     desc_lines = F.transform(split_lines(cdesc), lambda l: F.when(py_strip(l) == "", F.lit("")).otherwise(l))
     return F.concat(
-        F.array(F.concat(F.lit("### "), F.col("name"))),
+        F.array(template(COLUMN_HEADING, name=F.col("name"))),
         F.when(F.coalesce(F.col("data_type"), F.lit("")) != "",
-               F.array(F.concat(F.lit("- Type: `"), F.col("data_type"), F.lit("`")))).otherwise(_empty()),
+               F.array(template(COLUMN_TYPE, data_type=F.col("data_type")))).otherwise(_empty()),
         F.when(cdesc != "", F.concat(F.array(F.lit("")), desc_lines, F.array(F.lit("")))).otherwise(_empty()),
         F.when(F.coalesce(F.size("tests"), F.lit(0)) > 0,
-               F.array(F.concat(F.lit("- Tests: "), F.array_join("tests", ", ")))).otherwise(_empty()),
+               F.array(template(COLUMN_TESTS, tests=F.array_join("tests", TESTS_SEPARATOR)))).otherwise(_empty()),
         F.array(F.lit("")))
 
 
@@ -54,8 +57,8 @@ def entity_bodies(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
     holds one entity's metadata only."""
     cols = columns.groupBy("project", "node_id").agg(
         _ordered(F.collect_list(F.struct(F.col("pos"), column_lines(columns).alias("lines")))).alias("_cols"))
-    par_line = F.concat(F.lit("- `"), F.col("parent_name"), F.lit("` — "),
-                        first_sentence_or(F.col("parent_description"), NO_DESCRIPTION))
+    par_line = template(PARENT_LINE, name=F.col("parent_name"),
+                        summary=first_sentence_or(F.col("parent_description"), NO_DESCRIPTION))
     pars = lineage.groupBy("project", "node_id").agg(
         _ordered(F.collect_list(F.struct(F.col("pos"), F.array(par_line).alias("lines")))).alias("_pars"))
     e = (entities.join(cols, ["project", "node_id"], "left")
@@ -73,26 +76,25 @@ def entity_bodies(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
     else:
         e = e.withColumn("_cat_kind", F.lit(None).cast("string")).withColumn("_section", F.lit(None).cast("string"))
 
-    label = F.when(F.col("_cat_kind").isNotNull(),
-                   F.concat(F.lit("source — "), F.col("_cat_kind"), F.lit(" catalog"))
-                   ).when(F.col("kind") == "model", F.lit("model")).otherwise(F.lit("source"))
+    label = F.when(F.col("_cat_kind").isNotNull(), template(LABEL_CATALOG, kind=F.col("_cat_kind"))
+                   ).when(F.col("kind") == "model", F.lit(LABEL_MODEL)).otherwise(F.lit(LABEL_SOURCE))
     desc = py_strip(F.coalesce(F.col("description"), F.lit("")))
     sql = F.col("compiled_sql")
     has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     lines = F.concat(
-        F.array(F.concat(F.lit("# `"), F.col("slug"), F.lit("` ("), label, F.lit(")")), F.lit("")),
+        F.array(template(DOC_HEADER, slug=F.col("slug"), label=label), F.lit("")),
         F.when(desc != "", F.array(desc, F.lit(""))).otherwise(_empty()),
-        F.when(has("_cols"), F.concat(F.array(F.lit("## Columns"), F.lit("")), F.col("_cols")))
+        F.when(has("_cols"), F.concat(F.array(F.lit(COLUMNS_HEADING), F.lit("")), F.col("_cols")))
         .otherwise(F.array(F.lit(NO_COLUMNS))),
         F.when(F.col("_section").isNotNull(), F.array(F.col("_section"))).otherwise(_empty()),
-        F.when(has("_pars"), F.concat(F.array(F.lit("## Parents"), F.lit("")), F.col("_pars"), F.array(F.lit(""))))
+        F.when(has("_pars"), F.concat(F.array(F.lit(PARENTS_HEADING), F.lit("")), F.col("_pars"), F.array(F.lit(""))))
         .otherwise(_empty()),
         F.when(has("_smp"), F.concat(
-            F.array(F.concat(F.lit("## Sample rows ("), F.col("_n").cast("string"),
-                             F.lit(" rows, one line per column)")), F.lit("")),
+            F.array(template(SAMPLES_HEADING, n=F.col("_n").cast("string")), F.lit("")),
             F.col("_smp"), F.array(F.lit("")))).otherwise(_empty()),
         F.when(F.coalesce(sql, F.lit("")) != "", F.array(
-            F.lit("## Compiled SQL"), F.lit(""), F.lit("```sql"), sql, F.lit("```"), F.lit(""))).otherwise(_empty()))
+            F.lit(SQL_HEADING), F.lit(""), F.lit(SQL_FENCE_OPEN), sql, F.lit(SQL_FENCE_CLOSE), F.lit("")))
+        .otherwise(_empty()))
     body = F.concat(py_rstrip(F.array_join(lines, "\n")), F.lit("\n"))
     return e.select("project", "slug", body.alias("body"))
 
@@ -114,14 +116,14 @@ def index_lines(entities: DataFrame) -> DataFrame:
     about 100 bytes per entity), never table data."""
     e = entities
     summary = first_sentence_or(F.col("description"), NO_DESCRIPTION)
-    item = F.concat(F.lit("- [`"), F.col("slug"), F.lit("`](./"), F.col("slug"), F.lit(".md) — "), summary)
+    item = template(INDEX_LINE, slug=F.col("slug"), summary=summary)
     k1 = F.when(F.col("kind") == "model", F.lit(1)).otherwise(F.lit(2))
     order = F.struct("schema_name", "table_name", "pos")
     heads = e.select("project", "kind").distinct()
     top = e.select("project").distinct().select(
         "project", F.lit("_index").alias("slug"), F.lit(0).alias("k1"), F.lit(0).cast("long").alias("k2"),
         F.posexplode(F.array(F.lit(INDEX_TITLE), F.lit(""), F.lit(INDEX_BLURB), F.lit(""))).alias("k3", "line"))
-    sec_label = F.when(F.col("kind") == "model", F.lit("## Models")).otherwise(F.lit("## Sources"))
+    sec_label = F.when(F.col("kind") == "model", F.lit(INDEX_MODELS)).otherwise(F.lit(INDEX_SOURCES))
     sec = heads.select("project", F.lit("_index").alias("slug"), k1.alias("k1"), F.lit(-1).cast("long").alias("k2"),
                        F.posexplode(F.array(sec_label, F.lit(""))).alias("k3", "line"))
     from pyspark.sql import Window

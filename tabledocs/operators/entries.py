@@ -16,8 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fixed import EM_DASH
-from ..functions.strings import py_strip, py_title
+from ..functions.fixed import (CATALOG_ENTRY, CATALOG_TITLE, EM_DASH, EVENTS_ATTRIBUTE, EVENTS_INTRO,
+                               EVENTS_QUERY,
+                               EVENTS_QUERY_COLUMN_SEPARATOR, EVENTS_QUERY_LABEL, FIELD_HEADING,
+                               FIELD_INLINE, FIELD_ITEM, FIELD_KEY, FIELD_KEY_VALUE, FIELD_NO, FIELD_YES,
+                               PLANS_DEPRECATED, PLANS_INTRO, PLANS_LINK, PLANS_TABLE_HEADER,
+                               PLANS_TABLE_ROW, PLANS_TABLE_RULE)
+from ..functions.strings import py_strip, py_title, template
 
 ENTRY_MAP = "map<string,variant>"
 
@@ -47,8 +52,8 @@ def field_lines(key: Column, v: Column) -> Column:
     """Lines of one non-description field, by value type (empty → none)."""
     t = _vtype(v)
     lab = label(key)
-    head = F.array(F.lit(""), F.concat(F.lit("**"), lab, F.lit(":**")))
-    inline = lambda s: F.array(F.lit(""), F.concat(F.lit("**"), lab, F.lit(":** "), s))
+    head = F.array(F.lit(""), template(FIELD_HEADING, label=lab))
+    inline = lambda s: F.array(F.lit(""), template(FIELD_INLINE, label=lab, value=s))
     obj = F.from_json(F.to_json(v), ENTRY_MAP)
     by_key = lambda a, b: (F.when(a.getField("key") < b.getField("key"), F.lit(-1))
                            .when(a.getField("key") > b.getField("key"), F.lit(1)).otherwise(F.lit(0)))
@@ -58,10 +63,10 @@ def field_lines(key: Column, v: Column) -> Column:
             (F.when(_vtype(e.getField("value")) == "STRING", py_strip(e.getField("value").cast("string")))
              .when(_vtype(e.getField("value")) == "VOID", F.lit(""))
              .otherwise(py_str(e.getField("value")))) == "",
-            F.concat(F.lit("- `"), e.getField("key"), F.lit("`")))
-        .otherwise(F.concat(F.lit("- `"), e.getField("key"), F.lit("` " + EM_DASH + " "),
-                            F.when(_vtype(e.getField("value")) == "STRING",
-                                   py_strip(e.getField("value").cast("string")))
+            template(FIELD_KEY, key=e.getField("key")))
+        .otherwise(template(FIELD_KEY_VALUE, key=e.getField("key"),
+                            value=F.when(_vtype(e.getField("value")) == "STRING",
+                                         py_strip(e.getField("value").cast("string")))
                             .otherwise(py_str(e.getField("value"))))))
     arr = F.try_variant_get(v, "$", "array<variant>")
     s = py_strip(v.cast("string"))
@@ -70,9 +75,9 @@ def field_lines(key: Column, v: Column) -> Column:
                    F.when(F.size(obj) > 0, F.concat(head, obj_lines)).otherwise(empty))
             .when(t.startswith("ARRAY"),
                   F.when(F.size(arr) > 0,
-                         F.concat(head, F.transform(arr, lambda x: F.concat(F.lit("- "), py_str(x)))))
+                         F.concat(head, F.transform(arr, lambda x: template(FIELD_ITEM, item=py_str(x)))))
                   .otherwise(empty))
-            .when(t == "BOOLEAN", inline(F.when(v.cast("boolean"), F.lit("yes")).otherwise(F.lit("no"))))
+            .when(t == "BOOLEAN", inline(F.when(v.cast("boolean"), F.lit(FIELD_YES)).otherwise(F.lit(FIELD_NO))))
             .when(t.isin("STRING"), F.when(s != "", inline(s)).otherwise(empty))
             .when(t == "VOID", empty)
             .otherwise(inline(v.cast("string"))))
@@ -85,7 +90,7 @@ def entry_lines(entries: DataFrame) -> DataFrame:
     fields = F.flatten(F.transform(
         F.filter(F.map_entries(spec), lambda e: e.getField("key") != "description"),
         lambda e: field_lines(e.getField("key"), e.getField("value"))))
-    lines = F.concat(F.array(F.concat(F.lit("### `"), F.col("name"), F.lit("`"))),
+    lines = F.concat(F.array(template(CATALOG_ENTRY, name=F.col("name"))),
                      F.when(desc != "", F.array(F.lit(""), desc)).otherwise(F.array().cast("array<string>")),
                      F.coalesce(fields, F.array().cast("array<string>")))
     return entries.withColumn("lines", lines)
@@ -133,7 +138,7 @@ def section_lines(entries: DataFrame, kinds: dict[str, Kind] | None = None) -> D
     title = F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("title")).otherwise(
         py_title(F.replace(F.col("kind"), F.lit("_"), F.lit(" "))))
     heads = chosen.select("table_slug", "kind", F.lit(0).alias("k1"), F.lit(0).alias("k2"),
-                          F.posexplode(F.array(F.concat(F.lit("## "), title), F.lit(""))).alias("k3", "line"))
+                          F.posexplode(F.array(template(CATALOG_TITLE, title=title), F.lit(""))).alias("k3", "line"))
     body = e.select("table_slug", "kind", F.lit(2).alias("k1"), F.col("name"),
                     F.posexplode("lines").alias("k3", "line"))
     parts = [heads]
@@ -179,9 +184,7 @@ def events_kind(column: str = "event", data_column: str = "data",
     """Events catalog: an intro on attribute access and one example query per
     event (core columns, then its attributes in name order)."""
     def intro(entries: DataFrame) -> DataFrame:
-        text = (f"The `{column}` column below is a filter on the event name. "
-                f"Attributes live in the `{data_column}` column and are accessed as "
-                f'`{data_column}."attr"::text`.')
+        text = EVENTS_INTRO.format(column=column, data_column=data_column)
         return entries.select("table_slug").distinct().select(
             "table_slug", F.lit(0).alias("pos"), F.lit(text).alias("line"))
 
@@ -189,14 +192,12 @@ def events_kind(column: str = "event", data_column: str = "data",
         attrs = F.element_at(F.col("spec"), F.lit("attributes"))
         keys = F.array_sort(F.coalesce(
             F.map_keys(F.from_json(F.to_json(attrs), ENTRY_MAP)), F.array().cast("array<string>")))
-        attr_cols = F.transform(keys, lambda a: F.concat(
-            F.lit(f'{data_column}."'), a, F.lit('"::text as "'), a, F.lit('"')))
+        attr_cols = F.transform(keys, lambda a: template(EVENTS_ATTRIBUTE, data_column=data_column, attr=a))
         cols = F.concat(F.array(*[F.lit(c) for c in core_columns]).cast("array<string>"), attr_cols)
-        sql = F.concat(F.lit("select\n    "), F.array_join(cols, ",\n    "), F.lit("\nfrom "),
-                       F.col("table_slug"), F.lit(f"\nwhere {column} = '"), F.col("name"),
-                       F.lit(f"'\nlimit {head_limit}"))
+        sql = template(EVENTS_QUERY, columns=F.array_join(cols, EVENTS_QUERY_COLUMN_SEPARATOR),
+                       table=F.col("table_slug"), column=column, name=F.col("name"), head_limit=head_limit)
         block = F.when((F.col("table_slug") == "") | (F.size(cols) == 0), F.array(F.lit(""))).otherwise(
-            F.array(F.lit(""), F.lit("**Example query:**"), F.lit(""), F.lit("```sql"), sql,
+            F.array(F.lit(""), F.lit(EVENTS_QUERY_LABEL), F.lit(""), F.lit("```sql"), sql,
                     F.lit("```"), F.lit("")))
         return entries.select("table_slug", "name", F.posexplode(block).alias("pos", "line"))
 
@@ -213,12 +214,12 @@ def plans_kind() -> Kind:
     """Plans catalog: a price/seats comparison table across entries, a
     deprecation callout and a pricing link per entry."""
     def intro(entries: DataFrame) -> DataFrame:
-        rows = entries.select("table_slug", "name", F.concat(
-            F.lit("| `"), F.col("name"), F.lit("` | "), _spec_text("price"), F.lit(" | "),
-            _spec_text("seats_included"), F.lit(" |")).alias("row"))
+        rows = entries.select("table_slug", "name", template(
+            PLANS_TABLE_ROW, name=F.col("name"), price=_spec_text("price"),
+            seats=_spec_text("seats_included")).alias("row"))
         g = rows.groupBy("table_slug").agg(F.sort_array(F.collect_list(F.struct("name", "row"))).alias("rs"))
-        lines = F.concat(F.array(F.lit("At a glance:"), F.lit(""), F.lit("| Tier | Price | Seats |"),
-                                 F.lit("| --- | --- | --- |")),
+        lines = F.concat(F.array(F.lit(PLANS_INTRO), F.lit(""), F.lit(PLANS_TABLE_HEADER),
+                                 F.lit(PLANS_TABLE_RULE)),
                          F.transform("rs", lambda r: r.getField("row")))
         return g.select("table_slug", F.posexplode(lines).alias("pos", "line"))
 
@@ -229,10 +230,9 @@ def plans_kind() -> Kind:
                             & (F.coalesce(v.cast("string"), F.lit("")) != "false")
                             & (F.coalesce(v.cast("string"), F.lit("")) != "0"))
         none = F.array().cast("array<string>")
-        a = F.when(truthy(dep), F.array(F.lit(""), F.lit("> **Deprecated** " + EM_DASH +
-                                                        " new signups are not allowed."))).otherwise(none)
-        b = F.when(truthy(url), F.array(F.lit(""), F.concat(F.lit("[See `"), F.col("name"), F.lit("` pricing]("),
-                                                           url.cast("string"), F.lit(")")))).otherwise(none)
+        a = F.when(truthy(dep), F.array(F.lit(""), F.lit(PLANS_DEPRECATED))).otherwise(none)
+        b = F.when(truthy(url), F.array(F.lit(""), template(PLANS_LINK, name=F.col("name"),
+                                                           url=url.cast("string")))).otherwise(none)
         out = F.concat(a, b)
         out = F.when(F.size(out) > 0, F.concat(out, F.array(F.lit("")))).otherwise(out)
         return entries.select("table_slug", "name", F.posexplode(out).alias("pos", "line"))

@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import PII_REDACTED, SAMPLE_CACHE_VERSION, SAMPLE_SIZE
+from ..functions.fixed import (PII_REDACTED, SAMPLE_CACHE_VERSION, SAMPLE_LINE, SAMPLE_SEPARATOR,
+                               SAMPLE_SIZE)
 from ..functions.rules import DEFAULT_RULES, ScrubRule, scrub
-from ..functions.strings import cell
+from ..functions.strings import cell, template
 from ..session import materialize
 from .protect import pii_columns, pii_expr
 
@@ -125,9 +126,9 @@ def transposed_lines(long: DataFrame) -> DataFrame:
     g = long.groupBy("slug", "col_pos", "column_name").agg(
         F.sort_array(F.collect_list(F.struct("rn", "value"))).alias("vs"))
     return g.select("slug", "col_pos", "column_name", F.size("vs").alias("n_rows"),
-                    F.concat(F.lit("- `"), F.col("column_name"), F.lit("`: "),
-                             F.array_join(F.transform("vs", lambda x: x.getField("value")), " | ")
-                             ).alias("line"))
+                    template(SAMPLE_LINE, column=F.col("column_name"),
+                             values=F.array_join(F.transform("vs", lambda x: x.getField("value")),
+                                                 SAMPLE_SEPARATOR)).alias("line"))
 
 
 # ─── cache fingerprints ─────────────────────────────────────────────────────

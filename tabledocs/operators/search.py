@@ -90,27 +90,42 @@ def _snippets(matching: Column) -> Column:
 _LINE_BREAKS = set("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
 
 
-def search_hits(corpus: DataFrame, keyword: str) -> DataFrame:
-    """Every matching document: ``(name, description, match_count, snippets)``.
-
-    A needle without line breaks occurs in some line exactly when it occurs
-    in the lowered text, so that cheap test is the only filter (it may run
-    at the scan); lines are split once, in the projection. A needle holding
-    a line break can match no line."""
-    needle = _needle(keyword)
+def _matching(corpus: DataFrame, needle: str) -> DataFrame:
+    """Documents holding the needle. A needle without line breaks occurs in
+    some line exactly when it occurs in the lowered text, so that cheap test
+    is the only filter (it may run at the scan). A needle holding a line
+    break can match no line."""
     if set(needle) & _LINE_BREAKS:
         corpus = corpus.where(F.lit(False))
+    return corpus.where(F.contains(F.lower(F.col("text")), F.lit(needle)))
+
+
+def _details(docs: DataFrame, needle: str) -> DataFrame:
+    """``(name, description, match_count, snippets)``; lines split once."""
     m = F.filter(split_lines(F.col("text")), lambda l: F.contains(F.lower(l), F.lit(needle)))
-    return (corpus.where(F.contains(F.lower(F.col("text")), F.lit(needle)))
-            .select("name", "text", m.alias("m"))
+    return (docs.select("name", "text", m.alias("m"))
             .select("name", summary_line("text").alias("description"),
                     F.size("m").alias("match_count"), _snippets(F.col("m")).alias("snippets")))
 
 
+def search_hits(corpus: DataFrame, keyword: str) -> DataFrame:
+    """Every matching document: ``(name, description, match_count, snippets)``."""
+    needle = _needle(keyword)
+    return _details(_matching(corpus, needle), needle)
+
+
 def search(corpus: DataFrame, keyword: str, max_results: int = SEARCH_MAX_RESULTS) -> DataFrame:
     """Matching documents ordered by name, at most ``max_results`` (a limit of
-    zero or less still returns the first hit)."""
-    return search_hits(corpus, keyword).orderBy(name_order(corpus)).limit(max(1, max_results))
+    zero or less still returns the first hit). The top documents are chosen
+    on the cheap match test first; lines, summaries and snippets are then
+    computed for those documents only."""
+    needle = _needle(keyword)
+    top = (_matching(corpus, needle).orderBy(name_order(corpus)).limit(max(1, max_results))
+           .repartition(1))
+    # The top-k is one top-n per task and a small merge (TakeOrderedAndProject);
+    # the one-partition repartition of its (at most k) rows keeps the detail
+    # projection above it, so only those rows are split into lines.
+    return _details(top, needle).sortWithinPartitions(name_order(top))
 
 
 # ─── many keywords ──────────────────────────────────────────────────────────

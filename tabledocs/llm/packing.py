@@ -153,6 +153,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, steps:
         gap = limit - fill
         gap[(fill == 0) | (np.arange(len(bins)) == b)] = -1
         if _move(own, size, where, fill, gap, b) or _swap(own, size, where, fill, gap, b) or _swap_two(own, size, where, fill, gap, b):
+            stuck = fill >= limit  # the changed bins may let others go on
             continue
         stuck[b] = True
     order = np.argsort(where, kind="stable")

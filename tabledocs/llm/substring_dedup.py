@@ -60,6 +60,7 @@ def _units(batches, min_words: int):
     for batch in batches:
         row, start, end, kind, digest = [], [], [], [], []
         for i, t in enumerate(batch.column("text").to_pylist()):
+            t = t or ""
             for a, b, k in units(t):
                 clean = normalise(t[a:b])
                 if clean.count(" ") + 1 >= min_words:

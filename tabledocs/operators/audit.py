@@ -32,12 +32,22 @@ def _kv_value(c: Column, dtype) -> Column:
 
 
 def event_lines(events: DataFrame, fmt: str = "kv") -> DataFrame:
-    """Audit rows → one text line each (``line``). Null fields are left out."""
-    cols = [f for f in events.schema.fields if f.name in _FIELDS]
+    """Audit rows → one text line each (``line``). Null fields are left out;
+    fields beyond the usual ones are written behind them."""
+    cols = sorted(events.schema.fields, key=lambda f: _FIELDS.index(f.name) if f.name in _FIELDS else len(_FIELDS))
+    maps = [f for f in cols if isinstance(f.dataType, T.MapType)]  # further fields, as ``parse_lines`` gives them
+    cols = [f for f in cols if f not in maps]
     if fmt == "json":
-        return events.select(F.to_json(F.struct(*[F.col(f.name) for f in cols])).alias("line"))
+        line = F.to_json(F.struct(*[F.col(f.name) for f in cols]))
+        for f in maps:
+            more = F.to_json(F.col(f.name))
+            line = F.when(F.coalesce(F.size(f.name), F.lit(0)) <= 0, line).otherwise(
+                F.concat(F.regexp_replace(line, r"\}$", ""), F.when(line != "{}", ",").otherwise(""), F.substring(more, F.lit(2), F.length(more))))
+        return events.select(line.alias("line"))
+    more = [F.array_join(F.transform(F.map_entries(f.name), lambda e: F.concat(e.getField("key"), F.lit("="), _kv_value(e.getField("value").cast("string"), T.StringType()))), " ")
+            for f in maps]
     parts = [F.when(F.col(f.name).isNotNull(), F.concat(F.lit(f.name + "="), _kv_value(F.col(f.name), f.dataType)))
-             for f in cols]
+             for f in cols] + [F.when(m != "", m) for m in more]
     return events.select(F.concat_ws(" ", *parts).alias("line"))
 
 
@@ -45,7 +55,8 @@ _KV = r'([A-Za-z_][A-Za-z0-9_]*)=("(?:[^"\\]|\\.)*"|\S*)'
 
 
 def parse_lines(lines: DataFrame, col: str = "line") -> DataFrame:
-    """Text lines (either format) → ``AUDIT_SCHEMA`` rows. JSON lines are
+    """Text lines (either format) → ``AUDIT_SCHEMA`` rows, and ``extra``, a
+    map of all other fields. JSON lines are
     parsed by ``from_json``; ``key=value`` lines by one regex pass."""
     line = F.col(col)
     is_json = F.startswith(F.ltrim(line), F.lit("{"))
@@ -64,7 +75,8 @@ def parse_lines(lines: DataFrame, col: str = "line") -> DataFrame:
         get("row_count").try_cast("bigint").alias("row_count"),
         F.when(F.lower(get("cache_hit")) == "true", True).when(F.lower(get("cache_hit")) == "false", False)
         .alias("cache_hit"),
-        get("elapsed_ms").try_cast("bigint").alias("elapsed_ms"))
+        get("elapsed_ms").try_cast("bigint").alias("elapsed_ms"),
+        F.map_filter(m, lambda k, v: ~k.isin(*_FIELDS)).alias("extra"))
 
 
 def classify_queries(queries: DataFrame, sql_col: str = "sql") -> DataFrame:

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.testtext import declared_text
 from ..session import materialize
 
 
@@ -64,14 +65,20 @@ def failing_not_null(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNull())
 
 
+def _unaccepted(df: DataFrame, column: str, values: list, quote: bool):
+    """Condition: a value outside the list. Quoted values are texts, which
+    Spark reads as the column's type (``True`` and ``true`` as a boolean); a
+    text that is no value of that type is equal to none."""
+    c, kind = F.col(column), df.schema[column].dataType
+    listed = [F.lit(str(v)).try_cast(kind) if quote else F.lit(v) for v in values]
+    return c.isNotNull() & ~F.coalesce(c.isin(*listed), F.lit(False))
+
+
 def failing_accepted_values(df: DataFrame, column: str, values: list, quote: bool = True
                             ) -> DataFrame:
     """Distinct values outside the accepted list, with their row count. The
     list is a literal set (a declared list is small by nature)."""
-    c = F.col(column)
-    vals = [str(v) for v in values] if quote else list(values)
-    test = c.cast("string") if quote else c
-    return (df.where(c.isNotNull() & ~test.isin(*vals))
+    return (df.where(_unaccepted(df, column, values, quote))
             .groupBy(column).agg(F.count(F.lit(1)).alias("n_records")))
 
 
@@ -101,10 +108,8 @@ class DeclaredTest:
     test: str                      # unique | not_null | accepted_values | relationships
     kwargs: dict = field(default_factory=dict)
 
-    @property
-    def text(self) -> str:
-        from ..functions.testtext import format_test_text
-        return format_test_text(self.test, self.kwargs)
+    def text_column(self) -> Column:
+        return declared_text(self.test, self.kwargs)
 
 
 def failures(test: DeclaredTest, tables: dict[str, DataFrame]) -> DataFrame:
@@ -138,7 +143,7 @@ def _test_row(i: int, t: DeclaredTest, failures) -> list:
     col = t.column if isinstance(t.column, str) else ",".join(t.column)
     return [F.lit(i).alias("test_pos"), F.lit(t.table).alias("table_name"),
             F.lit(col).alias("column_name"), F.lit(t.test).alias("test_name"),
-            F.lit(t.text).alias("test_text"), failures.cast("long").alias("failures")]
+            t.text_column().alias("test_text"), failures.cast("long").alias("failures")]
 
 
 def _row_test_counts(df: DataFrame, tests: list[tuple[int, DeclaredTest]]):
@@ -150,9 +155,7 @@ def _row_test_counts(df: DataFrame, tests: list[tuple[int, DeclaredTest]]):
         if t.test == "not_null":
             bad = c.isNull()
         else:
-            quote = t.kwargs.get("quote", True)
-            vals = [str(v) for v in t.kwargs["values"]] if quote else list(t.kwargs["values"])
-            bad = c.isNotNull() & ~(c.cast("string") if quote else c).isin(*vals)
+            bad = _unaccepted(df, t.column, t.kwargs["values"], t.kwargs.get("quote", True))
         out.append((i, t, F.count_if(bad)))
     return out
 

@@ -262,35 +262,24 @@ def event_attributes(events: DataFrame, entries: DataFrame, name_col: str, data_
 
     The catalog (one row per documented event and attribute) is metadata: it
     is size-checked and broadcast, so the events table is never shuffled.
-    Each event's JSON is parsed once, into a struct of the documented
-    attribute names (values kept as JSON text, like ``->>``), before rows are
-    multiplied by attribute. With ``head_limit`` only the first rows per
+    Each event's JSON is parsed once, into a map of its attributes (values
+    kept as JSON text, like ``->>``), before rows are multiplied by attribute. With ``head_limit`` only the first rows per
     event (by the core columns) are kept, as an example query shows.
     """
-    attrs_df = attribute_names(entries).select(F.col("name").alias("_event"), "attribute", "attr_pos")
-    listed = attrs_df.limit(max_catalog_rows + 1).collect()
-    if len(listed) > max_catalog_rows:  # not metadata-sized: keep a shuffle join, parse per attribute
-        attrs, names = attrs_df, None
-    else:
-        attrs = F.broadcast(attrs_df)
-        names = sorted({r.attribute for r in listed if r.attribute is not None})
+    attrs = attribute_names(entries).select(F.col("name").alias("_event"), "attribute", "attr_pos")
+    # only how the catalog is joined depends on its size, never what is read
+    small = attrs.limit(max_catalog_rows + 1).count() <= max_catalog_rows
+    hint = F.broadcast if small else (lambda x: x)
     ev = events
     if head_limit is not None:
         from pyspark.sql import Window
         w = Window.partitionBy(name_col).orderBy(*core_columns)
-        docs = attrs_df.select("_event").distinct()
-        docs = F.broadcast(docs) if names is not None else docs
-        ev = (ev.join(docs, ev[name_col] == docs["_event"], "left_semi")
+        docs = attrs.select("_event").distinct()
+        ev = (ev.join(hint(docs), ev[name_col] == docs["_event"], "left_semi")
               .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= head_limit).drop("_rn"))
-    if names:
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        ev = ev.withColumn("_attrs", F.from_json(F.col(data_col), schema))
-        pick = F.lit(None).cast("string")
-        for n in names:
-            pick = F.when(F.col("attribute") == n, F.col("_attrs").getField(n)).otherwise(pick)
-        value = pick
-    else:
-        value = json_attr(F.col(data_col), F.col("attribute"))
+    ev = ev.withColumn("_attrs", F.from_json(F.col(data_col), "map<string,string>"))
+    value = F.element_at(F.col("_attrs"), F.col("attribute"))
+    attrs = hint(attrs)
     j = ev.join(attrs, ev[name_col] == attrs["_event"], "inner")
     return j.select(*core_columns, "attribute", value.alias("value"))
 

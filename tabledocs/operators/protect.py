@@ -15,25 +15,23 @@ from pyspark.sql import types as T
 
 from ..functions.fixed import PII_NAME_PATTERNS, PII_REDACTED, PII_SKIP_PREFIXES
 from ..functions.rules import DEFAULT_RULES, ScrubRule, match_count, scrub
-from ..session import spread
 
-_SKIP_RE = re.compile(PII_SKIP_PREFIXES)
-_NAME_RE = re.compile(PII_NAME_PATTERNS)
+# One predicate for driver-side names and for columns of names: a personal
+# name that doesn't begin like a flag or a count.
+PII_NAME = f"(?s)^(?!{PII_SKIP_PREFIXES.removeprefix('^')})(?=.*?(?:{PII_NAME_PATTERNS}))"
 
 
 # ─── PII by column name / flag ──────────────────────────────────────────────
 
-def name_looks_like_pii(name: str | None) -> bool:
-    """Driver-side check of one schema field name (metadata, not data)."""
-    if not name or _SKIP_RE.match(name):
-        return False
-    return _NAME_RE.search(name) is not None
-
-
 def pii_name_expr(name) -> Column:
-    """Same check as a column expression over a table of column names."""
+    """Whether a column name of a table of names looks personal."""
     n = F.col(name) if isinstance(name, str) else name
-    return (F.coalesce(n, F.lit("")) != "") & ~n.rlike(PII_SKIP_PREFIXES) & n.rlike(PII_NAME_PATTERNS)
+    return F.coalesce(n.rlike(PII_NAME), F.lit(False))
+
+
+def name_looks_like_pii(name: str | None) -> bool:
+    """The same for one name known to the driver."""
+    return bool(re.search(PII_NAME, name or ""))
 
 
 def meta_pii_flag(meta_json) -> Column:
@@ -73,7 +71,6 @@ def protect(df: DataFrame, meta: dict | None = None, rules: tuple[ScrubRule, ...
     """Mask PII columns (every row, nulls included, becomes ``<pii>``) and
     scrub PII shapes inside every other string column. One projection."""
     masked = pii_columns(df, meta, documented)
-    df = spread(df)
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -88,7 +85,7 @@ def protect(df: DataFrame, meta: dict | None = None, rules: tuple[ScrubRule, ...
 
 def scrub_column(df: DataFrame, column: str, rules: tuple[ScrubRule, ...] = DEFAULT_RULES,
                  out: str | None = None, unicode: bool = True) -> DataFrame:
-    return spread(df).withColumn(out or column, scrub(F.col(f"`{column}`"), rules, unicode))
+    return df.withColumn(out or column, scrub(F.col(f"`{column}`"), rules, unicode))
 
 
 # ─── scan ───────────────────────────────────────────────────────────────────
@@ -105,7 +102,7 @@ def pii_scan(df: DataFrame, table_name: str, columns: list[str] | None = None,
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     pairs = [(c, r) for c in columns for r in rules]
-    counts = spread(df).select(*[match_count(F.col(f"`{c}`"), r, unicode).alias(f"n{i}")
+    counts = df.select(*[match_count(F.col(f"`{c}`"), r, unicode).alias(f"n{i}")
                          for i, (c, r) in enumerate(pairs)])
     aggs = [F.count(F.lit(1)).alias("rows_total")]
     for i in range(len(pairs)):

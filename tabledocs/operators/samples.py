@@ -106,8 +106,6 @@ def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int =
             heads.append(to_long(h, slug, order_by, pii_columns(df, (meta or {}).get(slug))))
     if not heads:
         return None
-    if len(heads) == 1:
-        return render_long(heads[0], rules)
     parts = []
     for i in range(0, len(heads), group):
         raw = heads[i]

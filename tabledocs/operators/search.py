@@ -17,20 +17,13 @@ from pyspark.sql import types as T
 from ..functions.fixed import (INDEX_FILE, PY_WS_CLASS, SEARCH_MAX_RESULTS, SEARCH_MAX_SNIPPETS,
                                SEARCH_SNIPPET_MAX_LEN, SUMMARY_MAX_LEN)
 from ..functions.strings import cut, file_lines, let, py_strip, split_lines
-from ..session import spread
-
-# Above this many keywords one automaton pass per text beats one filter per keyword.
-_PROJECTED_KEYWORDS_MAX = 64
-# Keyword bytes shipped with each task for one automaton; longer lists are
-# split into several automata, each its own pass over the corpus.
-AUTOMATON_BYTES_MAX = 32 * 1024 * 1024
 
 
 def as_corpus(df: DataFrame, name_col: str, text_col: str) -> DataFrame:
-    """Any ``(id, text)`` table as a corpus; the index document is skipped.
-    Text work is spread over all cores when the scan has few partitions."""
-    return spread(df.select(F.col(name_col).alias("name"), F.col(text_col).alias("text"))
-                  .where(F.col("name").cast("string") != F.lit(INDEX_FILE.removesuffix(".md"))))
+    """Any ``(id, text)`` table as a corpus; the index document is skipped,
+    documents without a name are kept."""
+    return (df.select(F.col(name_col).alias("name"), F.col(text_col).alias("text"))
+            .where(~F.col("name").cast("string").eqNullSafe(F.lit(INDEX_FILE.removesuffix(".md")))))
 
 
 # A line that, once stripped, is non-empty and does not start with ``#``.
@@ -130,95 +123,19 @@ def search(corpus: DataFrame, keyword: str, max_results: int = SEARCH_MAX_RESULT
 
 # ─── many keywords ──────────────────────────────────────────────────────────
 
-def _batch_projected(corpus: DataFrame, needles: list[str]) -> DataFrame:
-    """One projection per document computes the matching lines of every
-    keyword (lines lowered once), then only non-empty results are emitted."""
-    def has(k):  # one-argument lambda: Spark reads a second argument as the index
-        return lambda l: F.contains(l.getField("low"), F.lit(k))
-
-    per_kw = F.array(*[
-        F.struct(F.lit(k).alias("keyword"), F.filter(F.col("lines"), has(k)).alias("m"))
-        for k in needles])
-    lines = F.transform(split_lines(F.col("text")),
-                        lambda l: F.struct(l.alias("raw"), F.lower(l).alias("low")))
-
-    def any_keyword(low: Column) -> Column:
-        out = F.lit(False)
-        for k in needles:
-            out = out | F.contains(low, F.lit(k))
-        return out
-
-    # The text is lowered once for the filter; lines and the summary are
-    # computed once per document, before one row per keyword is emitted.
-    return (corpus.where(let(F.lower(F.col("text")), any_keyword))
-            .select("name", lines.alias("lines"), summary_line("text").alias("description"))
-            .select("name", "description", F.inline(per_kw))
-            .where(F.size("m") > 0)
-            .select("keyword", "name", "description", F.size("m").alias("match_count"),
-                    _snippets(F.transform("m", lambda x: x.getField("raw"))).alias("snippets")))
-
-
-def _batch_automaton(corpus: DataFrame, needles: list[str]) -> DataFrame:
-    """Aho–Corasick over each document's lines in Arrow batches: one pass per
-    text whatever the number of keywords. The keyword list is shipped with the
-    task (its size is bounded by the caller)."""
-    import pandas as pd
-
-    schema = T.StructType([
-        T.StructField("keyword", T.StringType()),
-        T.StructField("name", corpus.schema["name"].dataType),
-        T.StructField("description", T.StringType()),
-        T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])
-    kw = list(needles)
-
-    def run(batches):
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for k in kw:
-            auto.add_word(k, k)
-        auto.make_automaton()
-        for pdf in batches:
-            out = {"keyword": [], "name": [], "description": [], "line_no": [], "line": []}
-            for name, desc, text in zip(pdf["name"], pdf["description"], pdf["text"]):
-                if text is None:
-                    continue
-                for no, line in enumerate(text.splitlines()):
-                    for k in {k for _, k in auto.iter(line.lower())}:
-                        out["keyword"].append(k)
-                        out["name"].append(name)
-                        out["description"].append(desc)
-                        out["line_no"].append(no)
-                        out["line"].append(line)
-            if out["keyword"]:  # an empty frame has no column types for Arrow
-                frame = pd.DataFrame(out)
-                frame["line_no"] = frame["line_no"].astype("int32")
-                yield frame
-
-    # The summary is computed JVM-side before the Python step and carried
-    # through, so no join back to the corpus is needed.
-    hits = (corpus.select("name", "text", summary_line("text").alias("description"))
-            .mapInPandas(run, schema))
-    # One row per matching line; a document's lines all come from one task, so
-    # the partial aggregate collapses them before the shuffle.
-    per_doc = (hits.groupBy("keyword", "name", "description")
-               .agg(F.count(F.lit(1)).cast("int").alias("match_count"),
-                    F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls")))
-    return per_doc.select("keyword", "name", "description", "match_count",
-                          _snippets(F.transform("ls", lambda x: x.getField("line"))).alias("snippets"))
-
-
-def _chunks_by_bytes(words: list[str], limit: int) -> list[list[str]]:
-    out, cur, size = [], [], 0
-    for w in words:
-        n = len(w.encode("utf-8")) + 16
-        if cur and size + n > limit:
-            out.append(cur)
-            cur, size = [], 0
-        cur.append(w)
-        size += n
-    if cur:
-        out.append(cur)
-    return out
+def _batch_hits(corpus: DataFrame, needles: list[str]) -> DataFrame:
+    """One row per document and keyword found in it. The keywords are one
+    array value, so the plan is the same for any number of them: a document's
+    lowered text is tested against each, and only those found are looked up in
+    its lines."""
+    def found(low: Column) -> Column:
+        return F.filter(F.lit(needles), lambda k: F.contains(low, k))
+
+    matching = F.filter(split_lines(F.col("text")), lambda l: F.contains(F.lower(l), F.col("keyword")))
+    return (corpus.select("name", "text", let(F.lower(F.col("text")), found).alias("found")).where(F.size("found") > 0)
+            .select("name", "text", summary_line("text").alias("description"), F.explode("found").alias("keyword"))
+            .select("keyword", "name", "description", matching.alias("m")).where(F.size("m") > 0)
+            .select("keyword", "name", "description", F.size("m").alias("match_count"), _snippets(F.col("m")).alias("snippets")))
 
 
 def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None = SEARCH_MAX_RESULTS
@@ -229,13 +146,7 @@ def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None
     needles = sorted({_needle(k) for k in keywords})
     if not needles:
         raise ValueError("`keywords` must hold at least one non-empty keyword.")
-    if len(needles) <= _PROJECTED_KEYWORDS_MAX:
-        hits = _batch_projected(corpus, needles)
-    else:
-        hits = None
-        for chunk in _chunks_by_bytes(needles, AUTOMATON_BYTES_MAX):
-            part = _batch_automaton(corpus, chunk)
-            hits = part if hits is None else hits.unionByName(part)
+    hits = _batch_hits(corpus, needles)
     if max_results is None:
         return hits
     w = Window.partitionBy("keyword").orderBy(name_order(corpus))

@@ -67,21 +67,36 @@ def guarded_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
+GUARDED_CTE_SQL = """
+WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY o_custkey),
+     busy AS (SELECT * FROM spent WHERE n >= (SELECT avg(n) FROM spent))
+SELECT c.c_nationkey AS nation, count(*) AS customers, round(sum(b.total), 2) AS total
+FROM busy b JOIN customer c ON c.c_custkey = b.o_custkey GROUP BY c.c_nationkey
+"""
+
+
+def guarded_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for name in ("orders", "customer"):
+        _t(spark, sf_dir, name).createOrReplaceTempView(name)
+    df, _ = S.run_sql(spark, GUARDED_CTE_SQL)
+    return df
+
+
 # ─── protection ─────────────────────────────────────────────────────────────
 
 def scrub_documents(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
-    return P.scrub_column(d.select("doc_id", "text"), "text")
+    return P.scrub_column(spread(d.select("doc_id", "text")), "text")
 
 
 def scrub_pages(spark, sf_dir):
     d = _t(spark, sf_dir, "pages")
-    return P.scrub_column(d.select("page_id", "html"), "html")
+    return P.scrub_column(spread(d.select("page_id", "html")), "html")
 
 
 def scrub_conversations(spark, sf_dir):
     d = _t(spark, sf_dir, "conversations")
-    return P.scrub_column(d.select("conv_id", "turn", "text"), "text")
+    return P.scrub_column(spread(d.select("conv_id", "turn", "text")), "text")
 
 
 def mask_customer(spark, sf_dir):
@@ -90,9 +105,9 @@ def mask_customer(spark, sf_dir):
 
 
 def pii_scan(spark, sf_dir):
-    parts = [P.pii_scan(_t(spark, sf_dir, "documents"), "documents", ["text"]),
-             P.pii_scan(_t(spark, sf_dir, "pages"), "pages", ["url", "html"]),
-             P.pii_scan(_t(spark, sf_dir, "conversations"), "conversations", ["role", "text"])]
+    parts = [P.pii_scan(spread(_t(spark, sf_dir, "documents")), "documents", ["text"]),
+             P.pii_scan(spread(_t(spark, sf_dir, "pages")), "pages", ["url", "html"]),
+             P.pii_scan(spread(_t(spark, sf_dir, "conversations")), "conversations", ["role", "text"])]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -106,7 +121,7 @@ BATCH_KEYWORDS = ["thou", "Eau", "ungs", "schön", "@", "http", "license", "the
 
 
 def _docs(spark, sf_dir):
-    return Q.as_corpus(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return Q.as_corpus(spread(_t(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def list_documents(spark, sf_dir):
@@ -128,6 +143,16 @@ def search_batch(spark, sf_dir):
     return r.withColumn("snippets", F.concat_ws("\n", "snippets"))
 
 
+def search_batch_many(spark, sf_dir):
+    """Eighty keywords, every hit kept."""
+    r = Q.search_batch(_docs(spark, sf_dir), MANY_KEYWORDS, max_results=None)
+    return r.withColumn("snippets", F.concat_ws("\n", "snippets"))
+
+
+# Two-letter beginnings with endings that the corpus's words are made of.
+MANY_KEYWORDS = [a + b for a in ("th", "er", "st", "in", "re", "un", "qu", "zz") for b in ("ing", "ent", "ion", "eit", "ado", "eau", "xy", "the", "her", "ung")]
+
+
 # ─── declared tests on data ─────────────────────────────────────────────────
 
 def _tables(spark, sf_dir, names):
@@ -143,9 +168,8 @@ def test_accepted_values(spark, sf_dir):
 
 
 def test_relationships(spark, sf_dir):
-    # Declared rule: every line must belong to an order placed before 1997.
-    parent = _t(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp"))
-    return C.failing_relationships(_t(spark, sf_dir, "lineitem"), "l_orderkey", parent, "o_orderkey")
+    # Declared rule: a line's part number is a supplier's number (there are more parts).
+    return C.failing_relationships(_t(spark, sf_dir, "lineitem"), "l_partkey", _t(spark, sf_dir, "supplier"), "s_suppkey")
 
 
 def test_not_null(spark, sf_dir):
@@ -173,8 +197,14 @@ def declared_tests(spark, sf_dir):
     return C.run_tests(DECLARED_TESTS, _tables(spark, sf_dir, names))
 
 
+# What the declared tests must read as, spelled out.
+_DECLARED_TEXTS = (
+    "unique", "unique", "unique", "not_null", "not_null", "accepted_values(values=[O, F])", "accepted_values(values=[A, N, R])",
+    "accepted_values(values=[signup, click, view, purchase])", "relationships(to=orders, field=o_orderkey)", "relationships(to=documents, field=doc_id)",
+    "relationships(to=customer, field=c_custkey)")
+
+
 def _ddb_declared_tests() -> str:
-    parent_key = {"orders": "o_orderkey", "documents": "doc_id", "customer": "c_custkey"}
     parts = []
     for i, t in enumerate(DECLARED_TESTS):
         cols = t.column if isinstance(t.column, list) else [t.column]
@@ -193,7 +223,7 @@ def _ddb_declared_tests() -> str:
             q = (f"SELECT count(*) FROM {t.table} c WHERE c.{cols[0]} IS NOT NULL AND NOT EXISTS "
                  f"(SELECT 1 FROM {to} p WHERE p.{fld} = c.{cols[0]})")
         col = ",".join(cols)
-        text = t.text.replace("'", "''")
+        text = _DECLARED_TEXTS[i]
         parts.append(
             f"SELECT {i} AS test_pos, '{t.table}' AS table_name, '{col}' AS column_name, "
             f"'{t.test}' AS test_name, '{text}' AS test_text, CAST(({q}) AS BIGINT) AS failures, "
@@ -441,6 +471,7 @@ def jobs() -> dict[str, Job]:
     return {
         "monthly_revenue": monthly_revenue,
         "guarded_sql": guarded_sql,
+        "guarded_cte": guarded_cte,
         "scrub_documents": scrub_documents,
         "scrub_pages": scrub_pages,
         "scrub_conversations": scrub_conversations,
@@ -450,6 +481,7 @@ def jobs() -> dict[str, Job]:
         "first_sentence": first_sentences,
         "search_documents": search_documents,
         "search_batch": search_batch,
+        "search_batch_many": search_batch_many,
         "test_unique": test_unique,
         "test_accepted_values": test_accepted_values,
         "test_relationships": test_relationships,
@@ -472,6 +504,7 @@ def oracles() -> dict[str, str]:
     return {
         "monthly_revenue": S.MONTHLY_REVENUE_SQL,
         "guarded_sql": GUARDED_SQL,
+        "guarded_cte": GUARDED_CTE_SQL,
         "scrub_documents": f"SELECT doc_id, {_ddb_scrub('text')} AS text FROM documents",
         "scrub_pages": f"SELECT page_id, {_ddb_scrub('html')} AS html FROM pages",
         "scrub_conversations":
@@ -503,6 +536,15 @@ def oracles() -> dict[str, str]:
             f"CAST(len(m) AS INTEGER) AS match_count, {_ddb_snippets('m')} AS snippets "
             f"FROM d WHERE len(m) > 0 "
             f"QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY name) <= 20",
+        "search_batch_many":
+            "WITH k AS (SELECT unnest(["
+            + ", ".join(_sql_str(x) for x in MANY_KEYWORDS)
+            + "]) AS keyword), "
+            f"d AS (SELECT keyword, doc_id AS name, text, "
+            f"{_ddb_matching('text', 'keyword')} AS m FROM documents, k) "
+            f"SELECT keyword, name, {_ddb_summary('text')} AS description, "
+            f"CAST(len(m) AS INTEGER) AS match_count, {_ddb_snippets('m')} AS snippets "
+            "FROM d WHERE len(m) > 0",
         "test_unique":
             "SELECT l_orderkey, l_linenumber, count(*) AS n_records FROM lineitem "
             "WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL "
@@ -511,9 +553,8 @@ def oracles() -> dict[str, str]:
             "SELECT o_orderstatus, count(*) AS n_records FROM orders WHERE o_orderstatus IS NOT NULL "
             "AND o_orderstatus NOT IN ('O', 'F') GROUP BY o_orderstatus",
         "test_relationships":
-            "SELECT l_orderkey, count(*) AS n_records FROM lineitem l WHERE l_orderkey IS NOT NULL "
-            "AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey "
-            "AND o.o_orderdate < TIMESTAMP '1997-01-01') GROUP BY l_orderkey",
+            "SELECT l_partkey, count(*) AS n_records FROM lineitem l WHERE l_partkey IS NOT NULL "
+            "AND NOT EXISTS (SELECT 1 FROM supplier p WHERE p.s_suppkey = l.l_partkey) GROUP BY l_partkey",
         "test_not_null": "SELECT * FROM events WHERE props IS NULL",
         "declared_tests": _ddb_declared_tests(),
         "event_attributes":

@@ -28,10 +28,11 @@ _REFUSED_NODE_WORDS = ("Insert", "Command", "Statement", "ScriptTransformation",
                        "CreateTable", "ReplaceTable", "AsSelect", "DeleteFrom",
                        "UpdateTable", "MergeInto", "Drop", "Alter", "Cache",
                        "SetVariable", "Call")
-# Functions that reach outside SQL (run JVM methods) are refused by name.
-_REFUSED_FUNCTIONS = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(", re.IGNORECASE)
-# Without a parsed plan (Spark Connect): scripts and file paths, lexically.
-_REFUSED_LEXICAL = re.compile(r"\bTRANSFORM\s*\(.*\bUSING\b|`[^`]*[/:][^`]*`", re.IGNORECASE | re.DOTALL)
+# Functions that reach outside SQL (they run JVM methods).
+_REFUSED_FUNCTIONS = {"java_method", "reflect", "try_reflect"}
+# Without a parsed plan (Spark Connect) these are refused wherever they stand.
+_REFUSED_LEXICAL = re.compile(r"\b(java_method|reflect|try_reflect|transform|identifier)\b|`[^`]*[/:][^`]*`", re.IGNORECASE)
+_CATALYST = "org.apache.spark.sql.catalyst."
 
 
 def guard_text(spark: SparkSession, sql: str) -> str | None:
@@ -41,46 +42,68 @@ def guard_text(spark: SparkSession, sql: str) -> str | None:
     return df.select(guard_reason("sql").alias("r")).first()["r"]
 
 
-def _walk_plan(node, seen):
-    yield node
-    children = node.children()
-    for i in range(children.size()):
-        yield from _walk_plan(children.apply(i), seen)
-    # subquery plans inside expressions
-    try:
-        subs = node.subqueries()
-        for i in range(subs.size()):
-            yield from _walk_plan(subs.apply(i), seen)
-    except Exception:
-        pass
+def _items(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _parsed_nodes(tree, gateway):
+    """Every node of a parsed plan: plans, the bodies of CTEs, expressions,
+    and the plans of subqueries in expressions."""
+    from py4j.java_gateway import is_instance_of
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [*_items(node.children()), *_items(node.innerChildren())]
+        if is_instance_of(gateway, node, _CATALYST + "plans.QueryPlan"):
+            todo += _items(node.expressions())
+        elif is_instance_of(gateway, node, _CATALYST + "expressions.PlanExpression"):
+            todo.append(node.plan())
+
+
+def _refusal(spark: SparkSession, plan) -> str | None:
+    """Why a parsed plan is refused; None if it only reads known tables."""
+    gateway = spark.sparkContext._gateway
+    nodes = [(n.getClass().getSimpleName(), n) for n in _parsed_nodes(plan, gateway)]
+    named = {x._1().lower() for kind, n in nodes if kind == "UnresolvedWith" for x in _items(n.cteRelations())}
+    for kind, node in nodes:
+        if any(w in kind for w in _REFUSED_NODE_WORDS):
+            return f"plan contains a refused operation: {kind}"
+        if "WithUnresolvedIdentifier" in kind:
+            return "names computed by IDENTIFIER are not allowed"
+        if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            parts = node.nameParts() if kind == "UnresolvedFunction" else node.name()
+            if [*_items(parts)][-1].lower() in _REFUSED_FUNCTIONS:
+                return "functions that call JVM methods are not allowed"
+        if kind == "UnresolvedRelation":
+            parts = [*_items(node.multipartIdentifier())]
+            if len(parts) == 1 and parts[0].lower() in named:
+                continue
+            # a path read as a table (parquet.`/path`) is no table of the catalog
+            if any("/" in x or ":" in x for x in parts) or not spark.catalog.tableExists(".".join("`" + x.replace("`", "``") + "`" for x in parts)):
+                return "only registered tables and views can be read: " + ".".join(parts)
+    return None
 
 
 def check_plan(spark: SparkSession, sql: str) -> None:
     """Parse (never run) the text and inspect every node of the parsed plan.
 
-    The parser refuses a second statement; every node, not only the root, is
-    checked because ``WITH … INSERT`` and multi-inserts hide the write below
-    the root.
+    The parser refuses a second statement; every node is checked, the bodies
+    of CTEs and subqueries included. Whatever can't be inspected is refused.
     """
-    if _REFUSED_FUNCTIONS.search(sql):
-        raise ReadOnlyViolation("functions that call JVM methods are not allowed")
     jss = getattr(spark, "_jsparkSession", None)
     if jss is None:  # Spark Connect: guard, lexical refusals, single-statement parse
         if _REFUSED_LEXICAL.search(sql):
-            raise ReadOnlyViolation("scripts and file paths are not allowed")
+            raise ReadOnlyViolation("scripts, JVM functions, computed names and file paths are not allowed")
         return
     try:
-        plan = jss.sessionState().sqlParser().parsePlan(sql)
-    except Exception as e:  # ParseException (e.g. two statements)
-        raise ReadOnlyViolation(f"could not parse query: {str(e).splitlines()[0]}") from None
-    for node in _walk_plan(plan, set()):
-        name = node.getClass().getSimpleName()
-        if any(w in name for w in _REFUSED_NODE_WORDS):
-            raise ReadOnlyViolation(f"plan contains a refused operation: {name}")
-        if name == "UnresolvedRelation":
-            parts = str(node.multipartIdentifier().mkString("\u0001")).split("\u0001")
-            if any("/" in p or ":" in p for p in parts):
-                raise ReadOnlyViolation("queries on file paths are not allowed")
+        reason = _refusal(spark, jss.sessionState().sqlParser().parsePlan(sql))
+    except Exception as e:  # ParseException (e.g. two statements), or a node that can't be walked
+        raise ReadOnlyViolation(f"could not check query: {(str(e).splitlines() or [repr(e)])[0]}") from None
+    if reason:
+        raise ReadOnlyViolation(reason)
 
 
 def assert_read_only(spark: SparkSession, sql: str) -> None:
@@ -132,20 +155,29 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 @dataclass
 class QueryResult:
+    """A query's whole result: ``frame`` (JSON-safe values) and its exact
+    ``row_count``. Rows leave through a writer of ``frame``, one by one from
+    ``iter_rows()``, or all at once from ``rows``, each at the caller's wish."""
+
     sql: str
     columns: list[dict[str, Any]]
-    rows: list[dict[str, Any]]
+    frame: DataFrame
     row_count: int
     cache_hit: bool
     elapsed_ms: int
-    truncated: bool = False
     extra: dict = field(default_factory=dict)
 
+    def iter_rows(self):
+        for r in self.frame.toLocalIterator():
+            yield r.asDict()
+
+    @property
+    def rows(self) -> list[dict[str, Any]]:
+        return [r.asDict() for r in self.frame.collect()]
+
 
-def execute(spark: SparkSession, sql: str, max_rows: int = 10_000, cache=None,
-            log=None) -> QueryResult:
-    """Structured result of a guarded query. Rows brought to the driver are
-    capped at ``max_rows`` (the result is a report; the cap is its feature)."""
+def execute(spark: SparkSession, sql: str, cache=None, log=None) -> QueryResult:
+    """Structured result of a guarded query, whole and uncut."""
     started = time.perf_counter()
     try:
         df, hit = run_sql(spark, sql, use_cache=cache is not None, cache=cache)
@@ -154,18 +186,12 @@ def execute(spark: SparkSession, sql: str, max_rows: int = 10_000, cache=None,
             log.event("tool_call_rejected", tool="execute_sql", sql=sql, reason=str(e))
         raise
     safe = df.select(*json_safe_columns(df))
-    got = safe.limit(max_rows + 1).collect()
-    truncated = len(got) > max_rows
-    got = got[:max_rows]
-    elapsed = int((time.perf_counter() - started) * 1000)
+    n = safe.count()
     res = QueryResult(
-        sql=sql,
-        columns=[{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields],
-        rows=[r.asDict() for r in got], row_count=len(got), cache_hit=hit,
-        elapsed_ms=elapsed, truncated=truncated)
+        sql=sql, columns=[{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields],
+        frame=safe, row_count=n, cache_hit=hit, elapsed_ms=int((time.perf_counter() - started) * 1000))
     if log is not None:
-        log.event("tool_call_ok", tool="execute_sql", sql=sql, row_count=res.row_count,
-                  cache_hit=hit, elapsed_ms=elapsed)
+        log.event("tool_call_ok", tool="execute_sql", sql=sql, row_count=n, cache_hit=hit, elapsed_ms=res.elapsed_ms)
     return res
 
 

@@ -165,11 +165,13 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy per-row work over the cluster when the scan gives
-    fewer partitions than there are cores (a few large unsplittable files).
+    """Spread CPU-heavy per-row work over the cluster when a scan of files
+    gives fewer partitions than there are cores (a few unsplittable files).
 
-    A round-robin repartition is added only in that case; a large input
-    already scans as many partitions and is left as it is (no shuffle)."""
+    For a plain scan with column choices only, as read from a source: counting
+    its partitions plans the scan and runs no job. A round-robin repartition is
+    added only in that case; a large input already scans as many partitions
+    and is left as it is (no shuffle)."""
     if df.isStreaming:
         return df
     spark = df.sparkSession

@@ -63,3 +63,17 @@ def test_empty_inputs(spark):
         {(n, 0, 0, 0) for n in ("email", "ip", "phone_intl", "phone_na")}
     assert C.failing_unique(empty, "text").count() == 0
     assert C.failing_relationships(empty, "id", empty, "id").count() == 0
+
+
+def test_accepted_booleans(spark):
+    df = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    assert C.failing_accepted_values(df, "b", [True, False]).collect() == []
+    assert [r.b for r in C.failing_accepted_values(df, "b", ["true", "maybe"]).collect()] == [False]
+
+
+def test_declared_text_of_nested_lists(spark):
+    from tabledocs.functions.testtext import declared_text
+    kwargs = {"b": [1, ["x, y", [True, None]], {"k": ["v", 1]}], "a": None, "model": "m", "c": "say \"hi\"", "d": []}
+    got = spark.range(1).select(declared_text("t", kwargs).alias("x")).first()["x"]
+    assert got == 't(b=[1, [x, y, [true, None]], {"k":["v",1]}], a=None, c=say "hi", d=[])'
+    assert spark.range(1).select(declared_text("t", {"column_name": "x"}).alias("x")).first()["x"] == "t"

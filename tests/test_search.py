@@ -65,26 +65,19 @@ def test_read_document(corpus):
             Q.read_document(corpus, bad)
 
 
-def test_batch_projected_equals_automaton(spark):
+def test_batch_equals_single_searches(spark):
     docs = Q.as_corpus(spark.read.parquet(f"{SF01}/documents.parquet"), "doc_id", "text")
-    kws = ["thou", "eau", "ungs", "schön", "@", "http", "license", "the end"]
-    small = Q._batch_projected(docs, sorted(set(kws)))
-    auto = Q._batch_automaton(docs, sorted(set(kws)))
-    key = lambda r: (r.keyword, r.name)
-    a = sorted(small.collect(), key=key)
-    b = sorted(auto.collect(), key=key)
-    assert len(a) == len(b) > 0
-    for x, y in zip(a, b):
-        assert (x.keyword, x.name, x.match_count, x.snippets, x.description) == \
-               (y.keyword, y.name, y.match_count, y.snippets, y.description)
-
-
-def test_batch_many_keywords_uses_automaton(spark):
-    docs = Q.as_corpus(spark.read.parquet(f"{SF01}/documents.parquet"), "doc_id", "text")
-    kws = [f"zz{i}" for i in range(70)] + ["thou"]
-    out = Q.search_batch(docs, kws, max_results=None)
-    want = Q.search_hits(docs, "thou").count()
-    assert out.where(F.col("keyword") == "thou").count() == want == 423
+    kws = ["thou", "eau", "ungs", "schön", "@", "http", "license", "the end", "zz", "a\nb"]
+    key = lambda r: (r.keyword, r.name, r.match_count, tuple(r.snippets), r.description)
+    one = [r for k in kws for r in Q.search_hits(docs, k).withColumn("keyword", F.lit(k)).collect()]
+    assert sorted(map(key, Q.search_batch(docs, kws, max_results=None).collect())) == sorted(map(key, one))
+
+
+@pytest.mark.parametrize("extra", [0, 70])
+def test_batch_gives_a_result_per_row_at_any_number_of_keywords(spark, extra):
+    c = Q.as_corpus(spark.createDataFrame([("a", "same text"), ("a", "same text"), (None, "text too")], "name string, text string"), "name", "text")
+    got = Q.search_batch(c, ["text"] + [f"none{i}" for i in range(extra)], max_results=None).collect()
+    assert sorted((r.name or "", r.match_count) for r in got) == [("", 1), ("a", 1), ("a", 1)]
 
 
 def test_first_sentence(spark):
@@ -100,17 +93,6 @@ def test_split_lines_like_python(spark):
         assert one(spark, split_lines, text) == text.splitlines()
 
 
-def test_automaton_chunks_equal_one_pass(spark, monkeypatch):
-    docs = Q.as_corpus(spark.read.parquet(f"{SF01}/documents.parquet"), "doc_id", "text")
-    kws = [f"zz{i}" for i in range(70)] + ["thou", "eau", "ungs"]
-    one = Q.search_batch(docs, kws, max_results=None)
-    monkeypatch.setattr(Q, "AUTOMATON_BYTES_MAX", 200)  # forces several automata
-    assert len(Q._chunks_by_bytes(sorted(kws), 200)) > 1
-    many = Q.search_batch(docs, kws, max_results=None)
-    key = lambda r: (r.keyword, r.name, r.match_count, tuple(r.snippets))
-    assert sorted(map(key, one.collect())) == sorted(map(key, many.collect()))
-
-
 def test_py_title(spark):
     from tabledocs.functions.strings import py_title
     for text in ["feature flags", "feature-flags", "1st kind", "ÉVÉNEMENTS d'été", "abc", "", "x_y"]:

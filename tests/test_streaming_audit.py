@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -45,7 +46,7 @@ def test_audit_lines_round_trip(spark):
     ev = _events(spark)
     for fmt in ("kv", "json"):
         lines = A.event_lines(ev, fmt)
-        back = A.parse_lines(lines)
+        back = A.parse_lines(lines).drop("extra")
         assert back.exceptAll(ev).count() == 0 and ev.exceptAll(back).count() == 0
     kv = [r.line for r in A.event_lines(ev.where("ts = 3.0"), "kv").collect()][0]
     assert 'reason="only SELECT / WITH queries are allowed (got: DROP)"' in kv and kv.startswith("ts=3.000 ")
@@ -136,3 +137,13 @@ def test_connect_lexical_refusals():
     assert _REFUSED_LEXICAL.search("SELECT TRANSFORM(a) USING 'cat' FROM t")
     assert _REFUSED_LEXICAL.search("SELECT * FROM parquet.`/data/x`")
     assert not _REFUSED_LEXICAL.search("SELECT `my col` FROM t")
+
+
+@pytest.mark.parametrize("fmt", ["kv", "json"])
+def test_free_fields_survive(spark, fmt):
+    rows = [(1.5, "call", "ann lee", 'say "a=b"'), (None, "call", None, None)]
+    df = spark.createDataFrame(rows, "ts double, event string, user string, note string")
+    got = A.parse_lines(A.event_lines(df, fmt))
+    assert [(r.event, r.extra) for r in got.collect()] == [("call", {"user": "ann lee", "note": 'say "a=b"'}), ("call", {})]
+    again = A.parse_lines(A.event_lines(got, fmt))
+    assert again.collect() == got.collect()

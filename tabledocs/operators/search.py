@@ -62,10 +62,14 @@ def list_documents(corpus: DataFrame) -> DataFrame:
 
 
 def read_document(corpus: DataFrame, name: str) -> DataFrame:
-    """One document by name; names with path separators or ``..`` are refused."""
-    if "/" in name or "\\" in name or ".." in name:
-        raise ValueError(f"invalid model name: {name!r}")
-    return corpus.where(F.col("name").cast("string") == F.lit(name)).select("name", "text")
+    """One document by name; names that could leave a folder are refused, and
+    an unknown one is an error (a lookup that stops at the first hit)."""
+    if any(part in name for part in ("/", "\\", "..")):
+        raise ValueError(f"not a document name: {name!r}")
+    found = corpus.where(F.col("name").cast("string") == F.lit(name)).select("name", "text")
+    if found.isEmpty():
+        raise LookupError(f"no document is called {name!r}")
+    return found
 
 
 def _needle(keyword: str) -> str:

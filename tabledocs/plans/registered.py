@@ -51,14 +51,14 @@ GUARDED_SQL = (
 
 
 MARKDOWN_SQL = ("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders "
-                "GROUP BY o_orderpriority, o_orderstatus")
+                "GROUP BY o_orderpriority, o_orderstatus ORDER BY o_orderpriority, o_orderstatus")
 
 
 def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A guarded query's result as a left-justified markdown table (lines)."""
     _t(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     df, _ = S.run_sql(spark, MARKDOWN_SQL)
-    return S.markdown_table_lines(df).select("line")
+    return S.markdown_table_lines(df)
 
 
 def guarded_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,9 +394,9 @@ def _ddb_markdown_table() -> str:
     head = row([f"rpad('{c}', CAST(w{i} AS INTEGER), ' ')" for i, c in enumerate(names)])
     rule = row([f"repeat('-', CAST(w{i} AS INTEGER))" for i in range(len(names))])
     body = row([f"rpad(c{i}, CAST(w{i} AS INTEGER), ' ')" for i in range(len(names))])
-    return (f"WITH r AS ({MARKDOWN_SQL}), c AS (SELECT {cells} FROM r), w AS (SELECT {widths} FROM c) "
-            f"SELECT {head} AS line FROM w UNION ALL SELECT {rule} FROM w "
-            f"UNION ALL SELECT {body} FROM c, w")
+    return (f"WITH r AS ({MARKDOWN_SQL}), c AS (SELECT {cells}, 1 + row_number() OVER (ORDER BY o_orderpriority, o_orderstatus) AS pos FROM r), w AS (SELECT {widths} FROM c) "
+            f"SELECT 0::BIGINT AS pos, {head} AS line FROM w UNION ALL SELECT 1, {rule} FROM w "
+            f"UNION ALL SELECT pos, {body} FROM c, w")
 
 
 def _ddb_hashes() -> str:
@@ -432,6 +432,7 @@ def _ddb_scan(table: str, column: str) -> str:
             f"SELECT '{table}' AS table_name, CAST(count(*) AS BIGINT) AS rows_total, "
             f"'{column}' AS column_name, '{name}' AS rule, "
             f"CAST(count_if({n} > 0) AS BIGINT) AS rows_matched, "
+            f"CAST(count_if({n} > 0) AS DOUBLE) / nullif(count(*), 0) AS share, "
             f"CAST(coalesce(sum({n}), 0) AS BIGINT) AS match_count FROM {table}")
     return " UNION ALL ".join(parts)
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.guard import guard_reason
-from ..functions.strings import cut, null_text
+from ..functions.strings import null_text
+from ..session import materialize
 
 
 class ReadOnlyViolation(ValueError):
@@ -200,27 +201,32 @@ def execute(spark: SparkSession, sql: str, cache=None, log=None) -> QueryResult:
 def markdown_table_lines(df: DataFrame) -> DataFrame:
     """Left-justified markdown table as a DataFrame of ``(pos, line)``.
 
-    Pass 1 is one aggregate for every column width; pass 2 pads each row in
-    place. ``pos`` 0 and 1 are the header and rule; rows follow in order.
+    The query runs once: its cells are written as a table, numbered in the
+    query's order. One aggregate per written part gives the column widths and
+    the part's first position; each row is then padded in place. ``pos`` 0
+    and 1 are the header and rule; rows follow without gaps. Order by ``pos``.
     """
     cols = df.columns
+    spark = df.sparkSession
     if not cols:
-        spark = df.sparkSession
         return spark.createDataFrame([(0, "No results")], "pos long, line string")
     cells = [null_text(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]
-    txt = df.select(*cells)
-    widths = txt.agg(*[F.max(F.length(f"c{i}")).alias(f"w{i}") for i in range(len(cols))]).first()
-    w = [max(len(c), widths[f"w{i}"] or 0) for i, c in enumerate(cols)]
+    txt = materialize(df.select(*cells, F.monotonically_increasing_id().alias("id")), "markdown")
+    part = F.shiftright("id", 33)
+    stats = txt.groupBy(part.alias("part")).agg(F.count("*").alias("n"), *[F.max(F.length(f"c{i}")).alias(f"w{i}") for i in range(len(cols))]).orderBy("part").collect()
+    w = [max([len(c), *(r[f"w{i}"] for r in stats)]) for i, c in enumerate(cols)]
+    first, at = {}, 2
+    for r in stats:
+        first[r["part"]], at = at, at + r["n"]
     head = "| " + " | ".join(c.ljust(w[i]) for i, c in enumerate(cols)) + " |"
     rule = "| " + " | ".join("-" * x for x in w) + " |"
-    body = txt.select(
-        F.concat(F.lit("| "),
-                 F.concat_ws(" | ", *[F.rpad(f"c{i}", w[i], " ") for i in range(len(cols))]),
-                 F.lit(" |")).alias("line"))
-    body = body.withColumn("pos", F.monotonically_increasing_id() + 2)
-    spark = df.sparkSession
     top = spark.createDataFrame([(0, head), (1, rule)], "pos long, line string")
-    return top.unionByName(body.select("pos", "line"))
+    if not first:
+        return top
+    starts = F.create_map(*[F.lit(v).cast("bigint") for kv in first.items() for v in kv])
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.rpad(f"c{i}", w[i], " ") for i in range(len(cols))]), F.lit(" |"))
+    pos = F.element_at(starts, part.cast("bigint")) + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return top.unionByName(txt.select(pos.alias("pos"), line.alias("line")))
 
 
 def monthly_revenue(spark: SparkSession, orders: DataFrame) -> DataFrame:

@@ -146,13 +146,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def list_folder(spark: SparkSession, folder: str) -> list[str] | None:
+    """Names in a folder of any file system Spark reads; None if it is missing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    return sorted(x.getPath().getName() for x in fs.listStatus(path))
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> list[str]:
     """File-table source: one temp view per parquet table that exists."""
+    there = set(list_folder(spark, sf_dir) or ())
     done = []
     for n in names:
-        p = table_path(sf_dir, n)
-        if os.path.exists(p) or "://" in sf_dir:
-            spark.read.parquet(p).createOrReplaceTempView(n)
+        if f"{n}.parquet" in there:
+            spark.read.parquet(table_path(sf_dir, n)).createOrReplaceTempView(n)
             done.append(n)
     return done
 

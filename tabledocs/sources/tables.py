@@ -11,7 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import register_tables
+from ..session import list_folder, register_tables
 
 DEFAULT_PORTS = {"postgres": 5432, "redshift": 5439}
 REQUIRED = {"postgres": ("host", "database", "user"),
@@ -21,11 +21,11 @@ REQUIRED = {"postgres": ("host", "database", "user"),
 def register_folder(spark: SparkSession, folder: str, names=None) -> list[str]:
     """Every ``<name>.parquet`` in a folder as a view; a missing folder is a
     clear error naming it."""
-    if "://" not in folder and not os.path.isdir(folder):
+    found = list_folder(spark, folder)
+    if found is None:
         raise FileNotFoundError(f"table folder not found: {folder}")
     if names is None:
-        names = sorted(f[:-8] for f in os.listdir(folder) if f.endswith(".parquet")) \
-            if "://" not in folder else []
+        names = [f.removesuffix(".parquet") for f in found if f.endswith(".parquet")]
     return register_tables(spark, folder, names)
 
 

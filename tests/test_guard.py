@@ -114,3 +114,12 @@ def test_markdown_table(spark):
     df = spark.createDataFrame([(1, None), (22, "x")], "a int, bb string")
     lines = [r.line for r in markdown_table_lines(df).orderBy("pos").collect()]
     assert lines == ["| a  | bb   |", "| -- | ---- |", "| 1  | NULL |", "| 22 | x    |"]
+
+
+def test_markdown_rows_keep_their_order(spark):
+    spark.range(1000).createOrReplaceTempView("thousand")
+    df, _ = run_sql(spark, "SELECT id FROM thousand ORDER BY id DESC")
+    got = [(r.pos, r.line) for r in markdown_table_lines(df).orderBy("pos").collect()]
+    assert got[2:] == [(2 + i, f"| {str(999 - i).ljust(3)} |") for i in range(1000)]
+    none, _ = run_sql(spark, "SELECT id FROM thousand WHERE id < 0")
+    assert [r.line for r in markdown_table_lines(none).orderBy("pos").collect()] == ["| id |", "| -- |"]

@@ -63,6 +63,8 @@ def test_read_document(corpus):
     for bad in ["../etc/passwd", "a/b", "a\\b"]:
         with pytest.raises(ValueError):
             Q.read_document(corpus, bad)
+    with pytest.raises(LookupError, match="dim_nothing"):
+        Q.read_document(corpus, "dim_nothing")
 
 
 def test_batch_equals_single_searches(spark):

@@ -147,3 +147,18 @@ def test_free_fields_survive(spark, fmt):
     assert [(r.event, r.extra) for r in got.collect()] == [("call", {"user": "ann lee", "note": 'say "a=b"'}), ("call", {})]
     again = A.parse_lines(A.event_lines(got, fmt))
     assert again.collect() == got.collect()
+
+
+def test_streams_without_a_checkpoint_keep_apart(spark, tmp_path):
+    for name in ("one", "two"):
+        spark.createDataFrame([(f"mail {name}@example.org",)], "note string").write.parquet(str(tmp_path / name))
+        protect_stream(spark, str(tmp_path / name), "note string", str(tmp_path / f"{name}-out")).awaitTermination(300)
+    for name in ("one", "two"):
+        assert spark.read.parquet(str(tmp_path / f"{name}-out")).count() == 1
+
+
+def test_register_folder_of_any_file_system(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "three.parquet"))
+    assert register_folder(spark, f"file://{tmp_path}") == ["three"] and spark.table("three").count() == 3
+    with pytest.raises(FileNotFoundError):
+        register_folder(spark, f"file://{tmp_path}/none")

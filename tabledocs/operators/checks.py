@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.testtext import declared_text
+from ..functions.testtext import declared_texts
 from ..session import materialize
 
 
@@ -108,9 +108,6 @@ class DeclaredTest:
     test: str                      # unique | not_null | accepted_values | relationships
     kwargs: dict = field(default_factory=dict)
 
-    def text_column(self) -> Column:
-        return declared_text(self.test, self.kwargs)
-
 
 def failures(test: DeclaredTest, tables: dict[str, DataFrame]) -> DataFrame:
     """Failing rows/keys of one declared test (shape depends on the test)."""
@@ -139,11 +136,11 @@ RESULT_SCHEMA = ("test_pos int, table_name string, column_name string, test_name
                  "test_text string, failures bigint, status string")
 
 
-def _test_row(i: int, t: DeclaredTest, failures) -> list:
+def _test_row(i: int, t: DeclaredTest, text: str, failures) -> list:
     col = t.column if isinstance(t.column, str) else ",".join(t.column)
     return [F.lit(i).alias("test_pos"), F.lit(t.table).alias("table_name"),
             F.lit(col).alias("column_name"), F.lit(t.test).alias("test_name"),
-            t.text_column().alias("test_text"), failures.cast("long").alias("failures")]
+            F.lit(text).alias("test_text"), failures.cast("long").alias("failures")]
 
 
 def _row_test_counts(df: DataFrame, tests: list[tuple[int, DeclaredTest]]):
@@ -168,16 +165,17 @@ def run_tests(tests: list[DeclaredTest], tables: dict[str, DataFrame]) -> DataFr
     scan and one aggregate; unique and relationships tests are each their own
     aggregate or join. The test list is metadata (driver side)."""
     parts = []
+    texts = declared_texts(next(iter(tables.values())).sparkSession, [(t.test, t.kwargs) for t in tests]) if tests else []
     by_table: dict[str, list] = {}
     for i, t in enumerate(tests):
         if t.test in ("not_null", "accepted_values"):
             by_table.setdefault(t.table, []).append((i, t))
         else:
-            parts.append(failure_count(t, tables).select(*_test_row(i, t, F.col("failures"))))
+            parts.append(failure_count(t, tables).select(*_test_row(i, t, texts[i], F.col("failures"))))
     for table, ts in by_table.items():
         counts = _row_test_counts(tables[table], ts)
         agg = tables[table].agg(*[e.alias(f"f{i}") for i, _, e in counts])
-        rows = F.array(*[F.struct(*_test_row(i, t, F.col(f"f{i}"))) for i, t, _ in counts])
+        rows = F.array(*[F.struct(*_test_row(i, t, texts[i], F.col(f"f{i}"))) for i, t, _ in counts])
         parts.append(agg.select(F.inline(rows)))
     if not parts:
         spark = next(iter(tables.values())).sparkSession if tables else None

@@ -130,16 +130,20 @@ def search(corpus: DataFrame, keyword: str, max_results: int = SEARCH_MAX_RESULT
 def _batch_hits(corpus: DataFrame, needles: list[str]) -> DataFrame:
     """One row per document and keyword found in it. The keywords are one
     array value, so the plan is the same for any number of them: a document's
-    lowered text is tested against each, and only those found are looked up in
-    its lines."""
+    lowered text is tested against each, its lines are split and lowered once,
+    and only the keywords found are looked up in them."""
     def found(low: Column) -> Column:
         return F.filter(F.lit(needles), lambda k: F.contains(low, k))
 
-    matching = F.filter(split_lines(F.col("text")), lambda l: F.contains(F.lower(l), F.col("keyword")))
+    def lookup(lines: Column) -> Column:
+        return F.transform("found", lambda k: F.struct(
+            k.alias("keyword"), F.filter(lines, lambda l: F.contains(l.getField("low"), k)).alias("m")))
+
+    lines = F.transform(split_lines(F.col("text")), lambda l: F.struct(l.alias("raw"), F.lower(l).alias("low")))
     return (corpus.select("name", "text", let(F.lower(F.col("text")), found).alias("found")).where(F.size("found") > 0)
-            .select("name", "text", summary_line("text").alias("description"), F.explode("found").alias("keyword"))
-            .select("keyword", "name", "description", matching.alias("m")).where(F.size("m") > 0)
-            .select("keyword", "name", "description", F.size("m").alias("match_count"), _snippets(F.col("m")).alias("snippets")))
+            .select("name", summary_line("text").alias("description"), F.inline(let(lines, lookup))).where(F.size("m") > 0)
+            .select("keyword", "name", "description", F.size("m").alias("match_count"),
+                    _snippets(F.transform("m", lambda x: x.getField("raw"))).alias("snippets")))
 
 
 def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None = SEARCH_MAX_RESULTS

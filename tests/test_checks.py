@@ -72,8 +72,7 @@ def test_accepted_booleans(spark):
 
 
 def test_declared_text_of_nested_lists(spark):
-    from tabledocs.functions.testtext import declared_text
+    from tabledocs.functions.testtext import declared_texts
     kwargs = {"b": [1, ["x, y", [True, None]], {"k": ["v", 1]}], "a": None, "model": "m", "c": "say \"hi\"", "d": []}
-    got = spark.range(1).select(declared_text("t", kwargs).alias("x")).first()["x"]
-    assert got == 't(b=[1, [x, y, [true, None]], {"k":["v",1]}], a=None, c=say "hi", d=[])'
-    assert spark.range(1).select(declared_text("t", {"column_name": "x"}).alias("x")).first()["x"] == "t"
+    assert declared_texts(spark, [("t", kwargs), ("u", {"column_name": "x"}), ("v", None)]) == [
+        't(b=[1, [x, y, [true, None]], {"k":["v",1]}], a=None, c=say "hi", d=[])', "u", "v"]

@@ -64,10 +64,10 @@ def entity_bodies(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
     e = (entities.join(cols, ["project", "node_id"], "left")
          .join(pars, ["project", "node_id"], "left"))
     if samples is not None:
-        smp = samples.groupBy("slug").agg(
+        smp = samples.groupBy("project", "slug").agg(
             F.max("n_rows").alias("_n"),
             _ordered(F.collect_list(F.struct(F.col("col_pos"), F.array("line").alias("lines")))).alias("_smp"))
-        e = e.join(smp, "slug", "left")
+        e = e.join(smp, ["project", "slug"], "left")
     else:
         e = e.withColumn("_n", F.lit(None).cast("int")).withColumn("_smp", _empty())
     if sections is not None:
@@ -110,42 +110,47 @@ def join_lines(lines: DataFrame, keys=("project", "slug")) -> DataFrame:
 def index_lines(entities: DataFrame) -> DataFrame:
     """Index per project as a line table ``(project, slug='_index', k1, k2,
     k3, line)``: models then sources, each sorted by schema and table, one
-    summary line each; an empty section is left out. The lines stay
-    distributed; joining them into one text (``join_lines``) makes one group
-    per project, whose size is the project's entity count (catalog metadata,
-    about 100 bytes per entity), never table data."""
+    summary line each; an empty section is left out. ``k2`` holds the place in
+    the section, the schema, the table and the position, so ordering needs no
+    ranking and the lines stay distributed; joining them into one text
+    (``join_lines``) makes one group per project, whose size is the project's
+    entity count (catalog metadata, about 100 bytes per entity), never table
+    data."""
     e = entities
     summary = first_sentence_or(F.col("description"), NO_DESCRIPTION)
-    item = template(INDEX_LINE, slug=F.col("slug"), summary=summary)
     k1 = F.when(F.col("kind") == "model", F.lit(1)).otherwise(F.lit(2))
-    order = F.struct("schema_name", "table_name", "pos")
+
+    def place(part: int, named: bool = False) -> Column:
+        pick = lambda c, t: (F.col(c) if named else F.lit(None)).cast(t).alias(c)
+        return F.struct(F.lit(part).alias("part"), pick("schema_name", "string"), pick("table_name", "string"), pick("pos", "long"))
+
+    slug = F.lit("_index").alias("slug")
     heads = e.select("project", "kind").distinct()
     top = e.select("project").distinct().select(
-        "project", F.lit("_index").alias("slug"), F.lit(0).alias("k1"), F.lit(0).cast("long").alias("k2"),
+        "project", slug, F.lit(0).alias("k1"), place(0).alias("k2"),
         F.posexplode(F.array(F.lit(INDEX_TITLE), F.lit(""), F.lit(INDEX_BLURB), F.lit(""))).alias("k3", "line"))
     sec_label = F.when(F.col("kind") == "model", F.lit(INDEX_MODELS)).otherwise(F.lit(INDEX_SOURCES))
-    sec = heads.select("project", F.lit("_index").alias("slug"), k1.alias("k1"), F.lit(-1).cast("long").alias("k2"),
+    sec = heads.select("project", slug, k1.alias("k1"), place(0).alias("k2"),
                        F.posexplode(F.array(sec_label, F.lit(""))).alias("k3", "line"))
-    from pyspark.sql import Window
-    ranked = e.withColumn("rk", F.row_number().over(Window.partitionBy("project", "kind").orderBy(order)))
-    items = ranked.select("project", F.lit("_index").alias("slug"), k1.alias("k1"), F.col("rk").cast("long").alias("k2"),
-                          F.lit(0).alias("k3"), item.alias("line"))
-    tail = heads.select("project", F.lit("_index").alias("slug"), k1.alias("k1"), F.lit(1 << 40).cast("long").alias("k2"),
-                        F.lit(0).alias("k3"), F.lit("").alias("line"))
+    items = e.select("project", slug, k1.alias("k1"), place(1, True).alias("k2"), F.lit(0).alias("k3"),
+                     template(INDEX_LINE, slug=F.col("slug"), summary=summary).alias("line"))
+    tail = heads.select("project", slug, k1.alias("k1"), place(2).alias("k2"), F.lit(0).alias("k3"), F.lit("").alias("line"))
     return top.unionByName(sec).unionByName(items).unionByName(tail)
 
 
 def merge_notes(new_docs: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Keep hand-written notes: everything from the marker line down in the
     existing body is appended to the new body; without an existing marker the
-    empty marker block is appended."""
+    empty marker block is appended. ``existing`` without a ``project`` column
+    holds the documents of one project, or of slugs that no two share."""
     placeholder = F.lit(MANUAL_MARKER + "\n")
     if existing is None:
         preserved = placeholder
         j = new_docs
     else:
-        old = existing.select("slug", F.col("body").alias("_old"))
-        j = new_docs.join(old, "slug", "left")
+        keys = [k for k in ("project", "slug") if k in existing.columns and k in new_docs.columns]
+        old = existing.select(*keys, F.col("body").alias("_old"))
+        j = new_docs.join(old, keys, "left")
         idx = F.instr(F.coalesce(F.col("_old"), F.lit("")), F.lit(MANUAL_MARKER))
         preserved = F.when(idx > 0, F.concat(py_rstrip(F.substring(F.col("_old"), idx, 1 << 30)), F.lit("\n"))
                            ).otherwise(placeholder)
@@ -154,18 +159,20 @@ def merge_notes(new_docs: DataFrame, existing: DataFrame | None) -> DataFrame:
 
 
 def write_docs(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Docs sink: the ``(slug, body)`` table as parquet (the shared form)."""
+    """Docs sink: the ``(project, slug, body)`` table as parquet (the shared form)."""
     docs.write.mode(mode).parquet(path)
 
 
 def export_text(docs: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Docs as text through Spark's writer and output committer (any Hadoop
     file system; a retried task never leaves partial output): one folder per
-    slug, ``slug=<slug>/part-*.txt``, each holding that document's body."""
+    document, ``[project=<project>/]slug=<slug>/part-*.txt``, each holding that
+    document's body; the project is there when the table has that column."""
+    keys = [k for k in ("project", "slug") if k in docs.columns]
     # the writer ends each row with a newline; bodies already end with one
     body = F.regexp_replace("body", "\n\\z", "")
-    (docs.select("slug", body.alias("body")).repartition("slug").write.mode(mode)
-     .partitionBy("slug").text(folder))
+    (docs.select(*keys, body.alias("body")).repartition(*keys).write.mode(mode)
+     .partitionBy(*keys).text(folder))
 
 
 def export_markdown(docs: DataFrame, folder: str) -> None:
@@ -173,8 +180,12 @@ def export_markdown(docs: DataFrame, folder: str) -> None:
     mounted on every executor (shared storage; never a machine-local folder
     on a cluster — use :func:`export_text` or :func:`write_docs` for object
     stores). Rewriting a file is idempotent, so retried tasks are safe.
-    Slugs with path separators are refused."""
+    Slugs with path separators are refused, and so are documents of one slug
+    (of two projects): export each project to a folder of its own."""
     import os
+    twice = docs.groupBy("slug").count().where("count > 1").select("slug").first()
+    if twice:
+        raise ValueError(f"more than one document of {twice.slug!r}: export each project to its own folder")
 
     def write(rows):
         os.makedirs(folder, exist_ok=True)

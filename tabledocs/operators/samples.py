@@ -3,12 +3,15 @@ sample-cache validity and refresh plan.
 
 A sample is a handful of rows per table (the limit is the feature). Cells
 are masked (PII columns) or scrubbed, then cut, entirely in expressions.
-Sample rows of many tables travel in one long format ``(slug, rn, col_pos,
-column_name, value)`` so they can be unioned, cached and rendered together.
+Sample rows of many tables travel in one long format ``(project, slug, rn,
+col_pos, column_name, value)`` so they can be unioned, cached and rendered
+together. A table is known by ``(project, slug)``: projects may share slugs.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,12 @@ from ..functions.strings import cell, template
 from ..session import materialize
 from .protect import pii_columns, pii_expr
 
-LONG_SCHEMA = "slug string, rn int, col_pos int, column_name string, value string"
+log = logging.getLogger(__name__)
+
+LONG_SCHEMA = "project string, slug string, rn int, col_pos int, column_name string, value string"
+#: Project of tables that no manifest declares (``manifest.entities_from_tables``).
+SESSION = "session"
+KEY = ["project", "slug"]
 
 
 # ─── head sample and cells ──────────────────────────────────────────────────
@@ -48,8 +56,8 @@ def render_cells(df: DataFrame, meta: dict | None = None, rules: tuple[ScrubRule
 
 
 def to_long(df: DataFrame, slug: str, order_by: list[str] | None = None,
-            masked: set[str] | None = None) -> DataFrame:
-    """Sample rows → ``(slug, rn, col_pos, column_name, value, is_pii)`` with
+            masked: set[str] | None = None, project: str = SESSION) -> DataFrame:
+    """Sample rows → ``(project, slug, rn, col_pos, column_name, value, is_pii)`` with
     raw values as text; :func:`render_long` turns them into display cells.
 
     The (at most a handful of) head rows are gathered into one array and
@@ -65,13 +73,13 @@ def to_long(df: DataFrame, slug: str, order_by: list[str] | None = None,
     entries = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("column_name"),
                                  F.col("_r._v").getField(f"v{i}").alias("value"),
                                  F.lit(c in masked).alias("is_pii")) for i, c in enumerate(cols)])
-    return per_row.select(F.lit(slug).alias("slug"), (F.col("_rn") + 1).cast("int").alias("rn"),
+    return per_row.select(F.lit(project).alias("project"), F.lit(slug).alias("slug"), (F.col("_rn") + 1).cast("int").alias("rn"),
                           F.inline(entries))
 
 
 def render_long(long: DataFrame, rules: tuple[ScrubRule, ...] = DEFAULT_RULES) -> DataFrame:
     """Display cells for long sample rows: ``<pii>`` or the scrubbed, cut cell."""
-    return long.select("slug", "rn", "col_pos", "column_name",
+    return long.select(*KEY, "rn", "col_pos", "column_name",
                        F.when(F.col("is_pii"), F.lit(PII_REDACTED))
                        .otherwise(cell_text(F.col("value"), rules)).alias("value"))
 
@@ -88,30 +96,46 @@ def sample_long(df: DataFrame, slug: str, n: int = SAMPLE_SIZE, order_by: list[s
 SAMPLE_GROUP = 64
 
 
-def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int = SAMPLE_SIZE,
-                 meta: dict | None = None, rules: tuple[ScrubRule, ...] = DEFAULT_RULES,
-                 group: int = SAMPLE_GROUP) -> DataFrame | None:
-    """Head samples of many tables ``{slug: (df, order_by)}`` in one long
-    table; masking and scrubbing are applied once, after the union.
+def _raw_heads(heads: list[tuple[tuple[str, str], DataFrame]]) -> list[DataFrame]:
+    """The raw rows of a group as written tables. A group that fails is halved
+    until the failing tables stand alone; those are left out with a warning."""
+    raw = heads[0][1]
+    for _, lg in heads[1:]:
+        raw = raw.unionByName(lg)
+    try:
+        return [materialize(raw, "samples")]
+    except Exception as e:  # any failure of a source ends that table's sample only
+        if len(heads) == 1:
+            log.warning("no sample of %s: %s", heads[0][0], str(e).split("\n", 1)[0])
+            return []
+        half = len(heads) // 2
+        return _raw_heads(heads[:half]) + _raw_heads(heads[half:])
+
+
+def samples_long(tables: dict, n: int = SAMPLE_SIZE, meta: dict | None = None,
+                 rules: tuple[ScrubRule, ...] = DEFAULT_RULES, group: int = SAMPLE_GROUP) -> DataFrame | None:
+    """Head samples of many tables ``{key: (df, order_by)}`` in one long
+    table; masking and scrubbing are applied once, after the union. A key is
+    ``(project, slug)``, or a slug of the session's own tables.
 
     Tables are sampled in groups (one job per group, written as a table in
     the shared folder, so no plan carries thousands of branches). Cutting
     the lineage of the raw rows (at most ``n`` per table) also stops the
     optimizer from pushing the scrub projection back into every branch and
-    compiling it once per table."""
+    compiling it once per table. A table that can't be read has no sample;
+    the others keep theirs."""
     heads = []
-    for slug, (df, order_by) in tables.items():
-        h = head(df, n, order_by)
-        if h is not None:
-            heads.append(to_long(h, slug, order_by, pii_columns(df, (meta or {}).get(slug))))
-    if not heads:
+    for key, (df, order_by) in tables.items():
+        project, slug = key if isinstance(key, tuple) else (SESSION, key)
+        try:
+            h = head(df, n, order_by)
+            if h is not None:
+                heads.append(((project, slug), to_long(h, slug, order_by, pii_columns(df, (meta or {}).get(key)), project)))
+        except Exception as e:  # the table is not there any more, or never was readable
+            log.warning("no sample of %s: %s", (project, slug), str(e).split("\n", 1)[0])
+    parts = [p for i in range(0, len(heads), group) for p in _raw_heads(heads[i:i + group])]
+    if not parts:
         return None
-    parts = []
-    for i in range(0, len(heads), group):
-        raw = heads[i]
-        for lg in heads[i + 1:i + group]:
-            raw = raw.unionByName(lg)
-        parts.append(materialize(raw, "samples"))
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p)
@@ -120,10 +144,10 @@ def samples_long(tables: dict[str, tuple[DataFrame, list[str] | None]], n: int =
 
 def transposed_lines(long: DataFrame) -> DataFrame:
     """One line per column: ``- `col`: v1 | v2 | …`` in row order, plus the
-    row count: ``(slug, col_pos, column_name, n_rows, line)``."""
-    g = long.groupBy("slug", "col_pos", "column_name").agg(
+    row count: ``(project, slug, col_pos, column_name, n_rows, line)``."""
+    g = long.groupBy(*KEY, "col_pos", "column_name").agg(
         F.sort_array(F.collect_list(F.struct("rn", "value"))).alias("vs"))
-    return g.select("slug", "col_pos", "column_name", F.size("vs").alias("n_rows"),
+    return g.select(*KEY, "col_pos", "column_name", F.size("vs").alias("n_rows"),
                     template(SAMPLE_LINE, column=F.col("column_name"),
                              values=F.array_join(F.transform("vs", lambda x: x.getField("value")),
                                                  SAMPLE_SEPARATOR)).alias("line"))
@@ -163,7 +187,7 @@ def entity_fingerprints(columns: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("name", "is_pii"))).alias("pii_map"))
 
 
-CACHE_SCHEMA = ("slug string, version int, schema_name string, table_name string, fetched_at string, "
+CACHE_SCHEMA = ("project string, slug string, version int, schema_name string, table_name string, fetched_at string, "
                 "column_names_hash string, obfuscation_hash string, "
                 "columns array<struct<name:string, data_type:string, pii:boolean>>, "
                 "rows array<map<string,string>>, row_order array<string>")
@@ -171,17 +195,17 @@ CACHE_SCHEMA = ("slug string, version int, schema_name string, table_name string
 
 def cache_validity(entities: DataFrame, fingerprints: DataFrame, cache: DataFrame,
                    obfuscation_hash: str) -> DataFrame:
-    """Entities ⟕ cache on slug with ``cache_valid``: version, ruleset hash,
+    """Entities ⟕ cache on project and slug with ``cache_valid``: version, ruleset hash,
     column-name hash and PII map all agree and rows are present."""
     cached_pii = F.sort_array(F.transform(
         F.coalesce(F.col("c_columns"), F.array().cast("array<struct<name:string,data_type:string,pii:boolean>>")),
         lambda x: F.struct(x.getField("name").alias("name"),
                            F.coalesce(x.getField("pii"), F.lit(False)).alias("is_pii"))))
-    c = cache.select(F.col("slug"), F.col("version").alias("c_version"),
+    c = cache.select(*KEY, F.col("version").alias("c_version"),
                      F.col("obfuscation_hash").alias("c_obf"), F.col("column_names_hash").alias("c_names"),
                      F.col("columns").alias("c_columns"), F.col("rows").alias("c_rows"))
     e = entities.join(fingerprints, ["project", "node_id"], "left")
-    j = e.join(c, "slug", "left")
+    j = e.join(c, KEY, "left")
     valid = ((F.col("c_version") == SAMPLE_CACHE_VERSION) & (F.col("c_obf") == F.lit(obfuscation_hash))
              & (F.col("c_names") == F.coalesce(F.col("column_names_hash"), names_hash(F.array().cast("array<string>"))))
              & (cached_pii == F.coalesce(F.col("pii_map"), F.array().cast("array<struct<name:string,is_pii:boolean>>")))
@@ -190,10 +214,13 @@ def cache_validity(entities: DataFrame, fingerprints: DataFrame, cache: DataFram
 
 
 def refresh_plan(validity: DataFrame, sample_size: int = SAMPLE_SIZE, refresh_all: bool = False,
-                 refresh: list[str] | None = None, can_fetch: bool = True) -> DataFrame:
+                 refresh: list | None = None, can_fetch: bool = True) -> DataFrame:
     """Per entity the sample action before any fetch: ``none``, ``reuse``,
-    ``reuse_warn`` (refresh asked but nothing can fetch) or ``fetch``."""
-    force = F.lit(True) if refresh_all else F.col("slug").isin(*(refresh or []))
+    ``reuse_warn`` (refresh asked but nothing can fetch) or ``fetch``.
+    ``refresh`` names slugs (of any project) or ``(project, slug)`` pairs."""
+    force = F.lit(refresh_all)
+    for r in [] if refresh_all else refresh or []:
+        force = force | ((F.col("project") == r[0]) & (F.col("slug") == r[1]) if isinstance(r, tuple) else F.col("slug") == r)
     valid = F.col("cache_valid")
     if sample_size <= 0:
         action = F.lit("none")
@@ -205,11 +232,11 @@ def refresh_plan(validity: DataFrame, sample_size: int = SAMPLE_SIZE, refresh_al
     return validity.withColumn("action", action)
 
 
-def after_fetch(plan: DataFrame, fetched_slugs: DataFrame) -> DataFrame:
-    """Outcome once fetches ran: rows → ``use_new``; no rows → reuse the valid
+def after_fetch(plan: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``fetched`` (project, slug): entities whose fetch gave rows. Outcome once fetches ran: rows → ``use_new``; no rows → reuse the valid
     cache with a warning, else none."""
-    got = fetched_slugs.select("slug", F.lit(True).alias("_got")).distinct()
-    j = plan.join(got, "slug", "left")
+    got = fetched.select(*KEY, F.lit(True).alias("_got")).distinct()
+    j = plan.join(got, KEY, "left")
     return j.withColumn("action", F.when(F.col("action") != "fetch", F.col("action"))
                         .when(F.coalesce(F.col("_got"), F.lit(False)), F.lit("use_new"))
                         .when(F.col("cache_valid"), F.lit("reuse_warn"))
@@ -223,11 +250,11 @@ def cache_rows(rendered_long: DataFrame, entities: DataFrame, fingerprints: Data
     PII surface), plus what decides validity next time."""
     import datetime as _dt
     now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    per_row = rendered_long.groupBy("slug", "rn").agg(
+    per_row = rendered_long.groupBy(*KEY, "rn").agg(
         F.sort_array(F.collect_list(F.struct("col_pos", "column_name", "value"))).alias("cells"))
-    rows = per_row.groupBy("slug").agg(
+    rows = per_row.groupBy(*KEY).agg(
         F.sort_array(F.collect_list(F.struct("rn", "cells"))).alias("rs"))
-    rows = rows.select("slug", F.transform("rs", lambda r: F.map_from_entries(F.transform(
+    rows = rows.select(*KEY, F.transform("rs", lambda r: F.map_from_entries(F.transform(
         r.getField("cells"), lambda c: F.struct(c.getField("column_name"), c.getField("value"))))).alias("rows"),
         F.transform(F.get(F.col("rs"), 0).getField("cells"), lambda c: c.getField("column_name")).alias("row_order"))
     c = columns.withColumn("is_pii", pii_expr(F.col("name"), F.col("meta")))
@@ -236,8 +263,8 @@ def cache_rows(rendered_long: DataFrame, entities: DataFrame, fingerprints: Data
                         F.col("is_pii").alias("pii")).alias("c")))).alias("cs"))
     cols = cols.select("project", "node_id", F.transform("cs", lambda x: x.getField("c")).alias("columns"))
     e = entities.join(fingerprints, ["project", "node_id"], "left").join(cols, ["project", "node_id"], "left")
-    return e.join(rows, "slug").select(
-        "slug", F.lit(SAMPLE_CACHE_VERSION).alias("version"), "schema_name", "table_name",
+    return e.join(rows, KEY).select(
+        *KEY, F.lit(SAMPLE_CACHE_VERSION).alias("version"), "schema_name", "table_name",
         F.lit(now).alias("fetched_at"), "column_names_hash", F.lit(obfuscation_hash).alias("obfuscation_hash"),
         F.coalesce("columns", F.array().cast("array<struct<name:string,data_type:string,pii:boolean>>")).alias("columns"),
         "rows", "row_order")
@@ -245,8 +272,8 @@ def cache_rows(rendered_long: DataFrame, entities: DataFrame, fingerprints: Data
 
 def long_from_cache(cache: DataFrame) -> DataFrame:
     """Cached rendered rows back to the long format, in the cached column order."""
-    r = cache.select("slug", "row_order", F.posexplode("rows").alias("i", "row"))
-    return r.select("slug", (F.col("i") + 1).cast("int").alias("rn"),
+    r = cache.select(*KEY, "row_order", F.posexplode("rows").alias("i", "row"))
+    return r.select(*KEY, (F.col("i") + 1).cast("int").alias("rn"),
                     F.posexplode("row_order").alias("col_pos", "column_name"), "row") \
-        .select("slug", "rn", F.col("col_pos").cast("int"), "column_name",
+        .select(*KEY, "rn", F.col("col_pos").cast("int"), "column_name",
                 F.element_at("row", F.col("column_name")).alias("value"))

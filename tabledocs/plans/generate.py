@@ -27,29 +27,46 @@ class Generated:
     docs: DataFrame        # project, slug, body
     index: DataFrame       # project, slug (_index), body
     cache: DataFrame       # new sample-cache table (CACHE_SCHEMA)
-    actions: DataFrame     # slug, action (none / reuse / reuse_warn / use_new)
+    actions: DataFrame     # project, slug, action (none / reuse / reuse_warn / use_new)
 
 
-def _pii_meta(columns: DataFrame, entities: DataFrame, slugs: list[str]) -> dict:
-    """``{slug: {column: {"pii": True}}}`` for flagged documented columns of
-    the entities being sampled (metadata, a handful of rows)."""
+def _given(spark: SparkSession, tables: dict, plan: DataFrame) -> dict:
+    """``{(project, slug): key of tables}`` for the entities to fetch that a
+    given table stands for. What reaches the driver is bounded by the tables
+    that the caller holds there."""
+    keys = [(*k, i) if isinstance(k, tuple) else (None, k, i) for i, k in enumerate(tables)]
+    named = spark.createDataFrame(keys, "_project string, _slug string, _i int")
+    due = plan.where(F.col("action") == "fetch").select("project", "slug")
+    hit = due.join(F.broadcast(named), (F.col("slug") == F.col("_slug")) & F.coalesce(F.col("_project") == F.col("project"), F.lit(True)))
+    names = list(tables)
+    # a pair is more precise than a slug
+    found = sorted(hit.select("project", "slug", "_i").collect(), key=lambda r: isinstance(names[r._i], tuple))
+    return {(r.project, r.slug): names[r._i] for r in found}
+
+
+def _pii_meta(spark: SparkSession, columns: DataFrame, entities: DataFrame, keys: list) -> dict:
+    """``{(project, slug): {column: {"pii": True}}}`` for flagged documented
+    columns of the entities being sampled (metadata, a handful of rows each)."""
+    due = spark.createDataFrame(keys, "project string, slug string")
     flagged = (columns.where(meta_pii_flag(F.col("meta")))
                .join(entities.select("project", "node_id", "slug"), ["project", "node_id"])
-               .where(F.col("slug").isin(*slugs)).select("slug", "name").collect())
+               .join(F.broadcast(due), SM.KEY, "left_semi").select("project", "slug", "name").collect())
     out: dict = {}
     for r in flagged:
-        out.setdefault(r.slug, {})[r.name] = {"pii": True}
+        out.setdefault((r.project, r.slug), {})[r.name] = {"pii": True}
     return out
 
 
-def generate(spark: SparkSession, catalog: Catalog, tables: dict[str, DataFrame] | None,
+def generate(spark: SparkSession, catalog: Catalog, tables: dict | None,
              sections: DataFrame | None = None, existing: DataFrame | None = None,
              cache: DataFrame | None = None, sample_size: int = SAMPLE_SIZE,
-             refresh_all: bool = False, refresh: list[str] | None = None,
+             refresh_all: bool = False, refresh: list | None = None,
              rules: tuple[ScrubRule, ...] = DEFAULT_RULES) -> Generated:
-    """``tables`` maps slugs to DataFrames that can be sampled (``None``: no
-    warehouse, only cached samples are used). ``cache`` is the current
-    sample-cache table (empty when absent)."""
+    """``tables`` maps slugs, or ``(project, slug)`` pairs, to DataFrames that
+    can be sampled (``None``: no warehouse, only cached samples are used); a
+    slug alone stands for that relation in every project. A table that can't
+    be read leaves its own entity without new samples. ``cache`` is the
+    current sample-cache table (empty when absent)."""
     ents = dedupe_by_slug(catalog.entities)
     fps = SM.entity_fingerprints(catalog.columns)
     obf = rules_hash(rules)
@@ -57,23 +74,20 @@ def generate(spark: SparkSession, catalog: Catalog, tables: dict[str, DataFrame]
     validity = SM.cache_validity(ents, fps, cache, obf)
     plan = SM.refresh_plan(validity, sample_size, refresh_all, refresh, can_fetch=tables is not None)
 
-    # The slugs to sample are metadata (one per entity), needed to build the scans.
-    to_fetch = [r.slug for r in plan.where(F.col("action") == "fetch").select("slug").collect()]
-    sampleable = {s: (tables[s], None) for s in to_fetch if tables and s in tables}
-    fresh = (SM.samples_long(sampleable, sample_size, _pii_meta(catalog.columns, ents, list(sampleable)), rules)
-             if sampleable else None)
+    given = _given(spark, tables, plan) if tables else {}
+    fresh = (SM.samples_long({k: (tables[t], None) for k, t in given.items()}, sample_size,
+                             _pii_meta(spark, catalog.columns, ents, list(given)), rules) if given else None)
     if fresh is None:
-        fresh = spark.createDataFrame([], "slug string, rn int, col_pos int, column_name string, value string")
-    got = fresh.select("slug").distinct()
-    actions = SM.after_fetch(plan, got).select("slug", "action", "cache_valid")
-
-    use_new = actions.where(F.col("action") == "use_new").select("slug")
-    reuse = actions.where(F.col("action").isin("reuse", "reuse_warn")).select("slug")
-    cached_long = SM.long_from_cache(cache.join(reuse, "slug", "left_semi"))
-    new_long = fresh.join(use_new, "slug", "left_semi")
+        fresh = spark.createDataFrame([], SM.LONG_SCHEMA)
+    actions = SM.after_fetch(plan, fresh).select(*SM.KEY, "action")
+
+    use_new = actions.where(F.col("action") == "use_new").select(*SM.KEY)
+    reuse = actions.where(F.col("action").isin("reuse", "reuse_warn")).select(*SM.KEY)
+    cached_long = SM.long_from_cache(cache.join(reuse, SM.KEY, "left_semi"))
+    new_long = fresh.join(use_new, SM.KEY, "left_semi")
     lines = SM.transposed_lines(new_long.unionByName(cached_long))
 
     docs, index = D.build_docs(ents, catalog.columns, catalog.lineage, sections, lines, existing)
     new_rows = SM.cache_rows(new_long, ents, fps, catalog.columns, obf)
-    kept = cache.join(use_new, "slug", "left_anti")
-    return Generated(docs, index, kept.unionByName(new_rows), actions.select("slug", "action"))
+    kept = cache.join(use_new, SM.KEY, "left_anti")
+    return Generated(docs, index, kept.unionByName(new_rows), actions)

@@ -279,7 +279,7 @@ SAMPLE_COLUMNS = ["c_custkey", "full_name", "c_nationkey", "c_acctbal", "c_mktse
 
 def sample_transposed(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").withColumnRenamed("c_name", "full_name").select(*SAMPLE_COLUMNS)
-    return SM.transposed_lines(SM.sample_long(c, "main.customer", order_by=["c_custkey"]))
+    return SM.transposed_lines(SM.sample_long(c, "main.customer", order_by=["c_custkey"])).drop("project")
 
 
 def sample_cells(spark, sf_dir):

@@ -52,10 +52,11 @@ def test_refresh_plan_and_cache(spark, cat):
     fp = SM.entity_fingerprints(cat.columns)
     obf = rules_hash(DEFAULT_RULES)
     good = fp.join(ents, ["project", "node_id"]).where("slug = 'prod.fct_order'").first()
+    project = ents.first().project
     cache = spark.createDataFrame(
-        [("prod.fct_order", 1, "prod", "fct_order", "t", good.column_names_hash, obf,
+        [(project, "prod.fct_order", 1, "prod", "fct_order", "t", good.column_names_hash, obf,
           [(p.name, None, p.is_pii) for p in good.pii_map], [{"a": "1"}], []),
-         ("raw.raw_gadget", 1, "raw", "raw_gadget", "t", "sha256:stale", obf, [], [{"a": "1"}], [])],
+         (project, "raw.raw_gadget", 1, "raw", "raw_gadget", "t", "sha256:stale", obf, [], [{"a": "1"}], [])],
         SM.CACHE_SCHEMA)
     v = SM.cache_validity(ents, fp, cache, obf)
     valid = {r.slug: r.cache_valid for r in v.collect()}
@@ -66,7 +67,7 @@ def test_refresh_plan_and_cache(spark, cat):
     assert act["prod.fct_order"] == "reuse_warn" and act["raw.raw_gadget"] == "none"
     assert {r.action for r in SM.refresh_plan(v, sample_size=0).collect()} == {"none"}
     plan = SM.refresh_plan(v, refresh_all=True)
-    after = {r.slug: r.action for r in SM.after_fetch(plan, spark.createDataFrame([("raw.raw_gadget",)], "slug string")).collect()}
+    after = {r.slug: r.action for r in SM.after_fetch(plan, spark.createDataFrame([(project, "raw.raw_gadget")], "project string, slug string")).collect()}
     assert after["raw.raw_gadget"] == "use_new" and after["prod.fct_order"] == "reuse_warn"
     assert after["public.raw_event"] == "none"
     # A changed ruleset invalidates every cached sample.

@@ -81,3 +81,50 @@ def test_search_and_list_generated_docs(spark, cat):
     fo = [h for h in hits if h.name == "prod.fct_order"][0]
     assert "relationships(to=ref('dim_gadget'), field=gadget_id)" in " ".join(fo.snippets)
     assert Q.read_document(corpus, "prod.fct_order").first().text.startswith("# `prod.fct_order` (model)")
+
+
+def _two_projects(spark):
+    """Two projects with a relation of one name; the second one flags a column."""
+    import json
+
+    from tabledocs.sources.manifest import manifests_from_text, parse_manifests
+    text = lambda d, meta: json.dumps({"metadata": {"project_name": d}, "sources": {}, "nodes": {f"model.{d}.t": {
+        "resource_type": "model", "name": "t", "schema": "prod", "description": f"Table of {d}.",
+        "columns": {"k": {"description": "Key."}, "v": {"description": "Value.", "meta": meta}}}}})
+    return build_catalog(*parse_manifests(manifests_from_text(spark, [("a", text("a", {})), ("b", text("b", {"pii": True}))])))
+
+
+def test_projects_that_share_a_slug(spark, tmp_path):
+    root = str(tmp_path / "samples")
+    cat = _two_projects(spark)
+    one = spark.createDataFrame([(1, "red"), (2, "blue")], "k int, v string")
+    other = spark.createDataFrame([(7, "oak")], "k int, v string")
+    notes = spark.createDataFrame([("a", "prod.t", f"x\n{MANUAL_MARKER}\nof a\n")], "project string, slug string, body string")
+    bodies = lambda g: {(r.project, r.slug): r.body for r in g.docs.collect()}
+    g = generate(spark, cat, {("a", "prod.t"): one, ("b", "prod.t"): other}, existing=notes, cache=load_sample_cache(spark, root))
+    first = bodies(g)
+    assert "## Sample rows (2 rows, one line per column)\n\n- `k`: 1 | 2\n- `v`: red | blue\n" in first["a", "prod.t"]
+    assert "## Sample rows (1 rows, one line per column)\n\n- `k`: 7\n- `v`: <pii>\n" in first["b", "prod.t"]
+    assert first["a", "prod.t"].endswith("of a\n") and first["b", "prod.t"].endswith(MANUAL_MARKER + "\n")
+    save_sample_cache(spark, g.cache, root)
+    again = generate(spark, cat, None, existing=notes, cache=load_sample_cache(spark, root))
+    assert bodies(again) == first
+    # a slug alone is that relation in both projects, and a pair can be refreshed alone
+    both = generate(spark, cat, {"prod.t": one}, cache=load_sample_cache(spark, root), refresh=[("b", "prod.t")])
+    assert {r.project: r.action for r in both.actions.collect()} == {"a": "reuse", "b": "use_new"}
+    assert "- `k`: 1 | 2" in bodies(both)["b", "prod.t"]
+    with pytest.raises(ValueError, match="prod.t"):
+        from tabledocs.operators.docs import export_markdown
+        export_markdown(g.docs, str(tmp_path / "out"))
+
+
+def test_a_table_that_fails_keeps_the_others(spark, cat):
+    tables = _tables(spark)
+    bad = spark.createDataFrame([("x",)], "v string").selectExpr("assert_true(v = 'y') as v")
+    for group in (bad, spark.range(1).selectExpr("cast('x' as int) as v")):
+        g = generate(spark, cat, tables | {"raw.raw_gadget": group})
+        acts = {r.slug: r.action for r in g.actions.collect()}
+        assert acts["prod.fct_order"] == "use_new" and acts["prod.dim_gadget"] == "use_new"
+        assert acts["raw.raw_gadget"] == "none"
+        body = {r.slug: r.body for r in g.docs.collect()}
+        assert "- `order_id`: 1\n" in body["prod.fct_order"] and "## Sample rows" not in body["raw.raw_gadget"]

@@ -27,6 +27,7 @@ from ..operators import search as Q
 from ..session import TABLES, read_table, spread
 from ..sources.catalogs import CatalogDecl, catalog_entries, catalogs_from_decls
 from ..sources.manifest import entities_from_tables
+from . import registered_metadata as M
 from . import sql as S
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -287,20 +288,57 @@ def sample_cells(spark, sf_dir):
     return SM.render_cells(SM.head(c, 5, ["c_custkey"]))
 
 
+# Order of each table's head: keys that tell its rows apart.
+HEAD_ORDER = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"], "events": ["event_id"], "documents": ["doc_id"],
+    "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
+}
+
+
 def docs_tables(spark, sf_dir):
     """One document per given table: columns from the schema, five masked and
-    scrubbed sample rows, notes block. Samples are a plain head (``limit``,
-    as the documented sample query is), so each table is read only as far as
-    its first rows, not scanned whole."""
+    scrubbed sample rows, notes block. The samples are the first rows in key
+    order (a top-n per task), so that they can be told in advance."""
     tables = {n: _t(spark, sf_dir, n) for n in TABLES}
     ents, cols = entities_from_tables(spark, tables)
-    longs = SM.samples_long({f"main.{n}": (df, None) for n, df in tables.items()})
+    longs = SM.samples_long({f"main.{n}": (df, HEAD_ORDER[n]) for n, df in tables.items()})
     lineage = spark.createDataFrame([], "project string, node_id string, pos long, parent_id string, "
                                         "parent_name string, parent_description string")
     docs, _ = D.build_docs(ents, cols, lineage, samples=SM.transposed_lines(longs))
     return docs.select("slug", "body")
 
 
+# Columns and types of the given tables, as the documents must show them.
+_DOC_COLUMNS = {
+    "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string", "benchmark": "item_id bigint, text string", "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _ddb_docs_tables() -> str:
+    nl, parts = "chr(10)", []
+    for t, declared in _DOC_COLUMNS.items():
+        cols = [c.split(" ") for c in declared.split(", ")]
+        order = ", ".join(f"{c} NULLS FIRST" for c in HEAD_ORDER[t])
+        heads = f" || {nl} || ".join(f"'### {c}' || {nl} || '- Type: `{k}`' || {nl}" for c, k in cols)
+        lines = f" || {nl} || ".join(f"'- `{c}`: ' || string_agg({_ddb_cell(c)}, ' | ' ORDER BY {order})" for c, _ in cols)
+        parts.append(
+            f"SELECT 'main.{t}' AS slug, '# `main.{t}` (source)' || {nl} || {nl} || '## Columns' || {nl} || {nl} || {heads} || {nl} || '## Sample rows (' || count(*) "
+            f"|| ' rows, one line per column)' || {nl} || {nl} || {lines} || {nl} || {nl} || '<!-- ↓ MANUAL NOTES BELOW (PRESERVED ACROSS REGENERATION) ↓ -->' || {nl} AS body "
+            f"FROM (SELECT * FROM {t} ORDER BY {order} LIMIT 5)")
+    return " UNION ALL ".join(parts)
+
+
 # ─── SQL texts: guard and hashes ────────────────────────────────────────────
 
 def sql_guard(spark, sf_dir):
@@ -498,7 +536,7 @@ def jobs() -> dict[str, Job]:
         "sample_cells": sample_cells,
         "query_log_rollup": query_log_rollup,
         "markdown_table": markdown_table,
-    }
+    } | M.jobs()
 
 
 def oracles() -> dict[str, str]:
@@ -569,10 +607,11 @@ def oracles() -> dict[str, str]:
             "json_extract_string(e.props, '$.' || c.attribute) AS value "
             f"FROM e JOIN {_DDB_EVENT_CAT} ON e.event_type = c.name",
         "sample_transposed": _ddb_sample_transposed(),
+        "docs_tables": _ddb_docs_tables(),
         "sql_guard": _ddb_guard("text", "conversations", "conv_id, turn"),
         "sql_hashes": _ddb_hashes(),
         "json_rows": _ddb_json_rows(),
         "sample_cells": _ddb_sample_cells(),
         "query_log_rollup": _ddb_query_log_rollup(),
         "markdown_table": _ddb_markdown_table(),
-    }
+    } | M.oracles()

@@ -186,11 +186,11 @@ def build_catalog(nodes: DataFrame, sources: DataFrame, include: list[str] | Non
                          prefix_filter(n.getField("name"), include, exclude))
     srcs = sources.where(prefix_filter(n.getField("name"), include, exclude))
     if compiled is not None:
-        comp = compiled.select("project_name", F.col("path").alias("_path"),
+        # files of one manifest go to it alone, others to every manifest of that name
+        comp = compiled.select(F.col("project").alias("_project"), F.col("project_name").alias("_name"), F.col("path").alias("_path"),
                                F.col("text").alias("_ctext"), F.lit(True).alias("_found"))
-        mj = models.join(comp, (models["project_name"] == comp["project_name"]) &
-                         (n.getField("path") == comp["_path"]) & (F.coalesce(n.getField("path"), F.lit("")) != ""),
-                         "left").drop(comp["project_name"])
+        mj = models.join(comp, (F.col("project_name") == F.col("_name")) & (n.getField("path") == F.col("_path")) & (F.col("_path") != "")
+                         & F.coalesce(F.col("_project") == F.col("project"), F.lit(True)), "left")
         found, ctext = F.coalesce(F.col("_found"), F.lit(False)), F.col("_ctext")
     else:
         mj, found, ctext = models, F.lit(False), F.lit(None).cast("string")

@@ -119,10 +119,11 @@ def register_kind(name: str, intro: IntroFn | None = None, extras: ExtrasFn | No
 
 
 def last_catalog_per_table(entries: DataFrame) -> DataFrame:
-    """Only the last declared catalog per table counts; empty tables never match."""
+    """Only the last declared catalog per table counts, be it empty
+    (``n_entries``); empty table names never match."""
     from pyspark.sql import Window
-    cats = (entries.select("table_slug", "kind", "title", "decl_pos").distinct()
-            .where(F.col("table_slug") != ""))
+    cats = (entries.where(F.col("table_slug") != "").groupBy("table_slug", "kind", "title", "decl_pos")
+            .agg(F.count("name").alias("n_entries")))
     w = Window.partitionBy("table_slug").orderBy(F.desc("decl_pos"))
     return cats.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
@@ -130,15 +131,17 @@ def last_catalog_per_table(entries: DataFrame) -> DataFrame:
 def section_lines(entries: DataFrame, kinds: dict[str, Kind] | None = None) -> DataFrame:
     """Catalog section lines per table: ``(table_slug, kind, k1, k2, k3, line)``
     sorted by the three keys. ``entries`` needs ``decl_pos`` (declaration
-    order); only the last catalog per table is rendered."""
+    order); only the last catalog per table is rendered. An empty one gives a
+    single null line, as its kind still labels the document."""
     kinds = KINDS if kinds is None else kinds
     chosen = last_catalog_per_table(entries)
     e = entries.join(chosen.select("table_slug", "decl_pos"), ["table_slug", "decl_pos"], "left_semi")
-    e = entry_lines(e)
+    e = entry_lines(e.where(F.col("name").isNotNull()))
     title = F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("title")).otherwise(
         py_title(F.replace(F.col("kind"), F.lit("_"), F.lit(" "))))
     heads = chosen.select("table_slug", "kind", F.lit(0).alias("k1"), F.lit(0).alias("k2"),
-                          F.posexplode(F.array(template(CATALOG_TITLE, title=title), F.lit(""))).alias("k3", "line"))
+                          F.posexplode(F.when(F.col("n_entries") > 0, F.array(template(CATALOG_TITLE, title=title), F.lit("")))
+                                       .otherwise(F.array(F.lit(None).cast("string")))).alias("k3", "line"))
     body = e.select("table_slug", "kind", F.lit(2).alias("k1"), F.col("name"),
                     F.posexplode("lines").alias("k3", "line"))
     parts = [heads]
@@ -170,11 +173,12 @@ def section_lines(entries: DataFrame, kinds: dict[str, Kind] | None = None) -> D
 
 
 def section_text(lines: DataFrame) -> DataFrame:
-    """Join a table's section lines in order: ``(table_slug, kind, section)``."""
+    """Join a table's section lines in order: ``(table_slug, kind, section)``;
+    the section of an empty catalog is null."""
     g = lines.groupBy("table_slug", "kind").agg(
         F.sort_array(F.collect_list(F.struct("k1", "k2", "k3", "line"))).alias("ls"))
-    return g.select("table_slug", "kind",
-                    F.array_join(F.transform("ls", lambda x: x.getField("line")), "\n").alias("section"))
+    lines_of = F.transform("ls", lambda x: x.getField("line"))
+    return g.select("table_slug", "kind", F.when(F.exists(lines_of, F.isnotnull), F.array_join(lines_of, "\n")).alias("section"))
 
 
 # ─── worked example kinds: events and plans ────────────────────────────────
@@ -182,20 +186,27 @@ def section_text(lines: DataFrame) -> DataFrame:
 def events_kind(column: str = "event", data_column: str = "data",
                 core_columns: tuple[str, ...] = ("id", "created", "event"), head_limit: int = 5) -> Kind:
     """Events catalog: an intro on attribute access and one example query per
-    event (core columns, then its attributes in name order)."""
+    event (core columns, then its attributes in name order). A declaration's
+    own options of these names come before the arguments."""
+    def option(entries: DataFrame, name: str, default) -> Column:
+        given = F.get_json_object("options", f"$.{name}") if "options" in entries.columns else F.lit(None).cast("string")
+        return F.coalesce(F.nullif(given, F.lit("")), F.lit(str(default)))
+
     def intro(entries: DataFrame) -> DataFrame:
-        text = EVENTS_INTRO.format(column=column, data_column=data_column)
-        return entries.select("table_slug").distinct().select(
-            "table_slug", F.lit(0).alias("pos"), F.lit(text).alias("line"))
+        text = template(EVENTS_INTRO, column=option(entries, "column", column), data_column=option(entries, "data_column", data_column))
+        return entries.select("table_slug", text.alias("line")).distinct().select("table_slug", F.lit(0).alias("pos"), "line")
 
     def extras(entries: DataFrame) -> DataFrame:
         attrs = F.element_at(F.col("spec"), F.lit("attributes"))
         keys = F.array_sort(F.coalesce(
             F.map_keys(F.from_json(F.to_json(attrs), ENTRY_MAP)), F.array().cast("array<string>")))
-        attr_cols = F.transform(keys, lambda a: template(EVENTS_ATTRIBUTE, data_column=data_column, attr=a))
-        cols = F.concat(F.array(*[F.lit(c) for c in core_columns]).cast("array<string>"), attr_cols)
-        sql = template(EVENTS_QUERY, columns=F.array_join(cols, EVENTS_QUERY_COLUMN_SEPARATOR),
-                       table=F.col("table_slug"), column=column, name=F.col("name"), head_limit=head_limit)
+        data = option(entries, "data_column", data_column)
+        attr_cols = F.transform(keys, lambda a: template(EVENTS_ATTRIBUTE, data_column=data, attr=a))
+        core = F.from_json(option(entries, "core_columns", ""), "array<string>")
+        core = F.when(F.size(core) > 0, core).otherwise(F.array(*[F.lit(c) for c in core_columns]).cast("array<string>"))
+        cols = F.concat(core, attr_cols)
+        sql = template(EVENTS_QUERY, columns=F.array_join(cols, EVENTS_QUERY_COLUMN_SEPARATOR), table=F.col("table_slug"),
+                       column=option(entries, "column", column), name=F.col("name"), head_limit=option(entries, "head_limit", head_limit))
         block = F.when((F.col("table_slug") == "") | (F.size(cols) == 0), F.array(F.lit(""))).otherwise(
             F.array(F.lit(""), F.lit(EVENTS_QUERY_LABEL), F.lit(""), F.lit("```sql"), sql,
                     F.lit("```"), F.lit("")))
@@ -245,13 +256,12 @@ def plans_kind() -> Kind:
 def attribute_names(entries: DataFrame) -> DataFrame:
     """``(name, attribute, attr_pos)`` from each entry's ``attributes`` object."""
     attrs = F.from_json(F.to_json(F.element_at(F.col("spec"), F.lit("attributes"))), ENTRY_MAP)
-    return entries.select("name", F.posexplode_outer(F.array_sort(F.map_keys(attrs))).alias("attr_pos", "attribute"))
+    return entries.where(F.col("name").isNotNull()).select("name", F.posexplode_outer(F.array_sort(F.map_keys(attrs))).alias("attr_pos", "attribute"))
 
 
 def json_attr(data: Column, attr: Column) -> Column:
-    """``data."attr"::text``: JSON attribute as text (bracket path, so names
-    with dots or hyphens work)."""
-    return F.call_function("get_json_object", data, F.concat(F.lit("$['"), attr, F.lit("']")))
+    """``data."attr"::text``: JSON attribute as text, whatever its name holds."""
+    return F.element_at(F.from_json(data, "map<string,string>"), attr)
 
 
 def event_attributes(events: DataFrame, entries: DataFrame, name_col: str, data_col: str,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -155,6 +157,22 @@ def list_folder(spark: SparkSession, folder: str) -> list[str] | None:
     return sorted(x.getPath().getName() for x in fs.listStatus(path))
 
 
+def file_uri(spark: SparkSession, path: str) -> str | None:
+    """The path, qualified and encoded, on any file system Spark reads; None if nothing is there."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(_NO_HOST, r"\1:/", fs.getFileStatus(hpath).getPath().toUri().toString()) if fs.exists(hpath) else None
+
+
+# Schemes without a host are written with one slash or three.
+_NO_HOST = "^([A-Za-z][A-Za-z0-9+.-]*):/{3}"
+
+
+def file_path():
+    """Column: the file a row was read from, as ``file_uri`` gives it."""
+    return F.regexp_replace("_metadata.file_path", _NO_HOST, "$1:/")
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> list[str]:
     """File-table source: one temp view per parquet table that exists."""
     there = set(list_folder(spark, sf_dir) or ())

@@ -9,12 +9,11 @@ same tables from DataFrame schemas for users without manifests.
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import file_path, file_uri
+
 COLUMN_DDL = ("map<string, struct<data_type:string, description:string, meta:string, "
               "tests:string, data_tests:string>>")
 MANIFEST_DDL = (
@@ -28,8 +27,10 @@ MANIFEST_DDL = (
 )
 
 
-def _exists(path: str) -> bool:
-    return "://" in path or bool(glob.glob(path)) or os.path.exists(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob names anything, on any file system Spark reads."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hpath))
 
 
 def read_manifest_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -37,10 +38,10 @@ def read_manifest_text(spark: SparkSession, paths: str | list[str]) -> DataFrame
     error naming it."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
-        if not _exists(p):
+        if not _exists(spark, p):
             raise FileNotFoundError(f"{p} not found. Run `dbt compile` in your dbt project first.")
     return (spark.read.text(paths, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("project"), "value"))
+            .select(file_path().alias("project"), "value"))
 
 
 def manifests_from_text(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -68,18 +69,23 @@ def read_manifests(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     return parse_manifests(read_manifest_text(spark, paths))
 
 
-def read_compiled_sql(spark: SparkSession, compiled_root: str) -> DataFrame:
-    """Compiled model files ``(project, path, text)`` where ``path`` is relative
-    to ``<root>/<project_name>/models``; ``project`` must be joined by the
-    caller. Empty when the folder is absent."""
-    if not _exists(compiled_root):
-        return spark.createDataFrame([], "project_name string, path string, text string")
+def read_compiled_sql(spark: SparkSession, compiled_root: str, manifest: str | None = None) -> DataFrame:
+    """Compiled model files ``(project, project_name, path, text)`` where
+    ``path`` is relative to ``<root>/<project_name>/models``. ``project`` is
+    the ``manifest`` they belong to; without one, they are those of every
+    manifest of that project name. Several checkouts: the union of their
+    frames, each with its manifest. Empty when the folder is absent."""
+    root = file_uri(spark, compiled_root)
+    schema = "project string, project_name string, path string, text string"
+    if root is None:
+        return spark.createDataFrame([], schema)
     files = (spark.read.option("recursiveFileLookup", "true").text(compiled_root, wholetext=True)
-             .select(F.col("_metadata.file_path").alias("fp"), F.col("value").alias("text")))
-    rel = F.regexp_extract("fp", r"/([^/]+)/models/(.*)$", 0)
-    return files.select(F.regexp_extract("fp", r"/([^/]+)/models/(.*)$", 1).alias("project_name"),
-                        F.regexp_extract("fp", r"/([^/]+)/models/(.*)$", 2).alias("path"),
-                        "text").where(rel != "")
+             .select(file_path().alias("fp"), F.col("value").alias("text")))
+    # paths are encoded; a plus sign stands for itself in them
+    inside = F.url_decode(F.replace(F.substring(F.col("fp"), len(root.rstrip("/")) + 2, 1 << 30), F.lit("+"), F.lit("%2B")))
+    part = lambda g: F.regexp_extract(inside, r"^([^/]+)/models/(.*)$", g)
+    return files.where(part(0) != "").select(
+        F.lit(manifest and (file_uri(spark, manifest) or manifest)).cast("string").alias("project"), part(1).alias("project_name"), part(2).alias("path"), "text")
 
 
 # ─── session catalog ────────────────────────────────────────────────────────

@@ -90,3 +90,21 @@ def test_compiled_sql_choice(spark, tmp_path):
     cat = build_catalog(*read_manifests(spark, MANIFEST), compiled=comp)
     got = {r.table_name: r.compiled_sql for r in cat.entities.where("kind = 'model'").collect()}
     assert got == {"dim_gadget": "select compiled", "fct_order": None, "stg_gadget": None}
+
+
+def test_compiled_roots(spark, tmp_path):
+    """A parent folder named models; two checkouts of one project."""
+    from tabledocs.sources.manifest import manifests_from_text, parse_manifests, read_compiled_sql
+    import json
+    comps = []
+    for name in ("one", "two"):
+        root = tmp_path / "models" / name / "compiled sql"
+        (root / "shop" / "models" / "a+b").mkdir(parents=True)
+        (root / "shop" / "models" / "a+b" / "my t.sql").write_text(f"select '{name}'")
+        comps.append(read_compiled_sql(spark, str(root), manifest=name))
+    text = json.dumps({"metadata": {"project_name": "shop"}, "sources": {}, "nodes": {
+        "model.shop.t": {"resource_type": "model", "name": "t", "path": "a+b/my t.sql", "columns": {}}}})
+    nodes = parse_manifests(manifests_from_text(spark, [("one", text), ("two", text)]))
+    got = [(r.project, r.compiled_sql) for r in build_catalog(*nodes, compiled=comps[0].union(comps[1])).entities.orderBy("project").collect()]
+    assert got == [("one", "select 'one'"), ("two", "select 'two'")]
+    assert read_compiled_sql(spark, str(tmp_path / "none")).count() == 0

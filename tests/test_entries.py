@@ -141,3 +141,35 @@ def test_catalog_json_file(spark, tmp_path):
     rows = e.orderBy("file_pos").select("name", F.map_keys("spec").alias("keys")).collect()
     assert [r.name for r in rows] == ["b", "a"]
     assert rows[0]["keys"] == ["description", "z", "a"]  # declared order kept
+
+
+def test_last_catalog_wins_when_empty(spark):
+    decls = [CatalogDecl("events", EVENTS, "t"), CatalogDecl("plans", "{}", "t"), CatalogDecl("events", EVENTS, "u"), CatalogDecl("plans", "", "v")]
+    e = catalog_entries(catalogs_from_decls(spark, decls, inline=True))
+    got = {r.table_slug: (r.kind, r.section) for r in N.section_text(N.section_lines(e, {"events": N.events_kind(), "plans": N.plans_kind()})).collect()}
+    assert got["t"] == ("plans", None) and got["v"] == ("plans", None)
+    assert got["u"][0] == "events" and got["u"][1].startswith("## Events")
+    assert N.attribute_names(e).where("name is null").count() == 0
+
+
+def test_options_of_a_declaration(spark):
+    own = {"column": "kind", "data_column": "props", "core_columns": ["ts", "kind"], "head_limit": 9}
+    decls = [CatalogDecl("events", EVENTS, "t", options=own), CatalogDecl("events", EVENTS, "u")]
+    e = catalog_entries(catalogs_from_decls(spark, decls, inline=True))
+    got = {r.table_slug: r.section for r in N.section_text(N.section_lines(e, {"events": N.events_kind()})).collect()}
+    assert "The `kind` column" in got["t"] and "The `event` column" in got["u"]
+    assert 'select\n    ts,\n    kind,\n    props."color"::text as "color"' in got["t"] and "where kind = 'widget-created'\nlimit 9" in got["t"]
+    assert "limit 5" in got["u"] and "props" not in got["u"]
+
+
+def test_paths_with_blanks(spark, tmp_path):
+    p = tmp_path / "my events+50%.yml"
+    p.write_text(EVENTS)
+    e = catalog_entries(catalogs_from_decls(spark, [CatalogDecl("events", str(p), "t"), CatalogDecl("events", f"file://{tmp_path}/none.yml", "t")]))
+    assert [r.name for r in e.orderBy("file_pos").collect()] == ["widget-created", "widget-deleted"]
+
+
+def test_attribute_names_with_quotes(spark):
+    events = spark.createDataFrame([(1, "e", '{"it\'s": 1, "a.b": {"c": 2}}')], "id long, event string, data string")
+    got = N.event_extract(events, "e", "event", "data", ["id"], ["it's", "a.b", "none"]).first()
+    assert (got["it's"], got["a.b"], got["none"]) == ("1", '{"c":2}', None)

@@ -192,7 +192,7 @@ def export_markdown(docs: DataFrame, folder: str) -> None:
         for r in rows:
             name = r["slug"]
             if "/" in name or "\\" in name or ".." in name:
-                raise ValueError(f"invalid model name: {name!r}")
+                raise ValueError(f"a document can't be a file of this name: {name!r}")
             with open(os.path.join(folder, f"{name}.md"), "w", encoding="utf-8") as fh:
                 fh.write(r["body"])
     docs.select("slug", "body").foreachPartition(write)

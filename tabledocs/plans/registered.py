@@ -12,9 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import (ALLOWED_FIRST_TOKENS, COMMENT_BLOCK, COMMENT_LINE, DEFAULT_SCRUB_RULES,
-                               FILE_LINE_BREAK, IDENTIFIER, MUTATION_KEYWORDS, PY_WS_CLASS,
-                               SPLITLINES_BREAK)
 from ..functions.guard import guard_reason, sql_fingerprint, sql_log_hash
 from ..functions.strings import first_sentence
 from ..operators import audit as A
@@ -386,17 +383,17 @@ def _ddb_sample_transposed() -> str:
 
 
 def _ddb_guard(col: str, table: str, keys: str) -> str:
-    kw = ", ".join(_sql_str(k) for k in MUTATION_KEYWORDS)
-    allowed = ", ".join(_sql_str(k) for k in ALLOWED_FIRST_TOKENS)
-    s0 = _ddb_strip(f"regexp_replace(regexp_replace({col}, {_sql_str(COMMENT_BLOCK)}, '', 'g'), "
-                    f"{_sql_str(COMMENT_LINE)}, '', 'g')")
-    rstrip = lambda x: f"regexp_replace({x}, {_sql_str(PY_WS_CLASS + '+' + chr(92) + 'z')}, '')"
+    kw = ", ".join(_sql_str(k) for k in _KEYWORDS)
+    allowed = "'SELECT', 'WITH'"
+    s0 = _ddb_strip(f"regexp_replace(regexp_replace({col}, {_sql_str(r'(?s)/\*.*?\*/')}, '', 'g'), "
+                    f"{_sql_str(r'--[^\n]*')}, '', 'g')")
+    rstrip = lambda x: f"regexp_replace({x}, {_sql_str(_BLANK + '+' + chr(92) + 'z')}, '')"
     return (
         f"WITH a AS (SELECT {keys}, {col} AS s, {s0} AS s0 FROM {table}), "
         f"b AS (SELECT *, CASE WHEN ends_with(s0, ';') THEN {rstrip('left(s0, length(s0) - 1)')} "
         f"ELSE s0 END AS st FROM a), "
-        f"c AS (SELECT *, regexp_extract(st, {_sql_str(IDENTIFIER)}, 0) AS first, "
-        f"list_filter(regexp_extract_all(upper(st), {_sql_str(IDENTIFIER)}), "
+        f"c AS (SELECT *, regexp_extract(st, {_sql_str(_WORD)}, 0) AS first, "
+        f"list_filter(regexp_extract_all(upper(st), {_sql_str(_WORD)}), "
         f"lambda t: list_contains([{kw}], t))[1] AS bad FROM b) "
         f"SELECT {keys}, CASE WHEN s IS NULL OR {_ddb_strip('s')} = '' THEN 'empty SQL' "
         f"WHEN contains(st, ';') THEN 'multiple statements are not allowed' "
@@ -416,7 +413,7 @@ def _ddb_sample_cells() -> str:
 
 def _ddb_query_log_rollup() -> str:
     src = ("(SELECT text FROM documents UNION ALL SELECT text FROM conversations) q")
-    collapsed = f"trim(regexp_replace(text, {_sql_str(PY_WS_CLASS + '+')}, ' ', 'g'))"
+    collapsed = f"trim(regexp_replace(text, {_sql_str(_BLANK + '+')}, ' ', 'g'))"
     g = _ddb_guard("text", f"(SELECT text, left(sha256({collapsed}), 12) AS sql_hash FROM {src})", "sql_hash")
     return (f"SELECT sql_hash, count(*) AS calls, CAST(count(reason) AS BIGINT) AS rejected "
             f"FROM ({g}) GROUP BY sql_hash")
@@ -438,7 +435,7 @@ def _ddb_markdown_table() -> str:
 
 
 def _ddb_hashes() -> str:
-    collapsed = f"trim(regexp_replace(text, {_sql_str(PY_WS_CLASS + '+')}, ' ', 'g'))"
+    collapsed = f"trim(regexp_replace(text, {_sql_str(_BLANK + '+')}, ' ', 'g'))"
     return (f"SELECT conv_id, turn, left(sha256({collapsed}), 12) AS sql_hash, "
             f"left(sha256({collapsed} || '::{FINGERPRINT_DAY}'), 24) AS cache_key FROM conversations")
 
@@ -452,19 +449,33 @@ def _ddb_json_rows() -> str:
 
 # ─── oracle SQL helpers ─────────────────────────────────────────────────────
 
+# FIXED VALUES as the oracle SQL expects them, spelled apart from the library's
+# own so that a wrong constant there shows.
+_SCRUB = (
+    ("email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<email>"),
+    ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"),
+    ("phone_intl", r"\+\d{1,3}[\s.-]?\d{1,4}[\s.-]?\d{2,9}[\s.-]?\d{2,9}", "<phone>"),
+    ("phone_na", r"\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}", "<phone>"),
+)
+_KEYWORDS = ("INSERT UPDATE DELETE DROP ALTER CREATE TRUNCATE COPY GRANT REVOKE MERGE CALL EXECUTE DO COMMENT VACUUM ANALYZE LOCK SET RESET BEGIN COMMIT "
+             "ROLLBACK SAVEPOINT REINDEX UNLOAD").split()
+_WORD = "[A-Za-z_][A-Za-z0-9_]*"
+_BLANK = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
 def _ddb_scrub(expr: str) -> str:
-    for _, pat, repl in DEFAULT_SCRUB_RULES:
+    for _, pat, repl in _SCRUB:
         expr = f"regexp_replace({expr}, {_sql_str(pat)}, {_sql_str(repl)}, 'g')"
     return expr
 
 
 def _ddb_scan(table: str, column: str) -> str:
     parts = []
-    for name, pat, _ in DEFAULT_SCRUB_RULES:
+    for name, pat, _ in _SCRUB:
         n = f"len(regexp_extract_all({column}, {_sql_str(pat)}))"
         parts.append(
             f"SELECT '{table}' AS table_name, CAST(count(*) AS BIGINT) AS rows_total, "
@@ -476,7 +487,7 @@ def _ddb_scan(table: str, column: str) -> str:
 
 
 def _ddb_strip(x: str) -> str:
-    return f"regexp_replace({x}, {_sql_str('^' + PY_WS_CLASS + '+|' + PY_WS_CLASS + '+\\z')}, '', 'g')"
+    return f"regexp_replace({x}, {_sql_str('^' + _BLANK + '+|' + _BLANK + '+\\z')}, '', 'g')"
 
 
 def _ddb_cut(x: str, n: int) -> str:
@@ -484,14 +495,14 @@ def _ddb_cut(x: str, n: int) -> str:
 
 
 def _ddb_summary(text: str) -> str:
-    lines = f"string_split_regex({text}, {_sql_str(FILE_LINE_BREAK)})"
+    lines = f"string_split_regex({text}, {_sql_str(r'\r\n|\r|\n')})"
     stripped = f"list_transform({lines}, lambda l: {_ddb_strip('l')})"
     first = f"list_filter({stripped}, lambda l: l <> '' AND NOT starts_with(l, '#'))[1]"
     return f"coalesce(left({first}, 200), '')"
 
 
 def _ddb_matching(text: str, needle: str) -> str:
-    return (f"list_filter(string_split_regex({text}, {_sql_str(SPLITLINES_BREAK)}), "
+    return (f"list_filter(string_split_regex({text}, {_sql_str(r'\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]')}), "
             f"lambda l: contains(lower(l), {needle}))")
 
 
@@ -501,7 +512,7 @@ def _ddb_snippets(m: str) -> str:
 
 
 def _ddb_first_sentence(text: str) -> str:
-    t = f"trim(regexp_replace({text}, {_sql_str(PY_WS_CLASS + '+')}, ' ', 'g'))"
+    t = f"trim(regexp_replace({text}, {_sql_str(_BLANK + '+')}, ' ', 'g'))"
     return (f"CASE WHEN strpos({t}, '. ') > 0 THEN left({t}, strpos({t}, '. ')) "
             f"WHEN strpos({t}, '.') > 0 THEN left({t}, strpos({t}, '.')) ELSE {t} END")
 

@@ -39,7 +39,7 @@ def read_manifest_text(spark: SparkSession, paths: str | list[str]) -> DataFrame
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
         if not _exists(spark, p):
-            raise FileNotFoundError(f"{p} not found. Run `dbt compile` in your dbt project first.")
+            raise FileNotFoundError(f"no manifest at {p}: compile the project before reading it")
     return (spark.read.text(paths, wholetext=True)
             .select(file_path().alias("project"), "value"))
 

@@ -41,7 +41,7 @@ def check_settings(kind: str, settings: dict) -> None:
         raise ValueError(f"unknown database kind {kind!r}")
     for k in REQUIRED[kind]:
         if not settings.get(k):
-            raise ValueError(f"a {kind} connection needs the setting {k!r}")
+            raise ValueError(f"a {kind} connection needs the setting executor.{k}")
 
 
 def jdbc_options(kind: str, settings: dict, table: str, partition_column: str | None = None,

@@ -90,7 +90,7 @@ def test_sample_cache_versions(spark, tmp_path):
     from tabledocs.operators.samples import CACHE_SCHEMA
     root = str(tmp_path / "samples")
     assert load_sample_cache(spark, root).count() == 0
-    rows = spark.createDataFrame([("a.b", 1, "a", "b", "t", "h", "o", [], [{"x": "1"}], ["x"])], CACHE_SCHEMA)
+    rows = spark.createDataFrame([("p", "a.b", 1, "a", "b", "t", "h", "o", [], [{"x": "1"}], ["x"])], CACHE_SCHEMA)
     save_sample_cache(spark, rows, root)
     cur = load_sample_cache(spark, root)
     save_sample_cache(spark, cur.withColumn("fetched_at", F.lit("t2")), root)  # read old while writing new

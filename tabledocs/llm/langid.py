@@ -10,16 +10,21 @@ How it runs
   1. Per language a bounded sample of its labelled documents, chosen by a hash
      of id and text, is counted: n-grams per batch first, then per language.
      Bounds (a classifier's sample): ``train_docs`` and ``calibration_docs``
-     per language, ``max_grams`` most frequent 4-grams per language, and the
-     ``max_langs`` most frequent languages.
+     together per language, ``max_grams`` most frequent 4-grams per language,
+     and the ``max_langs`` most frequent languages.
   2. The model (a few MB by those bounds) is computed on the driver and
      broadcast. Every text is scored whole, in one pass without a shuffle.
-  3. On the calibration sample: the sharpness that turns differences of
-     cross-entropy into the probability of the chosen language, and for each
-     language the mean and spread of its documents' cross-entropy. A text is
-     rejected if no letter is in it, or if its cross-entropy lies more than
-     ``REJECT_SD`` standard deviations and ``REJECT_NATS`` above its
-     language's mean (the spread allows for the text's length).
+  3. The sample is dealt into ``FOLDS`` folds by a hash of the text, whatever
+     its size. A second model, learned without the first fold, scores that
+     fold: the sharpness that turns differences of cross-entropy into the
+     probability of the chosen language, and for each language the mean and
+     spread of its documents' cross-entropy. Languages of fewer than
+     ``RARE_DOCS`` documents are scored fold by fold, each by a model without
+     it. A text is rejected if no letter is in it, or if its cross-entropy lies
+     more than ``REJECT_SD`` standard deviations and ``REJECT_NATS`` above its
+     language's mean (the spread allows for the text's length). Languages of
+     fewer than ``LEAST_ROWS`` held-out rows take the spread of all languages,
+     and those of none the highest mean of the others too.
 
 Defined results
   null text, text without a letter: ``und``, score 0, rejected.
@@ -44,6 +49,9 @@ from tabledocs.llm.common import chunks_by_chars, mix64, prepare, unit_hash
 ORDER = 4
 REJECT_SD = 8.0
 REJECT_NATS = 1.0
+FOLDS = 5
+LEAST_ROWS = 20
+RARE_DOCS = FOLDS * LEAST_ROWS
 _MASK = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER + 1)]
 
 
@@ -140,13 +148,15 @@ def _discount(counts: np.ndarray) -> float:
 class Model:
     """Kneser-Ney models of several languages over packed letter n-grams."""
 
-    def __init__(self, langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]):
-        """``counted``: per language its distinct 4-grams and their counts."""
+    def __init__(self, langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]], uniform: float | None = None):
+        """``counted``: per language its distinct 4-grams and their counts.
+        ``uniform``: a letter's probability below the lowest order, else by
+        the letters counted."""
         self.langs = langs
         L = len(langs)
         stats = [self._orders(*counted[x]) for x in langs]
         letters = np.unique(np.concatenate([s[1][0] for s in stats])) if L else np.zeros(0, np.uint64)
-        self.uniform = 1.0 / (len(letters) + 1)
+        self.uniform = uniform or 1.0 / (len(letters) + 1)
         self.tables: dict[int, _Table] = {}
         self.backoff: dict[int, _Table] = {}
         self.unseen = np.zeros(L)
@@ -215,52 +225,71 @@ class Model:
 
 def _count(batches):
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), object)
         texts = batch.column("text").to_pylist()
+        groups: dict = {}
+        for t, key in zip(texts, zip(batch.column("lang").to_pylist(), batch.column("fold").to_pylist())):
+            groups.setdefault(key, []).append(t)
         out = []
-        for x in dict.fromkeys(langs.tolist()):
-            own = [t for t, y in zip(texts, langs) if y == x]
+        for (x, f), own in groups.items():
             for i, j in chunks_by_chars(own):
                 keys, n = np.unique(text_grams(own[i:j])[0], return_counts=True)
-                out.append((x, keys, n))
+                out.append((x, f, keys, n))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, k, _ in out for _ in range(len(k))], pa.string()),
-             pa.array(np.concatenate([k for _, k, _ in out]).view(np.int64) if out else [], pa.int64()),
-             pa.array(np.concatenate([n for *_, n in out]) if out else [], pa.int64())], names=["lang", "gram", "n"])
+            [pa.array([x for x, _, k, _ in out for _ in range(len(k))], pa.string()),
+             pa.array([f for _, f, k, _ in out for _ in range(len(k))], pa.int32()),
+             pa.array(np.concatenate([k for *_, k, _ in out]).view(np.int64) if out else [], pa.int64()),
+             pa.array(np.concatenate([n for *_, n in out]) if out else [], pa.int64())], names=["lang", "fold", "gram", "n"])
 
 
-def _entropy_rows(batches, model):
+def _entropy_rows(batches, models):
+    """Per text of a fold, by the model without it: its cross-entropy under its
+    own language and, in the first fold, under all."""
     for batch in batches:
-        n, e = model.value.entropies(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(list(e), pa.list_(pa.float64()))], names=["lang", "n", "e"])
+        langs, folds, texts = (batch.column(c).to_pylist() for c in ("lang", "fold", "text"))
+        size, own, every = np.zeros(len(texts), np.int64), np.zeros(len(texts)), [None] * len(texts)
+        for f in set(folds):
+            at = [i for i, x in enumerate(folds) if x == f]
+            model = models[f].value
+            number = {x: j for j, x in enumerate(model.langs)}
+            n, e = model.entropies([texts[i] for i in at])
+            for i, m, row in zip(at, n, e):
+                if langs[i] in number:
+                    size[i], own[i], every[i] = m, row[number[langs[i]]], row if f == 0 else None
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(size), pa.array(own), pa.array(every, pa.list_(pa.float64()))], names=["lang", "n", "own", "e"])
 
 
 class Calibration:
     """Sharpness of the confidence, and the limits of rejection."""
 
-    def __init__(self, langs: list[str], rows):
+    def __init__(self, langs: list[str], rows, scored: list[str] = (), uniform: float = 1.0):
+        """``rows``: lang, n, own and e of held-out texts; e is over the
+        languages ``scored``."""
         L = len(langs)
         self.sharpness = np.float64(20.0)
-        self.mean, self.between, self.within = np.zeros(L), np.full(L, 0.05), np.full(L, 4.0)
-        self.known = np.zeros(L, bool)
+        # without any held-out text: worse than guessing letters
+        self.mean, self.between, self.within = np.full(L, -np.log(uniform) - REJECT_NATS), np.full(L, 0.05), np.full(L, 4.0)
         rows = [r for r in rows if r["n"]]
         if not rows:
             return
-        e = np.array([r["e"] for r in rows])
+        own = np.array([r["own"] for r in rows])
         n = np.array([r["n"] for r in rows], np.float64)
         true = np.array([langs.index(r["lang"]) for r in rows])
+        held = np.bincount(true, minlength=L)
+        weight = np.minimum(n, 1000)
+        mean = np.bincount(true, weight * own, L) / np.maximum(np.bincount(true, weight, L), 1)
+        few = (held > 0) & (held < LEAST_ROWS)
+        self.mean = np.where(held > 0, mean, mean[few if few.any() else held > 0].max())
+        off = (own - self.mean[true]) ** 2
+        between, within = self._spread(off, n)
+        if len(rows) < LEAST_ROWS:
+            between, within = max(between, 0.05), max(within, 4.0)
         for j in range(L):
-            own = true == j
-            if own.sum() < 5:
-                continue
-            self.known[j] = True
-            self.mean[j] = np.average(e[own, j], weights=np.minimum(n[own], 1000))
-            off = (e[own, j] - self.mean[j]) ** 2
-            # off = between + within / n, by least squares, neither negative
-            short = 1 / n[own]
-            slope = max(1.0, float((off * short).sum() / (short * short).sum()))
-            self.within[j] = slope
-            self.between[j] = max(0.02 ** 2, float(np.mean(off)))
+            self.between[j], self.within[j] = self._spread(off[true == j], n[true == j]) if held[j] >= LEAST_ROWS else (between, within)
+        full = np.array([r["e"] is not None for r in rows])
+        if not full.any():
+            return
+        e = np.array([r["e"] for r in rows if r["e"] is not None])
+        n, true = n[full], np.array([scored.index(r["lang"]) for r in rows if r["e"] is not None])
         loss = []
         grid = [0.5, 1, 2, 4, 8, 16, 32, 64]
         for s in grid:
@@ -268,6 +297,12 @@ class Calibration:
             loss.append(-np.log(np.maximum(p, 1e-12)).mean())
         self.sharpness = np.float64(grid[int(np.argmin(loss))])
 
+    @staticmethod
+    def _spread(off: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+        """off = between + within / n, by least squares, neither negative."""
+        short = 1 / n
+        return max(0.02 ** 2, float(np.mean(off))), max(1.0, float((off * short).sum() / (short * short).sum()))
+
     @staticmethod
     def _posterior(e: np.ndarray, n: np.ndarray, s: float) -> np.ndarray:
         """From cross-entropies; evidence grows with the root of the length, as
@@ -283,7 +318,7 @@ class Calibration:
         score = self._posterior(e, n, self.sharpness)[np.arange(len(n)), best]
         over = e[np.arange(len(n)), best] - self.mean[best]
         sd = np.sqrt(self.between[best] + self.within[best] / np.maximum(n, 1))
-        return best, score, self.known[best] & (over > REJECT_NATS) & (over > REJECT_SD * sd)
+        return best, score, (over > REJECT_NATS) & (over > REJECT_SD * sd)
 
 
 def _predict(batches, model, calibration: Calibration):
@@ -315,30 +350,44 @@ def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
     langs = sorted(r["lang"] for r in sizes)
     model, calibration = spark.sparkContext.broadcast(Model([], {})), Calibration([], [])
     if langs:
-        part = {r["lang"]: min(1.0, train_docs / r["docs"]) for r in sizes}
-        # beside the training part where there is room, else within it
-        start = {x: p if p < 1 else 0.0 for x, p in part.items()}
-        stop = {r["lang"]: start[r["lang"]] + min(1.0 - start[r["lang"]], calibration_docs / r["docs"]) for r in sizes}
-        limit = lambda m: F.create_map(*[F.lit(v) for kv in m.items() for v in kv])[F.col(lang_col)]
+        part = {r["lang"]: min(1.0, (train_docs + calibration_docs) / r["docs"]) for r in sizes}
+        rare = [r["lang"] for r in sizes if r["docs"] < RARE_DOCS]
+        limit = F.create_map(*[F.lit(v) for kv in part.items() for v in kv])[F.col(lang_col)]
         u = unit_hash(F.lit("language"), F.col(id_col).cast("string"), F.col(text_col))
-        chosen = own.where(F.col(lang_col).isin(langs)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), u.alias("u"), limit(part).alias("part"), limit(start).alias("start"), limit(stop).alias("stop"))
-        counts = chosen.where("u < part").select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        # copies of a text share a fold
+        fold = F.floor(unit_hash(F.lit("fold"), F.col(text_col)) * FOLDS).cast("int").alias("fold")
+        chosen = own.where(F.col(lang_col).isin(langs)).where(u < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), fold)
+        counts = (chosen.mapInArrow(_count, "lang string, fold int, gram bigint, n bigint").groupBy("lang", "gram")
+                  .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)]))
         if max_grams:
             from pyspark.sql import Window
             counts = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= max_grams).drop("k")
         pdf = counts.toPandas()
-        counted = {}
+        counted, without = {}, [{} for _ in range(FOLDS)]
         for x in langs:
             t = pdf[pdf["lang"] == x]
             keys = t["gram"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(keys)
-            counted[x] = (keys[order], t["n"].to_numpy(np.int64)[order])
+            keys, n = keys[order], t["n"].to_numpy(np.int64)[order]
+            counted[x] = (keys, n)
+            for f in range(FOLDS) if x in rare else (0,):
+                left = n - t[f"n{f}"].to_numpy(np.int64)[order]
+                if (left > 0).any():
+                    without[f][x] = (keys[left > 0], left[left > 0])
+        del pdf
         langs = [x for x in langs if len(counted[x][0])]
-        model = spark.sparkContext.broadcast(Model(langs, counted))
+        full = Model(langs, counted)
+        model = spark.sparkContext.broadcast(full)
         if langs:
-            rows = (chosen.where((F.col("u") >= F.col("start")) & (F.col("u") < F.col("stop")) & F.col("lang").isin(langs)).select("lang", "text")
-                    .mapInArrow(partial(_entropy_rows, model=model), "lang string, n bigint, e array<double>").collect())
-            calibration = Calibration(langs, rows)
+            # a language's fold is scored by a model that knows the language from other folds
+            models = {f: spark.sparkContext.broadcast(Model(sorted(m), m, full.uniform)) for f, m in enumerate(without) if m}
+            known = F.lit(False)
+            for f, m in enumerate(without):
+                known = known | ((F.col("fold") == f) & F.col("lang").isin(list(m)))
+            rows = chosen.where(known).select("lang", "fold", "text").mapInArrow(partial(_entropy_rows, models=models), "lang string, n bigint, own double, e array<double>").collect()
+            for m in models.values():
+                m.destroy()
+            calibration = Calibration(langs, rows, sorted(without[0]), full.uniform)
     base = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).alias("text"))
     out = T.StructType([base.schema["row"], T.StructField("text", T.StringType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return base.mapInArrow(partial(_predict, model=model, calibration=calibration), out)

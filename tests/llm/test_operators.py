@@ -376,6 +376,30 @@ def test_language_rejects_noise(spark):
     assert [r["doc_id"] for r in got] == [10**6]
 
 
+def test_language_limits_at_any_size(spark):
+    """Held-out limits below, at and above the sample's bound; a rare language is no way out for noise."""
+    rng = random.Random(7)
+    words = {x: ["".join(rng.choices(a, k=rng.randint(2, 7))) for _ in range(60)] for x, a in (("aa", "aeinorst"), ("bb", "bdgklmuy"), ("rare", "chpvwaei"))}
+    say = lambda x: " ".join(rng.choices(words[x], k=rng.randint(8, 30)))
+    noise = ["".join(rng.choices("qxzjkwvygbpf", k=k)) for k in (60, 150, 4000)] + [" ".join("".join(rng.choices("qxzjkwvygbpf", k=5)) for _ in range(12)), "привет мир " * 10]
+    for size in (79, 81, 85):  # about the bound of 80 documents, as 3,999, 4,001 and 4,005 are by default
+        data = [(i, say(x), x) for i, x in enumerate(["aa"] * size + ["bb"] * size + ["rare"] * 3)]
+        new = [(10_000 + i, say(x), None) for i, x in enumerate(["aa"] * 20 + ["bb"] * 20 + ["rare"] * 3)]
+        d = spark.createDataFrame(data + new + [(20_000 + i, t, None) for i, t in enumerate(noise)], "doc_id bigint, text string, lang string")
+        got = {r["row"]["doc_id"]: r for r in langid.identify_languages(d, F.lit(True), train_docs=80, calibration_docs=20).collect()}
+        assert {i for i, r in got.items() if r["rejected"]} == {20_000 + i for i in range(len(noise))}, size
+        assert all(got[i]["lang_pred"] == x for i, _, x in data)
+
+
+def test_language_calibration_exempts_none():
+    row = lambda x, e: {"lang": x, "n": 500, "own": e, "e": None}
+    held = [row("a", 2.0 + 0.01 * (i % 5)) for i in range(40)]
+    for rows in (held, held + [row("b", 2.6)] * 3, []):
+        c = langid.Calibration(["a", "b"], rows, ["a", "b"], 1 / 40)
+        _, _, rejected = c.judge(np.array([500.0, 500.0]), np.array([[9.0, 4.8], [9.0, 2.2]]))
+        assert rejected.tolist() == [True, False]
+
+
 # ------------------------------------------------------------ quality (1)
 
 def test_quality_held_out(spark):

@@ -179,9 +179,9 @@ class Index:
             if best.get((t, i)) == 0:
                 continue
             begin, end = max(int(starts[t]), pos - a - k), min(int(starts[t + 1]) - 1, pos - a + len(item) + k)
-            if (t, i, begin) in checked:
+            if (t, i, begin, end) in checked:
                 continue
-            checked.add((t, i, begin))
+            checked.add((t, i, begin, end))
             window = joined[begin:end]
             d = known.get((i, window))
             if d is None:

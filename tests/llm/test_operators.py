@@ -269,6 +269,14 @@ def test_decontamination_edge(edge, empty, spark):
     assert kept.columns == edge.columns and kept.count() == len(rows())
 
 
+def test_decontamination_at_the_start_of_a_text(spark):
+    """Clipped windows that begin alike and end apart are all verified."""
+    item = " ".join("0" * 16)
+    index = decontam.Index([(1, "abcdefgh"), (2, item)], 0.06, 1)
+    for text in (item, f"{item} and more", f"more {item}"):
+        assert (0, 1, 0) in index.matches([text], {}), text
+
+
 # -------------------------------------------------------- substring dedup (4)
 
 def brute_units(data, min_words=8):

@@ -58,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ``benchmark``."""
     configure(spark)
-    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"), min_words=0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

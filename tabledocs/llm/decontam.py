@@ -8,8 +8,12 @@ is verified with Myers' bit-parallel distance over the window around it.
 
 Normalised text: lower-cased, each run of characters that are neither letters
 nor digits as one blank. Items longer than ``SEGMENT`` characters are cut into
-even segments, each of which is tested as an item of its own, so that a leaked
-half of a long item is found too.
+even segments, each of which is tested as an item of its own; so are parts of
+``PART`` characters, one from every ``STEP``-th character on, of each item
+longer than that. So a leaked passage of ``PART + STEP`` characters holds a
+part, wherever in the item it begins. Items of fewer than ``FEW_WORDS`` words
+and ``SHORT`` characters are matched without edits and between word bounds;
+next to a letter of a script without blanks between words none is asked for.
 
 How it runs
   Items are read in blocks of bounded size (``BLOCK_CHARS``; one block for
@@ -20,8 +24,8 @@ How it runs
 
 Defined results
   null or empty text, null or empty item: never a match. Items of fewer than
-  ``min_words`` words say too little to tell a leak from common language and
-  take no part. null doc_id: matched like any other row. null item_id: takes
+  ``min_words`` words take no part (0, as the query and the stage have it: all
+  take part). null doc_id: matched like any other row. null item_id: takes
   part. Repeated rows: each gives its matches; an item's segments and repeated
   items give one match per document and item_id, of the least distance. Empty
   tables: no matches.
@@ -42,11 +46,15 @@ from pyspark.sql import types as T
 from tabledocs.llm.common import chunks_by_chars, prepare
 
 SEGMENT = 256
+PART, STEP = 96, 32
+FEW_WORDS, SHORT = 5, 24
 BLOCK_CHARS = 8_000_000
 _APART = re.compile(r"[\W_]+")
 _SIZES = (16, 8, 4, 2, 1)
 _BASE = 0x100000001B3
 _BITS = 22
+#: Letters of scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, Chinese, Japanese.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u312f\u3190-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normalise(text: str | None) -> str:
@@ -54,10 +62,12 @@ def normalise(text: str | None) -> str:
 
 
 def segments(item: str) -> list[str]:
-    """Even cuts of at most SEGMENT characters."""
+    """Even cuts of at most SEGMENT characters, and overlapping parts of PART."""
     n = math.ceil(len(item) / SEGMENT)
     cuts = [round(i * len(item) / n) for i in range(n + 1)] if n else [0]
-    return [item[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+    last = len(item) - PART
+    starts = [*range(0, last, STEP), last] if last > 0 else []
+    return list(dict.fromkeys([item[i:j] for i, j in zip(cuts[:-1], cuts[1:])] + [item[i:i + PART] for i in starts]))
 
 
 def budget(length: int, rate: float) -> int:
@@ -124,14 +134,23 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], rate: float, min_words: int):
         self.items: list[tuple[object, str, int]] = []
         self.pieces: list[tuple[int, int, int]] = []  # segment, start, end
+        bound: list[tuple[bool, bool]] = []  # per piece: a word must begin, end there
         for item_id, text in items:
             clean = normalise(text)
-            if not clean or clean.count(" ") + 1 < min_words:
+            words = clean.count(" ") + 1
+            if not clean or words < min_words:
+                continue
+            if words < FEW_WORDS and len(clean) < SHORT:
+                self.items.append((item_id, clean, 0))
+                self.pieces.append((len(self.items) - 1, 0, len(clean)))
+                bound.append((not _UNSPACED.match(clean[0]), not _UNSPACED.match(clean[-1])))
                 continue
             for s in segments(clean):
                 k = budget(len(s), rate)
                 self.items.append((item_id, s, k))
                 self.pieces += [(len(self.items) - 1, i, j) for i, j in pieces(len(s), k)]
+                bound += [(False, False)] * (k + 1)
+        self.bound = np.array(bound, bool).reshape(-1, 2)
         # per hash size: bitmap, sorted hashes of the pieces' first characters,
         # pieces, offset and hash of the pieces' last characters
         self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
@@ -152,6 +171,8 @@ class Index:
         """(position, piece) wherever the hashes of a piece's first and last
         characters stand in the codes."""
         hashes = rolling(codes, max(self.by_size, default=1))
+        # whether a blank or a text's end stands before, and at, each position
+        before, at_end = (np.concatenate(([True], codes <= 32)), np.concatenate((codes <= 32, [True]))) if self.bound.any() else (None, None)
         for size, (bits, h, own, off, last) in self.by_size.items():
             x = hashes[size]
             at = np.flatnonzero(bits[(x >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -161,6 +182,9 @@ class Index:
             end = at + off[entry]
             fits = end < len(x)
             fits[fits] = x[end[fits]] == last[entry[fits]]
+            if before is not None:
+                begins, ends = self.bound[own[entry[fits]]].T
+                fits[fits] = (before[at[fits]] | ~begins) & (at_end[end[fits] + size] | ~ends)
             yield from zip(at[fits].tolist(), own[entry[fits]].tolist())
 
     def matches(self, texts: list[str], known: dict) -> list[tuple[int, int, int]]:
@@ -229,7 +253,9 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     for index in _blocks(items, rate, min_words):
         part = base.mapInArrow(partial(_scan, index=index), "row bigint, item_id bigint, distance bigint, budget bigint")
         out = part if out is None else out.union(part)
-    return out.groupBy(F.col("row").alias("doc_id"), "item_id").agg(F.min("distance").alias("distance"), F.min_by("budget", "distance").alias("budget"))
+    # of segments at the same distance the one with the greatest budget
+    best = out.groupBy(F.col("row").alias("doc_id"), "item_id").agg(F.min(F.struct("distance", (-F.col("budget")).alias("b"))).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.distance").alias("distance"), (-F.col("best.b")).alias("budget"))
 
 
 def _clean(batches, index):

@@ -37,7 +37,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), min_words=0)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

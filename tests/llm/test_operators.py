@@ -277,6 +277,27 @@ def test_decontamination_at_the_start_of_a_text(spark):
         assert (0, 1, 0) in index.matches([text], {}), text
 
 
+def test_decontamination_of_short_items(spark):
+    """Short items and items of scripts without blanks, without edits and between word bounds."""
+    chinese = "地球围绕太阳公转一周大约需要三百六十五天五小时"
+    items = [(1, "Blue whale?"), (2, "cat"), (3, "巴黎"), (4, chinese), (5, "What is ozone"), (6, "!?")]
+    data = [(1, "The blue whale, it is."), (2, "concatenate"), (3, "a cat"), (4, "法国首都是巴黎吗"), (5, f"问题{chinese}答案"), (6, "blue whales"), (7, "what is ozone"), (8, ""), (9, None), (10, "wild cats. Cat")]
+    expected = {(1, 1), (3, 2), (4, 3), (5, 4), (7, 5), (10, 2)}
+    d, b = spark.createDataFrame(data, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(d, b, min_words=0).collect()} == expected
+    assert {r["doc_id"] for r in decontam.decontaminate(d, b, min_words=0).collect()} == {2, 6, 8, 9}
+
+
+def test_decontamination_of_passages():
+    """Any passage of an item of 128 characters is found, also across a cut."""
+    rng = random.Random(9)
+    for size in (200, 256, 300, 700):
+        item = decontam.normalise(" ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(size)))[:size].strip()
+        index = decontam.Index([(1, item)], 0.06, 0)
+        for a in range(0, len(item) - 127, 7):
+            assert index.matches([f"some words {item[a:a + 128].strip()} other words"], {}), (size, a)
+
+
 # -------------------------------------------------------- substring dedup (4)
 
 def brute_units(data, min_words=8):

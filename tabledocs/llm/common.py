@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """The name as a column reference, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fold(col: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; null for null."""
     c = F.col(col) if isinstance(col, str) else col

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables, and the
+"""The registered queries of the operators, over whole tables, and the
 DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledocs.llm import substring_dedup
+from tabledocs.llm import collocations, substring_dedup
 from tabledocs.llm.ann import nearest_neighbours
 from tabledocs.llm.common import fold
 from tabledocs.llm.decontam import contaminations
+from tabledocs.llm.html_pages import extract_pages
 from tabledocs.llm.langid import identify_languages
 from tabledocs.llm.licenses import scan_licenses
 from tabledocs.llm.line_dedup import line_dedup
@@ -20,6 +21,7 @@ from tabledocs.llm.packing import pack_documents
 from tabledocs.llm.quality import score_quality
 from tabledocs.llm.simhash import near_dedup
 from tabledocs.llm.url_filter import judge_urls
+from tabledocs.llm.variants import variant_groups
 from tabledocs.session import read_table
 
 
@@ -73,8 +75,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), max_words=4, min_count=30, contained=80, top=2000)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(read_table(spark, sf_dir, "documents"), noise=199, min_chars=6, min_count=5, ratio=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_decontamination, op4_substring, op5_language, op6_neighbours, op7_licenses, op8_packing, op9_urls, op10_lines)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_decontamination, op4_substring, op5_language, op6_neighbours, op7_licenses, op8_packing, op9_urls, op10_lines,
+                                    op11_html, op12_collocations, op13_variants)}
 
 
 _LINES = """
@@ -93,4 +108,4 @@ FROM judged GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": substring_dedup.ORACLE_SQL, "op10_lines": _LINES}
+    return {"op4_substring": substring_dedup.ORACLE_SQL, "op10_lines": _LINES, "op12_collocations": collocations.ORACLE_SQL}

@@ -8,17 +8,18 @@ documents are entities and bodies. The DuckDB SQL spells every literal itself.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import audit as A
 from ..operators import catalog as G
 from ..operators import docs as D
 from ..operators import entries as N
 from ..operators import samples as SM
-from ..session import read_table
-from ..sources.manifest import MANIFEST_DDL
+from ..session import delete_at_end, read_table, shared_dir
+from ..sources.manifest import read_manifests
 
 # ─── audit ──────────────────────────────────────────────────────────────────
 
@@ -131,38 +132,57 @@ SELECT p_partkey, concat_ws(chr(10), '### `' || p_partkey || '`', '', 'A ' || p_
 # ─── manifests ──────────────────────────────────────────────────────────────
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, sources) of five projects: parts are models, order lines are
-    tests, suppliers are sources."""
-    manifest = T.StructType.fromDDL(MANIFEST_DDL)
-    of_node, of_source = (manifest[k].dataType.valueType for k in ("nodes", "sources"))
-
-    def row(df, key, node_id, node, schema):
-        return df.select((key % 5).cast("string").alias("project"), F.concat(F.lit("p"), key % 5).alias("project_name"), key.alias("pos"),
-                         node_id.alias("node_id"), F.from_json(F.to_json(node), schema).alias("node"))
+def _manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(project, k1, k2, k3, value)``: the lines of five projects' manifests.
+    Parts are models, order lines are tests, suppliers are sources."""
+    def row(df, key, k1, k2, k3, node_id, node, first=F.lit(False)):
+        return df.select((key % 5).cast("string").alias("project"), F.lit(k1).alias("k1"), k2.cast("bigint").alias("k2"), k3.cast("bigint").alias("k3"),
+                         F.concat(F.when(first, "").otherwise(","), node_id, F.lit(": "), F.to_json(node)).alias("value"))
 
     c, lit, cat = F.col, F.lit, F.concat
     part, line, sup = (read_table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier"))
     columns = F.struct(
-        F.struct(c("p_type").alias("data_type"), cat(lit(" "), "p_name").alias("description"), cat(lit('["unique", {"one_of": {"values": ['), "p_size", lit(', true]}}]')).alias("tests"),
+        F.struct(c("p_type").alias("data_type"), cat(lit(" "), "p_name").alias("description"), F.parse_json(cat(lit('["unique", {"one_of": {"values": ['), "p_size", lit(', true]}}]'))).alias("tests"),
                  F.struct((c("p_size") > 25).alias("pii")).alias("meta")).alias("k"),
         F.struct(lit("int").alias("data_type")).alias("user_email"))
-    model = row(part, c("p_partkey"), cat(lit("model.p."), "p_partkey"), F.struct(
+    quoted = lambda prefix, *keys: cat(lit(f'"{prefix}'), *keys, lit('"'))
+    model = row(part, c("p_partkey"), 1, c("p_partkey"), lit(0), quoted("model.p.", "p_partkey"), F.struct(
         lit("model").alias("resource_type"), cat(lit("part_"), "p_partkey").alias("name"), F.when(c("p_size") >= 10, c("p_brand")).otherwise("").alias("schema"),
         c("p_name").alias("description"), cat(lit(" select "), "p_size", lit("\n")).alias("raw_code"), columns.alias("columns"),
-        F.struct(F.array(cat(lit("model.p."), c("p_partkey") + 5), lit("seed.none"), cat(lit("source.s."), "p_size")).alias("nodes")).alias("depends_on")), of_node)
+        F.struct(F.array(cat(lit("model.p."), c("p_partkey") + 5), lit("seed.none"), cat(lit("source.s."), "p_size")).alias("nodes")).alias("depends_on")))
     n, ref = c("l_linenumber"), cat(lit("{{ f(ref('part_"), "l_partkey", lit("')) }}"))
-    test = row(line, c("l_partkey"), cat(lit("test.t."), "l_orderkey", lit("."), "l_linenumber"), F.struct(
+    test = row(line, c("l_partkey"), 2, c("l_orderkey"), n, quoted("test.t.", "l_orderkey", lit("."), "l_linenumber"), F.struct(
         lit("test").alias("resource_type"), lit("t").alias("name"), F.when(n == 1, cat(lit("model.p."), "l_partkey")).when(n == 2, "").alias("attached_node"),
         F.when(c("l_linestatus") == "O", lit("k")).otherwise(lit("user_email")).alias("column_name"),
         F.struct(F.when(n >= 5, F.array(lit("macro.m"), cat(lit("source.s."), "l_suppkey"))).alias("nodes")).alias("depends_on"),
         F.struct(F.when(c("l_returnflag") == "A", lit("among")).otherwise(lit("not_null")).alias("name"), F.struct(
             F.when(n <= 3, ref).when(n <= 5, cat(lit("source('shop', 'sup_"), "l_suppkey", lit("')"))).alias("model"), lit("k").alias("column_name"),
-            F.when(c("l_returnflag") == "A", F.array(n.cast("string"), lit("it's"))).alias("values"), F.when(n == 4, lit(True)).alias("strict")).alias("kwargs")).alias("test_metadata")), of_node)
-    source = row(sup, c("s_suppkey"), cat(lit("source.s."), "s_suppkey"), F.struct(
+            F.when(c("l_returnflag") == "A", F.array(n.cast("string"), lit("it's"))).alias("values"), F.when(n == 4, lit(True)).alias("strict")).alias("kwargs")).alias("test_metadata")))
+    firsts = sup.groupBy((c("s_suppkey") % 5).alias("_p")).agg(F.min("s_suppkey").alias("_first"))
+    source = row(sup.join(firsts, c("s_suppkey") % 5 == c("_p")), c("s_suppkey"), 4, c("s_suppkey"), lit(0), quoted("source.s.", "s_suppkey"), F.struct(
         lit("shop").alias("source_name"), F.when(c("s_nationkey") < 5, cat(lit("part_"), "s_suppkey")).otherwise(cat(lit("sup_"), "s_suppkey")).alias("name"),
-        F.when(c("s_nationkey") < 5, "prod").alias("schema"), c("s_name").alias("description")), of_source)
-    return model.unionByName(test), source
+        F.when(c("s_nationkey") < 5, "prod").alias("schema"), c("s_name").alias("description")), c("s_suppkey") == c("_first"))
+    frame = part.select((c("p_partkey") % 5).cast("string").alias("project")).distinct().select("project", F.inline(F.array(
+        F.struct(lit(0).alias("k1"), cat(lit('{"metadata": {"project_name": "p'), "project", lit('"}, "macros": {"macro.m": {"macro_sql": "{% macro m() %}\\"{}\\"{% endmacro %}"}}, "nodes": {"seed.p.first": {"resource_type": "seed"}')).alias("value")),
+        F.struct(lit(3).alias("k1"), lit('}, "sources": {').alias("value")), F.struct(lit(5).alias("k1"), lit("}}").alias("value")))))
+    frame = frame.select("project", "k1", lit(0).cast("bigint").alias("k2"), lit(0).cast("bigint").alias("k3"), "value")
+    return frame.unionByName(model).unionByName(test).unionByName(source)
+
+
+_PARSED: dict = {}
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, sources) of the manifests, written as one JSON file a project and
+    read back by the manifest reader; both once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PARSED:
+        folder = shared_dir(spark, f"tabledocs/manifests/{uuid.uuid4().hex}")
+        (_manifest_lines(spark, sf_dir).repartition("project").sortWithinPartitions("project", "k1", "k2", "k3")
+         .select("project", "value").write.partitionBy("project").text(folder))
+        delete_at_end(spark, folder)
+        _PARSED[key] = tuple(df.withColumn("project", F.regexp_extract("project", "project=([0-9]+)/", 1)) for df in read_manifests(spark, f"{folder}/project=*/*.txt"))
+    return _PARSED[key]
 
 
 def catalog_test_index(spark, sf_dir):
@@ -190,12 +210,12 @@ def catalog_columns(spark, sf_dir):
 
 def sample_refresh(spark, sf_dir):
     """Cache validity and refresh plan of every model and source; parts of
-    some sizes have a stale cache, or none."""
+    some sizes have a stale cache, suppliers have none."""
     cat = G.build_catalog(*_nodes(spark, sf_dir))
     ents = G.dedupe_by_slug(cat.entities)
     fps = SM.entity_fingerprints(cat.columns)
     size = F.col("p_size")
-    part = read_table(spark, sf_dir, "part").where(size != 30)
+    part = read_table(spark, sf_dir, "part")
     cached = part.select(
         (F.col("p_partkey") % 5).cast("string").alias("project"),
         F.concat(F.when(size >= 10, F.col("p_brand")).otherwise("prod"), F.lit(".part_"), F.col("p_partkey")).alias("slug"),
@@ -235,10 +255,10 @@ SELECT CAST(p_partkey % 5 AS VARCHAR), 'model.p.' || p_partkey, 2, 'source.s.' |
 _ENTITIES = """
 all_entities AS (
   SELECT CAST(p_partkey % 5 AS VARCHAR) AS project, 'model' AS kind, CASE WHEN p_size >= 10 THEN p_brand ELSE 'prod' END AS schema_name, 'part_' || p_partkey AS table_name,
-    p_name AS description, 'select ' || p_size AS compiled_sql, 'model.p.' || p_partkey AS node_id, p_partkey AS pos, p_size FROM part
+    p_name AS description, 'select ' || p_size AS compiled_sql, 'model.p.' || p_partkey AS node_id, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) AS pos, p_size FROM part
   UNION ALL
   SELECT CAST(s_suppkey % 5 AS VARCHAR), 'source', CASE WHEN s_nationkey < 5 THEN 'prod' ELSE 'public' END, CASE WHEN s_nationkey < 5 THEN 'part_' ELSE 'sup_' END || s_suppkey,
-    s_name, NULL, 'source.s.' || s_suppkey, s_suppkey, NULL FROM supplier
+    s_name, NULL, 'source.s.' || s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) - 1, NULL FROM supplier
 )"""
 _ONE = "QUALIFY row_number() OVER (PARTITION BY project, schema_name, table_name ORDER BY kind DESC, pos DESC) = 1"
 
@@ -254,7 +274,7 @@ FROM cols LEFT JOIN (SELECT project, node_id, column_name AS name, indexed FROM
 
 _REFRESH = f"""
 WITH {_ENTITIES}, e AS (SELECT * FROM all_entities {_ONE}),
-c AS (SELECT CAST(p_partkey % 5 AS VARCHAR) AS project, CASE WHEN p_size >= 10 THEN p_brand ELSE 'prod' END || '.part_' || p_partkey AS slug, p_size AS size FROM part WHERE p_size <> 30),
+c AS (SELECT CAST(p_partkey % 5 AS VARCHAR) AS project, CASE WHEN p_size >= 10 THEN p_brand ELSE 'prod' END || '.part_' || p_partkey AS slug, p_size AS size FROM part),
 v AS (SELECT e.project, schema_name || '.' || table_name AS slug, kind, CASE WHEN kind = 'model' THEN 'sha256:' || sha256('["k", "user_email"]') END AS column_names_hash,
   kind = 'model' AND c.size IS NOT NULL AND c.size NOT IN (31, 32, 33, 34) AND (c.size > 20) = (c.size > 25) AS cache_valid
   FROM e LEFT JOIN c ON c.project = e.project AND c.slug = schema_name || '.' || table_name)

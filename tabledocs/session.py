@@ -210,11 +210,23 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if n < target else df
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder of this application's own deleted when it ends."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a (small) result as a table in the shared
     folder and reading it back: one job, unlike ``checkpoint()``, which
-    computes its input once to count and again to write."""
+    computes its input once to count and again to write. The folder goes when
+    the application ends."""
     import uuid
     path = shared_dir(df.sparkSession, f"tabledocs/tables/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    try:
+        delete_at_end(df.sparkSession, path)
+    except Exception:  # Spark Connect: the shared folder's owner clears it
+        pass
+    return df.sparkSession.read.schema(df.schema).parquet(path)

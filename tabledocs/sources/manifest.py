@@ -1,9 +1,11 @@
 """Manifest source: many projects' ``manifest.json`` files read as tables.
 
-Each file is one row (``wholetext``), parsed once by ``from_json`` with the
-declared DDL (extra keys ignored); nodes and sources are exploded with their
-manifest position, and every row carries ``project`` (the file path) so a
-directory of manifests loads in one job. A session-catalog source builds the
+Files are read by blocks (``manifest_split``), so one large manifest is shared out
+among tasks and no task holds a whole one. Each node is parsed once by
+``from_json`` with the declared DDL (extra keys ignored) and the parsed nodes are
+written once; every row carries its manifest position and ``project`` (the file
+path), so a directory of manifests loads in one go. Manifests that are texts
+in memory are parsed whole. A session-catalog source builds the
 same tables from DataFrame schemas for users without manifests.
 """
 
@@ -12,19 +14,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import file_path, file_uri
+from ..session import file_path, file_uri, materialize
+from .manifest_split import read_entries
 
 COLUMN_DDL = ("map<string, struct<data_type:string, description:string, meta:string, "
               "tests:string, data_tests:string>>")
-MANIFEST_DDL = (
-    "metadata struct<project_name:string>, "
-    "nodes map<string, struct<resource_type:string, name:string, schema:string, "
+NODE_DDL = (
+    "struct<resource_type:string, name:string, schema:string, "
     "description:string, path:string, raw_code:string, attached_node:string, "
     f"column_name:string, columns:{COLUMN_DDL}, depends_on:struct<nodes:array<string>>, "
-    "test_metadata:struct<name:string, kwargs:map<string,variant>>>>, "
-    "sources map<string, struct<source_name:string, name:string, schema:string, "
-    f"description:string, columns:{COLUMN_DDL}>>"
+    "test_metadata:struct<name:string, kwargs:map<string,variant>>>"
 )
+SOURCE_DDL = f"struct<source_name:string, name:string, schema:string, description:string, columns:{COLUMN_DDL}>"
+MANIFEST_DDL = f"metadata struct<project_name:string>, nodes map<string, {NODE_DDL}>, sources map<string, {SOURCE_DDL}>"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,14 +35,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hpath))
 
 
-def read_manifest_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(project, value)``: one row per manifest file. A missing path is an
-    error naming it."""
+def _check_paths(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The paths as a list. A missing one is an error naming it."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
         if not _exists(spark, p):
             raise FileNotFoundError(f"no manifest at {p}: compile the project before reading it")
-    return (spark.read.text(paths, wholetext=True)
+    return paths
+
+
+def read_manifest_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(project, value)``: one row per manifest file. A missing path is an
+    error naming it."""
+    return (spark.read.text(_check_paths(spark, paths), wholetext=True)
             .select(file_path().alias("project"), "value"))
 
 
@@ -66,7 +73,18 @@ def parse_manifests(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_manifests(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    return parse_manifests(read_manifest_text(spark, paths))
+    """→ ``(nodes, sources)`` of manifest files, as :func:`parse_manifests` gives
+    them; each file is read by blocks, each node parsed and written once."""
+    entries = read_entries(spark, _check_paths(spark, paths))
+    named = (entries.where("section = 'metadata'").select("project", F.get_json_object(F.concat(F.lit("{"), "text", F.lit("}")), "$.project_name").alias("project_name"))
+             .groupBy("project").agg(F.max("project_name").alias("project_name")))
+
+    def parsed(section: str, ddl: str) -> DataFrame:
+        one = F.map_entries(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string, {ddl}>"))
+        rows = (entries.where(F.col("section") == section).join(named, "project", "left")
+                .select("project", "project_name", F.col("pos").cast("int").alias("pos"), F.get(one, F.lit(0)).alias("e")).where(F.col("e").isNotNull()))
+        return materialize(rows.select("project", "project_name", "pos", F.col("e.key").alias("node_id"), F.col("e.value").alias("node")), f"manifest-{section}")
+    return parsed("nodes", NODE_DDL), parsed("sources", SOURCE_DDL)
 
 
 def read_compiled_sql(spark: SparkSession, compiled_root: str, manifest: str | None = None) -> DataFrame:

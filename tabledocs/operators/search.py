@@ -72,7 +72,7 @@ def read_document(corpus: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def _needle(keyword: str) -> str:
+def needle_of(keyword: str) -> str:
     k = (keyword or "").strip()
     if not k:
         raise ValueError("`keyword` must be a non-empty string.")
@@ -84,7 +84,7 @@ def _snippets(matching: Column) -> Column:
                        lambda s: cut(py_strip(s), SEARCH_SNIPPET_MAX_LEN))
 
 
-_LINE_BREAKS = set("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
+LINE_BREAKS = set("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
 
 
 def _matching(corpus: DataFrame, needle: str) -> DataFrame:
@@ -92,7 +92,7 @@ def _matching(corpus: DataFrame, needle: str) -> DataFrame:
     some line exactly when it occurs in the lowered text, so that cheap test
     is the only filter (it may run at the scan). A needle holding a line
     break can match no line."""
-    if set(needle) & _LINE_BREAKS:
+    if set(needle) & LINE_BREAKS:
         corpus = corpus.where(F.lit(False))
     return corpus.where(F.contains(F.lower(F.col("text")), F.lit(needle)))
 
@@ -107,7 +107,7 @@ def _details(docs: DataFrame, needle: str) -> DataFrame:
 
 def search_hits(corpus: DataFrame, keyword: str) -> DataFrame:
     """Every matching document: ``(name, description, match_count, snippets)``."""
-    needle = _needle(keyword)
+    needle = needle_of(keyword)
     return _details(_matching(corpus, needle), needle)
 
 
@@ -116,7 +116,7 @@ def search(corpus: DataFrame, keyword: str, max_results: int = SEARCH_MAX_RESULT
     zero or less still returns the first hit). The top documents are chosen
     on the cheap match test first; lines, summaries and snippets are then
     computed for those documents only."""
-    needle = _needle(keyword)
+    needle = needle_of(keyword)
     top = (_matching(corpus, needle).orderBy(name_order(corpus)).limit(max(1, max_results))
            .repartition(1))
     # The top-k is one top-n per task and a small merge (TakeOrderedAndProject);
@@ -127,21 +127,26 @@ def search(corpus: DataFrame, keyword: str, max_results: int = SEARCH_MAX_RESULT
 
 # ─── many keywords ──────────────────────────────────────────────────────────
 
-def _batch_hits(corpus: DataFrame, needles: list[str]) -> DataFrame:
+def scan_hits(corpus: DataFrame, needles: list[str]) -> DataFrame:
     """One row per document and keyword found in it. The keywords are one
-    array value, so the plan is the same for any number of them: a document's
-    lowered text is tested against each, its lines are split and lowered once,
-    and only the keywords found are looked up in them."""
+    array value, so the plan is the same for any number of them; a document's
+    lowered text is tested against each."""
     def found(low: Column) -> Column:
         return F.filter(F.lit(needles), lambda k: F.contains(low, k))
 
+    return found_hits(corpus.select("name", "text", let(F.lower(F.col("text")), found).alias("found")).where(F.size("found") > 0))
+
+
+def found_hits(docs: DataFrame) -> DataFrame:
+    """``(keyword, name, description, match_count, snippets)`` of documents
+    with the keywords they may hold (``found``): lines are split and lowered
+    once, and only those keywords are looked up in them."""
     def lookup(lines: Column) -> Column:
         return F.transform("found", lambda k: F.struct(
             k.alias("keyword"), F.filter(lines, lambda l: F.contains(l.getField("low"), k)).alias("m")))
 
     lines = F.transform(split_lines(F.col("text")), lambda l: F.struct(l.alias("raw"), F.lower(l).alias("low")))
-    return (corpus.select("name", "text", let(F.lower(F.col("text")), found).alias("found")).where(F.size("found") > 0)
-            .select("name", summary_line("text").alias("description"), F.inline(let(lines, lookup))).where(F.size("m") > 0)
+    return (docs.select("name", summary_line("text").alias("description"), F.inline(let(lines, lookup))).where(F.size("m") > 0)
             .select("keyword", "name", "description", F.size("m").alias("match_count"),
                     _snippets(F.transform("m", lambda x: x.getField("raw"))).alias("snippets")))
 
@@ -151,10 +156,10 @@ def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None
     """Many keywords over a corpus: ``(keyword, name, description, match_count,
     snippets)``; per keyword the first ``max_results`` documents by name
     (``None`` keeps all hits)."""
-    needles = sorted({_needle(k) for k in keywords})
+    needles = sorted({needle_of(k) for k in keywords})
     if not needles:
         raise ValueError("`keywords` must hold at least one non-empty keyword.")
-    hits = _batch_hits(corpus, needles)
+    hits = scan_hits(corpus, needles)
     if max_results is None:
         return hits
     w = Window.partitionBy("keyword").orderBy(name_order(corpus))

@@ -18,7 +18,8 @@ How it runs
      just those whose two parts of one word less may be frequent, as a bitmap
      of ``SIEVE_BITS`` bits says: it may let rare phrases pass, never holds a
      frequent one back. The bitmap is all that is broadcast and its size is
-     fixed; where it fills up, more is counted and results stay the same.
+     fixed; where it fills up, more is counted and results stay the same. From
+     three words on only runs of frequent pairs are read, a smaller dictionary.
   3. Candidates meet the counts of their parts, and the longer candidates that
      hold them, by joins on (language, phrase).
 
@@ -32,9 +33,11 @@ Defined results
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -50,7 +53,8 @@ SIEVE_BITS = 1 << 26
 _SLICE = 1 << 16
 #: A-Z to a-z, piece ends to newlines, tabs to spaces.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
-_STOP = b"\n"
+#: Ids of a piece's end and of a text's end; words follow.
+_ENDS = {b"\n": 0, b"\r": 1}
 
 
 class _Ids(dict):
@@ -65,18 +69,20 @@ def _hashes(words) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def _chunks_of(text: str, reach: int) -> list[tuple[bytes, int]]:
-    """The chunks of one text: (tokens joined by spaces, own words)."""
-    raw = text.encode("utf-8", "replace").translate(_TABLE).replace(b"\n", b" \n ")
+def _chunks_of(texts: list[str], reach: int) -> list[tuple[bytes, int]]:
+    """The chunks of some texts: (tokens joined by spaces, own words)."""
+    raw = b" \r ".join(t.encode("utf-8", "replace").translate(_TABLE) for t in texts).replace(b"\n", b" \n ")
     tokens = [t for t in raw.split(b" ") if t]
-    ids = _Ids({_STOP: 0})
+    ids = _Ids(_ENDS)
     t = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
-    words = np.flatnonzero(t)
+    words = np.flatnonzero(t > 1)
     if not len(words):
         return []
     h = _hashes(list(ids))[t]
-    before = np.concatenate([h[:1] * np.uint64(0), h[:-1]])
-    begins = (mix64(h * np.uint64(3) + before) % np.uint64(EVERY) == 0) & (t != 0)
+    # a start by content, or as the first word of a text
+    begins = mix64(h * np.uint64(3) + np.concatenate([h[-1:], h[:-1]])) % np.uint64(EVERY) == 0
+    begins &= t > 1
+    begins[words[np.searchsorted(words, np.flatnonzero(t == 1)).clip(max=len(words) - 1)]] = True
     begins[words[0]] = True
     starts = np.flatnonzero(begins)
     # long stretches without a start: cut after LONGEST tokens
@@ -85,11 +91,12 @@ def _chunks_of(text: str, reach: int) -> list[tuple[bytes, int]]:
         more = [np.arange(s, s + g, LONGEST) for s, g in zip(starts[gaps > LONGEST], gaps[gaps > LONGEST])]
         starts = np.union1d(starts, np.concatenate(more))
     ends = np.append(starts[1:], len(tokens))
-    own = np.add.reduceat((t != 0).astype(np.int64), starts)
-    stops = np.append(np.flatnonzero(t == 0), len(tokens))
+    own = np.add.reduceat((t > 1).astype(np.int64), starts)
+    stops = np.append(np.flatnonzero(t < 2), len(tokens))
     over = np.minimum(ends + reach, stops[np.searchsorted(stops, ends)])
-    # a chunk that ends with its piece needs nothing more
-    over = np.where(t[ends - 1] == 0, ends, np.maximum(over, ends))
+    # a chunk that ends with its piece needs nothing more, and not the end itself
+    last = words[np.searchsorted(words, ends) - 1] + 1
+    over = np.where(last < ends, last, over)
     return [(b" ".join(tokens[s:e]), n) for s, e, n in zip(starts.tolist(), over.tolist(), own.tolist()) if n]
 
 
@@ -98,15 +105,14 @@ def _parse(batches, reach: int):
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
         for i, j in chunks_by_chars(texts, 4_000_000):
-            seen: dict = {}
+            by_lang: dict[str, list[str]] = {}
             for lang, text in zip(langs[i:j], texts[i:j]):
-                for chunk, own in _chunks_of(text, reach) if text else ():
-                    key = (lang, chunk, own)
-                    seen[key] = seen.get(key, 0) + 1
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()),
-                 pa.array([k[2] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["lang", "chunk", "own", "freq"])
+                by_lang.setdefault(lang, []).append(text)
+            for lang, own_texts in by_lang.items():
+                seen = Counter(_chunks_of(own_texts, reach))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(seen), pa.string()), pa.array([c for c, _ in seen], pa.binary()).cast(pa.string()),
+                     pa.array([n for _, n in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["lang", "chunk", "own", "freq"])
 
 
 def _bucket(h: np.ndarray, size: int) -> np.ndarray:
@@ -141,53 +147,86 @@ def _gathered(batches, size: int = 8 << 20):
 
 def _tables(chunks: list[bytes], owns: np.ndarray):
     """(distinct words, word ids, chunk of each token, starts that may be own)."""
-    ids = _Ids({_STOP: 0})
+    ids = _Ids(_ENDS)
     sizes = np.array([c.count(b" ") + 1 for c in chunks])
     t = np.fromiter(map(ids.__getitem__, b" ".join(chunks).split(b" ")), np.int64, int(sizes.sum()))
     chunk = np.repeat(np.arange(len(chunks)), sizes)
-    seen = np.cumsum(t != 0)
+    seen = np.cumsum(t > 1)
     first = np.concatenate([[0], seen[np.cumsum(sizes)[:-1] - 1]])
-    own = (t != 0) & (seen - first[chunk] <= owns[chunk])
+    own = (t > 1) & (seen - first[chunk] <= owns[chunk])
     return list(ids), t, chunk, own
 
 
-def _count(batches, k: int, sieve):
-    """(lang, phrase, f) of the phrases of ``k`` words that may be frequent."""
-    bits = None if sieve is None else np.frombuffer(sieve.value, np.uint8)
+class _Batch:
+    """The tokens of some chunks, and the starts of phrases in them."""
 
-    def may(h):
-        b = _bucket(h, 8 * len(bits))
-        return (bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-    for batch in _gathered(batches):
-        chunks = batch.column("chunk").cast(pa.binary()).to_pylist()
+    def __init__(self, batch: pa.RecordBatch, sieve):
         langs = batch.column("lang").dictionary_encode()
-        codes, owns, freqs = langs.indices.to_numpy(), batch.column("own").to_numpy(), batch.column("freq").to_numpy()
-        words, t, chunk, own = _tables(chunks, owns)
-        hw = _hashes(words)
-        hl = _hashes([x.encode() for x in langs.dictionary.to_pylist()])
-        # the start positions of phrases of k words within a piece and chunk
-        p = np.flatnonzero(own)
-        p = p[p + k <= len(t)]
+        self.langs, self.codes = langs.dictionary, langs.indices.to_numpy().astype(np.int64)
+        self.freqs = batch.column("freq").to_numpy()
+        self.words, self.t, self.chunk, self.own = _tables(batch.column("chunk").cast(pa.binary()).to_pylist(), batch.column("own").to_numpy())
+        if sieve is not None:
+            self.bits = np.frombuffer(sieve.value, np.uint8)
+            self.hw, self.hl = _hashes(self.words), _hashes([x.encode() for x in self.langs.to_pylist()])
+
+    def may(self, p: np.ndarray, k: int) -> np.ndarray:
+        """Whether the phrases of ``k`` words at the positions may be frequent."""
+        b = _bucket(_phrase_hash(self.hl[self.codes[self.chunk[p]]], np.stack([self.hw[self.t[p + j]] for j in range(k)], axis=1)), 8 * len(self.bits))
+        return (self.bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def starts(self, k: int, own: bool = True) -> np.ndarray:
+        """The positions of phrases of ``k`` words within a piece and chunk."""
+        p = np.flatnonzero(self.own if own else self.t > 1)
+        p = p[p + k <= len(self.t)]
         for j in range(1, k):
-            p = p[(t[p + j] != 0) & (chunk[p + j] == chunk[p])]
-        lang = codes[chunk[p]].astype(np.int64)
+            p = p[(self.t[p + j] > 1) & (self.chunk[p + j] == self.chunk[p])]
+        return p
+
+
+def _count(batches, k: int, sieve):
+    """(lang, phrase, f) of the phrases of ``k`` words that may be frequent."""
+    for rows in _gathered(batches):
+        b = _Batch(rows, sieve)
+        p = b.starts(k)
         if k > 1 and len(p):
-            ends = np.stack([hw[t[p + j]] for j in range(k)], axis=1)
-            p_may = may(_phrase_hash(hl[lang], ends[:, :-1]))
-            p_may[p_may] = may(_phrase_hash(hl[lang[p_may]], ends[p_may, 1:]))
-            p, lang = p[p_may], lang[p_may]
+            p = p[b.may(p, k - 1)]
+            p = p[b.may(p + 1, k - 1)]
         if not len(p):
             continue
         # equal phrases of the batch together: ids of ever longer phrases
-        key, weight = lang, freqs[chunk[p]]
+        key, weight = b.codes[b.chunk[p]], b.freqs[b.chunk[p]]
         for j in range(k):
-            _, at, key = np.unique(key * len(words) + t[p + j], return_index=True, return_inverse=True)
-        total = np.bincount(key, weights=weight, minlength=len(at)) if weight.sum() < 1 << 52 else _exact(key, weight, len(at))
-        spelled = pa.array(words, pa.binary()).cast(pa.string())
-        parts = [spelled.take(pa.array(t[p[at] + j])) for j in range(k)]
+            key = pd.factorize(key * len(b.words) + b.t[p + j])[0]
+        n = int(key.max()) + 1
+        at = np.empty(n, np.int64)
+        at[key] = np.arange(len(key))  # some place of each phrase
+        total = np.bincount(key, weights=weight, minlength=n) if weight.sum() < 1 << 52 else _exact(key, weight, n)
+        spelled = pa.array(b.words, pa.binary()).cast(pa.string())
+        parts = [spelled.take(pa.array(b.t[p[at] + j])) for j in range(k)]
         phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
-        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[at])), phrase, pa.array(total.astype(np.int64))], names=["lang", "phrase", "f"])
+        yield pa.RecordBatch.from_arrays([b.langs.take(pa.array(b.codes[b.chunk[p[at]]])), phrase, pa.array(total.astype(np.int64))], names=["lang", "phrase", "f"])
+
+
+def _runs(batches, sieve):
+    """Of each chunk the runs of words of which each two in a row may be frequent:
+    all that longer phrases can stand in. Rows like the dictionary's."""
+    for rows in _gathered(batches):
+        b = _Batch(rows, sieve)
+        p = b.starts(2, own=False)
+        linked = np.zeros(len(b.t), bool)  # to the next word
+        linked[p[b.may(p, 2)]] = True
+        before = np.concatenate([[False], linked[:-1]])
+        first, last = np.flatnonzero(linked & ~before), np.flatnonzero(before & ~linked)
+        keep = (last - first >= 2) & b.own[first]
+        first, last = first[keep], last[keep]
+        owned = np.concatenate([[0], np.cumsum(b.own)])
+        tokens = [b.words[i] for i in b.t.tolist()] if len(first) else []
+        runs = Counter()
+        for s, e, n, c in zip(first.tolist(), last.tolist(), (owned[last + 1] - owned[first]).tolist(), b.chunk[first].tolist()):
+            runs[b.codes[c], b" ".join(tokens[s:e + 1]), n] += int(b.freqs[c])
+        yield pa.RecordBatch.from_arrays(
+            [b.langs.take(pa.array([x[0] for x in runs], pa.int64())), pa.array([x[1] for x in runs], pa.binary()).cast(pa.string()),
+             pa.array([x[2] for x in runs], pa.int32()), pa.array(list(runs.values()), pa.int64())], names=["lang", "chunk", "own", "freq"])
 
 
 def _exact(key, weight, n):
@@ -236,6 +275,9 @@ def phrase_counts(chunks: DataFrame, max_words: int, min_count: int, sieve_bits:
     """lang, phrase, words, f of all phrases with at least ``min_count`` occurrences."""
     levels, sieve = [], None
     for k in range(1, max_words + 1):
+        if k == 3:
+            chunks = written(chunks.mapInArrow(partial(_runs, sieve=sieve), "lang string, chunk string, own int, freq bigint")
+                             .groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq")), "phrase-runs")
         level = written(chunks.mapInArrow(partial(_count, k=k, sieve=sieve), "lang string, phrase string, f bigint")
                         .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), f"phrases-{k}")
         levels.append(level.withColumn("words", F.lit(k)))

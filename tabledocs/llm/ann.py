@@ -23,11 +23,12 @@ How it runs
 
 Defined results
   vectors null, empty, zero, or holding null or non-finite components, and
-  rows without vec_id: take no part, neither as query nor as candidate. So do
-  vectors of another dimension than the most common one (the greater of
-  equally common ones). A vec_id on several rows is one vector, the least of
-  them. Equal vectors: each is a candidate; ties go to the smaller vec_id.
-  Fewer than k candidates: all of them. Empty table: empty result.
+  rows without vec_id: take no part, neither as query nor as candidate.
+  Vectors of each dimension are searched among their own, with codes of their
+  own. Rows that share a vec_id stay rows of their own: a query's candidates
+  are all rows but its own, and each row that is a query has its ranks. Equal
+  vectors: each is a candidate; ties go to the smaller vec_id. Fewer than k
+  candidates: all of them. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabledocs.llm.common import unit_hash, written
+from tabledocs.llm.common import quoted, unit_hash, written
 
 BITS, PARTS = 64, 8
 SHARD, BLOCK = 16_384, 4096
@@ -99,11 +100,11 @@ def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt((d * d).sum(axis=1))
 
 
-def nearest(index: MultiIndex, ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, code: np.uint64, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` (ids, distances) of the shard for one query."""
+def nearest(index: MultiIndex, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, code: np.uint64, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` (ids, distances) of the shard for the query whose row is ``own``."""
     while True:
         found = index.within(code, radius)
-        found = found[ids[found] != own]
+        found = found[keys[found] != own]
         if len(found) >= k or radius >= BITS:
             break
         radius += 4
@@ -140,38 +141,46 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     spark = vectors.sparkSession
     good = (F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
             & F.exists("v", lambda e: e != 0))
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull()).where(F.coalesce(good, F.lit(False)))
-    rows = written(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sizes:
-        return spark.createDataFrame([], empty)
-    dim, n = sizes[0]["dim"], sizes[0]["n"]
-    rows = rows.where(F.size("v") == dim)
-    sample = rows.where(unit_hash(F.lit("fit"), "vec_id") < fit_rows / n).select("v").toArrow()
+    rows = (vectors.select(F.col(quoted(id_col)).cast("bigint").alias("vec_id"), F.col(quoted(vector_col)).cast("array<double>").alias("v"))
+            .where(F.col("vec_id").isNotNull()).where(F.coalesce(good, F.lit(False))))
+    # rows alike in id and vector differ by a number
+    rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n")).select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    rows = written(rows.select("vec_id", "v", F.xxhash64("vec_id", "v", "copy").alias("key")), "vectors")
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("queries")).orderBy("dim").collect()
+    found = None
+    for r in sizes:
+        if r["queries"]:
+            part = _search(rows.where(F.size("v") == r["dim"]), is_query, r["dim"], r["n"], r["queries"], k, fit_rows, fit_queries, target)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    order = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, is_query: Column, dim: int, n: int, n_queries: int, k: int, fit_rows: int, fit_queries: int, target: float) -> DataFrame:
+    """The best ``k`` of every shard for each query among vectors of one dimension."""
+    spark = rows.sparkSession
+    sample = rows.where(unit_hash(F.lit("fit"), "key") < fit_rows / n).select("v").toArrow()
     if not len(sample):
         sample = rows.limit(fit_rows).select("v").toArrow()
     model = spark.sparkContext.broadcast(fit(_vectors(sample.column("v"), dim), fit_queries, k, target))
-    n_queries = rows.where(is_query).count()
     shards, blocks = math.ceil(n / SHARD), max(1, math.ceil(n_queries / BLOCK))
-    deal = lambda what, m: F.floor(unit_hash(F.lit(what), "vec_id") * m).cast("int")
+    deal = lambda what, m: F.floor(unit_hash(F.lit(what), "key") * m).cast("int")
     base = rows.withColumn("shard", deal("shard", shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = rows.where(is_query).withColumn("block", deal("block", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, x = left.column("vec_id").to_numpy(), _vectors(left.column("v"), dim)
-        own, q = right.column("vec_id").to_numpy(), _vectors(right.column("v"), dim)
+        ids, keys, x = left.column("vec_id").to_numpy(), left.column("key").to_numpy(), _vectors(left.column("v"), dim)
+        names, own, q = right.column("vec_id").to_numpy(), right.column("key").to_numpy(), _vectors(right.column("v"), dim)
         codes, radius = model.value
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(ids) and len(own):
             index = MultiIndex(codes(x))
             for i, code in enumerate(codes(q)):
-                found, d = nearest(index, ids, x, own[i], q[i], code, k, radius)
-                out.append((np.full(len(found), own[i]), found, d))
+                found, d = nearest(index, ids, keys, x, own[i], q[i], code, k, radius)
+                out.append((np.full(len(found), names[i]), np.full(len(found), own[i]), found, d))
         cat = lambda j, t: np.concatenate([o[j] for o in out]) if out else np.zeros(0, t)
-        return pa.table({"query_id": pa.array(cat(0, np.int64)), "vec_id": pa.array(cat(1, np.int64)), "score": pa.array(cat(2, np.float64))})
+        return pa.table({"query_id": pa.array(cat(0, np.int64)), "query": pa.array(cat(1, np.int64)), "vec_id": pa.array(cat(2, np.int64)), "score": pa.array(cat(3, np.float64))})
 
-    from pyspark.sql import Window
-    found = base.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return base.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(search, "query_id bigint, query bigint, vec_id bigint, score double")

@@ -40,6 +40,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text_key(id_col: str, text_col: str) -> list[Column]:
+    """(k1, k2): 128 bits of a row's id and text. Rows alike in both are one document."""
+    key = [F.col(quoted(id_col)).cast("string"), F.col(quoted(id_col)).isNull(), F.col(quoted(text_col)), F.col(quoted(text_col)).isNull()]
+    return [F.xxhash64(F.lit(1), *key).alias("k1"), F.xxhash64(F.lit(2), *key).alias("k2")]
+
+
+def row_of(df: DataFrame, *without: str) -> Column:
+    """A struct of the columns but those, whatever their names."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns if c not in without]).alias("row")
+
+
 def fold(col: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; null for null."""
     c = F.col(col) if isinstance(col, str) else col

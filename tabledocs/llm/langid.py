@@ -7,24 +7,23 @@ cross-entropy per character; a calibrated limit rejects texts that are unlike
 all learned languages.
 
 How it runs
-  1. Per language a bounded sample of its labelled documents, chosen by a hash
-     of id and text, is counted: n-grams per batch first, then per language.
-     Bounds (a classifier's sample): ``train_docs`` and ``calibration_docs``
-     together per language, ``max_grams`` most frequent 4-grams per language,
-     and the ``max_langs`` most frequent languages.
-  2. The model (a few MB by those bounds) is computed on the driver and
-     broadcast. Every text is scored whole, in one pass without a shuffle.
-  3. The sample is dealt into ``FOLDS`` folds by a hash of the text, whatever
-     its size. A second model, learned without the first fold, scores that
-     fold: the sharpness that turns differences of cross-entropy into the
-     probability of the chosen language, and for each language the mean and
-     spread of its documents' cross-entropy. Languages of fewer than
-     ``RARE_DOCS`` documents are scored fold by fold, each by a model without
-     it. A text is rejected if no letter is in it, or if its cross-entropy lies
-     more than ``REJECT_SD`` standard deviations and ``REJECT_NATS`` above its
-     language's mean (the spread allows for the text's length). Languages of
-     fewer than ``LEAST_ROWS`` held-out rows take the spread of all languages,
-     and those of none the highest mean of the others too.
+  1. Per language a bounded sample of its labelled documents (about
+     ``sample_docs``, a classifier's bound), chosen by a hash of id and text, is
+     counted: n-grams per batch first, then per language. All languages are
+     learned, and all their n-grams: none is cut.
+  2. The model (the sample's distinct 4-grams with a value a language) is
+     computed on the driver and broadcast. Every text is scored whole, in one
+     pass without a shuffle.
+  3. The sample is dealt into ``FOLDS`` folds by a hash of the text; each fold
+     is scored by a model learned from the others, at every size alike. Sums
+     over the rows give the sharpness that turns differences of cross-entropy
+     into the probability of the chosen language, and for each language the
+     mean and spread of its documents' cross-entropy. A text is rejected if no
+     letter is in it, or if its cross-entropy lies more than ``REJECT_SD``
+     standard deviations and ``REJECT_NATS`` above its language's mean (the
+     spread allows for the text's length). A language's spread is shrunk
+     towards that of all, and its mean towards the highest, as if
+     ``PRIOR_ROWS`` rows said so: the fewer held-out rows, the more.
 
 Defined results
   null text, text without a letter: ``und``, score 0, rejected.
@@ -44,14 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabledocs.llm.common import chunks_by_chars, mix64, prepare, unit_hash
+from tabledocs.llm.common import chunks_by_chars, mix64, prepare, quoted, row_of, unit_hash
 
 ORDER = 4
 REJECT_SD = 8.0
 REJECT_NATS = 1.0
 FOLDS = 5
-LEAST_ROWS = 20
-RARE_DOCS = FOLDS * LEAST_ROWS
+PRIOR_ROWS = 20
+GRID = (0.5, 1, 2, 4, 8, 16, 32, 64)
 _MASK = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER + 1)]
 
 
@@ -241,67 +240,67 @@ def _count(batches):
              pa.array(np.concatenate([n for *_, n in out]) if out else [], pa.int64())], names=["lang", "fold", "gram", "n"])
 
 
-def _entropy_rows(batches, models):
-    """Per text of a fold, by the model without it: its cross-entropy under its
-    own language and, in the first fold, under all."""
+#: What is summed over held-out rows: entropies and their squares, by weights
+#: (none, 1/n, least of n and 1000), then the loss at each sharpness of GRID.
+MEASURES = ("rows", "own", "own2", "short", "short2", "own_short", "own2_short", "weight", "own_weight", *(f"loss_{i}" for i in range(len(GRID))))
+
+
+def measures(n: np.ndarray, own: np.ndarray, e: np.ndarray, true: np.ndarray) -> np.ndarray:
+    """A row of MEASURES per text of n characters, with cross-entropy ``own`` under
+    its language (number ``true``) and ``e`` under each."""
+    short, weight = 1 / n, np.minimum(n, 1000)
+    loss = [-np.log(np.maximum(Calibration._posterior(e, n, s)[np.arange(len(n)), true], 1e-12)) for s in GRID]
+    return np.stack([np.ones(len(n)), own, own * own, short, short * short, own * short, own * own * short, weight, own * weight, *loss], axis=1)
+
+
+def _held_out(batches, models, langs):
+    """MEASURES of the texts of each fold, by the model without it."""
+    number = {x: j for j, x in enumerate(langs)}
     for batch in batches:
-        langs, folds, texts = (batch.column(c).to_pylist() for c in ("lang", "fold", "text"))
-        size, own, every = np.zeros(len(texts), np.int64), np.zeros(len(texts)), [None] * len(texts)
-        for f in set(folds):
-            at = [i for i, x in enumerate(folds) if x == f]
+        lang, folds, texts = (batch.column(c).to_pylist() for c in ("lang", "fold", "text"))
+        names, rows = [], [np.zeros((0, len(MEASURES)))]
+        for f in sorted(set(folds)):
             model = models[f].value
-            number = {x: j for j, x in enumerate(model.langs)}
-            n, e = model.entropies([texts[i] for i in at])
-            for i, m, row in zip(at, n, e):
-                if langs[i] in number:
-                    size[i], own[i], every[i] = m, row[number[langs[i]]], row if f == 0 else None
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(size), pa.array(own), pa.array(every, pa.list_(pa.float64()))], names=["lang", "n", "own", "e"])
+            known = set(model.langs)
+            at = [i for i, x in enumerate(folds) if x == f and lang[i] in known]
+            n, some = model.entropies([texts[i] for i in at])
+            e = np.full((len(at), len(langs)), np.inf)  # a language without other folds is none
+            e[:, [number[x] for x in model.langs]] = some
+            true = np.array([number[lang[i]] for i in at], np.int64)
+            full = n > 0
+            n, e, true = n[full].astype(np.float64), e[full], true[full]
+            rows.append(measures(n, e[np.arange(len(n)), true], e, true))
+            names += [langs[j] for j in true]
+        x = np.concatenate(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(MEASURES)))], names=["lang", *MEASURES])
 
 
 class Calibration:
     """Sharpness of the confidence, and the limits of rejection."""
 
-    def __init__(self, langs: list[str], rows, scored: list[str] = (), uniform: float = 1.0):
-        """``rows``: lang, n, own and e of held-out texts; e is over the
-        languages ``scored``."""
+    def __init__(self, langs: list[str], sums: dict[str, np.ndarray], uniform: float = 1.0):
+        """``sums``: per language the MEASURES of its held-out texts, summed."""
         L = len(langs)
+        x = np.array([sums.get(lang, np.zeros(len(MEASURES))) for lang in langs]).reshape(L, len(MEASURES))
+        rows, own, own2, short, short2, own_short, own2_short, weight, own_weight = x[:, :9].T
+        held = rows > 0
         self.sharpness = np.float64(20.0)
         # without any held-out text: worse than guessing letters
         self.mean, self.between, self.within = np.full(L, -np.log(uniform) - REJECT_NATS), np.full(L, 0.05), np.full(L, 4.0)
-        rows = [r for r in rows if r["n"]]
-        if not rows:
+        if not held.any():
             return
-        own = np.array([r["own"] for r in rows])
-        n = np.array([r["n"] for r in rows], np.float64)
-        true = np.array([langs.index(r["lang"]) for r in rows])
-        held = np.bincount(true, minlength=L)
-        weight = np.minimum(n, 1000)
-        mean = np.bincount(true, weight * own, L) / np.maximum(np.bincount(true, weight, L), 1)
-        few = (held > 0) & (held < LEAST_ROWS)
-        self.mean = np.where(held > 0, mean, mean[few if few.any() else held > 0].max())
-        off = (own - self.mean[true]) ** 2
-        between, within = self._spread(off, n)
-        if len(rows) < LEAST_ROWS:
-            between, within = max(between, 0.05), max(within, 4.0)
-        for j in range(L):
-            self.between[j], self.within[j] = self._spread(off[true == j], n[true == j]) if held[j] >= LEAST_ROWS else (between, within)
-        full = np.array([r["e"] is not None for r in rows])
-        if not full.any():
-            return
-        e = np.array([r["e"] for r in rows if r["e"] is not None])
-        n, true = n[full], np.array([scored.index(r["lang"]) for r in rows if r["e"] is not None])
-        loss = []
-        grid = [0.5, 1, 2, 4, 8, 16, 32, 64]
-        for s in grid:
-            p = self._posterior(e, n, s)[np.arange(len(true)), true]
-            loss.append(-np.log(np.maximum(p, 1e-12)).mean())
-        self.sharpness = np.float64(grid[int(np.argmin(loss))])
-
-    @staticmethod
-    def _spread(off: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-        """off = between + within / n, by least squares, neither negative."""
-        short = 1 / n
-        return max(0.02 ** 2, float(np.mean(off))), max(1.0, float((off * short).sum() / (short * short).sum()))
+        self.sharpness = np.float64(GRID[int(np.argmin(x[:, 9:].sum(axis=0)))])
+        mean = own_weight / np.where(held, weight, 1)
+        # off = between + within / n, by least squares, neither negative
+        off = own2 - 2 * mean * own + mean ** 2 * rows
+        off_short = own2_short - 2 * mean * own_short + mean ** 2 * short
+        lean = lambda value, count, prior: (value * count + prior * PRIOR_ROWS) / (count + PRIOR_ROWS)
+        between = lambda o, n: np.maximum(0.02 ** 2, o / np.maximum(n, 1))
+        within = lambda o, s: np.maximum(1.0, o / np.maximum(s, 1e-300))
+        all_between = lean(between(off.sum(), rows.sum()), rows.sum(), 0.05)
+        all_within = lean(within(off_short.sum(), short2.sum()), rows.sum(), 4.0)
+        self.between, self.within = lean(between(off, rows), rows, all_between), lean(within(off_short, short2), rows, all_within)
+        self.mean = lean(mean, rows, mean[held].max())
 
     @staticmethod
     def _posterior(e: np.ndarray, n: np.ndarray, s: float) -> np.ndarray:
@@ -339,55 +338,41 @@ def _predict(batches, model, calibration: Calibration):
             names=["row", "text", "lang_pred", "score", "rejected"])
 
 
-def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 4000,
-                       calibration_docs: int = 1000, max_grams: int = 300_000, max_langs: int = 200) -> DataFrame:
+def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 5000) -> DataFrame:
     """Per row of ``docs``: ``row`` (a struct of all columns but the text),
     ``text``, lang_pred, score, rejected. ``learn``: the rows to learn from."""
     prepare(docs.sparkSession)
     spark = docs.sparkSession
-    own = docs.where(F.coalesce(learn, F.lit(False)) & F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull())
-    sizes = own.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in sizes)
-    model, calibration = spark.sparkContext.broadcast(Model([], {})), Calibration([], [])
+    lang, text = F.col(quoted(lang_col)), F.col(quoted(text_col))
+    own = docs.where(F.coalesce(learn, F.lit(False)) & lang.isNotNull() & (lang != "") & text.isNotNull())
+    sizes = own.groupBy(lang.alias("lang")).agg(F.count("*").alias("docs"))
+    u = unit_hash(F.lit("language"), F.col(quoted(id_col)).cast("string"), text)
+    # copies of a text share a fold
+    fold = F.floor(unit_hash(F.lit("fold"), text) * FOLDS).cast("int").alias("fold")
+    chosen = (own.select(lang.alias("lang"), text.alias("text"), fold, u.alias("u")).join(sizes, "lang")
+              .where(F.col("u") * F.col("docs") < sample_docs).select("lang", "fold", "text"))
+    counts = (chosen.mapInArrow(_count, "lang string, fold int, gram bigint, n bigint").groupBy("lang", "gram")
+              .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)]))
+    counted, without = {}, [{} for _ in range(FOLDS)]
+    for x, t in counts.toPandas().groupby("lang"):
+        keys = t["gram"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys, n = keys[order], t["n"].to_numpy(np.int64)[order]
+        counted[x] = (keys, n)
+        for f in range(FOLDS):
+            left = n - t[f"n{f}"].to_numpy(np.int64)[order]
+            if (left > 0).any():
+                without[f][x] = (keys[left > 0], left[left > 0])
+    langs = sorted(counted)
+    full = Model(langs, counted)
+    model, sums = spark.sparkContext.broadcast(full), {}
     if langs:
-        part = {r["lang"]: min(1.0, (train_docs + calibration_docs) / r["docs"]) for r in sizes}
-        rare = [r["lang"] for r in sizes if r["docs"] < RARE_DOCS]
-        limit = F.create_map(*[F.lit(v) for kv in part.items() for v in kv])[F.col(lang_col)]
-        u = unit_hash(F.lit("language"), F.col(id_col).cast("string"), F.col(text_col))
-        # copies of a text share a fold
-        fold = F.floor(unit_hash(F.lit("fold"), F.col(text_col)) * FOLDS).cast("int").alias("fold")
-        chosen = own.where(F.col(lang_col).isin(langs)).where(u < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), fold)
-        counts = (chosen.mapInArrow(_count, "lang string, fold int, gram bigint, n bigint").groupBy("lang", "gram")
-                  .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)]))
-        if max_grams:
-            from pyspark.sql import Window
-            counts = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= max_grams).drop("k")
-        pdf = counts.toPandas()
-        counted, without = {}, [{} for _ in range(FOLDS)]
-        for x in langs:
-            t = pdf[pdf["lang"] == x]
-            keys = t["gram"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(keys)
-            keys, n = keys[order], t["n"].to_numpy(np.int64)[order]
-            counted[x] = (keys, n)
-            for f in range(FOLDS) if x in rare else (0,):
-                left = n - t[f"n{f}"].to_numpy(np.int64)[order]
-                if (left > 0).any():
-                    without[f][x] = (keys[left > 0], left[left > 0])
-        del pdf
-        langs = [x for x in langs if len(counted[x][0])]
-        full = Model(langs, counted)
-        model = spark.sparkContext.broadcast(full)
-        if langs:
-            # a language's fold is scored by a model that knows the language from other folds
-            models = {f: spark.sparkContext.broadcast(Model(sorted(m), m, full.uniform)) for f, m in enumerate(without) if m}
-            known = F.lit(False)
-            for f, m in enumerate(without):
-                known = known | ((F.col("fold") == f) & F.col("lang").isin(list(m)))
-            rows = chosen.where(known).select("lang", "fold", "text").mapInArrow(partial(_entropy_rows, models=models), "lang string, n bigint, own double, e array<double>").collect()
-            for m in models.values():
-                m.destroy()
-            calibration = Calibration(langs, rows, sorted(without[0]), full.uniform)
-    base = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).alias("text"))
+        models = [spark.sparkContext.broadcast(Model(sorted(m), m, full.uniform)) for m in without]
+        rows = chosen.mapInArrow(partial(_held_out, models=models, langs=langs), "lang string, " + ", ".join(f"{m} double" for m in MEASURES))
+        sums = {r["lang"]: np.array(r[1:]) for r in rows.groupBy("lang").agg(*[F.sum(m).alias(m) for m in MEASURES]).collect()}
+        for m in models:
+            m.destroy()
+    calibration = Calibration(langs, sums, full.uniform)
+    base = docs.select(row_of(docs, text_col), text.alias("text"))
     out = T.StructType([base.schema["row"], T.StructField("text", T.StringType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return base.mapInArrow(partial(_predict, model=model, calibration=calibration), out)

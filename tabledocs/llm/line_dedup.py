@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabledocs.llm.common import prepare, with_columns, written
+from tabledocs.llm.common import prepare, quoted, row_of, text_key, with_columns, written
 from tabledocs.llm.mph import HashArrays
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -162,10 +162,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     prepare(spark)
     # rows of one id and text get one result, so that pair is a document's key
-    key = [F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull()]
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"),
-                       F.xxhash64(F.lit(1), *key).alias("k1"), F.xxhash64(F.lit(2), *key).alias("k2"),
-                       F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"))
+    base = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc"), F.col(quoted(text_col)).alias("text"), *text_key(id_col, text_col), row_of(docs, text_col))
 
     held = (base.where(F.col("doc").isNotNull()).select("doc", "text")
             .mapInArrow(partial(_holdings, min_chars=min_chars), "doc bigint, a bigint, b bigint"))

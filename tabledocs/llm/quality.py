@@ -116,7 +116,7 @@ class Discriminant:
         self.inverse, self.log_det = [], []
         for c in (0, 1):
             own = spread[c] / max(n[c] - 1, 1) / np.outer(self.unit, self.unit)
-            a = max(pool, min(1.0, 2 * p / (n[c] + 2 * p)) if n[c] < 4 * p else 0)  # few rows: lean on the pool
+            a = max(pool, 1 - n[c] / (4 * p))  # the fewer rows, the more it leans on the pool
             s = (1 - ridge) * ((1 - a) * own + a * pooled)
             s += ridge * max(np.trace(s) / p, 1e-6) * np.eye(p) + 1e-9 * np.eye(p)
             factor = np.linalg.cholesky(s)

@@ -43,7 +43,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_units(read_table(spark, sf_dir, "documents"))
+    found = substring_dedup.repeated_units(substring_dedup.keyed(read_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "kind", "start", "end", "first_doc_id", "first_start")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

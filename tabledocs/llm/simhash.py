@@ -176,7 +176,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (smallest doc_id reachable), ``root`` (the component's least fingerprint,
     never null) and ``row``, a struct of the id and the ``carry`` columns."""
     prepare(docs.sparkSession)
-    small = docs.select(F.struct(F.col(id_col).cast("bigint").alias("__doc"), *[F.col(c) for c in carry]).alias("row"), F.col(text_col).alias("text"))
+    small = docs.select(F.struct(F.col(quoted(id_col)).cast("bigint").alias("__doc"), *[F.col(quoted(c)) for c in carry]).alias("row"), F.col(quoted(text_col)).alias("text"))
     fps = written(small.mapInArrow(partial(_fingerprints, shingle=shingle), _schema(small)), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("row.__doc").alias("doc")), "nodes")
     stars = components(near_links(nodes.select("fp"), max_bits))

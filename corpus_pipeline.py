@@ -6,7 +6,8 @@ return the columns of ``docs``.
 
 Defined results, beside those of the operators: a stage that gets no rows
 returns none. Null texts: language ID rejects them. Repeated rows: the SimHash
-stage keeps one row of each group.
+stage keeps one row of each group; rows alike in id and text are one document,
+whatever their other columns. Columns of any name and type pass.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledocs.llm.common import fold, written
+from tabledocs.llm.common import fold, row_of, text_key, written
 from tabledocs.llm.decontam import decontaminate
 from tabledocs.llm.langid import identify_languages
 from tabledocs.llm.line_dedup import line_dedup
@@ -46,13 +47,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one with the smallest id."""
     configure(spark)
-    # a row's identity: equal keys are equal rows, of which one stays
-    values = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
-    keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(1), *values), "__k2": F.xxhash64(F.lit(2), *values)})
-    found = near_dedup(keyed, shingle=3, max_bits=3, carry=("__k1", "__k2"))
+    # rows alike in id and text are one document, of which one row stays
+    keyed = docs.select(F.col("doc_id"), F.col("text"), *text_key("doc_id", "text"), row_of(docs))
+    found = near_dedup(keyed, shingle=3, max_bits=3, carry=("k1", "k2"))
     stays = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row"))
-             .select("row.__k1", "row.__k2"))
-    return keyed.join(stays, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+             .select("row.k1", "row.k2"))
+    one = keyed.select("k1", "k2", "row").join(stays, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Event lines are ``key=value`` pairs (strings holding a space, ``=`` or ``"``
 are quoted, with ``"`` escaped) or JSON objects. The roll-up groups by the
 SQL hash; every aggregate is partial per task (map-side), and latency
-percentiles use a bounded sketch unless exact values are asked for.
+percentiles use a bounded sketch unless exact values are asked for. For long
+histories a day's events are reduced to one small row per hash (:func:`daily_state`)
+whose sketches merge for any range of days (:func:`rollup_state`).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.guard import guard_reason, sql_log_hash
+from ..functions.strings import let
 
 AUDIT_SCHEMA = ("ts double, event string, tool string, sql_hash string, reason string, "
                 "row_count bigint, cache_hit boolean, elapsed_ms bigint")
@@ -54,10 +57,19 @@ def event_lines(events: DataFrame, fmt: str = "kv") -> DataFrame:
 _KV = r'([A-Za-z_][A-Za-z0-9_]*)=("(?:[^"\\]|\\.)*"|\S*)'
 
 
+def _last_values(entries: Column) -> Column:
+    """A map of ``array<struct<key, value>>``; the last value of a key counts."""
+    def last(e: Column, i: Column) -> Column:
+        later = F.slice(entries, i + 2, F.size(entries))
+        return ~F.exists(later, lambda x: x.getField("key") == e.getField("key"))
+    return F.map_from_entries(F.filter(entries, last))
+
+
 def parse_lines(lines: DataFrame, col: str = "line") -> DataFrame:
     """Text lines (either format) → ``AUDIT_SCHEMA`` rows, and ``extra``, a
     map of all other fields. JSON lines are
-    parsed by ``from_json``; ``key=value`` lines by one regex pass."""
+    parsed by ``from_json``; ``key=value`` lines by one regex pass. Of a key
+    that a line has twice, the last value counts."""
     line = F.col(col)
     is_json = F.startswith(F.ltrim(line), F.lit("{"))
     keys = F.regexp_extract_all(line, F.lit(_KV), F.lit(1))
@@ -65,9 +77,9 @@ def parse_lines(lines: DataFrame, col: str = "line") -> DataFrame:
                        lambda v: F.when(F.startswith(v, F.lit('"')),
                                         F.replace(F.regexp_replace(v, r'^"|"$', ""), F.lit('\\"'), F.lit('"')))
                        .otherwise(v))
-    kv = F.map_from_arrays(keys, vals)
-    js = F.from_json(line, "map<string,string>")
-    m = F.when(is_json, js).otherwise(kv)
+    kv = F.zip_with(keys, vals, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    js = F.map_entries(F.from_json(line, "map<string,string>"))
+    m = let(F.when(is_json, js).otherwise(kv), _last_values)
     get = lambda k: F.element_at(m, F.lit(k))
     return lines.select(
         get("ts").try_cast("double").alias("ts"), get("event").alias("event"), get("tool").alias("tool"),
@@ -102,6 +114,39 @@ def rollup(audit: DataFrame, exact: bool = False) -> DataFrame:
         p50.alias("p50_ms"), p95.alias("p95_ms"))
 
 
+#: Size parameter of the latency sketches: ranks within about half a percent.
+SKETCH_K = 800
+
+
+def daily_state(audit: DataFrame) -> DataFrame:
+    """One row per SQL hash and UTC day: sums, and a sketch of the accepted
+    calls' latencies, to be stored and merged. A row is bounded by ``SKETCH_K``,
+    however many events it stands for."""
+    ok = F.col("event") == "tool_call_ok"
+    day = F.to_date(F.timestamp_seconds("ts")).alias("day")
+    return audit.groupBy("sql_hash", day).agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event") == "tool_call_rejected").alias("rejected"),
+        F.count_if(ok & F.col("cache_hit").isNotNull()).alias("judged"), F.count_if(ok & F.col("cache_hit")).alias("hits"),
+        F.sum(F.when(ok, F.col("row_count"))).alias("rows"), F.kll_sketch_agg_bigint(F.when(ok, F.col("elapsed_ms")), F.lit(SKETCH_K)).alias("latency"))
+
+
+def rollup_state(state: DataFrame, first=None, last=None) -> DataFrame:
+    """:func:`rollup` over the days from ``first`` to ``last`` (both included,
+    open where None), from :func:`daily_state` rows of any number of runs."""
+    days = state
+    if first is not None:
+        days = days.where(F.col("day") >= F.lit(first))
+    if last is not None:
+        days = days.where(F.col("day") <= F.lit(last))
+    out = days.groupBy("sql_hash").agg(
+        *[F.sum(c).alias(c) for c in ("calls", "rejected", "judged", "hits", "rows")],
+        F.kll_merge_agg_bigint("latency").alias("latency"))
+    some = F.kll_sketch_get_n_bigint("latency") > 0
+    at = lambda q: F.when(some, F.kll_sketch_get_quantile_bigint("latency", F.lit(q)))
+    return out.select("sql_hash", "calls", "rejected", F.try_divide(F.col("hits").cast("double"), F.col("judged")).alias("cache_hit_share"), "rows",
+                      at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))
+
+
 def classify_rollup(queries: DataFrame, sql_col: str = "sql") -> DataFrame:
     """A table of SQL texts rolled up per log hash: how many calls, how many
     the guard refuses. Partial counts per task before the shuffle, so a hash
@@ -116,7 +161,7 @@ class EventLog:
 
     Events are kept on the driver only until ``flush``; one event per call,
     so the buffer is bounded by the calls made. ``flush`` turns them into an
-    ``AUDIT_SCHEMA`` table (the SQL is hashed by the same expression as the
+    ``AUDIT_SCHEMA`` table with all other fields in ``extra`` (the SQL is hashed by the same expression as the
     log hash) and appends it to ``path`` when given (a shared folder)."""
 
     def __init__(self, spark, path: str | None = None):
@@ -129,14 +174,14 @@ class EventLog:
         self._events.append({"ts": time.time(), "event": kind, **fields})
 
     def flush(self) -> DataFrame:
-        rows = [(e["ts"], e["event"], e.get("tool"), e.get("sql"), e.get("reason"), e.get("row_count"),
-                 e.get("cache_hit"), e.get("elapsed_ms")) for e in self._events]
+        usual = ("ts", "event", "tool", "sql", "reason", "row_count", "cache_hit", "elapsed_ms")
+        rows = [(*(e.get(k) for k in usual), {k: None if v is None else str(v) for k, v in e.items() if k not in usual}) for e in self._events]
         self._events = []
         df = self.spark.createDataFrame(
             rows, "ts double, event string, tool string, sql string, reason string, row_count bigint, "
-                  "cache_hit boolean, elapsed_ms bigint")
+                  "cache_hit boolean, elapsed_ms bigint, extra map<string,string>")
         out = df.select("ts", "event", "tool", sql_log_hash(F.col("sql")).alias("sql_hash"), "reason",
-                        "row_count", "cache_hit", "elapsed_ms")
+                        "row_count", "cache_hit", "elapsed_ms", "extra")
         if self.path:
             out.write.mode("append").parquet(self.path)
         return out

@@ -41,9 +41,10 @@ def audit_lines(spark, sf_dir):
 
 
 def audit_round_trip(spark, sf_dir):
-    """Written as lines of both formats, and read back."""
+    """Written as lines of both formats, each with a key that stands twice, and read back."""
     e = _audit_events(spark, sf_dir)
-    read = [A.parse_lines(A.event_lines(e, f)).withColumn("fmt", F.lit(f)) for f in ("kv", "json")]
+    twice = {"kv": F.concat(F.lit("tool=first event_id=0 "), "line"), "json": F.concat(F.lit('{"tool":"first","event_id":"0",'), F.substring("line", 2, 1 << 30))}
+    read = [A.parse_lines(A.event_lines(e, f).select(twice[f].alias("line"))).withColumn("fmt", F.lit(f)) for f in ("kv", "json")]
     return read[0].unionByName(read[1]).withColumn("event_id", F.element_at("extra", F.lit("event_id"))).drop("extra")
 
 
@@ -51,6 +52,18 @@ def audit_rollup(spark, sf_dir):
     return A.rollup(_audit_events(spark, sf_dir), exact=True)
 
 
+def audit_days(spark, sf_dir):
+    """Daily states merged over all days, their percentiles against the exact ranks."""
+    e = _audit_events(spark, sf_dir)
+    merged = A.rollup_state(A.daily_state(e))
+    lat = e.where("event = 'tool_call_ok' and elapsed_ms is not null").select("sql_hash", "elapsed_ms")
+    share = lambda c: F.avg(c.cast("double"))
+    within = lambda p, q: (share(F.col("elapsed_ms") < F.col(p)) <= q + 0.02) & (share(F.col("elapsed_ms") <= F.col(p)) >= q - 0.02)
+    ranks = lat.join(merged.select("sql_hash", "p50_ms", "p95_ms"), "sql_hash").groupBy("sql_hash").agg(
+        within("p50_ms", 0.5).alias("p50_within"), within("p95_ms", 0.95).alias("p95_within"))
+    return merged.drop("p50_ms", "p95_ms").join(ranks, "sql_hash", "left")
+
+
 _AUDIT = """(SELECT floor(epoch(ts))::DOUBLE AS ts, CASE WHEN event_type = 'error' THEN 'tool_call_rejected' ELSE 'tool_call_ok' END AS event,
  'run query' AS tool, 'u' || user_id AS sql_hash, CASE WHEN event_type = 'error' THEN 'has "a=b" in it' END AS reason,
  CAST(json_extract_string(props, '$.k') AS BIGINT) AS row_count, event_type = 'view' AS cache_hit,
@@ -284,7 +297,7 @@ SELECT project, slug, column_names_hash, cache_valid, CASE WHEN cache_valid AND
 
 
 def jobs() -> dict:
-    return {f.__name__: f for f in (audit_lines, audit_round_trip, audit_rollup, event_extract, docs_index, notes_merge, catalog_entry_lines,
+    return {f.__name__: f for f in (audit_lines, audit_round_trip, audit_rollup, audit_days, event_extract, docs_index, notes_merge, catalog_entry_lines,
                                     catalog_test_index, catalog_lineage, catalog_entities, catalog_columns, sample_refresh)}
 
 
@@ -299,6 +312,10 @@ def oracles() -> dict[str, str]:
                         "avg(cache_hit::INT) FILTER (event = 'tool_call_ok') AS cache_hit_share, CAST(sum(row_count) FILTER (event = 'tool_call_ok') AS BIGINT) AS rows, "
                         "quantile_cont(elapsed_ms::DOUBLE, 0.5) FILTER (event = 'tool_call_ok') AS p50_ms, quantile_cont(elapsed_ms::DOUBLE, 0.95) FILTER (event = 'tool_call_ok') AS p95_ms "
                         f"FROM {_AUDIT} GROUP BY sql_hash",
+        "audit_days": "SELECT sql_hash, count(*) AS calls, count(*) FILTER (event = 'tool_call_rejected') AS rejected, "
+                      "avg(cache_hit::INT) FILTER (event = 'tool_call_ok') AS cache_hit_share, CAST(sum(row_count) FILTER (event = 'tool_call_ok') AS BIGINT) AS rows, "
+                      "CASE WHEN count(elapsed_ms) FILTER (event = 'tool_call_ok') > 0 THEN true END AS p50_within, "
+                      f"CASE WHEN count(elapsed_ms) FILTER (event = 'tool_call_ok') > 0 THEN true END AS p95_within FROM {_AUDIT} GROUP BY sql_hash",
         "event_extract": "SELECT event_id, ts, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing FROM events WHERE event_type = 'purchase'",
         "docs_index": _INDEX,
         "notes_merge": _NOTES,

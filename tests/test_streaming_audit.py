@@ -162,3 +162,47 @@ def test_register_folder_of_any_file_system(spark, tmp_path):
     assert register_folder(spark, f"file://{tmp_path}") == ["three"] and spark.table("three").count() == 3
     with pytest.raises(FileNotFoundError):
         register_folder(spark, f"file://{tmp_path}/none")
+
+
+def test_repeated_keys_keep_the_last_value(spark):
+    lines = spark.createDataFrame([("tool=a event=x tool=b k=1 k=2",), ('{"tool": "a", "event": "x", "k": "1", "tool": "b", "k": "2"}',), ("",), (None,), ("{",)], "line string")
+    got = [(r.tool, r.event, r.extra) for r in A.parse_lines(lines).collect()]
+    assert got[:2] == [("b", "x", {"k": "2"})] * 2
+    assert [g[:2] for g in got[2:]] == [(None, None)] * 3
+
+
+def test_log_keeps_free_fields(spark):
+    log = A.EventLog(spark)
+    log.event("tool_call_ok", tool="q", sql="select 1", client="c1", n=3, none=None)
+    log.event("other")
+    got = log.flush().collect()
+    assert got[0].extra == {"client": "c1", "n": "3", "none": None} and got[1].extra == {}
+    lines = A.event_lines(spark.createDataFrame([(1.0, "e", {"client": "c 1"})], "ts double, event string, extra map<string,string>"))
+    assert A.parse_lines(lines).first().extra == {"client": "c 1"}
+
+
+def test_daily_states_merge_alike_in_any_split(spark):
+    """Few calls are exact; parts of a day merge to the whole; ranges are closed."""
+    from pyspark.sql import functions as F
+    e = spark.range(600).select((F.col("id") * 3600.0).alias("ts"), F.when(F.col("id") % 10 == 0, "tool_call_rejected").otherwise("tool_call_ok").alias("event"),
+                                (F.col("id") % 3).cast("string").alias("sql_hash"), (F.col("id") % 2 == 0).alias("cache_hit"), F.col("id").alias("row_count"),
+                                ((F.col("id") * 7919) % 601).alias("elapsed_ms"))
+    exact = {r.sql_hash: r for r in A.rollup(e).collect()}
+    parts = [A.daily_state(e.where(F.col("ts") % 7200 == k)) for k in (0, 3600)]
+    for state in (A.daily_state(e), parts[0].unionByName(parts[1])):
+        for r in A.rollup_state(state).collect():
+            assert r == exact[r.sql_hash]
+    import datetime as dt
+    some = A.rollup_state(A.daily_state(e), dt.date(1970, 1, 2), dt.date(1970, 1, 3)).collect()
+    assert sum(r.calls for r in some) == 48
+    none = A.daily_state(e.where("event <> 'tool_call_ok'"))
+    assert {(r.p50_ms, r.cache_hit_share, r["rows"]) for r in A.rollup_state(none).collect()} == {(None, None, None)}
+
+
+def test_sketched_percentiles_are_bounded(spark):
+    from pyspark.sql import functions as F
+    n = 200_000
+    e = spark.range(n).select((F.col("id") % 40 * 86400.0).alias("ts"), F.lit("tool_call_ok").alias("event"), F.lit("h").alias("sql_hash"), F.lit(True).alias("cache_hit"),
+                              F.lit(1).cast("bigint").alias("row_count"), ((F.col("id") * 104_729) % n).alias("elapsed_ms"))
+    r = A.rollup_state(A.daily_state(e)).first()
+    assert abs(r.p50_ms - 0.5 * n) < 0.01 * n and abs(r.p95_ms - 0.95 * n) < 0.01 * n

@@ -71,8 +71,7 @@ def entity_bodies(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
     else:
         e = e.withColumn("_n", F.lit(None).cast("int")).withColumn("_smp", _empty())
     if sections is not None:
-        e = e.join(sections.select(F.col("table_slug").alias("slug"), F.col("kind").alias("_cat_kind"),
-                                   F.col("section").alias("_section")), "slug", "left")
+        e = _with_sections(e, sections)
     else:
         e = e.withColumn("_cat_kind", F.lit(None).cast("string")).withColumn("_section", F.lit(None).cast("string"))
 
@@ -99,6 +98,20 @@ def entity_bodies(entities: DataFrame, columns: DataFrame, lineage: DataFrame,
     return e.select("project", "slug", body.alias("body"))
 
 
+def _with_sections(entities: DataFrame, sections: DataFrame) -> DataFrame:
+    """Each entity with its catalog's kind and section: of its project's and of
+    those for every project (empty ``project``), the one declared last."""
+    s = sections if "project" in sections.columns else sections.withColumn("project", F.lit(""))
+    s = s if "decl_pos" in s.columns else s.withColumn("decl_pos", F.lit(0))
+    found = F.struct(F.col("decl_pos").alias("at"), F.col("kind").alias("kind"), F.col("section").alias("section"))
+    own = s.where(F.col("project") != "").select("project", F.col("table_slug").alias("slug"), found.alias("_own"))
+    shared = s.where(F.col("project") == "").select(F.col("table_slug").alias("slug"), found.alias("_shared"))
+    e = entities.join(own, ["project", "slug"], "left").join(shared, "slug", "left")
+    # a null struct is less than any other
+    last = F.when(F.col("_shared").isNull() | (F.col("_own.at") > F.col("_shared.at")), F.col("_own")).otherwise(F.col("_shared"))
+    return e.withColumn("_last", last).withColumns({"_cat_kind": F.col("_last.kind"), "_section": F.col("_last.section")})
+
+
 def join_lines(lines: DataFrame, keys=("project", "slug")) -> DataFrame:
     """Lines → ``body``: joined with newlines in key order, trailing
     whitespace removed, one final newline."""
@@ -176,26 +189,18 @@ def export_text(docs: DataFrame, folder: str, mode: str = "overwrite") -> None:
 
 
 def export_markdown(docs: DataFrame, folder: str) -> None:
-    """Write one ``<slug>.md`` per row from the executors, for a POSIX folder
-    mounted on every executor (shared storage; never a machine-local folder
-    on a cluster — use :func:`export_text` or :func:`write_docs` for object
-    stores). Rewriting a file is idempotent, so retried tasks are safe.
-    Slugs with path separators are refused, and so are documents of one slug
+    """One ``<slug>.md`` per row, by the ``named_text`` writer: all files appear
+    when the whole job has succeeded, and a killed task leaves none. Slugs
+    with path separators are refused, and so are documents of one slug
     (of two projects): export each project to a folder of its own."""
-    import os
+    from ..sources.textfiles import write_files
+    bad = docs.where(F.col("slug").isNull() | F.col("slug").rlike(r"[/\\\\]|\.\.")).select("slug").first()
+    if bad:
+        raise ValueError(f"a document can't be a file of this name: {bad.slug!r}")
     twice = docs.groupBy("slug").count().where("count > 1").select("slug").first()
     if twice:
         raise ValueError(f"more than one document of {twice.slug!r}: export each project to its own folder")
-
-    def write(rows):
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            name = r["slug"]
-            if "/" in name or "\\" in name or ".." in name:
-                raise ValueError(f"a document can't be a file of this name: {name!r}")
-            with open(os.path.join(folder, f"{name}.md"), "w", encoding="utf-8") as fh:
-                fh.write(r["body"])
-    docs.select("slug", "body").foreachPartition(write)
+    write_files(docs.sparkSession, docs.select(F.concat("slug", F.lit(".md")).alias("path"), F.col("body").alias("text")), folder)
 
 
 def build_docs(entities: DataFrame, columns: DataFrame, lineage: DataFrame,

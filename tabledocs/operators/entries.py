@@ -3,8 +3,10 @@ kind hooks, and the event-catalog job over an events table.
 
 Each entry's lines are one array built by a projection (no Python); a
 section is the entries of one catalog ordered by name. Hooks are ordinary
-Python functions registered per kind: ``intro(entries) -> (table_slug, pos,
-line)`` and ``extras(entries) -> (table_slug, name, pos, line)``.
+Python functions registered per kind: ``intro(entries) -> (project, table_slug, pos,
+line)`` and ``extras(entries) -> (project, table_slug, name, pos, line)``; a hook
+that leaves ``project`` out gives its lines to the tables of that name in all
+projects. An empty project stands for every project.
 """
 
 from __future__ import annotations
@@ -118,67 +120,68 @@ def register_kind(name: str, intro: IntroFn | None = None, extras: ExtrasFn | No
     KINDS[name] = Kind(intro, extras, options)
 
 
+_TABLE = ["project", "table_slug"]
+
+
+def _of_projects(entries: DataFrame) -> DataFrame:
+    """``entries`` with a project that is never null."""
+    given = F.coalesce("project", F.lit("")) if "project" in entries.columns else F.lit("")
+    return entries.withColumn("project", given)
+
+
 def last_catalog_per_table(entries: DataFrame) -> DataFrame:
-    """Only the last declared catalog per table counts, be it empty
+    """Only the last declared catalog per project and table counts, be it empty
     (``n_entries``); empty table names never match."""
     from pyspark.sql import Window
-    cats = (entries.where(F.col("table_slug") != "").groupBy("table_slug", "kind", "title", "decl_pos")
+    cats = (_of_projects(entries).where(F.col("table_slug") != "").groupBy(*_TABLE, "kind", "title", "decl_pos")
             .agg(F.count("name").alias("n_entries")))
-    w = Window.partitionBy("table_slug").orderBy(F.desc("decl_pos"))
+    w = Window.partitionBy(*_TABLE).orderBy(F.desc("decl_pos"))
     return cats.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def section_lines(entries: DataFrame, kinds: dict[str, Kind] | None = None) -> DataFrame:
-    """Catalog section lines per table: ``(table_slug, kind, k1, k2, k3, line)``
-    sorted by the three keys. ``entries`` needs ``decl_pos`` (declaration
-    order); only the last catalog per table is rendered. An empty one gives a
-    single null line, as its kind still labels the document."""
+    """Catalog section lines per table: ``(project, table_slug, kind, decl_pos, k1,
+    k2, k3, line)`` sorted by the three keys. ``entries`` needs ``decl_pos``
+    (declaration order); only the last catalog per table is rendered. An empty
+    one gives a single null line, as its kind still labels the document."""
+    from pyspark.sql import Window
     kinds = KINDS if kinds is None else kinds
     chosen = last_catalog_per_table(entries)
-    e = entries.join(chosen.select("table_slug", "decl_pos"), ["table_slug", "decl_pos"], "left_semi")
+    e = _of_projects(entries).join(chosen.select(*_TABLE, "decl_pos"), [*_TABLE, "decl_pos"], "left_semi")
     e = entry_lines(e.where(F.col("name").isNotNull()))
     title = F.when(F.coalesce(F.col("title"), F.lit("")) != "", F.col("title")).otherwise(
         py_title(F.replace(F.col("kind"), F.lit("_"), F.lit(" "))))
-    heads = chosen.select("table_slug", "kind", F.lit(0).alias("k1"), F.lit(0).alias("k2"),
-                          F.posexplode(F.when(F.col("n_entries") > 0, F.array(template(CATALOG_TITLE, title=title), F.lit("")))
-                                       .otherwise(F.array(F.lit(None).cast("string")))).alias("k3", "line"))
-    body = e.select("table_slug", "kind", F.lit(2).alias("k1"), F.col("name"),
-                    F.posexplode("lines").alias("k3", "line"))
-    parts = [heads]
-    extras_parts = []
+    out = chosen.select(*_TABLE, F.lit(0).alias("k1"), F.lit(0).alias("k2"),
+                        F.posexplode(F.when(F.col("n_entries") > 0, F.array(template(CATALOG_TITLE, title=title), F.lit("")))
+                                     .otherwise(F.array(F.lit(None).cast("string")))).alias("k3", "line"))
+    body = e.select(*_TABLE, "name", F.posexplode("lines").alias("k3", "line"))
     for kname, k in kinds.items():
         ek = e.where(F.col("kind") == kname)
+
+        def placed(lines: DataFrame, ek=ek) -> DataFrame:
+            return lines if "project" in lines.columns else lines.join(ek.select(*_TABLE).distinct(), "table_slug")
         if k.intro is not None:
-            intro = k.intro(ek)
+            intro = placed(k.intro(ek))
             # intro lines then one blank line, only when the intro is non-empty
-            parts.append(intro.select("table_slug", F.lit(kname).alias("kind"), F.lit(1).alias("k1"),
-                                      F.lit(0).alias("k2"), F.col("pos").alias("k3"), "line"))
-            parts.append(intro.groupBy("table_slug").agg(F.max("pos").alias("p"))
-                         .select("table_slug", F.lit(kname).alias("kind"), F.lit(1).alias("k1"),
-                                 F.lit(0).alias("k2"), (F.col("p") + 1).alias("k3"), F.lit("").alias("line")))
+            end = intro.groupBy(*_TABLE).agg((F.max("pos") + 1).alias("pos")).withColumn("line", F.lit(""))
+            out = out.unionByName(intro.select(*_TABLE, "pos", "line").unionByName(end.select(*_TABLE, "pos", "line"))
+                                  .select(*_TABLE, F.lit(1).alias("k1"), F.lit(0).alias("k2"), F.col("pos").alias("k3"), "line"))
         if k.extras is not None:
-            extras_parts.append(k.extras(ek).select("table_slug", "name", F.lit(kname).alias("kind"),
-                                                    (F.col("pos") + 1_000_000).alias("k3"), "line"))
-    for x in extras_parts:
-        body = body.unionByName(x.select("table_slug", "kind", F.lit(2).alias("k1"), "name", "k3", "line"))
+            body = body.unionByName(placed(k.extras(ek)).select(*_TABLE, "name", (F.col("pos") + 1_000_000).alias("k3"), "line"))
     # entries sorted by name: rank inside each table
-    ranks = e.select("table_slug", "name").distinct()
-    from pyspark.sql import Window
-    ranks = ranks.withColumn("k2", F.row_number().over(Window.partitionBy("table_slug").orderBy("name")))
-    body = body.join(ranks, ["table_slug", "name"]).select("table_slug", "kind", "k1", "k2", "k3", "line")
-    out = parts[0]
-    for p in parts[1:] + [body]:
-        out = out.unionByName(p)
-    return out
+    ranks = e.select(*_TABLE, "name").distinct()
+    ranks = ranks.withColumn("k2", F.row_number().over(Window.partitionBy(*_TABLE).orderBy("name")))
+    out = out.unionByName(body.join(ranks, [*_TABLE, "name"]).select(*_TABLE, F.lit(2).alias("k1"), "k2", "k3", "line"))
+    return out.join(chosen.select(*_TABLE, "kind", "decl_pos"), _TABLE)
 
 
 def section_text(lines: DataFrame) -> DataFrame:
-    """Join a table's section lines in order: ``(table_slug, kind, section)``;
-    the section of an empty catalog is null."""
-    g = lines.groupBy("table_slug", "kind").agg(
+    """Join a table's section lines in order: ``(project, table_slug, kind,
+    decl_pos, section)``; the section of an empty catalog is null."""
+    g = lines.groupBy(*_TABLE, "kind", "decl_pos").agg(
         F.sort_array(F.collect_list(F.struct("k1", "k2", "k3", "line"))).alias("ls"))
     lines_of = F.transform("ls", lambda x: x.getField("line"))
-    return g.select("table_slug", "kind", F.when(F.exists(lines_of, F.isnotnull), F.array_join(lines_of, "\n")).alias("section"))
+    return g.select(*_TABLE, "kind", "decl_pos", F.when(F.exists(lines_of, F.isnotnull), F.array_join(lines_of, "\n")).alias("section"))
 
 
 # ─── worked example kinds: events and plans ────────────────────────────────
@@ -194,7 +197,7 @@ def events_kind(column: str = "event", data_column: str = "data",
 
     def intro(entries: DataFrame) -> DataFrame:
         text = template(EVENTS_INTRO, column=option(entries, "column", column), data_column=option(entries, "data_column", data_column))
-        return entries.select("table_slug", text.alias("line")).distinct().select("table_slug", F.lit(0).alias("pos"), "line")
+        return entries.select(*_TABLE, text.alias("line")).distinct().select(*_TABLE, F.lit(0).alias("pos"), "line")
 
     def extras(entries: DataFrame) -> DataFrame:
         attrs = F.element_at(F.col("spec"), F.lit("attributes"))
@@ -210,7 +213,7 @@ def events_kind(column: str = "event", data_column: str = "data",
         block = F.when((F.col("table_slug") == "") | (F.size(cols) == 0), F.array(F.lit(""))).otherwise(
             F.array(F.lit(""), F.lit(EVENTS_QUERY_LABEL), F.lit(""), F.lit("```sql"), sql,
                     F.lit("```"), F.lit("")))
-        return entries.select("table_slug", "name", F.posexplode(block).alias("pos", "line"))
+        return entries.select(*_TABLE, "name", F.posexplode(block).alias("pos", "line"))
 
     return Kind(intro, extras, {"column": column, "data_column": data_column,
                                 "core_columns": list(core_columns), "head_limit": head_limit})
@@ -225,14 +228,14 @@ def plans_kind() -> Kind:
     """Plans catalog: a price/seats comparison table across entries, a
     deprecation callout and a pricing link per entry."""
     def intro(entries: DataFrame) -> DataFrame:
-        rows = entries.select("table_slug", "name", template(
+        rows = entries.select(*_TABLE, "name", template(
             PLANS_TABLE_ROW, name=F.col("name"), price=_spec_text("price"),
             seats=_spec_text("seats_included")).alias("row"))
-        g = rows.groupBy("table_slug").agg(F.sort_array(F.collect_list(F.struct("name", "row"))).alias("rs"))
+        g = rows.groupBy(*_TABLE).agg(F.sort_array(F.collect_list(F.struct("name", "row"))).alias("rs"))
         lines = F.concat(F.array(F.lit(PLANS_INTRO), F.lit(""), F.lit(PLANS_TABLE_HEADER),
                                  F.lit(PLANS_TABLE_RULE)),
                          F.transform("rs", lambda r: r.getField("row")))
-        return g.select("table_slug", F.posexplode(lines).alias("pos", "line"))
+        return g.select(*_TABLE, F.posexplode(lines).alias("pos", "line"))
 
     def extras(entries: DataFrame) -> DataFrame:
         dep = F.element_at(F.col("spec"), F.lit("deprecated"))
@@ -246,7 +249,7 @@ def plans_kind() -> Kind:
                                                            url=url.cast("string")))).otherwise(none)
         out = F.concat(a, b)
         out = F.when(F.size(out) > 0, F.concat(out, F.array(F.lit("")))).otherwise(out)
-        return entries.select("table_slug", "name", F.posexplode(out).alias("pos", "line"))
+        return entries.select(*_TABLE, "name", F.posexplode(out).alias("pos", "line"))
 
     return Kind(intro, extras)
 

@@ -17,9 +17,13 @@ from ..operators import audit as A
 from ..operators import catalog as G
 from ..operators import docs as D
 from ..operators import entries as N
+from ..operators import protect as P
 from ..operators import samples as SM
 from ..session import delete_at_end, read_table, shared_dir
-from ..sources.manifest import read_manifests
+from ..sources.catalogs import catalog_entries
+from ..sources.corpus import read_markdown_folder
+from ..sources.manifest import read_compiled_sql, read_manifests
+from ..sources.textfiles import write_files
 
 # ─── audit ──────────────────────────────────────────────────────────────────
 
@@ -160,7 +164,7 @@ def _manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(lit("int").alias("data_type")).alias("user_email"))
     quoted = lambda prefix, *keys: cat(lit(f'"{prefix}'), *keys, lit('"'))
     model = row(part, c("p_partkey"), 1, c("p_partkey"), lit(0), quoted("model.p.", "p_partkey"), F.struct(
-        lit("model").alias("resource_type"), cat(lit("part_"), "p_partkey").alias("name"), F.when(c("p_size") >= 10, c("p_brand")).otherwise("").alias("schema"),
+        lit("model").alias("resource_type"), cat(lit("part_"), "p_partkey").alias("name"), cat(lit("m/part_"), "p_partkey", lit(".sql")).alias("path"), F.when(c("p_size") >= 10, c("p_brand")).otherwise("").alias("schema"),
         c("p_name").alias("description"), cat(lit(" select "), "p_size", lit("\n")).alias("raw_code"), columns.alias("columns"),
         F.struct(F.array(cat(lit("model.p."), c("p_partkey") + 5), lit("seed.none"), cat(lit("source.s."), "p_size")).alias("nodes")).alias("depends_on")))
     n, ref = c("l_linenumber"), cat(lit("{{ f(ref('part_"), "l_partkey", lit("')) }}"))
@@ -198,6 +202,57 @@ def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _PARSED[key]
 
 
+def _compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compiled files of the smallest parts, written under their names and read back."""
+    root = shared_dir(spark, f"tabledocs/compiled/{uuid.uuid4().hex}")
+    part = read_table(spark, sf_dir, "part").where("p_size < 5")
+    path = F.concat(F.lit("p"), F.col("p_partkey") % 5, F.lit("/models/m/part_"), "p_partkey", F.lit(".sql"))
+    write_files(spark, part.select(path.alias("path"), F.concat(F.lit("\n compiled "), "p_size", F.lit("\n")).alias("text")), root)
+    delete_at_end(spark, root)
+    return read_compiled_sql(spark, root)
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier has a catalog of two entries for its table: of its own
+    project, of every one, or (each seventh) of another."""
+    key, sup = F.col("s_suppkey"), read_table(spark, sf_dir, "supplier")
+    prod = F.col("s_nationkey") < 5
+    project = F.when(key % 3 == 0, "").otherwise(F.when(key % 7 == 0, (key + 1) % 5).otherwise(key % 5).cast("string"))
+    spec = F.struct(F.struct(F.concat(F.lit(" For "), "s_name", F.lit(". ")).alias("description"), F.col("s_nationkey").alias("price"), key.alias("seats_included")).alias("basic"),
+                    F.struct(F.lit("x").alias("price"), (F.col("s_nationkey") > 12).alias("deprecated")).alias("pro"))
+    decls = sup.select(key.cast("int").alias("decl_pos"), project.alias("project"), F.when(key % 2 == 0, "plans").otherwise("perks").alias("kind"), F.lit("").alias("title"),
+                       F.concat(F.when(prod, "prod.part_").otherwise("public.sup_"), key).alias("table_slug"), F.lit("").alias("source"), F.lit("{}").alias("options"),
+                       F.to_json(spec).alias("text"))
+    return N.section_text(N.section_lines(catalog_entries(decls), {"plans": N.plans_kind()}))
+
+
+def docs_full(spark, sf_dir):
+    """Documents of all models and sources with columns, tests, catalog
+    sections, parents and SQL, compiled where a file is there."""
+    cat = G.build_catalog(*_nodes(spark, sf_dir), compiled=_compiled(spark, sf_dir))
+    return D.entity_bodies(G.dedupe_by_slug(cat.entities), cat.columns, cat.lineage, sections=_sections(spark, sf_dir))
+
+
+def docs_export(spark, sf_dir):
+    """Every text exported as a file of its document's name, and read back."""
+    folder = shared_dir(spark, f"tabledocs/export/{uuid.uuid4().hex}")
+    d = read_table(spark, sf_dir, "documents")
+    D.export_markdown(d.select(F.col("doc_id").cast("string").alias("slug"), F.coalesce("text", F.lit("")).alias("body")), folder)
+    delete_at_end(spark, folder)
+    return read_markdown_folder(spark, folder).select("name", F.sha2("text", 256).alias("sha256"))
+
+
+def pii_tags(spark, sf_dir):
+    """The documented columns of all projects with the tags that PII names get."""
+    cols = G.build_catalog(*_nodes(spark, sf_dir)).columns
+    return P.apply_tags(cols).select("project", "node_id", "name", "meta")
+
+
+def pii_tag_counts(spark, sf_dir):
+    cols = G.build_catalog(*_nodes(spark, sf_dir)).columns
+    return D.run_counts(P.tag_pii(cols, table_col="node_id"))
+
+
 def catalog_test_index(spark, sf_dir):
     """Declared tests with their owner, indexed by column."""
     idx = G.test_index(G.test_owners(*_nodes(spark, sf_dir)))
@@ -296,9 +351,42 @@ SELECT project, slug, column_names_hash, cache_valid, CASE WHEN cache_valid AND
 """
 
 
+_FIRST = "CASE WHEN {0} = '' THEN '(no description)' WHEN strpos({0}, '. ') > 0 THEN left({0}, strpos({0}, '. ')) WHEN strpos({0}, '.') > 0 THEN left({0}, strpos({0}, '.')) ELSE {0} END"
+_FULL = f"""
+WITH {_OWNED}, {_ENTITIES}, e AS (SELECT * FROM all_entities {_ONE}),
+cols AS ({_COLUMNS.split("cols AS (", 1)[1].split(")\nSELECT", 1)[0]}),
+col_lines AS (
+  SELECT project, node_id, string_agg('### ' || name || chr(10) || '- Type: `' || data_type || '`' || CASE WHEN description <> '' THEN chr(10) || chr(10) || description || chr(10) ELSE '' END
+      || CASE WHEN coalesce(inline, indexed) IS NOT NULL THEN chr(10) || '- Tests: ' || replace(concat_ws(chr(10), inline, indexed), chr(10), ', ') ELSE '' END || chr(10), chr(10) ORDER BY pos) AS cl
+  FROM cols LEFT JOIN (SELECT project, node_id, column_name AS name, indexed FROM idx) USING (project, node_id, name) GROUP BY project, node_id
+), parents AS (
+  SELECT project, node_id, string_agg('- `' || parent_name || '` — ' || {_FIRST.format("parent_description")}, chr(10) ORDER BY pos) AS pl FROM ({_LINEAGE}) GROUP BY project, node_id
+), sections AS (
+  SELECT CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 7 = 0 THEN CAST((s_suppkey + 1) % 5 AS VARCHAR) ELSE CAST(s_suppkey % 5 AS VARCHAR) END AS of_project,
+    CASE WHEN s_nationkey < 5 THEN 'prod.part_' ELSE 'public.sup_' END || s_suppkey AS slug, CASE WHEN s_suppkey % 2 = 0 THEN 'plans' ELSE 'perks' END AS cat_kind,
+    concat_ws(chr(10), CASE WHEN s_suppkey % 2 = 0 THEN '## Plans' ELSE '## Perks' END, '',
+      CASE WHEN s_suppkey % 2 = 0 THEN concat_ws(chr(10), 'At a glance:', '', '| Tier | Price | Seats |', '| --- | --- | --- |', '| `basic` | ' || s_nationkey || ' | ' || s_suppkey || ' |', '| `pro` | x | — |', '') END,
+      '### `basic`', '', 'For ' || s_name || '.', '', '**Price:** ' || s_nationkey, '', '**Seats included:** ' || s_suppkey,
+      '### `pro`', '', '**Price:** x', '', '**Deprecated:** ' || CASE WHEN s_nationkey > 12 THEN 'yes' ELSE 'no' END,
+      CASE WHEN s_suppkey % 2 = 0 AND s_nationkey > 12 THEN chr(10) || '> **Deprecated** — new signups are not allowed.' || chr(10) END) AS section
+  FROM supplier
+), bodies AS (
+  SELECT e.project, schema_name || '.' || table_name AS slug,
+    concat_ws(chr(10), '# `' || schema_name || '.' || table_name || '` (' || CASE WHEN cat_kind IS NOT NULL THEN 'source — ' || cat_kind || ' catalog' ELSE kind END || ')', '',
+      CASE WHEN description <> '' THEN description || chr(10) END,
+      CASE WHEN cl IS NULL THEN '## Columns' || chr(10) || chr(10) || '_(No columns documented.)_' || chr(10) ELSE '## Columns' || chr(10) || chr(10) || cl END,
+      section, CASE WHEN pl IS NOT NULL THEN '## Parents' || chr(10) || chr(10) || pl || chr(10) END,
+      CASE WHEN kind = 'model' THEN '## Compiled SQL' || chr(10) || chr(10) || '```sql' || chr(10) || CASE WHEN p_size < 5 THEN 'compiled ' || p_size ELSE compiled_sql END || chr(10) || '```' END) AS body
+  FROM e LEFT JOIN col_lines USING (project, node_id) LEFT JOIN parents USING (project, node_id)
+  LEFT JOIN sections s ON s.slug = schema_name || '.' || table_name AND (of_project = e.project OR of_project = '')
+)
+SELECT project, slug, rtrim(body, chr(10) || ' ') || chr(10) AS body FROM bodies
+"""
+
+
 def jobs() -> dict:
     return {f.__name__: f for f in (audit_lines, audit_round_trip, audit_rollup, audit_days, event_extract, docs_index, notes_merge, catalog_entry_lines,
-                                    catalog_test_index, catalog_lineage, catalog_entities, catalog_columns, sample_refresh)}
+                                    catalog_test_index, catalog_lineage, catalog_entities, catalog_columns, sample_refresh, docs_full, docs_export, pii_tags, pii_tag_counts)}
 
 
 def oracles() -> dict[str, str]:
@@ -326,4 +414,9 @@ def oracles() -> dict[str, str]:
                             f"WHERE NOT starts_with(table_name, 'part_1') AND NOT starts_with(table_name, 'sup_2') {_ONE}",
         "catalog_columns": _COLUMNS,
         "sample_refresh": _REFRESH,
+        "docs_full": _FULL,
+        "docs_export": "SELECT CAST(doc_id AS VARCHAR) AS name, sha256(coalesce(text, '')) AS sha256 FROM documents",
+        "pii_tags": "SELECT CAST(p_partkey % 5 AS VARCHAR) AS project, 'model.p.' || p_partkey AS node_id, c.name, "
+                    "CASE WHEN c.name = 'user_email' THEN '{\"pii\":true}' ELSE '{\"pii\":' || (p_size > 25) || '}' END AS meta FROM part, (VALUES ('k'), ('user_email')) AS c(name)",
+        "pii_tag_counts": "SELECT 'tagged' AS status, count(*) AS count FROM part",
     }

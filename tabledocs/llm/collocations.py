@@ -13,13 +13,12 @@ How it runs
      n-grams that begin before the next start are its own, so that overlaps count
      once. Grouping equal chunks (partial counts first) gives the dictionary,
      which is written once.
-  2. Phrases are counted level by level, one to ``max_words`` words. A phrase
-     of ``min_count`` occurrences has only such phrases inside, so a level counts
-     just those whose two parts of one word less may be frequent, as a bitmap
+  2. Words are counted, then pairs, then all longer phrases. A phrase of
+     ``min_count`` occurrences has only such phrases inside, so pairs are counted
+     of words, and longer phrases of pairs, that may be frequent, as a bitmap
      of ``SIEVE_BITS`` bits says: it may let rare phrases pass, never holds a
      frequent one back. The bitmap is all that is broadcast and its size is
-     fixed; where it fills up, more is counted and results stay the same. From
-     three words on only runs of frequent pairs are read, a smaller dictionary.
+     fixed; where it fills up, more is counted and results stay the same.
   3. Candidates meet the counts of their parts, and the longer candidates that
      hold them, by joins on (language, phrase).
 
@@ -183,50 +182,35 @@ class _Batch:
         return p
 
 
-def _count(batches, k: int, sieve):
-    """(lang, phrase, f) of the phrases of ``k`` words that may be frequent."""
+def _count(batches, lengths: tuple[int, ...], sieve, m: int):
+    """(lang, words, phrase, f) of the phrases of those lengths of which each ``m``
+    words in a row may be frequent."""
     for rows in _gathered(batches):
         b = _Batch(rows, sieve)
-        p = b.starts(k)
-        if k > 1 and len(p):
-            p = p[b.may(p, k - 1)]
-            p = p[b.may(p + 1, k - 1)]
-        if not len(p):
-            continue
-        # equal phrases of the batch together: ids of ever longer phrases
-        key, weight = b.codes[b.chunk[p]], b.freqs[b.chunk[p]]
-        for j in range(k):
-            key = pd.factorize(key * len(b.words) + b.t[p + j])[0]
-        n = int(key.max()) + 1
-        at = np.empty(n, np.int64)
-        at[key] = np.arange(len(key))  # some place of each phrase
-        total = np.bincount(key, weights=weight, minlength=n) if weight.sum() < 1 << 52 else _exact(key, weight, n)
-        spelled = pa.array(b.words, pa.binary()).cast(pa.string())
-        parts = [spelled.take(pa.array(b.t[p[at] + j])) for j in range(k)]
-        phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
-        yield pa.RecordBatch.from_arrays([b.langs.take(pa.array(b.codes[b.chunk[p[at]]])), phrase, pa.array(total.astype(np.int64))], names=["lang", "phrase", "f"])
-
-
-def _runs(batches, sieve):
-    """Of each chunk the runs of words of which each two in a row may be frequent:
-    all that longer phrases can stand in. Rows like the dictionary's."""
-    for rows in _gathered(batches):
-        b = _Batch(rows, sieve)
-        p = b.starts(2, own=False)
-        linked = np.zeros(len(b.t), bool)  # to the next word
-        linked[p[b.may(p, 2)]] = True
-        before = np.concatenate([[False], linked[:-1]])
-        first, last = np.flatnonzero(linked & ~before), np.flatnonzero(before & ~linked)
-        keep = (last - first >= 2) & b.own[first]
-        first, last = first[keep], last[keep]
-        owned = np.concatenate([[0], np.cumsum(b.own)])
-        tokens = [b.words[i] for i in b.t.tolist()] if len(first) else []
-        runs = Counter()
-        for s, e, n, c in zip(first.tolist(), last.tolist(), (owned[last + 1] - owned[first]).tolist(), b.chunk[first].tolist()):
-            runs[b.codes[c], b" ".join(tokens[s:e + 1]), n] += int(b.freqs[c])
-        yield pa.RecordBatch.from_arrays(
-            [b.langs.take(pa.array([x[0] for x in runs], pa.int64())), pa.array([x[1] for x in runs], pa.binary()).cast(pa.string()),
-             pa.array([x[2] for x in runs], pa.int32()), pa.array(list(runs.values()), pa.int64())], names=["lang", "chunk", "own", "freq"])
+        may = np.ones(len(b.t) + 1, bool)
+        if m:
+            may[:] = False
+            p = b.starts(m, own=False)
+            may[p[b.may(p, m)]] = True
+        for k in lengths:
+            p = b.starts(k)
+            for j in range(k - m + 1 if m else 0):
+                p = p[may[p + j]]
+            if not len(p):
+                continue
+            # equal phrases of the batch together: ids of ever longer phrases
+            key, weight = b.codes[b.chunk[p]], b.freqs[b.chunk[p]]
+            for j in range(k):
+                key = pd.factorize(key * len(b.words) + b.t[p + j])[0]
+            n = int(key.max()) + 1
+            at = np.empty(n, np.int64)
+            at[key] = np.arange(len(key))  # some place of each phrase
+            total = np.bincount(key, weights=weight, minlength=n) if weight.sum() < 1 << 52 else _exact(key, weight, n)
+            spelled = pa.array(b.words, pa.binary()).cast(pa.string())
+            parts = [spelled.take(pa.array(b.t[p[at] + j])) for j in range(k)]
+            phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
+            yield pa.RecordBatch.from_arrays([b.langs.take(pa.array(b.codes[b.chunk[p[at]]])), pa.array(np.full(n, k, np.int32)), phrase, pa.array(total.astype(np.int64))],
+                                             names=["lang", "words", "phrase", "f"])
 
 
 def _exact(key, weight, n):
@@ -273,19 +257,14 @@ def phrase_dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "
 
 def phrase_counts(chunks: DataFrame, max_words: int, min_count: int, sieve_bits: int = SIEVE_BITS) -> DataFrame:
     """lang, phrase, words, f of all phrases with at least ``min_count`` occurrences."""
-    levels, sieve = [], None
-    for k in range(1, max_words + 1):
-        if k == 3:
-            chunks = written(chunks.mapInArrow(partial(_runs, sieve=sieve), "lang string, chunk string, own int, freq bigint")
-                             .groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq")), "phrase-runs")
-        level = written(chunks.mapInArrow(partial(_count, k=k, sieve=sieve), "lang string, phrase string, f bigint")
-                        .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), f"phrases-{k}")
-        levels.append(level.withColumn("words", F.lit(k)))
-        if k < max_words:
-            sieve = _sieve(level, sieve_bits)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+    out, sieve = None, None
+    # words, pairs, then all longer ones in one pass, as few of their pairs are frequent
+    for m, lengths in enumerate(((1,), (2,), tuple(range(3, max_words + 1)))):
+        if lengths and lengths[0] <= max_words:
+            level = written(chunks.mapInArrow(partial(_count, lengths=lengths, sieve=sieve, m=m), "lang string, words int, phrase string, f bigint")
+                            .groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), f"phrases-{lengths[0]}")
+            out = level if out is None else out.unionByName(level)
+            sieve = _sieve(level, sieve_bits) if lengths[-1] < max_words else None
     return out
 
 

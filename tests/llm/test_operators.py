@@ -691,28 +691,40 @@ def test_pigeonhole_probing_finds_every_code():
 
 # --------------------------------------------------------- licenses (7)
 
-def brute_licenses(files, threshold=0.6, share=0.5):
-    """files: (path, text). The list of (license, origin, directory)."""
-    cue = re.compile(r"licen[cs]e|licensed|spdx-license|public domain", re.I)
+def brute_match(parts, templates, threshold):
+    """Per part the best (-score, license) of the templates, or None."""
     terms = lambda s: collections.Counter(re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", s.lower()))
-    heads = [("\n".join(x for x in (t or "").split("\n") if cue.search(x)) or None) for _, t in files]
-    df = collections.Counter()
-    for h in heads:
-        if h:
-            df.update(terms(h).keys())
-    for _, t in licenses.TEMPLATES:
-        df.update(terms(t).keys())
-    n = sum(h is not None for h in heads) + len(licenses.TEMPLATES)
+    df = collections.Counter(w for h in parts if h is not None for w in terms(h)) + collections.Counter(w for _, t in templates for w in terms(t))
+    n = sum(h is not None for h in parts) + len(templates)
     vec = lambda c: {w: f * (math.log((1 + n) / (1 + df[w])) + 1) for w, f in c.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     cos = lambda a, b: round(sum(x * b.get(w, 0) for w, x in a.items()) / (norm(a) * norm(b)), 9)
-    own = []
-    for h in heads:
-        best = min(((-cos(vec(terms(h)), vec(terms(t))), x) for x, t in licenses.TEMPLATES)) if h and terms(h) else (0, None)
-        own.append(best if -best[0] >= threshold else None)
+    theirs = [(vec(terms(t)), x) for x, t in templates]
+    best = [min((-cos(vec(terms(h)), t), x) for t, x in theirs) if h and terms(h) else (0, None) for h in parts]
+    return [b if -b[0] >= threshold else None for b in best]
+
+
+def legal_paragraphs(t):
+    clean = re.sub(licenses.COMMENT, "", t or "")
+    if not re.search(licenses.PHRASE, clean) or not re.search(licenses.WORD, t):
+        return None
+    return "\n\n".join(p for p in re.split(r"\n\n+", clean) if re.search(licenses.LEGAL, p))
+
+
+def brute_licenses(files, threshold=0.6, share=0.5):
+    """files: (path, text). The list of (license, origin, directory)."""
+    cue = re.compile(r"licen[cs]e|licensed|spdx-license|public domain", re.I)
+    heads = [("\n".join(x for x in (t or "").split("\n") if cue.search(x)) or None) for _, t in files]
+    legal = [legal_paragraphs(t) for _, t in files]
+    both = zip(brute_match(heads, licenses.TEMPLATES, threshold), brute_match(legal, licenses.FULL, threshold))
+    own, part = [], []
+    for (x, y), h, g in zip(both, heads, legal):
+        notice = x is not None and (y is None or x[0] <= y[0])
+        own.append(x if notice else y)
+        part.append(h if notice else g)
     folders = {}
-    for (p, t), h, o in zip(files, heads, own):
-        if o and p is not None and len(h) / len(t) >= share:
+    for (p, t), h, o in zip(files, part, own):
+        if o and p is not None and (len(h) / len(t) >= share or re.search(licenses.LICENSE_NAME, p)):
             d = "/".join(x for x in p.split("/")[:-1] if x)
             folders[d] = min(folders.get(d, o), o)
     out = []
@@ -726,6 +738,24 @@ def brute_licenses(files, threshold=0.6, share=0.5):
     return out
 
 
+def test_full_license_texts(spark):
+    """Whole license files of several shapes are found and inherited; comment marks don't matter."""
+    full = dict(licenses.FULL)
+    wrap = lambda t, mark, width: "\n".join(mark + " ".join(w) for p in t.split("\n\n") for w in [*[p.split()[i:i + width] for i in range(0, len(p.split()), width)], []])
+    head = "Copyright (c) 2020, Some One\n\n"
+    files = [("mit/LICENSE", "MIT License\n\n" + head + wrap(full["MIT"], "", 11)), ("mit/src/x.py", "code"), ("bsd/COPYING", head + wrap(full["BSD-3-Clause"], "", 9)), ("bsd/y.c", "int x;"),
+             ("bsd2/a.c", "/*\n" + wrap(head + full["BSD-2-Clause"], " * ", 10) + "\n */\n" + "int main() { return 0; }\n" * 200), ("bsd2/b.c", "no license here"),
+             ("isc/LICENSE.md", "# ISC\n\n" + head + full["ISC"]), ("isc/deep/er/z", ""), ("apache/x.py", wrap(licenses.FULL[1][1], "# ", 12) + "\nimport os\n" * 50), ("apache2/LICENSE", licenses.FULL[2][1] + "\n\n" + licenses.FULL[1][1]),
+             ("apache2/f", "text"), ("gpl/main.rs", wrap(full["GPL-3.0"], "// ", 10) + "\nfn main() {}\n"), ("free/UNLICENSE", full["Unlicense"]), ("free/q", "x"),
+             ("talk/post", "She asked for permission to use the car. It came as is, free software included. " * 3)]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "`n.o` int, path string, text string")
+    got = [(r["license"], r["origin"], r["directory"]) for r in licenses.scan_licenses(df, F.col("path"), keep=("n.o",)).orderBy("`n.o`").collect()]
+    assert got == brute_licenses(files)
+    want = ["MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", "BSD-2-Clause", None, "ISC", "ISC", "Apache-2.0", "Apache-2.0", "Apache-2.0", "GPL-3.0", "Unlicense", "Unlicense", None]
+    assert [x for x, *_ in got] == want
+    assert [o for _, o, _ in got][:4] == ["own", "inherited", "own", "inherited"]
+
+
 def test_licenses(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/b/c/y.py", None), ("a/b/c/LICENSE", "Licensed under the Apache License, version 2.0"),
              ("a/b/c/d/z", "text\nThis work is licensed under the GNU General Public License, version 3.\nmore " + "text " * 50), ("other/q", ""), ("q", "code"), (None, "Licensed under CC BY-NC 4.0."),

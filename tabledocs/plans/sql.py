@@ -11,13 +11,13 @@ import time
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.guard import guard_reason
 from ..functions.strings import null_text
-from ..session import materialize
+from ..session import materialize, written_in_order
 
 
 class ReadOnlyViolation(ValueError):
@@ -186,7 +186,8 @@ def execute(spark: SparkSession, sql: str, cache=None, log=None) -> QueryResult:
         if log is not None:
             log.event("tool_call_rejected", tool="execute_sql", sql=sql, reason=str(e))
         raise
-    safe = df.select(*json_safe_columns(df))
+    # run once: what is counted is what is read
+    safe = (df if hit or cache is not None else written_in_order(df, "result")).select(*json_safe_columns(df))
     n = safe.count()
     res = QueryResult(
         sql=sql, columns=[{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields],
@@ -202,8 +203,9 @@ def markdown_table_lines(df: DataFrame) -> DataFrame:
     """Left-justified markdown table as a DataFrame of ``(pos, line)``.
 
     The query runs once: its cells are written as a table, numbered in the
-    query's order. One aggregate per written part gives the column widths and
-    the part's first position; each row is then padded in place. ``pos`` 0
+    query's order. An aggregate gives the column widths, another each written
+    part's first position, which its rows meet by a join; each row is then
+    padded in place. The plan is the same for any number of parts. ``pos`` 0
     and 1 are the header and rule; rows follow without gaps. Order by ``pos``.
     """
     cols = df.columns
@@ -213,20 +215,17 @@ def markdown_table_lines(df: DataFrame) -> DataFrame:
     cells = [null_text(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]
     txt = materialize(df.select(*cells, F.monotonically_increasing_id().alias("id")), "markdown")
     part = F.shiftright("id", 33)
-    stats = txt.groupBy(part.alias("part")).agg(F.count("*").alias("n"), *[F.max(F.length(f"c{i}")).alias(f"w{i}") for i in range(len(cols))]).orderBy("part").collect()
-    w = [max([len(c), *(r[f"w{i}"] for r in stats)]) for i, c in enumerate(cols)]
-    first, at = {}, 2
-    for r in stats:
-        first[r["part"]], at = at, at + r["n"]
+    widths = txt.agg(F.count("*").alias("n"), *[F.max(F.length(f"c{i}")).alias(f"w{i}") for i in range(len(cols))]).first()
+    w = [max(len(c), widths[f"w{i}"] or 0) for i, c in enumerate(cols)]
     head = "| " + " | ".join(c.ljust(w[i]) for i, c in enumerate(cols)) + " |"
     rule = "| " + " | ".join("-" * x for x in w) + " |"
     top = spark.createDataFrame([(0, head), (1, rule)], "pos long, line string")
-    if not first:
-        return top
-    starts = F.create_map(*[F.lit(v).cast("bigint") for kv in first.items() for v in kv])
+    # a row for each written part, of which the query had as many tasks
+    sizes = txt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") + 2).alias("start"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.rpad(f"c{i}", w[i], " ") for i in range(len(cols))]), F.lit(" |"))
-    pos = F.element_at(starts, part.cast("bigint")) + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    return top.unionByName(txt.select(pos.alias("pos"), line.alias("line")))
+    rows = txt.select(part.alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), line.alias("line")).join(F.broadcast(starts), "part")
+    return top.unionByName(rows.select((F.col("start") + F.col("at")).alias("pos"), "line"))
 
 
 def monthly_revenue(spark: SparkSession, orders: DataFrame) -> DataFrame:

@@ -230,3 +230,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     except Exception:  # Spark Connect: the shared folder's owner clears it
         pass
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_ROW = "__row"
+
+
+def is_ordered(df: DataFrame) -> bool:
+    """Whether the frame's rows come in an order that was asked for."""
+    return not df._jdf.queryExecution().executedPlan().outputOrdering().isEmpty()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """An ordered frame with its rows' numbers, as a written table keeps no order."""
+    return df.withColumn(_ROW, F.monotonically_increasing_id()) if is_ordered(df) else df
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """A table of ``numbered`` rows in its order."""
+    return df.orderBy(_ROW).drop(_ROW) if _ROW in df.columns else df
+
+
+def written_in_order(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` that keeps the order an ordered frame has."""
+    return in_order(materialize(numbered(df), name))

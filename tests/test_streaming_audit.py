@@ -80,10 +80,15 @@ def test_result_cache(spark, tmp_path):
     df2, hit2 = run_sql(spark, sql, use_cache=True, cache=cache)
     assert hit2 and sorted(df2.collect()) == sorted(df.collect())
     assert dict(df2.dtypes)["n"] == "bigint"
-    # a corrupt entry is dropped and counts as a miss
-    ptr = [p for p in os.listdir(tmp_path / "sql") if p.endswith(".json")][0]
-    (tmp_path / "sql" / ptr).write_text("{not json")
-    assert cache.get(sql) is None and not (tmp_path / "sql" / ptr).exists()
+    # a corrupt entry counts as a miss and goes with the next sweep
+    key = tmp_path / "sql" / os.listdir(tmp_path / "sql")[0]
+    for ptr in key.glob("v-*.json"):
+        ptr.write_text("{not json")
+    assert cache.get(sql) is None
+    for lease in key.glob("lease-*"):
+        lease.unlink()
+    cache.sweep()
+    assert not list(key.glob("v-*.json"))
 
 
 def test_sample_cache_versions(spark, tmp_path):

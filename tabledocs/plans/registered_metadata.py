@@ -24,6 +24,7 @@ from ..sources.catalogs import catalog_entries
 from ..sources.corpus import read_markdown_folder
 from ..sources.manifest import read_compiled_sql, read_manifests
 from ..sources.textfiles import write_files
+from . import incremental as I
 
 # ─── audit ──────────────────────────────────────────────────────────────────
 
@@ -233,6 +234,18 @@ def docs_full(spark, sf_dir):
     return D.entity_bodies(G.dedupe_by_slug(cat.entities), cat.columns, cat.lineage, sections=_sections(spark, sf_dir))
 
 
+def docs_incremental(spark, sf_dir):
+    """A second build of all documents: parts of size 7 have another
+    description, those of size 9 are gone, those of size 11 are new."""
+    cat = G.build_catalog(*_nodes(spark, sf_dir))
+    size = read_table(spark, sf_dir, "part").select(F.concat(F.lit("model.p."), "p_partkey").alias("node_id"), "p_size")
+    ents = G.dedupe_by_slug(cat.entities).join(size, "node_id", "left").withColumn("p_size", F.coalesce("p_size", F.lit(0)))
+    before = I.build(ents.where("p_size <> 11").drop("p_size"), cat.columns, cat.lineage)
+    other = F.when(F.col("p_size") == 7, "Another one.").otherwise(F.col("description"))
+    after = I.build(ents.where("p_size <> 9").withColumn("description", other).drop("p_size"), cat.columns, cat.lineage, last=before.state)
+    return after.rendered.unionByName(after.removed.withColumn("change", F.lit("removed")))
+
+
 def docs_export(spark, sf_dir):
     """Every text exported as a file of its document's name, and read back."""
     folder = shared_dir(spark, f"tabledocs/export/{uuid.uuid4().hex}")
@@ -386,7 +399,7 @@ SELECT project, slug, rtrim(body, chr(10) || ' ') || chr(10) AS body FROM bodies
 
 def jobs() -> dict:
     return {f.__name__: f for f in (audit_lines, audit_round_trip, audit_rollup, audit_days, event_extract, docs_index, notes_merge, catalog_entry_lines,
-                                    catalog_test_index, catalog_lineage, catalog_entities, catalog_columns, sample_refresh, docs_full, docs_export, pii_tags, pii_tag_counts)}
+                                    catalog_test_index, catalog_lineage, catalog_entities, catalog_columns, sample_refresh, docs_full, docs_incremental, docs_export, pii_tags, pii_tag_counts)}
 
 
 def oracles() -> dict[str, str]:
@@ -415,6 +428,8 @@ def oracles() -> dict[str, str]:
         "catalog_columns": _COLUMNS,
         "sample_refresh": _REFRESH,
         "docs_full": _FULL,
+        "docs_incremental": f"WITH {_ENTITIES}, e AS (SELECT * FROM all_entities {_ONE}) SELECT project, schema_name || '.' || table_name AS slug, "
+                            "CASE p_size WHEN 7 THEN 'changed' WHEN 9 THEN 'removed' ELSE 'new' END AS change FROM e WHERE p_size IN (7, 9, 11)",
         "docs_export": "SELECT CAST(doc_id AS VARCHAR) AS name, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "pii_tags": "SELECT CAST(p_partkey % 5 AS VARCHAR) AS project, 'model.p.' || p_partkey AS node_id, c.name, "
                     "CASE WHEN c.name = 'user_email' THEN '{\"pii\":true}' ELSE '{\"pii\":' || (p_size > 25) || '}' END AS meta FROM part, (VALUES ('k'), ('user_email')) AS c(name)",

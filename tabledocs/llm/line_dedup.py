@@ -9,8 +9,9 @@ documents but the largest doc_id holding it.
 How it runs
   1. One pass over the texts gives each document's distinct 128-bit line
      digests; they are counted per digest (partial counts before the shuffle).
-  2. The repeated digests are dealt to shards by digest; each shard becomes one
-     row of arrays (``mph.HashArrays``). No text line is stored.
+  2. All distinct digests are dealt to shards by digest; each shard becomes one
+     row of arrays (``mph.HashArrays``). No text line is stored. A probe reads
+     a digest's count, and with it whether the line is repeated.
   3. Very frequent digests, at most ``HEAVY`` by construction (each holds
      1/HEAVY of all holdings), form one more index that is broadcast. All other
      lines are probed where their shard's arrays are, as digests of 16 bytes:
@@ -109,7 +110,7 @@ def _to_probe(batches, min_chars: int, shards: int, heavy):
             names=["shard", "a", "b", "k1", "k2", "doc", "line"])
 
 
-def _probe(batches):
+def _probe(batches, min_docs: int):
     """Rows sorted by shard, each shard's arrays before its probes. Gives the
     lines to drop."""
     shard, index = None, None
@@ -128,14 +129,14 @@ def _probe(batches):
             if index is None or i == j:
                 continue
             part = batch.slice(i, j - i)
-            found, _, last = index.probe(part.column("a").to_numpy().view(np.uint64), part.column("b").to_numpy().view(np.uint64))
+            found, count, last = index.probe(part.column("a").to_numpy().view(np.uint64), part.column("b").to_numpy().view(np.uint64))
             doc = part.column("doc")
             own = doc.fill_null(0).to_numpy() == last
-            drop = found & ~(own & doc.is_valid().to_numpy(zero_copy_only=False))
+            drop = found & (count >= min_docs) & ~(own & doc.is_valid().to_numpy(zero_copy_only=False))
             yield part.select(["k1", "k2", "line"]).filter(pa.array(drop))
 
 
-def _apply(batches, min_chars: int, heavy):
+def _apply(batches, min_chars: int, min_docs: int, heavy):
     """The kept lines of each document."""
     index = HashArrays.load(**heavy.value)
     for batch in batches:
@@ -147,8 +148,8 @@ def _apply(batches, min_chars: int, heavy):
             if len(index.fp):
                 digests = line_digests(t, min_chars)
                 long = [j for j, d in enumerate(digests) if d]
-                found, _, last = index.probe(*_pairs([digests[j] for j in long]))
-                gone.update(j for j, f, x in zip(long, found, last) if f and x != doc)
+                found, count, last = index.probe(*_pairs([digests[j] for j in long]))
+                gone.update(j for j, f, n, x in zip(long, found, count, last) if f and n >= min_docs and x != doc)
             kept.append("\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else t or "")
             total.append(len(lines))
             dropped.append(len(gone))
@@ -167,8 +168,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = (base.where(F.col("doc").isNotNull()).select("doc", "text")
             .mapInArrow(partial(_holdings, min_chars=min_chars), "doc bigint, a bigint, b bigint"))
     keys = written(held.groupBy("a", "b", "doc").agg(F.lit(1).alias("one"))
-                   .groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
-                   .where(F.col("n") >= min_docs), "line-keys")
+                   .groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc").alias("last")), "line-keys")
     n_keys, holdings = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(MIN_SHARDS, math.ceil(n_keys / SHARD_KEYS))
 
@@ -188,7 +188,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = dict(f.split(" ") for f in _ARRAYS.split(", "))
     pad = lambda df, kind: df.withColumn("kind", F.lit(kind)).select(*[F.col(n) if n in df.columns or n == "kind" else null(kinds[n]).alias(n) for n in names])
     drops = (pad(arrays, 0).unionByName(pad(probes, 1)).repartition("shard").sortWithinPartitions("shard", "kind")
-             .mapInArrow(_probe, "k1 bigint, k2 bigint, line int")
+             .mapInArrow(partial(_probe, min_docs=min_docs), "k1 bigint, k2 bigint, line int")
              .groupBy("k1", "k2").agg(F.collect_set("line").alias("drop")))
     out = T.StructType([base.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return base.join(drops, ["k1", "k2"], "left").mapInArrow(partial(_apply, min_chars=min_chars, heavy=heavy), out)
+    return base.join(drops, ["k1", "k2"], "left").mapInArrow(partial(_apply, min_chars=min_chars, min_docs=min_docs, heavy=heavy), out)

@@ -10,15 +10,18 @@ How it runs
   2. Nodes are dealt to cells. The 64 bits are cut into ``max_bits + 3`` blocks;
      two fingerprints that link agree on three whole blocks at least, so a cell
      is a choice of three blocks and their bits (31 to 33 of them). Cells of
-     one node go. A cell of more than ``CELL`` nodes is cut into chunks, and
-     each pair of chunks is a task group of its own, so no task holds more than
-     two chunks whatever the size of a group of near copies.
+     one node go. A cell of more than ``CELL`` nodes is split again: its
+     other bits are cut into ``max_bits + 1`` blocks, of which two linked
+     fingerprints share one, and so on while a cell is larger. So a group of
+     near copies of any size falls into groups of at most ``CELL`` nodes, each
+     node in a few of them, and no pairs of groups are made.
   3. In a group, the pivot table holds the Hamming distances of each node to
      ``PIVOTS`` reference fingerprints. By the triangle inequality two nodes
      whose distances to any pivot differ by more than ``max_bits`` can't link:
      pairs are discarded by their largest coordinate difference, and the
-     survivors verified with the exact distance. A group gives a spanning
-     forest of its links, never all pairs.
+     survivors verified with the exact distance. (In groups of up to ``FEW``
+     nodes the exact distance costs less than the table.) A group gives a
+     spanning forest of its links, never all pairs.
   4. Components of the forests' edges (``components.py``).
 
 Defined results
@@ -40,14 +43,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabledocs.llm.common import mix64, prepare, written
+from tabledocs.llm.common import mix64, prepare, quoted, written
 from tabledocs.llm.components import components
 
 SEED = 42
 #: Reference fingerprints: fixed 64-bit numbers made by a mixing rule.
 PIVOTS = mix64(np.arange(1, 25, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Nodes of a chunk of a large cell.
+#: Most nodes of a cell.
 CELL = 2048
+#: Nodes of a group up to which pairs go without the pivot table.
+FEW = 16
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -79,12 +84,24 @@ def _fingerprints(batches, shingle: int):
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fps.view(np.int64))], names=["row", "fp"])
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def cell_masks(max_bits: int) -> list[int]:
     """Masks of every three of ``max_bits + 3`` blocks, as signed 64-bit numbers."""
     n = max_bits + 3
     cuts = [round(64 * i / n) for i in range(n + 1)]
     blocks = [((1 << (j - i)) - 1) << i for i, j in zip(cuts[:-1], cuts[1:])]
-    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(blocks, 3))]
+    return [_signed(sum(c)) for c in combinations(blocks, 3)]
+
+
+def finer_masks(mask: int, max_bits: int) -> list[int]:
+    """The mask with each of ``max_bits + 1`` blocks of its other bits."""
+    full = mask & (1 << 64) - 1
+    rest = [i for i in range(64) if not full >> i & 1]
+    cuts = [round(len(rest) * i / (max_bits + 1)) for i in range(max_bits + 2)]
+    return sorted({_signed(full | sum(1 << b for b in rest[i:j])) for i, j in zip(cuts[:-1], cuts[1:])})
 
 
 def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -104,8 +121,11 @@ def link_groups(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nd
     """``group``: sorted group numbers of the nodes ``fp``. Returns a spanning
     forest of the links inside each group, as node pairs."""
     n = len(fp)
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)  # the pivot distance table
     end = np.searchsorted(group, group, side="right")
+    large = np.flatnonzero(end - np.searchsorted(group, group) > FEW)
+    row = np.full(n, -1)  # in the pivot distance table
+    row[large] = np.arange(len(large))
+    table = np.bitwise_count(fp[large][:, None] ^ PIVOTS[None, :]).astype(np.int8)
     label = np.arange(n)
     alive = np.arange(n)
     step = 0
@@ -120,9 +140,9 @@ def link_groups(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nd
             open_ = label[i] != label[j]
             i, j = i[open_], j[open_]
             for p in range(table.shape[1]):
-                if not len(i):
+                if not (row[i] >= 0).any():
                     break
-                near = np.abs(table[i, p] - table[j, p]) <= max_bits
+                near = (row[i] < 0) | (np.abs(table[row[i], p] - table[row[j], p]) <= max_bits)
                 i, j = i[near], j[near]
             linked = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
             _join(label, i[linked], j[linked])
@@ -132,7 +152,7 @@ def link_groups(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nd
 
 def _link(batches, max_bits: int):
     """Rows sorted by group; a group may span batches."""
-    names = ["c", "key", "p", "q"]
+    names = ["mask", "key"]
     rest: list[np.ndarray] = []
     for batch in batches:
         now = [batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (*names, "fp")]
@@ -159,15 +179,23 @@ def _forest(cols: list[np.ndarray], max_bits: int) -> pa.RecordBatch:
 def near_links(nodes: DataFrame, max_bits: int) -> DataFrame:
     """``nodes`` (fp): distinct fingerprints. Edges (u, v) that connect all
     fingerprints which links connect."""
+    spark = nodes.sparkSession
     masks = cell_masks(max_bits)
-    cells = nodes.select(F.col("fp"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in enumerate(masks)])).alias("x")).select("x.c", "x.key", "fp")
-    shared = cells.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
-    g = F.ceil(F.col("n") / CELL).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    pairs = (cells.join(shared, ["c", "key"]).withColumn("g", g).withColumn("mine", mine)
-             .withColumn("other", F.explode(F.expr("if(g = 1, array(0), array_remove(sequence(0, g - 1), mine))")))
-             .select("c", "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "fp"))
-    return (pairs.repartition("c", "key", "p", "q").sortWithinPartitions("c", "key", "p", "q", "fp")
+    cells = nodes.select(F.col("fp"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    groups = None
+    while True:
+        sizes = written(cells.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+        small = cells.join(sizes.where(F.col("n") <= CELL), ["mask", "key"]).select("mask", "key", "fp")
+        groups = small if groups is None else groups.unionByName(small)
+        # the masks of hot cells: at most those of this level, a fixed number
+        masks = [r["mask"] for r in sizes.where(F.col("n") > CELL).select("mask").distinct().collect()]
+        if not masks:
+            break
+        hot = written(cells.join(sizes.where(F.col("n") > CELL), ["mask", "key"]).select("mask", "fp"), "hot-cells")
+        finer = spark.createDataFrame([(m, x) for m in masks for x in finer_masks(m, max_bits)], "mask bigint, finer bigint")
+        cells = (hot.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+                 .dropDuplicates(["mask", "key", "fp"]))
+    return (groups.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
             .mapInArrow(partial(_link, max_bits=max_bits), "u bigint, v bigint"))
 
 

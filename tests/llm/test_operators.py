@@ -157,7 +157,7 @@ def test_simhash_empty(empty):
 
 
 def test_near_links_connect_what_links_connect(spark, monkeypatch):
-    """Dense balls around a few centres, so that cells are cut into chunks."""
+    """Dense balls around a few centres, so that cells are split, some more than once."""
     monkeypatch.setattr(simhash, "CELL", 40)
     rng = random.Random(4)
     fps = set()
@@ -186,6 +186,19 @@ def test_near_links_connect_what_links_connect(spark, monkeypatch):
     assert [find(i) for i in range(len(fps))] == brute_components(fps)
 
 
+def test_hot_cells_are_split_without_pairs_of_groups(spark, monkeypatch):
+    """Cells of thousands of nodes: groups stay small, each node is in few of them."""
+    monkeypatch.setattr(simhash, "CELL", 64)
+    monkeypatch.setattr(simhash, "_link", lambda batches, max_bits: (b.select(["fp", "fp"]).rename_columns(["u", "v"]) for b in batches))
+    n = 6000
+    rng = random.Random(3)
+    fps = sorted({rng.getrandbits(32) for _ in range(n)})  # equal in their upper half
+    assert simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), 3).count() < 60 * n
+    for m in simhash.cell_masks(3):
+        finer = simhash.finer_masks(m, 3)
+        assert len(finer) == 4 and all((x & m) == m and x != m for x in finer)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(900, 1000)] + [(5000, 5000)]
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

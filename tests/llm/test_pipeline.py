@@ -50,3 +50,20 @@ def test_stages_on_awkward_rows(spark):
 @pytest.mark.parametrize("name", STAGES)
 def test_stages_on_no_rows(spark, name):
     assert STAGES[name](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
+
+
+def test_stages_on_columns_of_any_name_and_type(spark):
+    """Dotted, map, variant and clashing columns come out as they went in."""
+    data = [(i, f"{t} number {i // 2}", "en", i) for i, t in enumerate(["Some words of a text that is long enough to be a line", "the quick brown fox jumps over the lazy dog today"] * 6)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, i int").selectExpr(
+        "doc_id", "text", "lang", "i AS `a.b`", "map('k', i) AS m", "parse_json(concat('{\"v\":', i, '}')) AS v", "i AS __k1", "i AS k1", "'r' AS row", "i AS root", "i AS fp")
+    want = {r["doc_id"]: r for r in docs.withColumn("v", F.to_json("v")).collect()}
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        out = STAGES[name](spark, docs, SF)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        rows_ = out.withColumn("v", F.to_json("v")).collect()
+        assert rows_, name
+        for r in rows_:
+            old = want[r["doc_id"]]
+            assert all(r[c] == old[c] for c in docs.columns if c != "text"), name
+    assert len(STAGES["packing"](spark, docs, SF).collect()) == len(data)

@@ -75,7 +75,7 @@ def read_document(corpus: DataFrame, name: str) -> DataFrame:
 def needle_of(keyword: str) -> str:
     k = (keyword or "").strip()
     if not k:
-        raise ValueError("`keyword` must be a non-empty string.")
+        raise ValueError("a keyword needs a character that is no blank")
     return k.lower()
 
 
@@ -158,7 +158,7 @@ def search_batch(corpus: DataFrame, keywords: list[str], max_results: int | None
     (``None`` keeps all hits)."""
     needles = sorted({needle_of(k) for k in keywords})
     if not needles:
-        raise ValueError("`keywords` must hold at least one non-empty keyword.")
+        raise ValueError("no keyword was given")
     hits = scan_hits(corpus, needles)
     if max_results is None:
         return hits

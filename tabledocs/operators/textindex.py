@@ -160,7 +160,7 @@ class TrigramIndex:
         first ``max_results`` documents by name (``None``: all hits)."""
         needles = sorted({needle_of(k) for k in keywords})
         if not needles:
-            raise ValueError("`keywords` must hold at least one non-empty keyword.")
+            raise ValueError("no keyword was given")
         docs = self.documents()
         if docs is None:
             raise LookupError(f"no index at {self.path}")

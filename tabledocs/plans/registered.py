@@ -19,6 +19,7 @@ from ..operators import audit as A
 from ..operators import checks as C
 from ..operators import docs as D
 from ..operators import entries as N
+from ..operators import keyed as K
 from ..operators import protect as P
 from ..operators import samples as SM
 from ..operators import search as Q
@@ -171,6 +172,14 @@ def search_index_many(spark, sf_dir):
     return r.withColumn("snippets", F.concat_ws("\n", "snippets"))
 
 
+def read_documents(spark, sf_dir):
+    """All documents as a keyed table, and those whose number is a benchmark item's, read by name."""
+    path = shared_dir(spark, f"tabledocs/keyed/{uuid.uuid4().hex}")
+    K.write_keyed(_docs(spark, sf_dir), path)
+    delete_at_end(spark, path)
+    return K.lookup_many(spark, path, _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name")))
+
+
 # Two-letter beginnings with endings that the corpus's words are made of.
 MANY_KEYWORDS = [a + b for a in ("th", "er", "st", "in", "re", "un", "qu", "zz") for b in ("ing", "ent", "ion", "eit", "ado", "eau", "xy", "the", "her", "ung")]
 INDEX_KEYWORDS = [a + b + c for a in ("th", "er", "st", "in", "re", "un", "le", "sch", "ci", "a ") for b in ("e", "in", "on", "ed", "ea", "ou", "at", "es", "or", "nd")
@@ -483,8 +492,10 @@ _SCRUB = (
     ("phone_intl", r"\+\d{1,3}[\s.-]?\d{1,4}[\s.-]?\d{2,9}[\s.-]?\d{2,9}", "<phone>"),
     ("phone_na", r"\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}", "<phone>"),
 )
-_KEYWORDS = ("INSERT UPDATE DELETE DROP ALTER CREATE TRUNCATE COPY GRANT REVOKE MERGE CALL EXECUTE DO COMMENT VACUUM ANALYZE LOCK SET RESET BEGIN COMMIT "
-             "ROLLBACK SAVEPOINT REINDEX UNLOAD").split()
+_KEYWORDS = (
+    "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "COPY", "GRANT", "REVOKE", "MERGE", "CALL", "EXECUTE", "DO", "COMMENT",
+    "VACUUM", "ANALYZE", "LOCK", "SET", "RESET", "BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT", "REINDEX", "UNLOAD",
+)
 _WORD = "[A-Za-z_][A-Za-z0-9_]*"
 _BLANK = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -559,6 +570,7 @@ def jobs() -> dict[str, Job]:
         "search_batch": search_batch,
         "search_batch_many": search_batch_many,
         "search_index_many": search_index_many,
+        "read_documents": read_documents,
         "test_unique": test_unique,
         "test_accepted_values": test_accepted_values,
         "test_relationships": test_relationships,
@@ -622,6 +634,7 @@ def oracles() -> dict[str, str]:
             f"SELECT keyword, name, {_ddb_summary('text')} AS description, "
             f"CAST(len(m) AS INTEGER) AS match_count, {_ddb_snippets('m')} AS snippets "
             "FROM d WHERE len(m) > 0",
+        "read_documents": "SELECT doc_id AS name, text FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
         "search_index_many":
             "WITH k AS (SELECT unnest([" + ", ".join(_sql_str(x) for x in sorted({k.strip() for k in INDEX_KEYWORDS})) + "]) AS keyword), "
             "t AS (SELECT doc_id, text, lower(text) AS low FROM documents), "

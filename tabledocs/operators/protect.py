@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import PII_NAME_PATTERNS, PII_REDACTED, PII_SKIP_PREFIXES
-from ..functions.rules import DEFAULT_RULES, ScrubRule, match_count, scrub
+from ..functions.rules import DEFAULT_RULES, ScrubRule, match_counts, scrub
 
 # One predicate for driver-side names and for columns of names: a personal
 # name that doesn't begin like a flag or a count.
@@ -103,12 +103,11 @@ def pii_scan(df: DataFrame, table_name: str, columns: list[str] | None = None,
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     pairs = [(c, r) for c in columns for r in rules]
-    counts = df.select(*[match_count(F.col(f"`{c}`"), r, unicode).alias(f"n{i}")
-                         for i, (c, r) in enumerate(pairs)])
+    counts = df.select(*[match_counts(F.col(f"`{c}`"), rules, unicode).alias(f"c{k}") for k, c in enumerate(columns)])
     aggs = [F.count(F.lit(1)).alias("rows_total")]
     for i in range(len(pairs)):
-        aggs += [F.count_if(F.col(f"n{i}") > 0).alias(f"m{i}"),
-                 F.sum(F.col(f"n{i}")).cast("long").alias(f"s{i}")]
+        n = F.col(f"c{i // len(rules)}.n{i % len(rules)}")
+        aggs += [F.count_if(n > 0).alias(f"m{i}"), F.sum(n).cast("long").alias(f"s{i}")]
     agg = counts.agg(*aggs)
     entries = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(r.name).alias("rule"),

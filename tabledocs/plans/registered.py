@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.guard import guard_reason, sql_fingerprint, sql_log_hash
-from ..functions.strings import first_sentence
+from ..functions.strings import first_sentence, pre_truncate
 from ..operators import audit as A
 from ..operators import checks as C
 from ..operators import docs as D
@@ -172,6 +172,11 @@ def search_index_many(spark, sf_dir):
     return r.withColumn("snippets", F.concat_ws("\n", "snippets"))
 
 
+def sample_values(spark, sf_dir):
+    """Every text cut as a fetched sample value is."""
+    return _t(spark, sf_dir, "documents").select("doc_id", pre_truncate("text").alias("value"))
+
+
 def read_documents(spark, sf_dir):
     """All documents as a keyed table, and those whose number is a benchmark item's, read by name."""
     path = shared_dir(spark, f"tabledocs/keyed/{uuid.uuid4().hex}")
@@ -571,6 +576,7 @@ def jobs() -> dict[str, Job]:
         "search_batch_many": search_batch_many,
         "search_index_many": search_index_many,
         "read_documents": read_documents,
+        "sample_values": sample_values,
         "test_unique": test_unique,
         "test_accepted_values": test_accepted_values,
         "test_relationships": test_relationships,
@@ -634,6 +640,7 @@ def oracles() -> dict[str, str]:
             f"SELECT keyword, name, {_ddb_summary('text')} AS description, "
             f"CAST(len(m) AS INTEGER) AS match_count, {_ddb_snippets('m')} AS snippets "
             "FROM d WHERE len(m) > 0",
+        "sample_values": "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS value FROM documents",
         "read_documents": "SELECT doc_id AS name, text FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
         "search_index_many":
             "WITH k AS (SELECT unnest([" + ", ".join(_sql_str(x) for x in sorted({k.strip() for k in INDEX_KEYWORDS})) + "]) AS keyword), "

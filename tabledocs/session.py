@@ -116,8 +116,9 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def is_local(spark: SparkSession) -> bool:
+    """Driver and executors in one process, so that they share its folders."""
     master = spark.conf.get("spark.master", "") or ""
-    return master.startswith("local")
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession, sub: str = "") -> str:

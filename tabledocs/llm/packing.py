@@ -21,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -45,13 +46,32 @@ _UNUSUAL = re.compile("[^\x00-\x7f\u00a1-\u024f\u2010-\u2027\u20ac]")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def merges_by_rank(file: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE without a normaliser, with the
+    usual pre-tokens and ids in the order of its merges, so that merging by the
+    rank of ids gives its tokens."""
+    model, before = file["model"], file["pre_tokenizer"] or {}
+    if file["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model["type"] != "BPE":
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    vocab = model["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [vocab.get(x, -1) for x in merged]
+    made = set(merged)
+    special = {t["content"] for t in file["added_tokens"]}
+    base = [i for x, i in vocab.items() if x not in made and x not in special]
+    return ids == sorted(set(ids)) and len(base) == 256 and max(base) < min(ids, default=1 << 62)
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, as the
     ``tokenizers`` file at ``path`` (a byte-level BPE) gives them.
 
     ``tiktoken`` merges by the same ranks several times faster; texts of plain
     letters go there. Texts with a special token's string, or with characters
-    that two Unicode versions might class differently, go to ``tokenizers``."""
+    that two Unicode versions might class differently, go to ``tokenizers``, and
+    so do all texts if the file isn't plainly of this kind (``merges_by_rank``)."""
 
     def __init__(self, path: str):
         import os
@@ -60,6 +80,9 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if not merges_by_rank(json.loads(self.tokenizer.to_str())):
+            return
         # the printable stand-ins of a byte-level vocabulary: printable bytes
         # stand for themselves, the others for the characters from 256 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -70,7 +93,7 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if (text.isascii() or not _UNUSUAL.search(text)) and not any(x in text for x in self.special):
+        if self.fast and (text.isascii() or not _UNUSUAL.search(text)) and not any(x in text for x in self.special):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -846,6 +846,30 @@ def test_token_ids_of_unusual_texts():
         assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_token_ids_of_other_files(tmp_path):
+    """Files whose tokens aren't merged by rank give the ids of the tokenizers library."""
+    import json
+    from tokenizers import Tokenizer
+    given = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    assert packing.merges_by_rank(json.loads(Tokenizer.from_file(queries.tokenizer_path()).to_str()))
+
+    def swapped(x):
+        v = x["model"]["vocab"]
+        a, b = "\u0120t", "he"
+        v[a], v[b] = v[b], v[a]
+    changes = [lambda x: x.update(normalizer={"type": "Lowercase"}), lambda x: x["pre_tokenizer"].update(add_prefix_space=True), swapped,
+               lambda x: x["pre_tokenizer"].update(use_regex=False), lambda x: x["model"].update(merges=x["model"]["merges"][:300])]
+    for k, change in enumerate(changes):
+        other = json.loads(json.dumps(given))
+        change(other)
+        path = str(tmp_path / f"{k}.json")
+        json.dump(other, open(path, "w", encoding="utf-8"))
+        own, code = Tokenizer.from_file(path), packing.Encoder(path)
+        assert code.fast is None
+        for text in ("The theatre THERE, isn't it?  two", "straße  x", ""):
+            assert code.encode(text) == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_local_search_empties_bins():
     rng = random.Random(1)
     for _ in range(30):

@@ -78,14 +78,15 @@ IN_TABLE = frozenset("thead tbody tfoot tr td th caption".split())
 _INLINE_SHIELDS = BLOCK | SHIELDS
 
 #: Words of class, id or role that mark what is left out, whatever it holds ...
-ALWAYS = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox adunit sponsor sponsored sponsors comment comments disqus "
-                   "respond reply replies nav navbar navigation sidenav breadcrumb breadcrumbs footer contentinfo complementary cookie cookies consent gdpr "
-                   "newsletter subscribe signup share sharing social pagination pager alertdialog".split())
+ALWAYS = frozenset("ad ads adsense adslot adbox adunit disqus respond reply replies nav sidenav topnav contentinfo complementary consent gdpr "
+                   "subscribe signup share sharing social pagination pager alertdialog".split())
+#: ... or parts of such words ...
+ALWAYS_PART = re.compile("comment(?!ary)|advert|sponsor|navbar|navigation|breadcrumb|footer|cookie|newsletter")
 #: ... those of headers ...
-HEADERS = frozenset("header masthead banner topbar".split())
-#: ... and those that do unless the element holds the page's heading or article.
-MAYBE = frozenset("sidebar aside rail widget widgets menu menubar notice notices alert alerts notification promo promos promotion "
-                  "popup modal overlay lightbox related recommended recommendations trending popular login search searchbox toolbar copyright form dialog".split())
+HEADERS = frozenset("header masthead banner topbar siteheader pageheader".split())
+#: ... and those that do unless the element holds the page's first heading or its main part.
+MAYBE = frozenset("sidebar aside rail widget widgets menu menubar submenu mainmenu notice notices alert alerts notification notifications announcement infobar paywall privacy promo promos "
+                  "promotion popup modal overlay lightbox related recommended recommendations trending popular login search searchbox toolbar copyright form dialog".split())
 HINTS = frozenset("article content entry post story main text body articlebody blogpost".split())
 NEGATIONS = frozenset("has no with without is not".split())
 
@@ -96,9 +97,10 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 def _facts(tag: str, attrs: str) -> tuple[str, int, float]:
-    """(path step, how it is left out, weight). Left out: 0 no, 1 always, 2 unless
-    it holds the page's h1 or article, 3 (headers) unless it is an article's own
-    with a heading, or holds the article."""
+    """(path step, how it is left out, weight). Left out: 0 no, 1 always, 2 (forms)
+    unless it holds the page's h1 or article, 3 (headers) unless it is an
+    article's own with a heading, or holds the article, 4 unless it holds the
+    page's h1 or main part."""
     given = {}
     for name, value in _ATTR.findall(attrs):
         given.setdefault(name.lower(), entities.unescape(value.strip("\"'")))
@@ -115,12 +117,14 @@ def _facts(tag: str, attrs: str) -> tuple[str, int, float]:
         out = 1
     elif tag in ("main", "body") or role == "main":
         out = 0
-    elif marks & ALWAYS:
+    elif marks & ALWAYS or any(ALWAYS_PART.search(w) for w in marks):
         out = 1
     elif tag == "header" or tag not in HEADINGS and tag != "article" and marks & HEADERS and not marks & HINTS:
         out = 3
-    elif tag not in HEADINGS and tag != "article" and (tag == "form" or marks & MAYBE or marks & HEADERS):
+    elif tag == "form":
         out = 2
+    elif tag not in HEADINGS and tag != "article" and (marks & MAYBE or marks & HEADERS):
+        out = 4
     weight = 4.0 if tag == "article" or "articlebody" in given.get("itemprop", "").lower() or role == "article" else \
         3.0 if tag == "main" or role == "main" else 2.0 if marks & HINTS else 1.0
     return step, out, weight
@@ -246,20 +250,22 @@ class Page:
     def _judge(self) -> None:
         """What is left out, and each element's text outside and inside links."""
         n, tag, parent, out = len(self.tag), self.tag, self.parent, self.out
-        heading, title, core = [False] * n, [False] * n, [False] * n  # a heading, an h1, an article or main below
+        # a heading, an h1, an article or main, a main below
+        heading, title, core, main = ([False] * n for _ in range(4))
         for e in range(n - 1, 0, -1):
             if out[e] != 1:
                 p = parent[e]
                 heading[p] |= heading[e] or tag[e] in HEADINGS
                 title[p] |= title[e] or tag[e] == "h1"
                 core[p] |= core[e] or tag[e] in ("article", "main")
+                main[p] |= main[e] or tag[e] == "main"
         article, link = [False] * n, [False] * n
         self.gone = gone = [False] * n
         for e in range(1, n):
             p = parent[e]
             article[e], link[e] = article[p] or tag[e] in ("article", "main"), link[p] or tag[e] == "a"
-            own = out[e] == 1 or out[e] == 2 and not (core[e] or title[e]) or out[e] == 3 and not (core[e] or heading[e] and article[p])
-            gone[e] = gone[p] or own
+            kept = (True, False, core[e] or title[e], core[e] or heading[e] and article[p], title[e] or main[e])[out[e]]
+            gone[e] = gone[p] or not kept
         self.good, self.linked, self.h1 = [0] * n, [0] * n, [0] * n
         for e, text in self.pieces:
             if text and not gone[e]:
@@ -323,7 +329,7 @@ class Page:
     def _spare(self, up: int, choice: int) -> bool:
         """Little stands in ``up`` outside of ``choice`` but a heading."""
         more = self.good[up] + self.linked[up] - self.good[choice] - self.linked[choice] - self.h1[up]
-        return more <= 0.05 * self.good[choice]
+        return more <= 0.1 * self.good[choice] + 60
 
     def text(self, chosen: set[int]) -> str:
         """The text of the chosen elements, block by block in page order."""

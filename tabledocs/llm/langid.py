@@ -349,7 +349,8 @@ def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", t
     u = unit_hash(F.lit("language"), F.col(quoted(id_col)).cast("string"), text)
     # copies of a text share a fold
     fold = F.floor(unit_hash(F.lit("fold"), text) * FOLDS).cast("int").alias("fold")
-    chosen = (own.select(lang.alias("lang"), text.alias("text"), fold, u.alias("u")).join(sizes, "lang")
+    # a row for each language, as the model has a column for each
+    chosen = (own.select(lang.alias("lang"), text.alias("text"), fold, u.alias("u")).join(F.broadcast(sizes), "lang")
               .where(F.col("u") * F.col("docs") < sample_docs).select("lang", "fold", "text"))
     counts = (chosen.mapInArrow(_count, "lang string, fold int, gram bigint, n bigint").groupBy("lang", "gram")
               .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)]))

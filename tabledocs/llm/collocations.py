@@ -305,35 +305,3 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase")))
         ranked = kept.withColumn("rank", rank).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-
-
-ORACLE_SQL = r"""
-WITH pieces AS (
-  SELECT row_number() OVER () AS piece, lang, list_filter(regexp_split_to_array(t, '[ \t]'), x -> x <> '') AS w
-  FROM (SELECT coalesce(lang, 'und') AS lang,
-               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t
-        FROM documents)
-), grams AS (
-  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
-  FROM pieces, (SELECT unnest(range(1, 5)) AS k) AS ks, unnest(range(1, len(w) - k + 2)) AS u(i)
-), f AS (
-  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
-), n AS (
-  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
-), cuts AS (
-  SELECT c.lang, c.phrase, c.k AS words, c.f AS a, h.f AS l, t.f AS r, cut.k AS at, (2000000::HUGEINT * c.f) // (h.f::HUGEINT + t.f) AS score
-  FROM f AS c, unnest(range(1, c.k)) AS cut(k),
-       f AS h, f AS t
-  WHERE c.k >= 2
-    AND h.lang = c.lang AND h.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut.k], ' ')
-    AND t.lang = c.lang AND t.phrase = array_to_string(string_split(c.phrase, ' ')[cut.k + 1:], ' ')
-), best AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1
-), kept AS (
-  SELECT b.* FROM best AS b WHERE NOT EXISTS (
-    SELECT 1 FROM f AS longer WHERE longer.lang = b.lang AND longer.k > b.words AND longer.k >= 3
-      AND contains(' ' || longer.phrase || ' ', ' ' || b.phrase || ' ') AND 100::HUGEINT * longer.f >= 80::HUGEINT * b.a)
-)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
-FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
-"""

@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledocs.llm import collocations, substring_dedup
+from tabledocs.llm import substring_dedup
 from tabledocs.llm.ann import nearest_neighbours
+from tabledocs.llm.collocations import collocations
 from tabledocs.llm.common import fold
 from tabledocs.llm.decontam import contaminations
 from tabledocs.llm.html_pages import extract_pages
@@ -81,7 +82,7 @@ def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations.collocations(read_table(spark, sf_dir, "documents"), max_words=4, min_count=30, contained=80, top=2000)
+    return collocations(read_table(spark, sf_dir, "documents"), max_words=4, min_count=30, contained=80, top=2000)
 
 
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +110,4 @@ FROM judged GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": substring_dedup.ORACLE_SQL, "op10_lines": _LINES, "op12_collocations": collocations.ORACLE_SQL}
+    return {"op4_substring": substring_dedup.ORACLE_SQL, "op10_lines": _LINES}

@@ -44,7 +44,7 @@ WORD = r"(?i)permission|redistribution|software|except|terms"
 PHRASE = (r"(?i)permission\s+is\s+hereby\s+granted|redistribution\s+and\s+use\s+in\s+source|permission\s+to\s+use,\s+copy|free\s+software|may\s+not\s+use\s+this\s+file\s+except"
           r"|terms\s+and\s+conditions\s+for\s+use|unencumbered\s+software|subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla")
 LEGAL = r"(?i)licen[cs]|copyright|redistribut|permi(?:t|ssion)|warrant|as is|liab|conditions|derivative|contribut|public domain|free software"
-COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--+)?[ \t]*|[ \t]*(?:\*+/|--+>)?[ \t\r]*$"
+COMMENT = r"(?m)^[ \t]*+(?:/\*++|\*++/|\*++|//++|#++|--++|;++|%++|<!--++)?+[ \t\r]*+|(?<![-*])(?:\*++/|--++>)[ \t\r]*+$"
 LICENSE_NAME = r"(?i)(?:^|/)(?:licen[cs]es?|copying|unlicen[cs]e|copyright)(?:[.\-_][^/]*)?$"
 
 

@@ -3,16 +3,18 @@
 The index is a folder of Parquet tables, one set per batch of documents:
 
   docs      doc, name, text
-  postings  gram, docs, bucket (a folder): documents holding a trigram of the
-            lowered text. A row covers the documents of one Arrow batch, so it is
-            bounded and a trigram that most documents hold is many rows; rows
-            are dealt to files by gram and batch, so no task gets one whole.
+  postings  gram, docs, chunk, bucket (a folder): documents holding a trigram of
+            the lowered text. A row covers the documents of one chunk (some MB of
+            texts, called by its first document), so it is bounded and a trigram
+            that most documents hold is many rows; rows are dealt to files by
+            gram and chunk, so no task gets one whole.
   grams     gram, df: in how many documents a trigram is
 
 A search takes from ``grams`` what its keywords' trigrams need, reads the
-postings of the rarest ``probes`` of each keyword and tests only the lines of
-documents holding them all. The cost is that of the postings and documents
-met, not of documents times keywords. Results are those of
+postings of the rarest ``probes`` of each keyword, intersects them chunk by
+chunk and tests only the lowered texts of documents holding them all. Lines,
+summaries and snippets are made of the first documents alone. The cost is that
+of the postings and documents met, not of documents times keywords. Results are those of
 :func:`..operators.search.search_batch`; nothing is approximate.
 
 A batch counts once its commit file stands, which is written last: a build that
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import SEARCH_MAX_RESULTS
 from ..session import list_folder, parallelism
-from .search import LINE_BREAKS, found_hits, name_order, needle_of, scan_hits
+from .search import LINE_BREAKS, found_hits, name_order, needle_of
 
 BUCKETS = 32
 PROBES = 3
@@ -52,7 +54,7 @@ def gram_keys(text: str) -> np.ndarray:
 
 
 def _postings(batches, buckets: int):
-    """(gram, docs, bucket, part): a row for each trigram of some MB of texts."""
+    """(gram, docs, chunk, bucket, part): a row for each trigram of some MB of texts."""
     number = 0
     for batch in batches:
         docs, texts = batch.column("doc").to_numpy(), batch.column("low").to_pylist()
@@ -63,7 +65,7 @@ def _postings(batches, buckets: int):
                 size += len(texts[j])
                 j += 1
             keys = [gram_keys(t) for t in texts[i:j]]
-            own = np.repeat(docs[i:j], [len(k) for k in keys])
+            own, chunk = np.repeat(docs[i:j], [len(k) for k in keys]), docs[i]
             i = j
             if not len(own):
                 continue
@@ -74,8 +76,8 @@ def _postings(batches, buckets: int):
             grams = gram[cut]
             lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(own)).astype(np.int32)), pa.array(own))
             number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(grams), lists, pa.array(_bucket(grams, buckets)), pa.array(np.full(len(grams), number, np.int32))],
-                                             names=["gram", "docs", "bucket", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), lists, pa.array(np.full(len(grams), chunk, np.int64)), pa.array(_bucket(grams, buckets)), pa.array(np.full(len(grams), number, np.int32))],
+                                             names=["gram", "docs", "chunk", "bucket", "part"])
 
 
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
@@ -83,6 +85,36 @@ def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
 
 
+def _holding_all(lists: pa.Table, chosen: list[tuple[str, list[int]]]) -> pa.Table:
+    """(batch, doc, found) of one chunk: its documents with the keywords whose
+    trigrams they all hold."""
+    held = dict(zip(lists.column("gram").to_pylist(), (x.values.to_numpy() for x in lists.column("docs"))))
+    docs, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for number, (_, grams) in enumerate(chosen):
+        if all(g in held for g in grams):
+            both = held[grams[0]]
+            for g in grams[1:]:
+                both = np.intersect1d(both, held[g], assume_unique=True)
+            docs.append(both)
+            numbers.append(np.full(len(both), number, np.int64))
+    docs, numbers = np.concatenate(docs), np.concatenate(numbers)
+    order = np.argsort(docs, kind="stable")
+    docs, numbers = docs[order], numbers[order]
+    cut = np.flatnonzero(np.diff(docs, prepend=-1))
+    names = pa.array([n for n, _ in chosen], pa.string()).take(pa.array(numbers))
+    found = pa.ListArray.from_arrays(pa.array(np.append(cut, len(docs)).astype(np.int32)), names)
+    return pa.table({"batch": pa.array(np.full(len(cut), lists.column("batch")[0].as_py(), np.int32)), "doc": pa.array(docs[cut], pa.int64()), "found": found})
+
+
+def _held(batches):
+    """(batch, doc, name, keyword): the keywords that lowered texts do hold."""
+    for b in batches:
+        held = [[k for k in found if k in low] for low, found in zip(b.column("low").to_pylist(), b.column("found").to_pylist())]
+        rows = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in held]))
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("batch", "doc", "name")), pa.array([k for x in held for k in x], pa.string())],
+                                         names=["batch", "doc", "name", "keyword"])
+
+
 class TrigramIndex:
     """A trigram index in the folder ``path`` of any file system Spark reads."""
 
@@ -104,8 +136,8 @@ class TrigramIndex:
         docs = self.spark.read.parquet(docs_path)
         spread = max(1, 2 * parallelism(self.spark) // self.buckets)
         (docs.where(F.length("text") >= 3).select("doc", F.lower("text").alias("low"))
-         .mapInArrow(partial(_postings, buckets=self.buckets), "gram bigint, docs array<bigint>, bucket int, part int")
-         .repartition(self.buckets * spread, "bucket", F.pmod("part", F.lit(spread))).sortWithinPartitions("bucket", "gram").select("gram", "docs", "bucket")
+         .mapInArrow(partial(_postings, buckets=self.buckets), "gram bigint, docs array<bigint>, chunk bigint, bucket int, part int")
+         .repartition(self.buckets * spread, "bucket", F.pmod("part", F.lit(spread))).sortWithinPartitions("bucket", "gram").select("gram", "docs", "chunk", "bucket")
          .write.partitionBy("bucket").parquet(postings_path))
         # read back with the schema: a batch without any text has no files
         (self.spark.read.schema("gram bigint, docs array<bigint>, bucket int").parquet(postings_path)
@@ -146,14 +178,14 @@ class TrigramIndex:
         chosen = self._rarest(needles, probes)
         if not chosen:
             return None
-        rows = [(g, n, len(k)) for n, k in chosen for g in k]
-        probe = self.spark.createDataFrame(rows, "gram bigint, keyword string, needed int")
-        buckets = sorted(set(_bucket(np.array([r[0] for r in rows], np.int64), self.buckets).tolist()))
-        lists = self._table("postings", "gram bigint, docs array<bigint>, bucket int").where(F.col("bucket").isin(buckets))
-        # the probes are the caller's own list, at most ``probes`` rows a keyword
-        held = lists.join(F.broadcast(probe), "gram").select("batch", "keyword", "needed", F.explode("docs").alias("doc"))
-        both = held.groupBy("batch", "doc", "keyword").agg(F.count("*").alias("n"), F.max("needed").alias("needed")).where("n = needed")
-        return both.groupBy("batch", "doc").agg(F.collect_list("keyword").alias("found"))
+        grams = sorted({g for _, k in chosen for g in k})
+        probe = self.spark.createDataFrame([(g,) for g in grams], "gram bigint")
+        buckets = sorted(set(_bucket(np.array(grams, np.int64), self.buckets).tolist()))
+        lists = self._table("postings", "gram bigint, docs array<bigint>, chunk bigint, bucket int").where(F.col("bucket").isin(buckets))
+        # the probes are the caller's own list, at most ``probes`` rows a keyword; a
+        # chunk's lists hold no more than the trigrams of its texts
+        held = lists.join(F.broadcast(probe), "gram").select("batch", "chunk", "gram", "docs")
+        return held.groupBy("batch", "chunk").applyInArrow(lambda t: _holding_all(t, chosen), "batch int, doc bigint, found array<string>")
 
     def search(self, keywords: list[str], max_results: int | None = SEARCH_MAX_RESULTS, probes: int = PROBES) -> DataFrame:
         """``(keyword, name, description, match_count, snippets)``; per keyword the
@@ -164,16 +196,23 @@ class TrigramIndex:
         docs = self.documents()
         if docs is None:
             raise LookupError(f"no index at {self.path}")
-        long = [n for n in needles if len(n) >= 3 and not set(n) & LINE_BREAKS]
-        short = [n for n in needles if len(n) < 3]
+        needles = [n for n in needles if not set(n) & LINE_BREAKS]  # no line holds another
+        short, long = [n for n in needles if len(n) < 3], [n for n in needles if len(n) >= 3]
         candidates = self.candidates(long, probes) if long else None
-        hits = scan_hits(docs, short) if short else None
+        # a needle is in some line exactly when it is in the lowered text
+        may = docs.withColumn("found", F.lit(short)) if short else None
         if candidates is not None:
-            by_index = found_hits(docs.join(candidates, ["batch", "doc"]))
-            hits = by_index if hits is None else hits.unionByName(by_index)
-        if hits is None:
-            hits = scan_hits(docs.where(F.lit(False)), needles)
-        return hits if max_results is None else first_hits(hits, docs, max_results)
+            by_index = docs.join(candidates, ["batch", "doc"])
+            may = by_index if may is None else may.unionByName(by_index)
+        if may is None:
+            may = docs.where(F.lit(False)).withColumn("found", F.array().cast("array<string>"))
+        if max_results is None:
+            return found_hits(may)
+        pairs = (may.where(F.col("text").isNotNull()).select("batch", "doc", "name", F.lower("text").alias("low"), "found")
+                 .mapInArrow(_held, f"batch int, doc bigint, name {docs.schema['name'].dataType.simpleString()}, keyword string"))
+        # no more rows than keywords times results: only these documents are split into lines
+        first = first_hits(pairs, docs, max_results).groupBy("batch", "doc").agg(F.collect_list("keyword").alias("found"))
+        return found_hits(docs.join(first, ["batch", "doc"]))
 
 
 def first_hits(hits: DataFrame, corpus: DataFrame, max_results: int) -> DataFrame:

@@ -72,3 +72,16 @@ def test_lookup_reads_few_postings(spark, tmp_path):
     index.append(corpus(spark))
     plan = index.candidates(["needle"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1][:300]
+
+
+def test_lines_of_the_first_documents_alone(spark, tmp_path):
+    """Candidates aren't dealt out as a row for each document and keyword, and
+    only the documents of the first hits are split into lines."""
+    index = X.TrigramIndex(spark, str(tmp_path / "index"))
+    index.append(spark.range(300).selectExpr("id as name", "concat('thing and things ', id) as text"))
+    plan = index.candidates(["thing", "things"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "explode" not in plan
+    found = index.search(["thing", "things", "and things 299"], max_results=2)
+    assert sorted((r["keyword"], r["name"]) for r in found.collect()) == [("and things 299", 299), ("thing", 0), ("thing", 1), ("things", 0), ("things", 1)]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("inline") < text.index("MapInArrow") and "row_number" in text

@@ -19,7 +19,7 @@ from ..operators import docs as D
 from ..operators import entries as N
 from ..operators import protect as P
 from ..operators import samples as SM
-from ..session import delete_at_end, read_table, shared_dir
+from ..session import delete_at_end, read_table, shared_dir, spread
 from ..sources.catalogs import catalog_entries
 from ..sources.corpus import read_markdown_folder
 from ..sources.manifest import read_compiled_sql, read_manifests
@@ -258,7 +258,7 @@ def docs_incremental(spark, sf_dir):
 def docs_export(spark, sf_dir):
     """Every text exported as a file of its document's name, and read back."""
     folder = shared_dir(spark, f"tabledocs/export/{uuid.uuid4().hex}")
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     D.export_markdown(d.select(F.col("doc_id").cast("string").alias("slug"), F.coalesce("text", F.lit("")).alias("body")), folder)
     delete_at_end(spark, folder)
     return read_markdown_folder(spark, folder).select("name", F.sha2("text", 256).alias("sha256"))

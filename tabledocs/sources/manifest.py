@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import file_path, file_uri, materialize
 from .manifest_split import read_entries
+from .textfiles import read_files
 
 COLUMN_DDL = ("map<string, struct<data_type:string, description:string, meta:string, "
               "tests:string, data_tests:string>>")
@@ -99,10 +100,12 @@ def read_compiled_sql(spark: SparkSession, compiled_root: str, manifest: str | N
     schema = "project string, project_name string, path string, text string"
     if root is None:
         return spark.createDataFrame([], schema)
-    files = (spark.read.option("recursiveFileLookup", "true").text(compiled_root, wholetext=True)
-             .select(file_path().alias("fp"), F.col("value").alias("text")))
-    # paths are encoded; a plus sign stands for itself in them
-    inside = F.url_decode(F.replace(F.substring(F.col("fp"), len(root.rstrip("/")) + 2, 1 << 30), F.lit("+"), F.lit("%2B")))
+    files, inside = read_files(spark, compiled_root, nested=True), F.col("path")
+    if files is None:
+        files = (spark.read.option("recursiveFileLookup", "true").text(compiled_root, wholetext=True)
+                 .select(file_path().alias("fp"), F.col("value").alias("text")))
+        # paths are encoded; a plus sign stands for itself in them
+        inside = F.url_decode(F.replace(F.substring(F.col("fp"), len(root.rstrip("/")) + 2, 1 << 30), F.lit("+"), F.lit("%2B")))
     part = lambda g: F.regexp_extract(inside, r"^([^/]+)/models/(.*)$", g)
     return files.where(part(0) != "").select(
         F.lit(manifest and (file_uri(spark, manifest) or manifest)).cast("string").alias("project"), part(1).alias("project_name"), part(2).alias("path"), "text")

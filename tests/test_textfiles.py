@@ -92,3 +92,65 @@ def test_hooks_without_a_project(spark):
     kind = N.Kind(intro=lambda e: e.select("table_slug", F.lit(0).alias("pos"), F.lit("intro").alias("line")).distinct())
     got = {r.project: r.section for r in N.section_text(N.section_lines(entries, {"k": kind})).collect()}
     assert got == {"p1": "## K\n\nintro\n\n### `a`", "p2": "## K\n\nintro\n\n### `a`"}
+
+
+def _spark_reader(spark, folder, **options):
+    return spark.read.options(**options).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.sha2("value", 256).alias("sha")).collect()
+
+
+def test_many_files_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Files are moved and read by tasks in number bounded by the cores, not by the files, from lists of bounded length."""
+    def on_driver(*a):
+        raise AssertionError("the driver moves files")
+    folder, n, tasks = str(tmp_path / "out"), 1500, X._TASKS * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(X, "_LISTED", 100)
+    rows = spark.range(n, numPartitions=2).select(F.concat("id", F.lit(".md")).alias("path"), F.concat(F.lit("text "), "id").alias("text"))
+    X.write_files(spark, rows, folder)
+    assert len(os.listdir(folder)) == n
+    monkeypatch.setattr(X, "_move_list", on_driver)
+    X.write_files(spark, rows, folder)
+    read = read_markdown_folder(spark, folder)
+    assert read.rdd.getNumPartitions() <= tasks < spark.read.text(folder, wholetext=True).rdd.getNumPartitions()
+    assert {(r.name, r.text) for r in read.collect()} == {(str(i), f"text {i}") for i in range(n)} and read.count() == n
+
+
+def test_moves_go_on_where_an_attempt_ended(tmp_path):
+    fs, root = X.open_folder(str(tmp_path))
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "0.json").write_text('["d/a", "b", "c"]')
+    for i in (1, 2):
+        (tmp_path / "s" / f"0-{i}").write_text(str(i))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a").write_text("moved before")
+    assert X._move_list(fs, root, "s", 0) == 3
+    assert [(tmp_path / x).read_text() for x in ("d/a", "b", "c")] == ["moved before", "1", "2"]
+    (tmp_path / "s" / "1.json").write_text('["lost"]')
+    with pytest.raises(OSError):
+        X._move_list(fs, root, "s", 1)
+
+
+def test_folders_are_read_as_by_spark(spark, tmp_path):
+    """Odd names, hidden, empty and broken files give the rows of Spark's own reader."""
+    odd = {"a b+%20.md": b"1", "\u00fc\u20ac.md": b"2", "_x.md": b"3", "_x=1.md": b"4", ".y.md": b"5", "z.md._COPYING_": b"6", "_metadata.md": b"7", "empty.md": b"",
+           "raw.md": b"\xff\xfe\x00caf\xe9", "bom.md": b"\xef\xbb\xbfx\r\n", "other.txt": b"8", "_index.md": b"9", "a.md.gz": b"10", "".join(map(chr, range(1, 47))) + ".md": b"11",
+           "".join(map(chr, range(59, 180))).replace("\\", "") + "\u3000.md": b"12"}
+    flat = tmp_path / "a b%41"
+    flat.mkdir()
+    for name, data in odd.items():
+        (flat / name).write_bytes(data)
+    (flat / "broken.md").symlink_to(tmp_path / "nowhere")
+    got = [(r.shown, r.sha) for r in X.read_files(spark, str(flat), suffix=".md").select("shown", F.sha2("text", 256).alias("sha")).collect()]
+    assert sorted(got) == sorted((r.name, r.sha) for r in _spark_reader(spark, str(flat), pathGlobFilter="*.md")) and len(got) > 4
+    # other stores, patterns, folders by partition and packed files are left to Spark's reader
+    assert X.read_files(spark, f"{tmp_path}/*", suffix=".md") is None and X.read_files(spark, str(tmp_path / "none")) is None
+    assert X.read_files(spark, str(flat)) is None and X.read_files(spark, str(flat / "raw.md")) is None
+    (tmp_path / "parted" / "p=1").mkdir(parents=True)
+    (tmp_path / "parted" / "p=1" / "in.md").write_text("x")
+    assert X.read_files(spark, str(tmp_path / "parted"), suffix=".md") is None
+    assert [tuple(r) for r in read_markdown_folder(spark, str(tmp_path / "parted")).collect()] == [("in", "x")]
+    nested = tmp_path / "nested"
+    for path in ("p/models/a.sql", "p/models/d/_b.sql", "_h/models/c.sql", "_metadata/models/d.sql", ".g/e.sql", "f.sql"):
+        (nested / path).parent.mkdir(parents=True, exist_ok=True)
+        (nested / path).write_text(path)
+    got = sorted(r.text for r in X.read_files(spark, str(nested), nested=True).collect())
+    assert got == sorted(r.value for r in spark.read.option("recursiveFileLookup", "true").text(str(nested), wholetext=True).collect())

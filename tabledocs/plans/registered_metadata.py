@@ -9,6 +9,8 @@ documents are entities and bodies. The DuckDB SQL spells every literal itself.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..operators import docs as D
 from ..operators import entries as N
 from ..operators import protect as P
 from ..operators import samples as SM
-from ..session import delete_at_end, read_table, shared_dir, spread
+from ..session import bytes_of, delete_at_end, delete_now, materialize, read_table, scans_spread, shared_dir, shuffles_dropped, shuffles_spread, spread, table_path
 from ..sources.catalogs import catalog_entries
 from ..sources.corpus import read_markdown_folder
 from ..sources.manifest import read_compiled_sql, read_manifests
@@ -167,14 +169,15 @@ def _manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.struct((c("p_size") > 25).alias("pii")).alias("meta")).alias("k"),
         F.struct(lit("int").alias("data_type")).alias("user_email"))
     quoted = lambda prefix, *keys: cat(lit(f'"{prefix}'), *keys, lit('"'))
-    models = row(part, c("p_partkey"), 1, c("p_partkey"), lit(0), "p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    model = text(quoted("model.p.", "p_partkey"), F.struct(
-        lit("model").alias("resource_type"), cat(lit("part_"), "p_partkey").alias("name"), cat(lit("m/part_"), "p_partkey", lit(".sql")).alias("path"), F.when(c("p_size") >= 10, c("p_brand")).otherwise("").alias("schema"),
+    # the keys that put a row in order are not carried twice
+    models = row(part, c("p_partkey"), 1, c("p_partkey"), lit(0), "p_name", "p_brand", "p_type", "p_size")
+    model = text(quoted("model.p.", "k2"), F.struct(
+        lit("model").alias("resource_type"), cat(lit("part_"), "k2").alias("name"), cat(lit("m/part_"), "k2", lit(".sql")).alias("path"), F.when(c("p_size") >= 10, c("p_brand")).otherwise("").alias("schema"),
         c("p_name").alias("description"), cat(lit(" select "), "p_size", lit("\n")).alias("raw_code"), columns.alias("columns"),
-        F.struct(F.array(cat(lit("model.p."), c("p_partkey") + 5), lit("seed.none"), cat(lit("source.s."), "p_size")).alias("nodes")).alias("depends_on")))
-    n, ref = c("l_linenumber"), cat(lit("{{ f(ref('part_"), "l_partkey", lit("')) }}"))
-    tests = row(line, c("l_partkey"), 2, c("l_orderkey"), n, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_returnflag")
-    test = text(quoted("test.t.", "l_orderkey", lit("."), "l_linenumber"), F.struct(
+        F.struct(F.array(cat(lit("model.p."), c("k2") + 5), lit("seed.none"), cat(lit("source.s."), "p_size")).alias("nodes")).alias("depends_on")))
+    n, ref = c("k3"), cat(lit("{{ f(ref('part_"), "l_partkey", lit("')) }}"))
+    tests = row(line, c("l_partkey"), 2, c("l_orderkey"), c("l_linenumber"), "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
+    test = text(quoted("test.t.", "k2", lit("."), "k3"), F.struct(
         lit("test").alias("resource_type"), lit("t").alias("name"), F.when(n == 1, cat(lit("model.p."), "l_partkey")).when(n == 2, "").alias("attached_node"),
         F.when(c("l_linestatus") == "O", lit("k")).otherwise(lit("user_email")).alias("column_name"),
         F.struct(F.when(n >= 5, F.array(lit("macro.m"), cat(lit("source.s."), "l_suppkey"))).alias("nodes")).alias("depends_on"),
@@ -182,10 +185,10 @@ def _manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(n <= 3, ref).when(n <= 5, cat(lit("source('shop', 'sup_"), "l_suppkey", lit("')"))).alias("model"), lit("k").alias("column_name"),
             F.when(c("l_returnflag") == "A", F.array(n.cast("string"), lit("it's"))).alias("values"), F.when(n == 4, lit(True)).alias("strict")).alias("kwargs")).alias("test_metadata")))
     firsts = sup.groupBy((c("s_suppkey") % 5).alias("_p")).agg(F.min("s_suppkey").alias("_first"))
-    sources = row(sup.join(firsts, c("s_suppkey") % 5 == c("_p")), c("s_suppkey"), 4, c("s_suppkey"), lit(0), "s_suppkey", "s_name", "s_nationkey", "_first")
-    source = text(quoted("source.s.", "s_suppkey"), F.struct(
-        lit("shop").alias("source_name"), F.when(c("s_nationkey") < 5, cat(lit("part_"), "s_suppkey")).otherwise(cat(lit("sup_"), "s_suppkey")).alias("name"),
-        F.when(c("s_nationkey") < 5, "prod").alias("schema"), c("s_name").alias("description")), c("s_suppkey") == c("_first"))
+    sources = row(sup.join(firsts, c("s_suppkey") % 5 == c("_p")), c("s_suppkey"), 4, c("s_suppkey"), lit(0), "s_name", "s_nationkey", "_first")
+    source = text(quoted("source.s.", "k2"), F.struct(
+        lit("shop").alias("source_name"), F.when(c("s_nationkey") < 5, cat(lit("part_"), "k2")).otherwise(cat(lit("sup_"), "k2")).alias("name"),
+        F.when(c("s_nationkey") < 5, "prod").alias("schema"), c("s_name").alias("description")), c("k2") == c("_first"))
     frame = part.select((c("p_partkey") % 5).cast("string").alias("project")).distinct().select("project", F.inline(F.array(
         F.struct(lit(0).alias("k1"), cat(lit('{"metadata": {"project_name": "p'), "project", lit('"}, "macros": {"macro.m": {"macro_sql": "{% macro m() %}\\"{}\\"{% endmacro %}"}}, "nodes": {"seed.p.first": {"resource_type": "seed"}')).alias("value")),
         F.struct(lit(3).alias("k1"), lit('}, "sources": {').alias("value")), F.struct(lit(5).alias("k1"), lit("}}").alias("value")))))
@@ -198,6 +201,8 @@ def _manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARSED: dict = {}
+#: Manifest entries that stand on a line, and in a file.
+_ON_LINE, _IN_FILE = 16, 50_000
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -206,12 +211,32 @@ def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PARSED:
         folder = shared_dir(spark, f"tabledocs/manifests/{uuid.uuid4().hex}")
-        _manifest_lines(spark, sf_dir).write.partitionBy("project").text(folder)
         delete_at_end(spark, folder)
-        _PARSED[key] = tuple(df.withColumn("project", F.regexp_extract("project", "project=([0-9]+)$", 1)) for df in read_manifests(spark, f"{folder}/project=*/*.txt", in_parts=True))
+        # packed files are read whole, so each holds a bounded number of entries, of which some stand on a line
+        value = F.concat("value", F.when(F.monotonically_increasing_id() % _ON_LINE == _ON_LINE - 1, "\n").otherwise(""))
+        with shuffles_dropped(spark), _large(spark, sf_dir):
+            (_manifest_lines(spark, sf_dir).withColumn("value", value).write.partitionBy("project")
+             .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", " ").option("maxRecordsPerFile", _IN_FILE).text(folder))
+        _PARSED[key] = tuple(df.withColumn("project", F.regexp_extract("project", "project=([0-9]+)$", 1)) for df in read_manifests(spark, f"{folder}/project=*/*.txt.gz", in_parts=True))
+        delete_now(spark, folder)  # the parsed nodes are written
     return _PARSED[key]
 
 
+@contextmanager
+def _large(spark: SparkSession, sf_dir: str):
+    """Shuffles of this many tests start with more partitions, scans are spread."""
+    with shuffles_spread(spark, bytes_of(spark, (table_path(sf_dir, t) for t in ("part", "lineitem", "supplier")))), scans_spread(spark):
+        yield
+
+
+def _catalog(spark: SparkSession, sf_dir: str, compiled: DataFrame | None = None) -> G.Catalog:
+    """The catalog with its columns and lineage worked out once and written, so that
+    the shuffle files of all tests are gone before documents are made of them."""
+    cat = G.build_catalog(*_nodes(spark, sf_dir), compiled=compiled)
+    with _large(spark, sf_dir):
+        return replace(cat, columns=materialize(cat.columns, "catalog-columns", large=True), lineage=materialize(cat.lineage, "catalog-lineage", large=True))
+
+
 def _compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compiled files of the smallest parts, written under their names and read back."""
     root = shared_dir(spark, f"tabledocs/compiled/{uuid.uuid4().hex}")
@@ -294,8 +319,7 @@ def catalog_entities(spark, sf_dir):
 
 def catalog_columns(spark, sf_dir):
     """Documented columns with inline tests, then the indexed ones."""
-    cols = G.build_catalog(*_nodes(spark, sf_dir)).columns
-    return cols.withColumn("tests", F.array_join("tests", "\n"))
+    return _catalog(spark, sf_dir).columns.withColumn("tests", F.array_join("tests", "\n"))
 
 
 def sample_refresh(spark, sf_dir):

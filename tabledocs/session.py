@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,6 +212,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if n < target else df
 
 
+def delete_now(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's own that nothing reads any more."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Have a folder of this application's own deleted when it ends."""
     jvm = spark.sparkContext._jvm
@@ -218,14 +225,62 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """What is written meanwhile has its shuffle files deleted once it is there,
+    and not when the driver's garbage is collected."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def scans_spread(spark: SparkSession):
+    """What runs meanwhile scans its files by some tasks a core, as far as they can
+    be split, where their reading takes long for their size."""
+    return _set(spark, "spark.sql.files.minPartitionNum", str(4 * parallelism(spark)))
+
+
+def shuffles_spread(spark: SparkSession, size: int):
+    """What runs meanwhile starts its shuffles with a partition for each some MB of
+    the ``size`` bytes it reads, if the session's number is less; adaptive execution
+    joins those that turn out small."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // _SHUFFLED))
+    return _set(spark, "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+
+
+#: Bytes of a packed table that make a partition of a shuffle.
+_SHUFFLED = 4 << 20
+
+
+def bytes_of(spark: SparkSession, paths) -> int:
+    """Size of files and folders on any file system Spark reads."""
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for p in paths:
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        total += hpath.getFileSystem(conf).getContentSummary(hpath).getLength()
+    return total
+
+
+def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Cut lineage by writing a (small) result as a table in the shared
     folder and reading it back: one job, unlike ``checkpoint()``, which
     computes its input once to count and again to write. The folder goes when
-    the application ends."""
+    the application ends. ``large``: packed closer, and the shuffle files of the
+    job go at once."""
     import uuid
     path = shared_dir(df.sparkSession, f"tabledocs/tables/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    if large:
+        with shuffles_dropped(df.sparkSession):
+            df.write.option("compression", "zstd").parquet(path)
+    else:
+        df.write.parquet(path)
     try:
         delete_at_end(df.sparkSession, path)
     except Exception:  # Spark Connect: the shared folder's owner clears it

@@ -32,6 +32,8 @@ from ..session import file_path, materialize
 
 SECTIONS = ("metadata", "nodes", "sources")
 _OUT_ROWS = 2000
+#: Bytes of records whose signs are found at once.
+_AT_ONCE = 1 << 20
 _QUOTE, _OBJECT, _LIST, _CLOSE, _COMMA = 1, 2, 3, 4, 5
 _KINDS = np.zeros(256, np.uint8)
 for _sign, _kind in zip(b'"{[}],', (_QUOTE, _OBJECT, _LIST, _CLOSE, _CLOSE, _COMMA)):
@@ -73,17 +75,21 @@ class _Walk:
     def pass_over(self, text: bytes, at: np.ndarray, kinds: np.ndarray) -> None:
         """Depth, and the keys of objects opened at a depth of one or less."""
         quote = kinds == _QUOTE
-        seen = np.cumsum(quote)
-        inside = (seen + self.in_string) % 2 == 1
-        steps = np.where(inside, 0, _STEPS[kinds])
+        quotes = at[quote]
+        # how many quotes came before, odd or even: the small number may wrap
+        inside = (np.cumsum(quote, dtype=np.uint8) + np.uint8(self.in_string)) & 1
+        told = np.flatnonzero((inside == 0) & ~quote)
+        at, kinds = at[told], kinds[told]
+        steps = _STEPS[kinds]
         depth = self.depth + np.cumsum(steps)
         opened = np.flatnonzero((steps == 1) & (depth <= 2))[::-1]
         _, last = np.unique(depth[opened], return_index=True)
-        quotes = at[quote]
         for i in opened[last]:
             self.keys[int(depth[i]) - 1] = _key_before(text, quotes, at[i]) if kinds[i] == _OBJECT else None
         if len(at):
-            self.depth, self.in_string = int(depth[-1]), bool((seen[-1] + self.in_string) % 2)
+            self.depth = int(depth[-1])
+        if len(inside):
+            self.in_string = bool(inside[-1])
 
 
 def _blocks(batches, key: list[str], end: bytes) -> Iterator[tuple[tuple, bytes, dict]]:
@@ -98,11 +104,18 @@ def _blocks(batches, key: list[str], end: bytes) -> Iterator[tuple[tuple, bytes,
         starts = [0, *np.flatnonzero(new).tolist(), len(values)]
         for i, j in zip(starts, starts[1:]):
             first = {n: batch.column(n)[i].as_py() for n in batch.schema.names if n != "value"}
-            yield tuple(first[k] for k in key), end.join(values[i:j]) + end, first
-
-
-def _summaries(batches, end):
-    """Per block: how it ends and how deep it gets, out of and in a string."""
+            while i < j:
+                upto, size = i, 0
+                while upto < j and size < _AT_ONCE:
+                    size += len(values[upto])
+                    upto += 1
+                yield tuple(first[k] for k in key), end.join(values[i:upto]) + end, first
+                i = upto
+
+
+def _summaries(batches, end, in_parts=False):
+    """Per block: how it ends and how deep it gets, out of and in a string; blocks
+    of parts begin between entries, so out of one."""
     now, walks = None, ()
 
     def row():
@@ -114,10 +127,10 @@ def _summaries(batches, end):
         if key != now:
             if now is not None:
                 yield row()
-            now, walks = key, (_Walk(False), _Walk(True))
+            now, walks = key, (_Walk(False), _Walk(not in_parts))
         at, kinds = _signs(text)
         at, kinds = at[kinds != _COMMA], kinds[kinds != _COMMA]
-        for w in walks:
+        for w in walks[:1] if in_parts else walks:
             w.pass_over(text, at, kinds)
     if now is not None:
         yield row()
@@ -167,12 +180,15 @@ class _Entries:
         """The entries that end in this text."""
         at, kinds = _signs(text)
         quote = kinds == _QUOTE
-        inside = (np.cumsum(quote) + self.in_string) % 2 == 1
-        steps = np.where(inside, 0, _STEPS[kinds])
-        depth = self.depth + np.cumsum(steps)
-        # strings that begin and commas between entries; sections that open; values and sections that end
-        told = np.flatnonzero(np.where(quote, inside & (depth == 2), ~inside & (depth <= 2) & ((kinds != _COMMA) | (depth == 2))))
         quotes = at[quote]
+        inside = ((np.cumsum(quote, dtype=np.uint8) + np.uint8(self.in_string)) & 1).astype(bool)
+        end_inside = bool(inside[-1]) if len(at) else self.in_string
+        # strings that begin, and signs out of strings
+        some = np.flatnonzero(inside == quote)
+        at, kinds, quote = at[some], kinds[some], quote[some]
+        depth = self.depth + np.cumsum(_STEPS[kinds])
+        # strings that begin and commas between entries; sections that open; values and sections that end
+        told = np.flatnonzero(np.where(quote | (kinds == _COMMA), depth == 2, depth <= 2))
         start = 0  # of the open entry's text
         for i, kind, deep in zip(at[told].tolist(), kinds[told].tolist(), depth[told].tolist()):
             if kind == _QUOTE:
@@ -196,7 +212,8 @@ class _Entries:
         if self.pieces is not None:
             self.pieces.append(text[start:])
         if len(at):
-            self.depth, self.in_string = int(depth[-1]), bool(inside[-1])
+            self.depth = int(depth[-1])
+        self.in_string = end_inside
 
 
 def _fragments(batches, sections, end):
@@ -222,30 +239,50 @@ def _fragments(batches, sections, end):
         yield flush()
 
 
-def read_entries(spark: SparkSession, paths: str | list[str], sections: tuple[str, ...] = SECTIONS, in_parts: bool = False) -> DataFrame:
-    """``(project, section, pos, text)``: the entries of each manifest's top-level
-    objects ``sections``, as JSON text ``"key": value``, with their position.
-
-    A manifest is a file, named by its path; ``in_parts``: the files of a folder
-    in the order of their names, whose lines end between entries, named by the
-    folder's path. Two scans of the files; the entries are written once in the
-    shared folder."""
+def scan_entries(spark: SparkSession, paths: str | list[str], sections: tuple[str, ...] = SECTIONS, in_parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(states, fragments): a small row for each block, written, and the rows of
+    entries and fragments, not computed yet. Two scans of the files in all."""
     end = "\n" if in_parts else "}"
     name = file_path("file")
     project = F.regexp_replace(name, "/[^/]*$", "") if in_parts else name
     raw = (spark.read.option("lineSep", end).text(paths)
            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")))
-    summaries = raw.mapInArrow(lambda it: _summaries(it, end.encode()), _SUMMARY_DDL)
+    summaries = raw.mapInArrow(lambda it: _summaries(it, end.encode(), in_parts), _SUMMARY_DDL)
     states = materialize(summaries.select(project.alias("project"), "*").groupBy("project").applyInArrow(_chain, _STATE_DDL)
                          .withColumn("id", F.monotonically_increasing_id()), "manifest-blocks")
     # a row of some bytes for each block, of which the scan's own plan holds the list
     known = raw.join(F.broadcast(states), ["file", "block"]).select("id", "in_string", "depth", "section", "value")
-    parts = materialize(known.mapInArrow(lambda it: _fragments(it, sections, end.encode()), _FRAGMENT_DDL), "manifest-entries")
+    return states, known.mapInArrow(lambda it: _fragments(it, sections, end.encode()), _FRAGMENT_DDL)
+
+
+def places(parts: DataFrame, states: DataFrame) -> DataFrame:
+    """``(id, section, project, nth, base)``: the position in its manifest at which
+    the entries of each block begin; some rows a block, written."""
     begun = parts.groupBy("id", "section").agg(F.count_if(F.col("idx") >= 0).alias("n")).join(states.select("id", "project", "nth"), "id")
     before = F.sum("n").over(Window.partitionBy("project", "section").orderBy("nth")) - F.col("n")
-    base = begun.select("id", "section", "project", "nth", before.alias("base"))
-    placed = parts.join(F.broadcast(base), ["id", "section"]).withColumn("pos", F.col("base") + F.col("idx"))
-    whole = placed.where("whole").select("project", "section", "pos", "text")
-    pieces = (placed.where("not whole").groupBy("project", "section", "pos").agg(F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("p"))
-              .select("project", "section", "pos", F.array_join("p.text", "").alias("text")))
-    return whole.unionByName(pieces)
+    return materialize(begun.select("id", "section", "project", "nth", before.alias("base")), "manifest-places")
+
+
+def placed(parts: DataFrame, at: DataFrame) -> DataFrame:
+    """Written rows of entries and fragments with their project and position."""
+    return parts.join(F.broadcast(at), ["id", "section"]).withColumn("pos", F.col("base") + F.col("idx"))
+
+
+def put_together(parts: DataFrame, at: DataFrame) -> DataFrame:
+    """``(project, section, pos, text)`` of the entries that block ends cut."""
+    return (placed(parts.where("not whole"), at).groupBy("project", "section", "pos").agg(F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("p"))
+            .select("project", "section", "pos", F.array_join("p.text", "").alias("text")))
+
+
+def read_entries(spark: SparkSession, paths: str | list[str], sections: tuple[str, ...] = SECTIONS, in_parts: bool = False) -> DataFrame:
+    """``(project, section, pos, text)``: the entries of each manifest's top-level
+    objects ``sections``, as JSON text ``"key": value``, with their position.
+
+    A manifest is a file, named by its path; ``in_parts``: the files of a folder
+    in the order of their names, whose lines end between entries, named by the
+    folder's path. Two scans of the files; the entries are written once in the
+    shared folder."""
+    states, fragments = scan_entries(spark, paths, sections, in_parts)
+    parts = materialize(fragments, "manifest-entries", large=True)
+    at = places(parts, states)
+    return placed(parts.where("whole"), at).select("project", "section", "pos", "text").unionByName(put_together(parts, at))

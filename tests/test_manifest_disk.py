@@ -60,6 +60,20 @@ def test_shuffle_files_of_a_large_table_go(spark):
     assert blocks() <= before and df.count() == 1000
 
 
+def test_columns_and_parents_are_worked_out_once(spark, tables, monkeypatch):
+    """Both builds read them from a table, with no tests joined again."""
+    plans = []
+
+    def build(entities, columns, lineage, *args, **more):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in (entities, columns, lineage))
+        return real(entities, columns, lineage, *args, **more)
+    real = R.I.build
+    monkeypatch.setattr(R.I, "build", build)
+    got = {(r["slug"], r["change"]) for r in R.docs_incremental(spark, tables).collect()}
+    assert len(plans) == 6 and not any("Join" in p or "Generate" in p for p in plans)
+    assert got == {("prod.part_7", "changed"), ("prod.part_19", "changed"), ("prod.part_9", "removed"), ("b.part_11", "new")}
+
+
 def test_several_entries_on_a_line(spark, tmp_path):
     entries = [{f"n{i}": {"name": f"{i}}}{{"}} for i in range(100)]
     lines = ['{"metadata": {"project_name": "p"}, "nodes": {"first": {}'] + [" ".join("," + json.dumps(e)[1:-1] for e in entries[i:i + 7]) for i in range(0, 100, 7)] + ['}, "sources": {}}']

@@ -74,6 +74,20 @@ def test_columns_and_parents_are_worked_out_once(spark, tables, monkeypatch):
     assert got == {("prod.part_7", "changed"), ("prod.part_19", "changed"), ("prod.part_9", "removed"), ("b.part_11", "new")}
 
 
+def test_compiled_files_are_written_by_many_tasks(spark, tables, monkeypatch):
+    """However the table of their names is stored."""
+    tasks = []
+
+    def write(session, rows, folder):
+        tasks.append(rows.rdd.getNumPartitions())
+        return real(session, rows, folder)
+    real = R.write_files
+    monkeypatch.setattr(R, "write_files", write)
+    docs = {r["slug"]: r["body"] for r in R.docs_full(spark, tables).collect()}
+    assert tasks[0] > 1
+    assert "compiled 3" in docs["prod.part_3"] and "select 5" in docs["prod.part_5"] and len(docs) == 22
+
+
 def test_several_entries_on_a_line(spark, tmp_path):
     entries = [{f"n{i}": {"name": f"{i}}}{{"}} for i in range(100)]
     lines = ['{"metadata": {"project_name": "p"}, "nodes": {"first": {}'] + [" ".join("," + json.dumps(e)[1:-1] for e in entries[i:i + 7]) for i in range(0, 100, 7)] + ['}, "sources": {}}']
